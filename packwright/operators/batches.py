@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.schedule import cosine_rate, warmup_steps
 from packwright.functions.text import array_total
+from packwright.operators.offsets import dense_positions
 from packwright.operators.shuffling import SEED, seeded_positions
 
 # Examples in a device's batch, devices of a node.
@@ -26,22 +27,15 @@ def sample_positions(
     """The first ``n_examples`` ordinals with their place, permuted or as they are.
 
     ``sample_position`` is dense over the rows that exist; ``n_sampled`` says how many
-    there are, so ``n_examples - n_sampled`` is the shortfall. In order, the ordinals
-    must be dense from zero, which is what a row count of a chunk gives.
+    there are, so ``n_examples - n_sampled`` is the shortfall.
     """
-    chosen = rows.where(F.col(ordinal) < n_examples)
+    chosen = rows.where(F.col(ordinal) < n_examples).select(*groups, *keys, ordinal)
     if shuffle:
-        placed = seeded_positions(chosen, keys, seed, (0,), groups)
-        placed = placed.withColumnRenamed("position", "sample_position")
-        placed = placed.withColumnRenamed("total", "n_sampled").drop("epoch")
-        names = [*groups, *keys]
-        return chosen.select(*names, ordinal).join(placed, names)
-    counts = chosen.groupBy(*groups).agg(F.count("*").alias("n_sampled"))
-    names = [*groups, *keys, F.col(ordinal), F.col(ordinal).alias("sample_position")]
-    if groups:
-        return chosen.select(*names).join(counts, list(groups))
-    one_row = counts.withColumn("_all", F.lit(0))
-    return chosen.select(*names).withColumn("_all", F.lit(0)).join(one_row, "_all").drop("_all")
+        placed = seeded_positions(chosen, keys, seed, (0,), groups, carry=[ordinal])
+        placed = placed.withColumnRenamed("position", "sample_position").drop("epoch")
+    else:
+        placed = dense_positions(chosen, groups, [ordinal], "sample_position")
+    return placed.withColumnRenamed("total", "n_sampled")
 
 
 def truncate_to_batches(sampled: DataFrame, global_batch: int) -> DataFrame:
@@ -82,14 +76,13 @@ def collated(examples: DataFrame, keep: Sequence[str]) -> DataFrame:
     return examples.select(*keep, *[c.alias(name) for name, c in columns.items()])
 
 
-def total_steps(n_examples: int, global_batch: int, n_chunks: Column | int) -> Column:
-    n_chunks = n_chunks if isinstance(n_chunks, Column) else F.lit(n_chunks)
-    return (F.lit(n_examples // global_batch) * n_chunks).cast("bigint")
+def total_steps(n_examples: int, global_batch: int, n_chunks: int) -> int:
+    return n_examples // global_batch * n_chunks
 
 
 def batch_plan(
     assigned: DataFrame,
-    n_chunks: Column | int,
+    n_chunks: int,
     n_examples: int,
     world_size: int,
     per_device_batch: int = PER_DEVICE_BATCH,
@@ -104,16 +97,12 @@ def batch_plan(
     """
     global_batch = world_size * per_device_batch
     sizes = [F.count("*").alias("n_examples"), F.first("n_sampled").alias("_sampled")]
-    if "n_chunks" in assigned.columns:
-        sizes.append(F.first("n_chunks").alias("_chunks"))
     if "token_ids" in assigned.columns:
         sizes += [
             F.sum((F.size("token_ids") - 1).cast("bigint")).alias("n_tokens"),
             F.sum(array_total(F.slice("tgt_mask", F.lit(2), F.size("tgt_mask") - 1))).alias("n_targets"),
         ]
     batches = assigned.groupBy(chunk, "rank", "batch_idx").agg(*sizes)
-    if "n_chunks" in assigned.columns:
-        n_chunks = F.col("_chunks")
     before = F.col(chunk) * F.expr(f"_sampled div {global_batch}") + F.col("batch_idx")
     steps = total_steps(n_examples, global_batch, n_chunks)
     step = before + 1

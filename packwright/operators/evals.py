@@ -51,19 +51,22 @@ def look_up_metrics(documents: DataFrame, tasks: DataFrame, keys: list[str], mod
     return rows.withColumn("missing", F.col("value").isNull())
 
 
-def suite_scores(values: DataFrame, keys: list[str]) -> DataFrame:
+def suite_scores(values: DataFrame, keys: list[str], digits: int | None = None) -> DataFrame:
     """Plain mean over the tasks of a suite, the missing count, and the report line.
 
     A suite with a missing task has no score: the mean over the rest is not its mean.
     """
+    mean = F.avg("value") if digits is None else F.round(F.avg("value"), digits)
     scored = values.groupBy(*keys, "suite", "metric_name").agg(
-        F.avg("value").alias("mean_present"),
-        F.sum(F.col("missing").cast("bigint")).alias("n_missing"),
+        F.sum(F.col("missing").cast("bigint")).alias("n_missing"), mean.alias("mean")
     )
-    scored = scored.withColumn(
-        "metric_value", F.when(F.col("n_missing") == 0, F.col("mean_present"))
-    ).drop("mean_present")
-    line = F.concat_ws(
-        "", "suite", F.lit(": "), "metric_name", F.lit(" = "), F.col("metric_value").cast("string")
+    complete = F.col("n_missing") == 0
+    line = F.concat_ws("", "suite", F.lit(": "), "metric_name", F.lit(" = "), F.col("mean").cast("string"))
+    return scored.select(
+        *keys,
+        "suite",
+        "metric_name",
+        "n_missing",
+        F.when(complete, F.col("mean")).alias("metric_value"),
+        F.when(complete, line).alias("report_line"),
     )
-    return scored.withColumn("report_line", F.when(F.col("metric_value").isNotNull(), line))

@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 
 # A 64-bit key is cut into 2**22 wide ranges of 2**21 narrow ranges of 2**21 keys.
 RANGE_SHIFTS = (42, 21)
+# Further keys are ordinals inside the first (turns, parts): below 2**42, ranges of
+# 2**21 keys keep every window as small.
+INNER_SHIFTS = (21,)
 
 
 def required(name: str) -> Column:
@@ -76,14 +79,14 @@ def running_offsets(
     groups: Sequence[str],
     keys: Sequence[str],
     length: str,
-    shifts: Sequence[int] = RANGE_SHIFTS,
 ) -> DataFrame:
     """Offsets of rows laid end to end by ``keys`` inside each of ``groups``.
 
     The first key gets the nested ranges. Each further key (the turn of a
     conversation, the part of a text) adds its parent key as a level of its own and
     then its own ranges, so one conversation may hold any share of the rows. The
-    keys together must be unique in the group and integral.
+    keys together must be unique in the group and integral. ``df`` is read twice: write
+    it first if that is costly.
     """
     kinds = dict(df.dtypes)
     for key in keys:
@@ -95,7 +98,7 @@ def running_offsets(
     ranges = []
     for place, key in enumerate(keys):
         whole = F.col(key).cast("bigint")
-        for shift in shifts:
+        for shift in INNER_SHIFTS if place else RANGE_SHIFTS:
             name = f"_r{place}_{shift}"
             rows = rows.withColumn(name, F.shiftright(whole, shift))
             ranges.append(name)

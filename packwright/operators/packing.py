@@ -17,9 +17,12 @@ SUBSET = ("data_type", "subset_name")
 def token_offsets(
     examples: DataFrame, groups: Sequence[str] = SUBSET, keys: Sequence[str] = ("doc_id",)
 ) -> DataFrame:
-    """Where each example starts in its subset's stream of tokens. Empty ones take no place."""
+    """Where each example starts in its subset's stream of tokens. Empty ones take no place.
+
+    Lengths are written once, as they are read twice and cost a tokenization each time.
+    """
     sized = examples.select(*groups, *keys, n_tokens(F.col("token_ids")).alias("n"))
-    return running_offsets(sized.where("n > 0"), groups, keys, "n")
+    return running_offsets(stage(sized, "lengths").where("n > 0"), groups, keys, "n")
 
 
 def cut_pieces(
@@ -93,9 +96,12 @@ def pack(
     mask = "tgt_mask" if "tgt_mask" in examples.columns else "is_target"
     tokens = examples.select(
         *groups, *keys, "token_ids", mask, n_tokens(F.col("token_ids")).alias("n")
-    ).where("n > 0")
+    )
     if staged:
         tokens = stage(tokens, "tokens")
+    # Only now: a filter on the length before the write would be pushed below it and
+    # tokenize every text a second time.
+    tokens = tokens.where("n > 0")
     offsets = running_offsets(tokens.select(*groups, *keys, "n"), groups, keys, "n")
     full_blocks = F.expr(f"total div {context_length}")
     kept = offsets.where(F.col("start") < full_blocks * context_length).drop("n")

@@ -34,10 +34,14 @@ def seeded_positions(
     seed: Column | int = SEED,
     epochs: Sequence[int] = (0,),
     groups: Sequence[str] = (),
+    carry: Sequence[str] = (),
 ) -> DataFrame:
-    """Per epoch and group: ``position`` of each key in the shuffled order, and ``total`` rows."""
+    """Per epoch and group: ``position`` of each key in the shuffled order, and ``total`` rows.
+
+    ``carry`` names further narrow columns to keep. ``rows`` is read twice.
+    """
     names = [*groups, *keys]
-    rows = rows.select(*[required(c) for c in names])
+    rows = rows.select(*[required(c) for c in names], *carry)
     rows = rows.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     rows = rows.withColumn("order_key", order_key(seed, F.col("epoch"), keys))
     bits = F.conv(F.substring("order_key", 1, HASH_DIGITS), 16, 10).cast("bigint")
@@ -47,7 +51,7 @@ def seeded_positions(
         ranges.append(f"_p{shift}")
         rows = rows.withColumn(f"_p{shift}", F.shiftright(bits, shift))
     placed = nested_running_sum(rows, ["epoch", *groups], ranges, ["order_key", *keys], "_one")
-    return placed.select(*names, "epoch", F.col("start").alias("position"), "total")
+    return placed.select(*names, *carry, "epoch", F.col("start").alias("position"), "total")
 
 
 def chunk_count(total: Column, chunk_size: int = CHUNK_SIZE) -> Column:

@@ -50,8 +50,8 @@ class StreamPacker:
         spark, groups, keys = batch.sparkSession, self.groups, self.keys
         mask = "tgt_mask"
         tokens = batch.select(*groups, *keys, "token_ids", mask, n_tokens(F.col("token_ids")).alias("n"))
-        tokens.where("n > 0").write.mode("overwrite").parquet(self._tokens(batch_id))
-        tokens = spark.read.schema(tokens.schema).parquet(self._tokens(batch_id))
+        tokens.write.mode("overwrite").parquet(self._tokens(batch_id))
+        tokens = spark.read.schema(tokens.schema).parquet(self._tokens(batch_id)).where("n > 0")
 
         lengths = tokens.select(*groups, *keys, "n")
         offsets = running_offsets(lengths, groups, keys, "n").drop("n")
