@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packwright.functions.integers import div
 from packwright.functions.schedule import cosine_rate, warmup_steps
 from packwright.functions.text import array_total
 from packwright.operators.offsets import dense_positions
@@ -41,7 +42,7 @@ def sample_positions(
 def truncate_to_batches(sampled: DataFrame, global_batch: int) -> DataFrame:
     """Drop what does not fill a global batch, after permuting: a random rest goes."""
     return sampled.where(
-        F.col("sample_position") < F.expr(f"n_sampled div {global_batch}") * global_batch
+        F.col("sample_position") < div(F.col("n_sampled"), global_batch) * global_batch
     )
 
 
@@ -51,8 +52,8 @@ def assign_ranks(sampled: DataFrame, world_size: int, per_device_batch: int = PE
     return truncated.select(
         "*",
         F.pmod("sample_position", F.lit(world_size)).cast("int").alias("rank"),
-        F.expr(f"sample_position div {world_size}").alias("rank_position"),
-        F.expr(f"sample_position div {world_size * per_device_batch}").alias("batch_idx"),
+        div(F.col("sample_position"), world_size).alias("rank_position"),
+        div(F.col("sample_position"), world_size * per_device_batch).alias("batch_idx"),
     )
 
 
@@ -103,7 +104,7 @@ def batch_plan(
             F.sum(array_total(F.slice("tgt_mask", F.lit(2), F.size("tgt_mask") - 1))).alias("n_targets"),
         ]
     batches = assigned.groupBy(chunk, "rank", "batch_idx").agg(*sizes)
-    before = F.col(chunk) * F.expr(f"_sampled div {global_batch}") + F.col("batch_idx")
+    before = F.col(chunk) * div(F.col("_sampled"), global_batch) + F.col("batch_idx")
     steps = total_steps(n_examples, global_batch, n_chunks)
     step = before + 1
     return batches.select(

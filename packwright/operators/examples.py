@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from packwright.functions.integers import div
 from packwright.functions.text import affix, array_total, constant_mask, eos_array, n_tokens
 from packwright.functions.tokenizers import Tokenizer
 
@@ -81,7 +82,7 @@ def chat_examples(
     the same as packing the conversation in one row.
     """
     span = F.struct(F.col(turn).alias("turn"), "token_ids", "is_target")
-    part = F.expr(f"{turn} div {turns_per_row}")
+    part = div(F.col(turn), turns_per_row)
     gathered = spans.groupBy(*groups, conversation, part.alias("part")).agg(
         F.array_sort(F.collect_list(span)).alias("spans")
     )

@@ -20,9 +20,15 @@ RANGE_SHIFTS = (42, 21)
 INNER_SHIFTS = (21,)
 
 
-def required(name: str) -> Column:
-    """The column, or an error where it is null: a null key would drop out of a join."""
-    return F.coalesce(F.col(name), F.raise_error(F.lit(f"null in key column {name}"))).alias(name)
+def required(name: str, is_text: bool = False) -> Column:
+    """The column, or an error where it is null: a null key would drop out of a join.
+
+    The last value is never reached. It tells the planner that no null is left, which
+    keeps null filters out of the plans and so lets equal exchanges be reused.
+    """
+    col = F.col(name)
+    failure = F.raise_error(F.lit(f"null in key column {name}"))
+    return F.coalesce(col, failure, F.lit("" if is_text else 0)).alias(name)
 
 
 def nested_running_sum(
@@ -93,7 +99,7 @@ def running_offsets(
         if kinds[key] not in ("tinyint", "smallint", "int", "bigint"):
             raise TypeError(f"key {key!r} must be integral, got {kinds[key]}")
     rows = df.select(
-        *[required(c) if c in (*groups, *keys) else F.col(c) for c in df.columns]
+        *[required(c, kinds[c] == "string") if c in (*groups, *keys) else F.col(c) for c in df.columns]
     )
     ranges = []
     for place, key in enumerate(keys):

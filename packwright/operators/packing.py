@@ -5,6 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packwright.functions.integers import div
 from packwright.functions.text import n_tokens
 from packwright.operators.offsets import running_offsets
 from packwright.session import stage
@@ -36,7 +37,7 @@ def cut_pieces(
     """
     length = F.lit(context_length).cast("bigint")
     start, n = F.col("start"), F.col("n")
-    end_block = F.least(F.floor((start + n - 1) / length).cast("bigint"), last_block)
+    end_block = F.least(div(start + n - 1, length), last_block)
     masks = "tgt_mask" in placed.columns
     reached = placed.select(
         *groups,
@@ -44,7 +45,7 @@ def cut_pieces(
         "tgt_mask" if masks else "is_target",
         "start",
         "n",
-        F.explode(F.sequence(F.expr(f"start div {context_length}"), end_block)).alias("block_idx"),
+        F.explode(F.sequence(div(start, length), end_block)).alias("block_idx"),
     )
     first = F.greatest(F.col("block_idx") * length - start, F.lit(0))
     last = F.least((F.col("block_idx") + 1) * length - start, n)
@@ -103,7 +104,7 @@ def pack(
     # tokenize every text a second time.
     tokens = tokens.where("n > 0")
     offsets = running_offsets(tokens.select(*groups, *keys, "n"), groups, keys, "n")
-    full_blocks = F.expr(f"total div {context_length}")
+    full_blocks = div(F.col("total"), context_length)
     kept = offsets.where(F.col("start") < full_blocks * context_length).drop("n")
     placed = tokens.join(kept, groups + keys)
     pieces = cut_pieces(placed, groups, context_length, full_blocks - 1)
@@ -117,7 +118,7 @@ def packing_report(
     totals = examples.groupBy(*groups).agg(
         F.count("*").alias("n_examples"), F.sum(n_tokens(F.col("token_ids"))).alias("n_tokens")
     )
-    blocks = F.expr(f"n_tokens div {context_length}")
+    blocks = div(F.col("n_tokens"), context_length)
     return totals.select(
         *groups,
         "n_examples",

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packwright.functions.integers import div
 from packwright.operators.offsets import nested_running_sum, required
 
 # Seed of every order, examples in a chunk.
@@ -41,10 +42,12 @@ def seeded_positions(
     ``carry`` names further narrow columns to keep. ``rows`` is read twice.
     """
     names = [*groups, *keys]
-    rows = rows.select(*[required(c) for c in names], *carry)
+    kinds = dict(rows.dtypes)
+    rows = rows.select(*[required(c, kinds[c] == "string") for c in names], *carry)
     rows = rows.withColumn("epoch", F.explode(F.array(*[F.lit(int(e)) for e in epochs])))
     rows = rows.withColumn("order_key", order_key(seed, F.col("epoch"), keys))
     bits = F.conv(F.substring("order_key", 1, HASH_DIGITS), 16, 10).cast("bigint")
+    bits = F.coalesce(bits, F.lit(0))  # never null; said so that no null filter is added
     rows = rows.withColumn("_one", F.lit(1).cast("bigint"))
     ranges = []
     for shift in PREFIX_SHIFTS:
@@ -56,21 +59,21 @@ def seeded_positions(
 
 def chunk_count(total: Column, chunk_size: int = CHUNK_SIZE) -> Column:
     """An exact multiple of the chunk size still gets one chunk more."""
-    return F.floor(total / F.lit(chunk_size)).cast("bigint") + 1
+    return div(total, chunk_size) + 1
 
 
 def shard(position: Column, total: Column, n_shards: Column, mode: str = "strided") -> tuple[Column, Column]:
     """Shard of a position, and its place inside the shard."""
     if mode == "strided":
-        return F.pmod(position, n_shards), F.floor(position / n_shards).cast("bigint")
+        return F.pmod(position, n_shards), div(position, n_shards)
     if mode != "contiguous":
         raise ValueError(f"unknown mode {mode!r}")
-    size = F.floor(total / n_shards).cast("bigint")
+    size = div(total, n_shards)
     longer = total - size * n_shards  # this many leading shards hold one row more
     border = longer * (size + 1)
-    before = F.floor(position / (size + 1)).cast("bigint")
+    before = div(position, size + 1)
     rest = position - border
-    after = longer + F.floor(rest / F.greatest(size, F.lit(1))).cast("bigint")
+    after = longer + div(rest, F.greatest(size, F.lit(1)))
     in_longer = position < border
     place = F.when(in_longer, position - before * (size + 1)).otherwise(
         rest - (after - longer) * size

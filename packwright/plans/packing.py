@@ -3,7 +3,10 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwright.functions.integers import div
 from packwright.functions.text import array_total, ids_digest
+from packwright.functions.tokenizers import tokenizer
+from packwright.operators.examples import text_spans, with_mask
 from packwright.operators.packing import pack, packing_report, token_offsets as place_examples
 from packwright.plans.inputs import (
     BLOCK,
@@ -13,12 +16,12 @@ from packwright.plans.inputs import (
     chat_blocks_sql,
     conversation_spans,
     doc_blocks_sql,
-    document_examples,
     document_spans,
     documents,
 )
 from packwright.plans.registry import query
 from packwright.session import fresh_path
+from packwright.sources.tables import spread
 from packwright.streaming.packing import StreamPacker
 
 ARRIVALS = 3
@@ -85,12 +88,14 @@ def pack_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The documents arrive in three goes, in order of their id; after each the stream
     is started again and goes on from its checkpoint."""
     root = fresh_path(spark, "stream")
-    examples = document_examples(spark, sf)
-    last = documents(spark, sf).agg(F.max("doc_id")).first()[0]
-    arrival = F.floor(F.col("doc_id") * ARRIVALS / (last + 1))
+    docs = spread(documents(spark, sf), "doc_id")
+    tok = tokenizer(spark, "word_md5")
+    last = docs.agg(F.max("doc_id")).first()[0]
+    arrival = div(F.col("doc_id") * ARRIVALS, last + 1)
     packer = StreamPacker(f"{root}/packed", BLOCK)
     for number in range(ARRIVALS):
-        examples.where(arrival == number).coalesce(1).write.mode("append").parquet(f"{root}/arrived")
-        arriving = spark.readStream.schema(examples.schema).parquet(f"{root}/arrived")
-        packer.start(arriving, f"{root}/checkpoint").awaitTermination()
-    return block_rows(packer.read(spark, examples))
+        docs.where(arrival == number).write.mode("append").parquet(f"{root}/arrived")
+        arriving = spark.readStream.schema(docs.schema).parquet(f"{root}/arrived")
+        examples = with_mask(text_spans(arriving, tok, ["data_type", "subset_name", "doc_id"]))
+        packer.start(examples, f"{root}/checkpoint").awaitTermination()
+    return block_rows(packer.read(spark, docs))

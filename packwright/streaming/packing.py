@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from packwright.functions.integers import div
 from packwright.functions.text import n_tokens
 from packwright.operators.offsets import running_offsets
 from packwright.operators.packing import CONTEXT_LENGTH, SUBSET, cut_pieces, join_pieces
@@ -70,7 +71,7 @@ class StreamPacker:
             placed = placed.select(*waiting.columns).unionByName(waiting)
         seen.write.mode("overwrite").parquet(self._seen(batch_id))
 
-        last = F.floor((F.col("start") + F.col("n") - 1) / self.context_length).cast("bigint")
+        last = div(F.col("start") + F.col("n") - 1, self.context_length)
         blocks = join_pieces(cut_pieces(placed, groups, self.context_length, last), groups)
         full = F.size("token_ids") == self.context_length
         (

@@ -1,0 +1,66 @@
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from packwright.functions.keys import checkpoint_ordinal, data_type_of, result_name
+from packwright.operators.evals import look_up_metrics, parse_results, suite_scores, suite_table, suite_tasks
+from packwright.operators.pending import last_checkpoint, pending_results, remaining_chunks
+from packwright.sources.records import read_result_files
+from packwright.sources.suites import SUITES
+
+
+def test_suites(spark):
+    tasks = suite_tasks(suite_table(spark)).collect()
+    assert len(tasks) == 62
+    assert sum(t.suite == "mmlu" for t in tasks) == 57
+
+
+def test_report_from_files(spark, tmp_path):
+    tasks = SUITES["mmlu"]["tasks"]
+    whole = {t: {"acc,none": i / 100, "alias": t} for i, t in enumerate(tasks)}
+    (tmp_path / "eval_mmlu.json").write_text(json.dumps({"results": whole, "config": {"model": "x"}}, indent=1))
+    broken = {"results": {"arc_other": {"acc_norm,none": 1.0}}}
+    (tmp_path / "eval_arc.json").write_text(json.dumps(broken))
+    (tmp_path / "notes.json").write_text("{}")
+    read = read_result_files(spark, str(tmp_path))
+    documents = read.select("suite", parse_results(F.col("document")).alias("results"))
+    found = look_up_metrics(documents, suite_tasks(suite_table(spark)), [])
+    got = {r.suite: r for r in suite_scores(found, [], digits=4).collect()}
+    assert set(got) == {"mmlu", "arc"}  # the absent four are skipped
+    assert got["mmlu"].metric_value == pytest.approx(sum(range(57)) / 57 / 100)
+    assert got["mmlu"].report_line == "mmlu: acc = 0.28"
+    assert (got["arc"].metric_value, got["arc"].n_missing, got["arc"].report_line) == (None, 1, None)
+    with pytest.raises(Exception, match="no result for task arc_challenge"):
+        look_up_metrics(documents, suite_tasks(suite_table(spark)), [], mode="fail").collect()
+
+
+def test_result_names(spark):
+    df = spark.createDataFrame([("runs/a", True), ("org/name", False), ("name", False)], "p string, local boolean")
+    got = [r.v for r in df.select(result_name(F.col("p"), F.col("local"), F.lit("arc")).alias("v")).collect()]
+    assert got == ["runs/a/eval_arc.json", "eval_name_arc.json", "eval_name_arc.json"]
+
+
+def test_resume_point(spark):
+    df = spark.createDataFrame([("w/ckpt_2",), ("w/ckpt_11",), ("w/log_chunk_40.jsonl",), ("w/ckpt_x",)], "p string")
+    assert df.agg(last_checkpoint(F.col("p"))).first()[0] == 11
+    assert df.where("p like '%log%'").agg(last_checkpoint(F.col("p"))).first()[0] == -1
+    assert df.where(checkpoint_ordinal(F.col("p")).isNull()).count() == 2
+
+
+def test_remaining_chunks(spark):
+    planned = spark.createDataFrame([(r, c) for r in "ab" for c in range(4)], "run string, chunk_idx int")
+    manifest = spark.createDataFrame([("a", "a/ckpt_0"), ("a", "a/ckpt_1")], "run string, path string")
+    left = {(r.run, r.chunk_idx) for r in remaining_chunks(planned, manifest, ["run"]).collect()}
+    assert left == {("a", 2), ("a", 3), ("b", 0), ("b", 1), ("b", 2), ("b", 3)}
+
+
+def test_pending(spark):
+    planned = spark.createDataFrame([("a.json",), ("b.json",), ("c.json",)], "path string")
+    there = spark.createDataFrame([("a.json",), ("b.json.running",)], "path string")
+    assert [r.path for r in pending_results(planned, there).collect()] == ["c.json"]
+
+
+def test_routing(spark):
+    df = spark.createDataFrame([("textbooks.jsonl",), ("program_books.jsonl",), ("chats.jsonl",)], "f string")
+    assert [r.v for r in df.select(data_type_of(F.col("f")).alias("v")).collect()] == ["text", "text", "chat"]

@@ -1,0 +1,126 @@
+import math
+from collections import Counter
+from hashlib import md5
+
+import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from packwright.functions.schedule import cosine_rate
+from packwright.operators.batches import assign_ranks, batch_plan, collated, sample_positions
+from packwright.operators.shuffling import assign_chunks, seeded_positions, shard, shuffle_into_chunks
+
+QUIET = settings(
+    max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture]
+)
+
+
+def keys(spark, n):
+    return spark.range(n).withColumnRenamed("id", "k")
+
+
+def test_positions_are_the_sorted_hashes_however_partitioned(spark):
+    want = {k: p for p, k in enumerate(sorted(range(500), key=lambda k: md5(f"11111:0:{k}".encode()).hexdigest()))}
+    for parts in (1, 5):
+        got = seeded_positions(keys(spark, 500).repartition(parts), ["k"]).collect()
+        assert {r.k: r.position for r in got} == want
+        assert {r.total for r in got} == {500}
+
+
+def test_seed_and_epoch_change_the_order(spark):
+    rows = seeded_positions(keys(spark, 200), ["k"], epochs=(0, 1)).collect()
+    orders = {e: [r.k for r in sorted(rows, key=lambda r: r.position) if r.epoch == e] for e in (0, 1)}
+    assert orders[0] != orders[1] and sorted(orders[0]) == sorted(orders[1]) == list(range(200))
+    other = seeded_positions(keys(spark, 200), ["k"], seed=5).collect()
+    assert [r.k for r in sorted(other, key=lambda r: r.position)] != orders[0]
+
+
+@QUIET
+@given(st.integers(1, 60), st.integers(1, 20), st.sampled_from(["strided", "contiguous"]))
+def test_shards_cover_everything_evenly(spark, total, n_shards, mode):
+    idx, place = shard(F.col("id"), F.lit(total).cast("bigint"), F.lit(n_shards).cast("bigint"), mode)
+    rows = spark.range(total).select("id", idx.alias("s"), place.alias("p")).collect()
+    sizes = Counter(r.s for r in rows)
+    assert set(sizes) <= set(range(n_shards))
+    counts = [sizes.get(s, 0) for s in range(n_shards)]
+    assert max(counts) - min(counts) <= 1
+    assert {(r.s, r.p) for r in rows} == {(s, p) for s in range(n_shards) for p in range(counts[s])}
+    if mode == "contiguous":
+        assert [r.s for r in sorted(rows)] == sorted(r.s for r in rows)
+
+
+def test_exact_multiple_gets_one_chunk_more(spark):
+    got = {n: assign_chunks(keys(spark, n), ["k"], chunk_size=10).first().n_chunks for n in (9, 10, 20, 21)}
+    assert got == {9: 1, 10: 2, 20: 3, 21: 3}
+
+
+def test_epochs_kept(spark):
+    rows = keys(spark, 30)
+    every = assign_chunks(rows, ["k"], chunk_size=10, n_epochs=3)
+    last = assign_chunks(rows, ["k"], chunk_size=10, n_epochs=3, keep="last")
+    assert every.count() == 90
+    assert sorted(last.collect()) == sorted(every.where("epoch = 2").collect())
+
+
+def test_payload_comes_along_once(spark):
+    rows = keys(spark, 40).withColumn("payload", F.col("k") * 2)
+    got = shuffle_into_chunks(rows, ["k"], chunk_size=7, mode="contiguous").collect()
+    assert sorted(r.k for r in got) == list(range(40)) and all(r.payload == 2 * r.k for r in got)
+
+
+def test_ranks_and_batches(spark):
+    rows = keys(spark, 17).withColumn("ordinal", F.col("k"))
+    sampled = sample_positions(rows, ["k"], "ordinal", 100)
+    assert {r.n_sampled for r in sampled.collect()} == {17}
+    got = assign_ranks(sampled, world_size=4, per_device_batch=2).collect()
+    assert len(got) == 16 and len({r.k for r in got}) == 16
+    assert Counter(r.rank for r in got) == {r: 4 for r in range(4)}
+    assert set(Counter((r.rank, r.batch_idx) for r in got).values()) == {2}
+    assert all(r.sample_position == r.rank_position * 4 + r.rank for r in got)
+
+
+def test_fewer_rows_than_a_global_batch(spark):
+    rows = keys(spark, 5).withColumn("ordinal", F.col("k"))
+    assert assign_ranks(sample_positions(rows, ["k"], "ordinal", 5), 4, 2).count() == 0
+
+
+def test_sample_takes_the_first_ordinals(spark):
+    rows = keys(spark, 50).withColumn("ordinal", F.lit(49) - F.col("k"))
+    in_order = sample_positions(rows, ["k"], "ordinal", 10, shuffle=False).collect()
+    assert {r.k: r.sample_position for r in in_order} == {49 - p: p for p in range(10)}
+    permuted = sample_positions(rows, ["k"], "ordinal", 10).collect()
+    assert {r.k for r in permuted} == set(range(40, 50))
+    assert sorted(r.sample_position for r in permuted) == list(range(10))
+    assert {r.n_sampled for r in in_order + permuted} == {10}
+
+
+def test_plan_of_steps(spark):
+    chunks = assign_chunks(keys(spark, 100), ["k"], chunk_size=50)  # three chunks
+    sampled = sample_positions(chunks, ["k"], "chunk_position", 30, groups=["chunk_idx"], seed=7)
+    plan = batch_plan(assign_ranks(sampled, 2, 5), 3, 30, 2, 5, accumulate=2)
+    first = sorted((r for r in plan.collect() if r["rank"] == 0), key=lambda r: r.step)
+    assert [r.step for r in first] == list(range(1, 10))
+    assert [r.chunk_idx for r in first] == [0] * 3 + [1] * 3 + [2] * 3
+    assert [r.is_accumulating for r in first] == [s % 2 == 1 for s in range(1, 10)]
+    # total 9, warm-up 0: the rate of a step is that of the steps before it
+    rates = [3e-5 * 0.5 * (1 + math.cos(math.pi * s / 9)) for s in range(9)]
+    assert [r.learning_rate for r in first] == pytest.approx(rates)
+
+
+def test_schedule_ends(spark):
+    def rates(total, warm, end=0.0):
+        col = cosine_rate(F.col("id"), total, warm, 1.0, end)
+        return [r.v for r in spark.range(total + 3).orderBy("id").select(col.alias("v")).collect()]
+
+    ten = rates(10, 4)
+    assert ten[:5] == pytest.approx([0, 0.25, 0.5, 0.75, 1.0])
+    assert ten[10] == pytest.approx(0) and ten[11:] == [0.0, 0.0]
+    assert rates(5, 0)[0] == 1.0
+    assert rates(3, 3)[:4] == pytest.approx([0, 1 / 3, 2 / 3, 1.0])
+    assert rates(4, 0, end=0.5)[4:] == pytest.approx([0.5] * 3)
+
+
+def test_collate(spark):
+    df = spark.createDataFrame([([1, 2, 3, 4], [0, 0, 1, 1])], "token_ids array<int>, tgt_mask array<int>")
+    row = collated(df, []).first()
+    assert (row.input_ids, row.labels, row.loss_mask) == ([1, 2, 3], [2, 3, 4], [0, 1, 1])

@@ -1,0 +1,58 @@
+import random
+
+import pytest
+
+from packwright.streaming.packing import StreamPacker
+from test_packing import SCHEMA, blocks_of, collected, example, frame
+
+LENGTH = 16
+
+
+@pytest.fixture()
+def arrivals():
+    """Three batches in key order; one subset holds most rows, one comes late, one stops early."""
+    draw = random.Random(11)
+    parts, key = [], 0
+    for names in ("hhhhab", "hhhhac", "hhhhcc"):
+        part = []
+        for _ in range(60):
+            part.append(example(draw, draw.choice(names), key, draw.randrange(12)))
+            key += 2
+        parts.append(part)
+    parts[1].append(example(draw, "h", 239, 5 * LENGTH + 3))  # between the keys of its neighbours
+    return parts
+
+
+def write(spark, path, part):
+    frame(spark, part).coalesce(1).write.mode("append").parquet(path)
+
+
+def test_stream_is_batch_over_restarts(spark, tmp_path, arrivals):
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "checkpoint")
+    so_far = []
+    for part in arrivals:
+        write(spark, source, part)
+        packer = StreamPacker(str(tmp_path / "packed"), LENGTH)  # as after a restart
+        packer.start(spark.readStream.schema(SCHEMA).parquet(source), checkpoint).awaitTermination()
+        so_far += part
+        assert collected(packer.read(spark, frame(spark, so_far))) == blocks_of(so_far, LENGTH)
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path, arrivals):
+    packer = StreamPacker(str(tmp_path / "packed"), LENGTH)
+    for number, part in enumerate(arrivals):
+        packer.process(frame(spark, part), number)
+        packer.process(frame(spark, part).repartition(5), number)
+    every = [e for part in arrivals for e in part]
+    assert collected(packer.read(spark, frame(spark, every))) == blocks_of(every, LENGTH)
+
+
+def test_many_files_one_per_trigger(spark, tmp_path, arrivals):
+    source = str(tmp_path / "in")
+    for part in arrivals:
+        write(spark, source, part)
+    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(source)
+    packer = StreamPacker(str(tmp_path / "packed"), LENGTH)
+    packer.start(stream, str(tmp_path / "checkpoint")).awaitTermination()
+    every = [e for part in arrivals for e in part]
+    assert collected(packer.read(spark, frame(spark, every))) == blocks_of(every, LENGTH)
