@@ -14,6 +14,10 @@ from packwright.session import stage
 CONTEXT_LENGTH = 8192
 SUBSET = ("data_type", "subset_name")
 
+# Blocks that follow each other go to the same task up to this many tokens, so a task
+# that writes them writes few, large files per subset. Raise it with the data.
+TOKENS_PER_RUN = 1 << 23
+
 
 def token_offsets(
     examples: DataFrame, groups: Sequence[str] = SUBSET, keys: Sequence[str] = ("doc_id",)
@@ -37,7 +41,9 @@ def cut_pieces(
     """
     length = F.lit(context_length).cast("bigint")
     start, n = F.col("start"), F.col("n")
+    first_block = div(start, length)
     end_block = F.least(div(start + n - 1, length), last_block)
+    reach = F.when(first_block <= end_block, F.sequence(first_block, end_block))
     masks = "tgt_mask" in placed.columns
     reached = placed.select(
         *groups,
@@ -45,7 +51,7 @@ def cut_pieces(
         "tgt_mask" if masks else "is_target",
         "start",
         "n",
-        F.explode(F.sequence(div(start, length), end_block)).alias("block_idx"),
+        F.explode(reach).alias("block_idx"),
     )
     first = F.greatest(F.col("block_idx") * length - start, F.lit(0))
     last = F.least((F.col("block_idx") + 1) * length - start, n)
@@ -62,10 +68,21 @@ def cut_pieces(
     )
 
 
-def join_pieces(pieces: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Blocks from their pieces. A block's pieces hold at most one block of tokens."""
+def join_pieces(
+    pieces: DataFrame,
+    groups: Sequence[str],
+    context_length: int,
+    tokens_per_run: int = TOKENS_PER_RUN,
+) -> DataFrame:
+    """Blocks from their pieces. A block's pieces hold at most one block of tokens.
+
+    Pieces are exchanged by run of blocks, which also puts all pieces of a block
+    together: a write by subset needs no further exchange.
+    """
     kind = pieces.schema["piece"].dataType["mask"].dataType.typeName()
-    blocks = pieces.groupBy(*groups, "block_idx").agg(
+    run = div(F.col("block_idx"), max(1, tokens_per_run // context_length))
+    placed = pieces.withColumn("_run", run).repartition(*groups, "_run")
+    blocks = placed.groupBy(*groups, "_run", "block_idx").agg(
         F.array_sort(F.collect_list("piece")).alias("pieces")
     )
     masks = F.transform(
@@ -86,6 +103,7 @@ def pack(
     groups: Sequence[str] = SUBSET,
     keys: Sequence[str] = ("doc_id",),
     staged: bool = True,
+    tokens_per_run: int = TOKENS_PER_RUN,
 ) -> DataFrame:
     """Full blocks of ``context_length`` tokens per subset; the tail of a subset is dropped.
 
@@ -108,7 +126,7 @@ def pack(
     kept = offsets.where(F.col("start") < full_blocks * context_length).drop("n")
     placed = tokens.join(kept, groups + keys)
     pieces = cut_pieces(placed, groups, context_length, full_blocks - 1)
-    return join_pieces(pieces, groups)
+    return join_pieces(pieces, groups, context_length, tokens_per_run)
 
 
 def packing_report(

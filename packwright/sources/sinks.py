@@ -32,9 +32,9 @@ def read_tokenized(spark: SparkSession, path: str, keys: str, fmt: str = "parque
 def write_blocks(
     blocks: DataFrame, path: str, context_length: int, fmt: str = "parquet", mode: str = "append"
 ) -> None:
+    """By length, type and subset. ``pack`` has put runs of blocks together already."""
     by = ("context_length", "data_type", "subset_name")
-    sized = blocks.withColumn("context_length", F.lit(context_length))
-    _write(sized.hint("rebalance", *by), path, by, fmt, mode)
+    _write(blocks.withColumn("context_length", F.lit(context_length)), path, by, fmt, mode)
 
 
 def read_blocks(spark: SparkSession, path: str, context_length: int, fmt: str = "parquet") -> DataFrame:

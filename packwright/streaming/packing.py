@@ -72,7 +72,8 @@ class StreamPacker:
         seen.write.mode("overwrite").parquet(self._seen(batch_id))
 
         last = div(F.col("start") + F.col("n") - 1, self.context_length)
-        blocks = join_pieces(cut_pieces(placed, groups, self.context_length, last), groups)
+        pieces = cut_pieces(placed, groups, self.context_length, last)
+        blocks = join_pieces(pieces, groups, self.context_length)
         full = F.size("token_ids") == self.context_length
         (
             blocks.withColumn("is_full", full)
