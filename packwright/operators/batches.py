@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.integers import div
 from packwright.functions.schedule import cosine_rate, warmup_steps
-from packwright.functions.text import array_total
+from packwright.functions.text import array_total, n_tokens
 from packwright.operators.offsets import dense_positions
 from packwright.operators.shuffling import SEED, seeded_positions
 
@@ -93,15 +93,15 @@ def batch_plan(
     """One row per chunk, rank and batch: its step and the rate that step runs at.
 
     Steps count micro-batches. The rate is that of the step before it is counted up,
-    and each chunk starts at its index times the batches of a chunk. With token
+    and each chunk starts at its index times the batches of a chunk. With collated
     arrays in ``assigned`` the row also counts tokens and targets of the batch.
     """
     global_batch = world_size * per_device_batch
     sizes = [F.count("*").alias("n_examples"), F.first("n_sampled").alias("_sampled")]
-    if "token_ids" in assigned.columns:
+    if "loss_mask" in assigned.columns:
         sizes += [
-            F.sum((F.size("token_ids") - 1).cast("bigint")).alias("n_tokens"),
-            F.sum(array_total(F.slice("tgt_mask", F.lit(2), F.size("tgt_mask") - 1))).alias("n_targets"),
+            F.sum(n_tokens(F.col("input_ids"))).alias("n_tokens"),
+            F.sum(array_total(F.col("loss_mask"))).alias("n_targets"),
         ]
     batches = assigned.groupBy(chunk, "rank", "batch_idx").agg(*sizes)
     before = F.col(chunk) * div(F.col("_sampled"), global_batch) + F.col("batch_idx")

@@ -8,9 +8,9 @@ from packwright.sources.suites import SUITES
 RESULTS_SCHEMA = "struct<results: map<string, map<string, string>>>"
 
 
-def suite_table(spark: SparkSession) -> DataFrame:
+def suite_table(spark: SparkSession, suites: dict = SUITES) -> DataFrame:
     """One row per suite. Its size is that of the configuration."""
-    rows = [(name, ",".join(s["tasks"]), s["n_shots"], s["metric_name"]) for name, s in SUITES.items()]
+    rows = [(name, ",".join(s["tasks"]), s["n_shots"], s["metric_name"]) for name, s in suites.items()]
     return spark.createDataFrame(rows, "suite string, tasks string, n_shots int, metric_name string")
 
 
@@ -31,13 +31,16 @@ def metric_of(results: Column, task: Column, metric: Column) -> Column:
     return F.try_element_at(metrics, F.concat(metric, F.lit(",none"))).try_cast("double")
 
 
-def look_up_metrics(documents: DataFrame, tasks: DataFrame, keys: list[str], mode: str = "report") -> DataFrame:
+def look_up_metrics(
+    documents: DataFrame, keys: list[str], mode: str = "report", suites: dict = SUITES
+) -> DataFrame:
     """Every task of a result document's suite, with its value and whether it is missing.
 
-    ``documents`` has ``keys``, ``suite`` and ``results`` (the parsed map); ``tasks``
-    comes from ``suite_tasks``.
+    ``documents`` has ``keys``, ``suite`` and ``results`` (the parsed map). The tasks are
+    broadcast: they come from a literal in this program, one row per task in it.
     """
-    rows = documents.join(tasks, "suite").select(
+    tasks = suite_tasks(suite_table(documents.sparkSession, suites))
+    rows = documents.join(F.broadcast(tasks), "suite").select(
         *keys, "suite", "task", "metric_name",
         metric_of(F.col("results"), F.col("task"), F.col("metric_name")).alias("value"),
     )

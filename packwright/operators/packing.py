@@ -107,15 +107,15 @@ def pack(
 ) -> DataFrame:
     """Full blocks of ``context_length`` tokens per subset; the tail of a subset is dropped.
 
-    The ids are written once (``staged``); the offsets then read lengths only, and
-    the arrays move twice: to meet their offset, and to meet their block. A subset
-    of any share spreads over its blocks.
+    The ids are written once (``staged``; not needed for a table that is written
+    already and has its lengths in ``n``). The offsets then read lengths only, and the
+    arrays move twice: to meet their offset, and to meet their block. A subset of any
+    share spreads over its blocks.
     """
     groups, keys = list(groups), list(keys)
     mask = "tgt_mask" if "tgt_mask" in examples.columns else "is_target"
-    tokens = examples.select(
-        *groups, *keys, "token_ids", mask, n_tokens(F.col("token_ids")).alias("n")
-    )
+    length = F.col("n") if "n" in examples.columns else n_tokens(F.col("token_ids")).alias("n")
+    tokens = examples.select(*groups, *keys, "token_ids", mask, length)
     if staged:
         tokens = stage(tokens, "tokens")
     # Only now: a filter on the length before the write would be pushed below it and

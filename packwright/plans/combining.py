@@ -16,6 +16,7 @@ from packwright.operators.aggregates import (
 )
 from packwright.operators.offsets import dense_positions
 from packwright.operators.ordinals import combine, compare_keys, last_writer as keep_last
+from packwright.operators.parameters import combine_models
 from packwright.plans.registry import query
 from packwright.session import stage
 from packwright.sources.tables import table
@@ -181,6 +182,69 @@ def shape_summary(spark: SparkSession, sf: str) -> DataFrame:
     return summarise_shape(rows, ["l_returnflag"], F.col("l_linenumber"), F.col("l_suppkey"))
 
 
+# Three models whose layers are the labels below eight; the other labels are plain keys.
+PARAMETERS_SQL = """
+p AS (
+  SELECT vec_id % 3 AS model_idx, CASE WHEN label < 8 THEN 'model.layers.' || label || '.w' ELSE 'head.' || label END AS key,
+         row_number() OVER (PARTITION BY vec_id % 3, label ORDER BY vec_id) - 1 AS row_idx, label,
+         embedding::DOUBLE[] AS vals
+  FROM embeddings
+),
+n AS (
+  SELECT key, row_idx, avg(x) AS x, col FROM (
+    SELECT key, row_idx, unnest(vals) AS x, generate_subscripts(vals, 1) AS col FROM p WHERE key LIKE 'head.%')
+  GROUP BY key, row_idx, col
+),
+h AS (SELECT key, row_idx, list(x ORDER BY col) AS vals FROM n GROUP BY key, row_idx)"""
+
+PARAMETER_ROW_SQL = """row_idx, len(vals)::BIGINT AS width, round(vals[1], 6) AS first_value,
+       round(list_sum(vals), 5) AS value_sum"""
+
+
+def _combined(spark: SparkSession, sf: str, method: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings").select(
+        "vec_id", "label", F.pmod("vec_id", F.lit(3)).alias("model_idx"), "embedding"
+    )
+    places = dense_positions(rows.select("vec_id", "label", "model_idx"), ["label", "model_idx"], ["vec_id"], "row_idx")
+    key = F.when(F.col("label") < 8, F.concat(F.lit("model.layers."), "label", F.lit(".w"))).otherwise(
+        F.concat(F.lit("head."), "label")
+    )
+    matrices = rows.join(places.select("vec_id", "row_idx"), "vec_id").select(
+        "model_idx", key.alias("key"), "row_idx", F.col("embedding").alias("vals")
+    )
+    v = F.col("vals")
+    return combine_models(stage(matrices, "parameters"), method, 3).select(
+        "key",
+        "row_idx",
+        F.size(v).cast("bigint").alias("width"),
+        F.round(F.get(v, F.lit(0)), 6).alias("first_value"),
+        F.round(total(v), 5).alias("value_sum"),
+    )
+
+
+@query(f"""
+WITH {PARAMETERS_SQL},
+e AS (SELECT model_idx, max(label) + 1 AS extent FROM p WHERE label < 8 GROUP BY model_idx),
+s AS (SELECT model_idx, sum(extent) OVER (ORDER BY model_idx) - extent AS start FROM e)
+SELECT 'model.layers.' || (start + label)::BIGINT || '.w' AS key, {PARAMETER_ROW_SQL}
+FROM p JOIN s USING (model_idx) WHERE label < 8
+UNION ALL
+SELECT key, {PARAMETER_ROW_SQL} FROM h
+""")
+def stacked_models(spark: SparkSession, sf: str) -> DataFrame:
+    return _combined(spark, sf, "stack")
+
+
+@query(f"""
+WITH {PARAMETERS_SQL}
+SELECT 'model.layers.' || (label * 3 + model_idx) || '.w' AS key, {PARAMETER_ROW_SQL} FROM p WHERE label < 8
+UNION ALL
+SELECT key, {PARAMETER_ROW_SQL} FROM h
+""")
+def interleaved_models(spark: SparkSession, sf: str) -> DataFrame:
+    return _combined(spark, sf, "interleave")
+
+
 # Conversations are the sources and turns the ordinals, in sets of ten conversations.
 TURNS_SQL = f"""
 t AS (SELECT conv_id // {SOURCES} AS set_idx, conv_id % {SOURCES} AS source_idx, turn AS ordinal FROM conversations)"""

@@ -85,7 +85,7 @@ def _looked_up(spark: SparkSession, sf: str) -> DataFrame:
     documents = _result_documents(spark, sf).select(
         "model", "suite", parse_results(F.col("document")).alias("results")
     )
-    return look_up_metrics(documents, explode_tasks(suite_table(spark)), ["model"])
+    return look_up_metrics(documents, ["model"])
 
 
 @query(f"""

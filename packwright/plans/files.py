@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.text import array_total, n_tokens
-from packwright.operators.batches import assign_ranks, batch_plan, sample_positions
+from packwright.operators.batches import assign_ranks, batch_plan, collated, load_examples, sample_positions
 from packwright.operators.packing import pack
 from packwright.operators.shuffling import SEED, shuffle_into_chunks
 from packwright.plans.inputs import (
@@ -235,9 +235,9 @@ def batch_log(spark: SparkSession, sf: str) -> DataFrame:
         chunks, BLOCK_KEYS, "chunk_position", SAMPLES_PER_CHUNK, seed=seed, groups=["chunk_idx"]
     )
     assigned = assign_ranks(sampled, WORLD, PER_DEVICE)
-    loaded = chunks.select("chunk_idx", *BLOCK_KEYS, "token_ids", "tgt_mask").join(
-        assigned, ["chunk_idx", *BLOCK_KEYS]
-    )
+    payload = chunks.select("chunk_idx", *BLOCK_KEYS, "token_ids", "tgt_mask")
+    loaded = load_examples(payload, assigned, ["chunk_idx", *BLOCK_KEYS])
+    loaded = collated(loaded, ["chunk_idx", "rank", "batch_idx", "n_sampled"])
     n_chunks = chunks.agg(F.max("chunk_idx")).first()[0] + 1
     plan = batch_plan(loaded, n_chunks, SAMPLES_PER_CHUNK, WORLD, PER_DEVICE, ACCUMULATE)
     path = fresh_path(spark, "log")

@@ -25,14 +25,14 @@ def test_report_from_files(spark, tmp_path):
     (tmp_path / "notes.json").write_text("{}")
     read = read_result_files(spark, str(tmp_path))
     documents = read.select("suite", parse_results(F.col("document")).alias("results"))
-    found = look_up_metrics(documents, suite_tasks(suite_table(spark)), [])
+    found = look_up_metrics(documents, [])
     got = {r.suite: r for r in suite_scores(found, [], digits=4).collect()}
     assert set(got) == {"mmlu", "arc"}  # the absent four are skipped
     assert got["mmlu"].metric_value == pytest.approx(sum(range(57)) / 57 / 100)
     assert got["mmlu"].report_line == "mmlu: acc = 0.28"
     assert (got["arc"].metric_value, got["arc"].n_missing, got["arc"].report_line) == (None, 1, None)
     with pytest.raises(Exception, match="no result for task arc_challenge"):
-        look_up_metrics(documents, suite_tasks(suite_table(spark)), [], mode="fail").collect()
+        look_up_metrics(documents, [], mode="fail").collect()
 
 
 def test_result_names(spark):
