@@ -44,39 +44,43 @@ def nested_running_sum(
     other by ``ranges`` and then ``order`` within their group.
     """
     groups, ranges = list(groups), list(ranges)
-    levels = [groups + ranges[: i + 1] for i in range(len(ranges))]
+    # One struct stands for all key columns of a level: joins and windows on a single
+    # key keep planning fast however many levels there are.
+    rows = df.withColumn("_path", F.struct(*groups, *ranges))
+
+    def path(depth: int) -> Column:
+        """The first ``depth`` ranges of a path, under its groups."""
+        return F.struct(*[F.col(f"_path.{name}") for name in (*groups, *ranges[:depth])])
+
+    def siblings(depth: int) -> Window:
+        return Window.partitionBy(path(depth)) if groups or depth else Window.partitionBy()
 
     totals = []
-    below, below_length = df, length
-    for level in reversed(levels):
-        below = below.groupBy(*level).agg(F.sum(below_length).alias("_sum"))
+    below, below_length = rows.select("_path", length), length
+    for depth in range(len(ranges), 0, -1):
+        below = below.groupBy(path(depth).alias("_path")).agg(F.sum(below_length).alias("_sum"))
         below_length = "_sum"
         totals.insert(0, below)
 
+    to_here = (Window.unboundedPreceding, Window.currentRow)
     base = None
-    for depth, (level, level_totals) in enumerate(zip(levels, totals)):
-        parent = groups + ranges[:depth]
-        siblings = Window.partitionBy(*parent)
-        before = F.sum("_sum").over(
-            siblings.orderBy(ranges[depth]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        ) - F.col("_sum")
+    for depth, level in enumerate(totals):
+        in_order = siblings(depth).orderBy(F.col(f"_path.{ranges[depth]}")).rowsBetween(*to_here)
+        before = F.sum("_sum").over(in_order) - F.col("_sum")
         if base is None:
-            base = level_totals.select(
-                *level, before.alias("_base"), F.sum("_sum").over(siblings).alias("total")
-            )
+            base = level.select("_path", before.alias("_base"), F.sum("_sum").over(siblings(0)).alias("total"))
         else:
-            joined = level_totals.join(base, parent)
-            base = joined.select(*level, (F.col("_base") + before).alias("_base"), "total")
+            parents = base.withColumnRenamed("_path", "_parent")
+            joined = level.withColumn("_parent", path(depth)).join(parents, "_parent")
+            base = joined.select("_path", (F.col("_base") + before).alias("_base"), "total")
 
-    inside = Window.partitionBy(*levels[-1]).orderBy(*order)
-    running = F.sum(length).over(
-        inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ) - F.col(length)
+    in_order = Window.partitionBy("_path").orderBy(*order).rowsBetween(*to_here)
+    running = F.sum(length).over(in_order) - F.col(length)
     return (
-        df.join(base, levels[-1])
+        rows.join(base, "_path")
         .withColumn("start", (F.col("_base") + running).cast("bigint"))
         .withColumn("total", F.col("total").cast("bigint"))
-        .drop("_base")
+        .drop("_base", "_path")
     )
 
 
@@ -85,14 +89,16 @@ def running_offsets(
     groups: Sequence[str],
     keys: Sequence[str],
     length: str,
+    shifts: dict[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """Offsets of rows laid end to end by ``keys`` inside each of ``groups``.
 
     The first key gets the nested ranges. Each further key (the turn of a
     conversation, the part of a text) adds its parent key as a level of its own and
     then its own ranges, so one conversation may hold any share of the rows. The
-    keys together must be unique in the group and integral. ``df`` is read twice: write
-    it first if that is costly.
+    keys together must be unique in the group and integral. ``shifts`` replaces the
+    ranges of a key, with none for a key that has few values under its parent.
+    ``df`` is read twice: write it first if that is costly.
     """
     kinds = dict(df.dtypes)
     for key in keys:
@@ -104,7 +110,8 @@ def running_offsets(
     ranges = []
     for place, key in enumerate(keys):
         whole = F.col(key).cast("bigint")
-        for shift in INNER_SHIFTS if place else RANGE_SHIFTS:
+        usual = INNER_SHIFTS if place else RANGE_SHIFTS
+        for shift in (shifts or {}).get(key, usual):
             name = f"_r{place}_{shift}"
             rows = rows.withColumn(name, F.shiftright(whole, shift))
             ranges.append(name)

@@ -104,13 +104,14 @@ def pack(
     keys: Sequence[str] = ("doc_id",),
     staged: bool = True,
     tokens_per_run: int = TOKENS_PER_RUN,
+    shifts: dict[str, Sequence[int]] | None = None,
 ) -> DataFrame:
     """Full blocks of ``context_length`` tokens per subset; the tail of a subset is dropped.
 
     The ids are written once (``staged``; not needed for a table that is written
     already and has its lengths in ``n``). The offsets then read lengths only, and the
     arrays move twice: to meet their offset, and to meet their block. A subset of any
-    share spreads over its blocks.
+    share spreads over its blocks. ``shifts`` is that of ``running_offsets``.
     """
     groups, keys = list(groups), list(keys)
     mask = "tgt_mask" if "tgt_mask" in examples.columns else "is_target"
@@ -121,7 +122,7 @@ def pack(
     # Only now: a filter on the length before the write would be pushed below it and
     # tokenize every text a second time.
     tokens = tokens.where("n > 0")
-    offsets = running_offsets(tokens.select(*groups, *keys, "n"), groups, keys, "n")
+    offsets = running_offsets(tokens.select(*groups, *keys, "n"), groups, keys, "n", shifts)
     full_blocks = div(F.col("total"), context_length)
     kept = offsets.where(F.col("start") < full_blocks * context_length).drop("n")
     placed = tokens.join(kept, groups + keys)

@@ -28,6 +28,9 @@ from packwright.sources.sinks import read_blocks, read_chunks, write_batch_log,
 
 # Order of a record in its file: where the split starts, the row in the split, the turn.
 FILE_ORDER = ("part_start", "row_in_part", "turn")
+# A file has few splits, a split few rows next to a range, a record few turns: the keys
+# bound every window by themselves.
+FILE_SHIFTS = {"part_start": (), "row_in_part": (), "turn": ()}
 SPAN_SCHEMA = (
     "part_start bigint, row_in_part bigint, turn int, is_target int, token_ids array<int>, n bigint, "
     "data_type string, subset_name string"
@@ -98,7 +101,7 @@ def pack_spans(spark: SparkSession, tokenized: str, out: str, context_length: in
     """``tokenize_files`` output to blocks. The lengths are columns of their own there, so
     offsets are worked out without reading an id."""
     spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans")
-    write_blocks(pack(spans, context_length, keys=FILE_ORDER, staged=False), out, context_length)
+    write_blocks(pack(spans, context_length, keys=FILE_ORDER, staged=False, shifts=FILE_SHIFTS), out, context_length)
 
 
 def chunk_blocks(

@@ -6,7 +6,6 @@ import random
 
 import pytest
 
-from packwright.functions.text import word_ids  # noqa: F401
 from packwright.plans import jobs
 
 LENGTH, EOS = 16, 268435456
