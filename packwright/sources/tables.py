@@ -12,13 +12,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# What one task should read at least before a scan counts as spread out: the usual size
+# of a row group, below which a Parquet file is not cut any further.
+BYTES_PER_TASK = 128 * 1024 * 1024
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a plain scan of few, small files a task per core before costly row work.
+    """Give a scan of few, small files a task per core before costly row work.
 
-    A scan that already has as many splits as the cluster has cores stays as it is,
-    so at scale no text is shuffled for this.
+    A scan of at least one row group per core stays as it is, so at scale no text is
+    shuffled for this.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size >= cores * BYTES_PER_TASK:
         return df
     return df.repartition(cores, *keys)
