@@ -139,14 +139,14 @@ def blocks_union(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def _write_chunked_blocks(spark: SparkSession, sf: str, n_epochs: int = 1) -> str:
+def _write_chunked_blocks(spark: SparkSession, sf: str, n_epochs: int = 1, fmt: str = "parquet") -> str:
     path = fresh_path(spark, "blocks")
     write_blocks(pack(document_spans(spark, sf), BLOCK), path, BLOCK)
     blocks = read_blocks(spark, path, BLOCK)
     chunked = shuffle_into_chunks(blocks, BLOCK_KEYS, chunk_size=CHUNK_SIZE, n_epochs=n_epochs)
     path = fresh_path(spark, "chunks")
     columns = [c.split()[0] for c in BLOCK_PAYLOAD.split(", ")]
-    write_chunks(chunked.select(*columns, "chunk_position", "epoch", "chunk_idx"), path)
+    write_chunks(chunked.select(*columns, "chunk_position", "epoch", "chunk_idx"), path, fmt)
     return path
 
 
@@ -175,8 +175,8 @@ SELECT epoch::INT AS epoch, chunk_idx::BIGINT AS chunk_idx, count(*)::BIGINT AS
 FROM chunked GROUP BY ALL
 """)
 def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
-    """What the written chunk files hold, over two epochs."""
-    chunks = read_chunks(spark, _write_chunked_blocks(spark, sf, 2), BLOCK_PAYLOAD)
+    """What the written chunk files hold, as lines of JSON, over two epochs."""
+    chunks = read_chunks(spark, _write_chunked_blocks(spark, sf, 2, "json"), BLOCK_PAYLOAD, "json")
     return chunks.groupBy("epoch", "chunk_idx").agg(
         F.count("*").alias("n_blocks"),
         F.sum(n_tokens(F.col("token_ids"))).alias("n_tokens"),

@@ -114,7 +114,7 @@ def chunk_blocks(
     keep: str = "all",
     mode: str = "strided",
     seed: int = SEED,
-    fmt: str = "json",
+    fmt: str = "parquet",
 ) -> None:
     """Blocks of one length to shuffled chunk files."""
     rows = read_blocks(spark, blocks, context_length)
@@ -137,7 +137,7 @@ def batch_chunks(
     epoch: int = 0,
     finished: DataFrame | None = None,
     seed: int = SEED,
-    fmt: str = "json",
+    fmt: str = "parquet",
 ) -> None:
     """Chunk files to collated examples by chunk and rank (``out/batches``) and the step log
     of rank 0 (``out/log``).

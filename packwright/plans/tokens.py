@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.text import affix, array_total, ids_digest, n_tokens, word_ids, words
 from packwright.functions.tokenizers import tokenizer
-from packwright.operators.checks import check_rules, same_length
+from packwright.operators.checks import check_rules as count_violations, same_length
 from packwright.operators.examples import (
     chat_examples as gather_examples,
     example_from_json,
@@ -195,13 +195,13 @@ FROM (
 )
 GROUP BY rule
 """)
-def check_rules_on_turns(spark: SparkSession, sf: str) -> DataFrame:
+def check_rules(spark: SparkSession, sf: str) -> DataFrame:
     turns = flag_turns(table(spark, sf, "conversations"))
     ids = word_ids(F.col("text"))
     rows = turns.select(
         "role", "text", "is_target", ids.alias("ids"), F.transform(ids, lambda _: F.lit(1)).alias("mask")
     )
-    return check_rules(
+    return count_violations(
         rows,
         {
             "known_speaker": F.col("is_target").isNotNull(),

@@ -47,19 +47,19 @@ def read_blocks(spark: SparkSession, path: str, context_length: int, fmt: str =
 CHUNK_BY = ("epoch", "chunk_idx")
 
 
-def write_chunks(chunked: DataFrame, path: str, fmt: str = "json", mode: str = "errorifexists") -> None:
+def write_chunks(chunked: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
     """One folder per chunk, its rows in chunk order. A chunk is of bounded size, so it is one file."""
     placed = chunked.repartition(*CHUNK_BY).sortWithinPartitions(*CHUNK_BY, "chunk_position")
     _write(placed, path, CHUNK_BY, fmt, mode)
 
 
-def read_chunks(spark: SparkSession, path: str, payload: str, fmt: str = "json") -> DataFrame:
+def read_chunks(spark: SparkSession, path: str, payload: str, fmt: str = "parquet") -> DataFrame:
     schema = f"{payload}, chunk_position bigint, epoch int, chunk_idx bigint"
     return spark.read.schema(schema).format(fmt).load(path)
 
 
 def read_chunk(
-    spark: SparkSession, path: str, chunk_idx: int, payload: str, epoch: int = 0, fmt: str = "json"
+    spark: SparkSession, path: str, chunk_idx: int, payload: str, epoch: int = 0, fmt: str = "parquet"
 ) -> DataFrame:
     read = read_chunks(spark, path, payload, fmt)
     return read.where((F.col("chunk_idx") == chunk_idx) & (F.col("epoch") == epoch))

@@ -18,7 +18,7 @@ def oracle_connection(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(value):
     if isinstance(value, float):
-        return "NaN" if math.isnan(value) else value + 0.0
+        return "NaN" if math.isnan(value) else repr(value)
     if isinstance(value, decimal.Decimal):
         return float(value)
     if isinstance(value, datetime.datetime):
