@@ -61,6 +61,40 @@ def _vocabulary_bytes(name: str) -> bytes:
         return handle.read()
 
 
+def start_in_part():
+    """UDF of (subset, part, n): tokens before the row in its part.
+
+    It counts along the rows of a task, so it holds only right after a file scan, where
+    the rows of a split follow each other in one task. Not deterministic in the sense
+    of the optimizer: it must be worked out once, where it stands.
+    """
+
+    def count(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        import numpy as np
+        import pyarrow as pa
+
+        current, seen = None, 0
+        for subsets, parts, lengths in batches:
+            n = lengths.to_numpy(zero_copy_only=False)
+            starts = np.zeros(len(n), dtype=np.int64)
+            names, places = subsets.to_pylist(), parts.to_pylist()
+            first = 0
+            while first < len(n):
+                key = (names[first], places[first])
+                last = first
+                while last < len(n) and (names[last], places[last]) == key:
+                    last += 1
+                if key != current:
+                    current, seen = key, 0
+                ends = seen + np.cumsum(n[first:last])
+                starts[first:last] = ends - n[first:last]
+                seen = int(ends[-1])
+                first = last
+            yield pa.array(starts)
+
+    return F.arrow_udf(count, "bigint").asNondeterministic()
+
+
 def _subword_udfs(spark: SparkSession, name: str, window: int):
     vocabulary = spark.sparkContext.broadcast(_vocabulary_bytes(name))
     per_call = TEXTS_PER_CALL

@@ -18,6 +18,9 @@ SUBSET = ("data_type", "subset_name")
 # that writes them writes few, large files per subset. Raise it with the data.
 TOKENS_PER_RUN = 1 << 23
 
+# Starts of parts are broadcast up to this many: some tens of megabytes.
+MOST_PARTS_BROADCAST = 500_000
+
 
 def token_offsets(
     examples: DataFrame, groups: Sequence[str] = SUBSET, keys: Sequence[str] = ("doc_id",)
@@ -123,13 +126,46 @@ def pack(
     # tokenize every text a second time.
     tokens = tokens.where("n > 0")
     offsets = running_offsets(tokens.select(*groups, *keys, "n"), groups, keys, "n", shifts)
-    full_blocks = div(F.col("total"), context_length)
-    kept = offsets.where(F.col("start") < full_blocks * context_length).drop("n")
+    full_tokens = div(F.col("total"), context_length) * context_length
+    kept = offsets.where(F.col("start") < full_tokens).drop("n")
     placed = tokens.join(kept, groups + keys)
-    pieces = cut_pieces(placed, groups, context_length, full_blocks - 1)
+    return full_blocks(placed, groups, context_length, tokens_per_run)
+
+
+def full_blocks(
+    placed: DataFrame, groups: Sequence[str], context_length: int, tokens_per_run: int = TOKENS_PER_RUN
+) -> DataFrame:
+    """Blocks of rows that have their ``start`` and their group's ``total``, without the tail."""
+    last_block = div(F.col("total"), context_length) - 1
+    pieces = cut_pieces(placed, groups, context_length, last_block)
     return join_pieces(pieces, groups, context_length, tokens_per_run)
 
 
+def pack_parts(
+    examples: DataFrame,
+    context_length: int = CONTEXT_LENGTH,
+    groups: Sequence[str] = SUBSET,
+    part: str = "part_start",
+    tokens_per_run: int = TOKENS_PER_RUN,
+) -> DataFrame:
+    """``pack`` for a written table that knows where each row starts inside its part.
+
+    A part is one split of an input file, so there is about one per 128 MB of input and
+    the table of their starts is small: it is broadcast after its rows have been
+    counted, and joined by exchange should it be larger. The arrays then move once only,
+    to their block.
+    """
+    groups = list(groups)
+    tokens = examples.where("n > 0")
+    lengths = tokens.groupBy(*groups, part).agg(F.sum("n").alias("_n"))
+    parts = running_offsets(lengths, groups, [part], "_n").withColumnRenamed("start", "_base").drop("_n")
+    parts = stage(parts, "parts")
+    small = parts.count() <= MOST_PARTS_BROADCAST
+    placed = tokens.join(F.broadcast(parts) if small else parts, [*groups, part])
+    placed = placed.withColumn("start", F.col("_base") + F.col("start_in_part"))
+    return full_blocks(placed, groups, context_length, tokens_per_run)
+
+
 def packing_report(
     examples: DataFrame, context_length: int = CONTEXT_LENGTH, groups: Sequence[str] = SUBSET
 ) -> DataFrame:

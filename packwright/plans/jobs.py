@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.keys import data_type_of
 from packwright.functions.text import affix, eos_array, n_tokens
-from packwright.functions.tokenizers import WORDS_PER_WINDOW, tokenizer
+from packwright.functions.tokenizers import WORDS_PER_WINDOW, start_in_part, tokenizer
 from packwright.operators.batches import (
     DEVICES_PER_NODE,
     PER_DEVICE_BATCH,
@@ -20,7 +20,7 @@ from packwright.operators.batches import (
 )
 from packwright.operators.evals import look_up_metrics, parse_results, suite_scores
 from packwright.operators.examples import target_flag
-from packwright.operators.packing import CONTEXT_LENGTH, pack
+from packwright.operators.packing import CONTEXT_LENGTH, pack_parts
 from packwright.operators.pending import last_checkpoint
 from packwright.operators.shuffling import CHUNK_SIZE, SEED, shuffle_into_chunks
 from packwright.sources.records import CHAT_SCHEMA, TEXT_SCHEMA, read_result_files
@@ -28,11 +28,8 @@ from packwright.sources.sinks import read_blocks, read_chunks, write_batch_log,
 
 # Order of a record in its file: where the split starts, the row in the split, the turn.
 FILE_ORDER = ("part_start", "row_in_part", "turn")
-# A file has few splits, a split few rows next to a range, a record few turns: the keys
-# bound every window by themselves.
-FILE_SHIFTS = {"part_start": (), "row_in_part": (), "turn": ()}
 SPAN_SCHEMA = (
-    "part_start bigint, row_in_part bigint, turn int, is_target int, token_ids array<int>, n bigint, "
+    "part_start bigint, row_in_part bigint, turn int, is_target int, token_ids array<int>, n bigint, start_in_part bigint, "
     "data_type string, subset_name string"
 )
 BLOCK_KEYS = ("data_type", "subset_name", "block_idx")
@@ -93,15 +90,16 @@ def tokenize_files(
     ids = affix(tok.encode(F.coalesce("text", F.lit(""))), suffix=mark)
     spans = turns.select("data_type", "subset_name", *FILE_ORDER, "is_target", ids.alias("token_ids"))
     spans = spans.withColumn("n", n_tokens(F.col("token_ids")))
+    spans = spans.withColumn("start_in_part", start_in_part()("subset_name", "part_start", "n"))
     by = ("data_type", "subset_name")
     spans.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{out}/spans")
 
 
 def pack_spans(spark: SparkSession, tokenized: str, out: str, context_length: int = CONTEXT_LENGTH) -> None:
-    """``tokenize_files`` output to blocks. The lengths are columns of their own there, so
-    offsets are worked out without reading an id."""
+    """``tokenize_files`` output to blocks. Lengths and starts are columns of their own there,
+    so offsets are worked out without reading an id."""
     spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans")
-    write_blocks(pack(spans, context_length, keys=FILE_ORDER, staged=False, shifts=FILE_SHIFTS), out, context_length)
+    write_blocks(pack_parts(spans, context_length), out, context_length)
 
 
 def chunk_blocks(

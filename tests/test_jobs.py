@@ -113,3 +113,25 @@ def test_report(spark, tmp_path):
     (tmp_path / "eval_gsm8k.json").write_text(json.dumps(result))
     rows = jobs.report_results(spark, str(tmp_path)).collect()
     assert [r.report_line for r in rows] == ["gsm8k: acc = 0.25"]
+
+
+def test_both_ways_to_pack_agree(spark, raw, tmp_path, monkeypatch):
+    """Starts counted along the scan, starts worked out from the keys, and parts too many to broadcast."""
+    from packwright.operators import packing
+
+    folder, streams = raw
+    jobs.tokenize_files(spark, f"{folder}/*.jsonl", f"{tmp_path}/tokenized", "word_md5")
+    spans = spark.read.schema(jobs.SPAN_SCHEMA).parquet(f"{tmp_path}/tokenized/spans")
+    few = {key: () for key in jobs.FILE_ORDER}
+
+    def collected(df):
+        return {(r.data_type, r.subset_name, r.block_idx): (r.token_ids, r.tgt_mask) for r in df.collect()}
+
+    want = blocks_of(streams)
+    by_keys = packing.pack(spans, LENGTH, keys=jobs.FILE_ORDER, staged=False, shifts=few)
+    by_parts = packing.pack_parts(spans, LENGTH)
+    plan = by_parts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 1
+    assert collected(by_keys) == collected(by_parts) == want
+    monkeypatch.setattr(packing, "MOST_PARTS_BROADCAST", 0)
+    assert collected(packing.pack_parts(spans, LENGTH)) == want
