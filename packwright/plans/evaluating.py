@@ -17,6 +17,7 @@ from packwright.plans.registry import query
 from packwright.sources.suites import SUITES
 from packwright.sources.tables import table
 
+CHECKPOINT_PRICE = 499000
 N_TASKS = sum(len(s["tasks"]) for s in SUITES.values())
 TASK_ROWS = ", ".join(
     f"({number}, '{suite}', '{SUITES[suite]['metric_name']}', {SUITES[suite]['n_shots']}, '{task}')"
@@ -127,18 +128,19 @@ def result_names(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH planned AS (SELECT DISTINCT o_orderpriority AS run, o_orderkey // 1000 AS chunk_idx FROM orders),
-done AS (SELECT o_orderpriority AS run, max(o_orderkey // 1000) AS last FROM orders WHERE o_custkey < 3 GROUP BY ALL)
+done AS (SELECT o_orderpriority AS run, max(o_orderkey // 1000) AS last FROM orders WHERE o_totalprice > {CHECKPOINT_PRICE} GROUP BY ALL)
 SELECT run, chunk_idx, coalesce(last, -1)::BIGINT AS last_checkpoint,
        ({SEED} + coalesce(last, -1) + 1)::BIGINT AS seed
 FROM planned LEFT JOIN done USING (run) WHERE chunk_idx > coalesce(last, -1)
 """)
 def resume_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    """Runs by order priority, chunks by thousands of orders; few customers' orders are done."""
+    """Runs by order priority, chunks by thousands of orders; the dearest orders stand for
+    checkpoints that were written."""
     rows = table(spark, sf, "orders").select(
-        F.col("o_orderpriority").alias("run"), F.expr("o_orderkey div 1000").alias("chunk_idx"), "o_custkey"
+        F.col("o_orderpriority").alias("run"), F.expr("o_orderkey div 1000").alias("chunk_idx"), "o_totalprice"
     )
     planned = rows.select("run", "chunk_idx").distinct()
-    listing = rows.where("o_custkey < 3").select(
+    listing = rows.where(F.col("o_totalprice") > CHECKPOINT_PRICE).select(
         "run", F.concat(F.lit("runs/"), "run", F.lit("/ckpt_"), "chunk_idx").alias("path")
     )
     left = remaining_chunks(planned, listing, ["run"])

@@ -188,10 +188,10 @@ def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
 WITH {chunked_blocks_sql()}
 SELECT data_type, subset_name, block_idx::BIGINT AS block_idx, chunk_pos::BIGINT AS chunk_position,
        list_sum(ids)::BIGINT AS id_sum
-FROM chunked WHERE chunk_idx = 1
+FROM chunked WHERE chunk_idx = 0
 """)
 def read_one_chunk(spark: SparkSession, sf: str) -> DataFrame:
-    chunk = read_chunk(spark, _write_chunked_blocks(spark, sf), 1, BLOCK_PAYLOAD)
+    chunk = read_chunk(spark, _write_chunked_blocks(spark, sf), 0, BLOCK_PAYLOAD)
     return chunk.select(
         "data_type", "subset_name", "block_idx", "chunk_position", array_total(F.col("token_ids")).alias("id_sum")
     )

@@ -43,6 +43,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/data"
 
 
+def drop(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of intermediate rows that nothing reads any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 

@@ -18,6 +18,7 @@ from packwright.functions.integers import div
 from packwright.functions.text import n_tokens
 from packwright.operators.offsets import running_offsets
 from packwright.operators.packing import CONTEXT_LENGTH, SUBSET, cut_pieces, join_pieces
+from packwright.session import drop
 
 
 class StreamPacker:
@@ -81,6 +82,7 @@ class StreamPacker:
             .partitionBy("is_full")
             .parquet(self._blocks(batch_id))
         )
+        drop(spark, self._tokens(batch_id))  # a run of this batch again writes it anew
 
     def _read_seen(self, spark: SparkSession, batch_id: int, tokens: DataFrame) -> DataFrame | None:
         if batch_id < 0:
