@@ -21,8 +21,12 @@ def join_groups(
     so no task gets a large group. Where no group is large the first branch is empty.
     """
     keys, hot_rows = list(keys), HOT_ROWS if hot_rows is None else hot_rows
-    hot = values.where(F.col(GROUP_ROWS) > hot_rows).drop(GROUP_ROWS)
-    cold = values.where(F.col(GROUP_ROWS) <= hot_rows).drop(GROUP_ROWS)
-    in_place = rows.join(F.broadcast(hot), keys)
-    rest = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
-    return in_place.unionByName(rest.join(cold, keys))
+    # Null is a group like any other, so keys are compared null-safe.
+    named = values.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    theirs = [f"_of_{k}" for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs)]
+    hot = named.where(F.col(GROUP_ROWS) > hot_rows).drop(GROUP_ROWS)
+    cold = named.where(F.col(GROUP_ROWS) <= hot_rows).drop(GROUP_ROWS)
+    in_place = rows.join(F.broadcast(hot), same)
+    rest = rows.join(F.broadcast(hot.select(*theirs)), same, "left_anti")
+    return in_place.unionByName(rest.join(cold, same)).drop(*theirs)

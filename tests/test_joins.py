@@ -23,6 +23,14 @@ def test_is_an_inner_join(rows, hot_rows):
     assert sorted(got) == sorted(want)
 
 
+@pytest.mark.parametrize("hot_rows", [0, 10**6])
+def test_null_is_a_group(spark, hot_rows):
+    rows = spark.createDataFrame([(None, 1), (None, 2), ("a", 3)], "g string, id int")
+    counts = rows.groupBy("g").agg(F.count("*").alias(joins.GROUP_ROWS), F.sum("id").alias("s"))
+    got = joins.join_groups(rows, counts, ["g"], hot_rows).collect()
+    assert sorted((r.id, r.g, r.s) for r in got) == [(1, None, 3), (2, None, 3), (3, "a", 3)]
+
+
 def test_rows_of_large_groups_are_not_exchanged(spark, rows):
     counts = rows.groupBy("g").agg(F.count("*").alias(joins.GROUP_ROWS), F.sum("id").alias("s"))
     before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
@@ -33,6 +41,7 @@ def test_rows_of_large_groups_are_not_exchanged(spark, rows):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     exchanged = plan[plan.index("SortMergeJoin"):]
     assert "LeftAnti" in exchanged and plan.index("BroadcastHashJoin") < plan.index("SortMergeJoin")
+    assert "NestedLoop" not in plan
 
 
 def test_operators_agree_with_and_without_large_groups(spark, monkeypatch):
