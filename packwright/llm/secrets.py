@@ -1,0 +1,125 @@
+"""Secret scans with an incremental ledger of blobs.
+
+Every version of a document is addressed by the SHA-256 of its text. The ledger, a
+Parquet table, has one row per (blob, rule version) that was scanned, findings included.
+A run scans only pairs that are not in it, whatever the number of paths or versions with
+the same content, appends them, and joins findings back to all paths.
+"""
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# Kind, pattern, group that is measured, least length. Letters of the
+# first are there in either case, ASCII only. In the order of kinds.
+BASE_RULES = (
+    ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20),
+    ("hex", r"[0-9a-f]+", 0, 24),
+)
+BASE_VERSION = "base-1"
+
+FINDING = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+LEDGER = f"blob string, rule_version string, findings {FINDING}"
+
+
+def blob_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def scanner(rules=BASE_RULES, version: str = BASE_VERSION):
+    """A function of Arrow batches (blob, text) to ledger rows."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # A run of the last class that is too short can be skipped at once: what is
+        # matched there is the whole run in either case.
+        compiled = [
+            (kind, rank, re.compile(f"[0-9a-f]{{{least},}}" if pattern == r"[0-9a-f]+" else pattern, re.ASCII), group, least)
+            for rank, (kind, pattern, group, least) in enumerate(rules)
+        ]
+        schema = pa.schema(
+            [
+                ("blob", pa.string()),
+                ("rule_version", pa.string()),
+                (
+                    "findings",
+                    pa.list_(
+                        pa.struct(
+                            [("start", pa.int64()), ("rank", pa.int32()), ("kind", pa.string()), ("end", pa.int64())]
+                        )
+                    ),
+                ),
+            ]
+        )
+        for batch in batches:
+            found = []
+            for text in batch.column(1):
+                text = text.as_py()
+                spans = [
+                    {"start": m.start(), "rank": rank, "kind": kind, "end": m.end()}
+                    for kind, rank, pattern, group, least in compiled
+                    for m in pattern.finditer(text)
+                    if m.end(group) - m.start(group) >= least
+                ]
+                spans.sort(key=lambda s: (s["start"], s["rank"]))
+                found.append(spans)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.string()), pa.array([version] * len(batch)), pa.array(found, schema.field(2).type)],
+                schema=schema,
+            )
+
+    return scan
+
+
+def read_ledger(spark, path: str) -> DataFrame:
+    """The ledger so far; none yet is an empty one."""
+    try:
+        return spark.read.schema(LEDGER).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LEDGER)
+
+
+def update_ledger(versions: DataFrame, path: str, rules=BASE_RULES, version: str = BASE_VERSION) -> DataFrame:
+    """Scan what the ledger lacks of ``versions`` (column ``text``) and append it.
+
+    Contents meet by their address: equal ones are one row before they are exchanged.
+    """
+    spark = versions.sparkSession
+    known = read_ledger(spark, path).where(F.col("rule_version") == version).select("blob")
+    blobs = versions.select(blob_of(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    unseen = blobs.dropDuplicates(["blob"]).join(known, "blob", "left_anti")
+    unseen.select("blob", "text").mapInArrow(scanner(rules, version), LEDGER).write.mode("append").parquet(path)
+    return read_ledger(spark, path).where(F.col("rule_version") == version)
+
+
+def scan_secrets(docs: DataFrame, path: str, rules=BASE_RULES, version: str = BASE_VERSION) -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, blob, findings``, in order of start and kind.
+
+    A null text counts as empty. A null or repeated ``doc_id`` is a path like any other;
+    each row gets its findings. Starts and ends are code points, ends exclusive.
+    """
+    ledger = update_ledger(docs, path, rules, version)
+    paths = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))
+    return paths.join(ledger.select("blob", "findings"), "blob", "left").select("doc_id", "blob", "findings")
+
+
+def report(found: DataFrame, rules=BASE_RULES) -> DataFrame:
+    """Counts per base kind, and the spans as text."""
+    base = [rule[0] for rule in BASE_RULES]
+    spell = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    count = lambda kind: F.size(F.filter("findings", lambda s: s["kind"] == F.lit(kind))).cast("long")
+    of_base = F.filter("findings", lambda s: s["kind"].isin(base))
+    return found.select(
+        "doc_id",
+        *(count(kind).alias(f"n_{kind}") for kind in base),
+        F.sha2(spell(of_base), 256).alias("base_sha256"),
+        spell(F.col("findings")).alias("spans"),
+    )
