@@ -1,5 +1,8 @@
 """SQL of the queries, for the same tables."""
 
+from packwright.llm.licenses import BASE_PHRASES, NOTICES
+from packwright.llm.licenses import Params as LicenseParams
+
 CHATS = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -58,3 +61,89 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN per_row USING (row)
 """
+
+# Lower-casing of A-Z alone, and words, as the scans take them.
+_WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""
+
+DECONTAMINATION = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, w[i:i + least(10, len(w)) - 1] AS win, least(10, len(w)) AS n
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) AS i
+        FROM items WHERE len(w) > 0)
+),
+sizes AS (SELECT DISTINCT n FROM windows),
+places AS (
+  SELECT row, w[i:i + n - 1] AS win, n, i FROM (
+    SELECT row, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM docs, sizes WHERE len(w) >= n)
+),
+hits AS (SELECT p.row, p.i, p.n, v.item_id FROM places p JOIN windows v ON p.win = v.win AND p.n = v.n),
+n_hit AS (
+  SELECT row, count(DISTINCT word)::BIGINT AS n_hit
+  FROM (SELECT row, unnest(generate_series(i, i + n - 1)) AS word FROM (SELECT DISTINCT row, i, n FROM hits))
+  GROUP BY row
+),
+n_items AS (
+  SELECT row, count(*)::BIGINT AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+  FROM (SELECT DISTINCT row, item_id FROM hits) GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN n_hit USING (row) LEFT JOIN n_items USING (row)
+"""
+
+_LICENSE = LicenseParams()
+
+
+def _templates() -> str:
+    listed = [(p, label, True) for p, label in BASE_PHRASES.items()] + [(p, label, False) for p, label in NOTICES.items()]
+    rows = []
+    for template, (phrase, label, base) in enumerate(listed):
+        k = len(phrase.split()) if base else min(_LICENSE.notice_k, len(phrase.split()))
+        rows.append(f"({template}, '{label}', {base}, {k}, string_split('{phrase}', ' '))")
+    return ", ".join(rows)
+
+
+LICENSES = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {_WORDS} AS w FROM documents),
+templates(template, label, base, k, t) AS (VALUES {_templates()}),
+grams AS (
+  SELECT template, label, base, k, len(t) - k + 1 AS total, o - 1 AS o, t[o:o + k - 1] AS g
+  FROM (SELECT *, unnest(generate_series(1, len(t) - k + 1)) AS o FROM templates)
+),
+places AS (
+  SELECT row, k, i - 1 AS pos, w[i:i + k - 1] AS g FROM (
+    SELECT row, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i
+    FROM docs, (SELECT DISTINCT k FROM grams) WHERE len(w) >= k)
+),
+diagonals AS (
+  SELECT row, template, label, base, total, g.k AS k, pos - o AS diagonal,
+    list(DISTINCT o) AS offsets, min(pos) AS low, max(pos) AS high
+  FROM places p JOIN grams g ON p.g = g.g AND p.k = g.k GROUP BY ALL
+),
+gaps AS (
+  SELECT *, diagonal - lag(diagonal) OVER (PARTITION BY row, template ORDER BY diagonal) AS gap FROM diagonals
+),
+clustered AS (
+  SELECT *, sum(CASE WHEN base OR gap IS NULL OR gap > {_LICENSE.reach} THEN 1 ELSE 0 END)
+    OVER (PARTITION BY row, template ORDER BY diagonal) AS cluster FROM gaps
+),
+spans AS (
+  SELECT row, label, base, min(low) AS first,
+    len(list_distinct(flatten(list(offsets))))::DOUBLE / total AS score
+  FROM clustered GROUP BY row, template, label, base, total, cluster
+),
+per_row AS (
+  SELECT row, count(*) FILTER (WHERE base) AS n_base, min(first) FILTER (WHERE base) AS first_word,
+    max(first) FILTER (WHERE base) AS last_word,
+    coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE base), '') AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(score) AS score
+  FROM spans WHERE score >= {_LICENSE.least} GROUP BY row
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_word::BIGINT AS first_word,
+  last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  coalesce(score, 0) AS score
+FROM docs LEFT JOIN per_row USING (row)
+"""

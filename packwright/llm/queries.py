@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import chat, oracles, secrets
+from packwright.llm import chat, decontam, langid, licenses, oracles, secrets
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
@@ -38,3 +38,19 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
     return secrets.report(found)
+
+
+@query()
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.LICENSES)
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(licenses.scan_licenses(table(spark, sf_dir, "documents")))
+
+
+@query(oracles.DECONTAMINATION)
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.report(found)
