@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -203,19 +203,15 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     return Model(languages, idf.astype(np.float32), weights.astype(np.float32), temperature, params)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, held_out, lang_pred, score`` for each row, by the whole text alone.
-
-    A text that is null or has no letter is ``und`` with score 0, and so is everything
-    if the model knows no language. Repeated rows and null ids are rows like others.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def language(spark: SparkSession, text: Column, model: Model) -> Column:
+    """``struct<lang_pred, score>`` of a whole text."""
+    shared = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
             names, best = [], np.zeros(len(batch))
-            for i, text in enumerate(batch.column(2)):
+            for i, text in enumerate(batch):
                 text = text.as_py()
                 if text is None or not model.languages:
                     names.append(UNDETERMINED)
@@ -224,16 +220,23 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 p = softmax(weigh(buckets, counts, model.idf) @ model.weights[buckets] / model.temperature)
                 names.append(model.languages[int(p.argmax())])
                 best[i] = min(1.0, float(p.max()))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(best)],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(best)], ["lang_pred", "score"])
 
-    text = F.when(readable(F.col("text")), F.col("text"))
-    id_type = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text.alias("text")).mapInArrow(
-        score, f"doc_id {id_type}, held_out boolean, lang_pred string, score double"
+    return F.arrow_udf(score, "struct<lang_pred:string,score:double>")(F.when(readable(text), text))
+
+
+def predict(docs: DataFrame, model: Model) -> DataFrame:
+    """``doc_id, held_out, lang_pred, score`` for each row, by the whole text alone.
+
+    A text that is null or has no letter is ``und`` with score 0, and so is everything
+    if the model knows no language. Repeated rows and null ids are rows like others.
+    """
+    found = docs.select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        language(docs.sparkSession, F.col("text"), model).alias("found"),
     )
+    return found.select("doc_id", "held_out", "found.lang_pred", "found.score")
 
 
 def identify(docs: DataFrame, params: Params = Params()) -> DataFrame:

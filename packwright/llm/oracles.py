@@ -62,6 +62,29 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
 FROM docs LEFT JOIN per_row USING (row)
 """
 
+# DuckDB has no base32: five bits of the digest at a time.
+ARCHIVES = """
+WITH p AS (
+  SELECT row_number() OVER () AS row, page_id, encode(coalesce(html, '')) AS payload,
+    sha1(encode(coalesce(html, ''))) AS hex FROM pages
+),
+bits AS (
+  SELECT row, page_id, octet_length(payload)::BIGINT AS payload_bytes, hex,
+    array_to_string([lpad(bin(('0x' || hex[i])::INT), 4, '0') FOR i IN range(1, 41)], '') AS b FROM p
+),
+named AS (
+  SELECT row, page_id, payload_bytes, hex,
+    array_to_string(['ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum([
+      (b[5 * i + j] = '1')::INT * (16 >> (j - 1)) FOR j IN range(1, 6)])::BIGINT] FOR i IN range(0, 32)], '') AS payload_digest
+  FROM bits
+),
+leaders AS (SELECT *, max(page_id) OVER (PARTITION BY hex) AS leader FROM named)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN page_id = leader THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = leader THEN NULL ELSE leader END AS refers_to
+FROM leaders
+"""
+
 # Lower-casing of A-Z alone, and words, as the scans take them.
 _WORDS = r"""list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
   'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"""

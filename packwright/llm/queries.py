@@ -5,10 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import chat, decontam, langid, licenses, oracles, secrets
+from packwright.llm import chat, decontam, langid, licenses, oracles, pieces, secrets, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
+VOCABULARY = "piece_bpe_32k.model"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -40,11 +42,37 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(found)
 
 
+def vocabulary() -> bytes:
+    import public_tokenizers
+
+    return pieces.model_bytes(public_tokenizers.path(VOCABULARY))
+
+
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of all documents, agreement with the original library, and the way back."""
+    docs = table(spark, sf_dir, "documents")
+    encoded = docs.select("doc_id", "text", pieces.tokenized(spark, F.col("text"), vocabulary()).alias("t"))
+    return encoded.select(
+        "doc_id",
+        F.coalesce(F.size("t.ids"), F.lit(0)).cast("long").alias("n_tokens"),
+        "t.ids",
+        "t.parity",
+        F.col("t.decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 @query()
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+@query(oracles.ARCHIVES)
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return warc.report(warc.convert(pages, fresh_path(spark, "arc"), fresh_path(spark, "warc")))
+
+
 @query(oracles.LICENSES)
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(licenses.scan_licenses(table(spark, sf_dir, "documents")))
