@@ -2,6 +2,7 @@
 
 from packwright.llm.licenses import BASE_PHRASES, NOTICES
 from packwright.llm.licenses import Params as LicenseParams
+from packwright.llm.linedup import Params as LineParams
 
 CHATS = r"""
 WITH turns AS (
@@ -170,3 +171,37 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0) AS n_base, first_w
   coalesce(score, 0) AS score
 FROM docs LEFT JOIN per_row USING (row)
 """
+
+# A line goes if it lies in a run of enough characters that is there earlier; the shortest
+# such runs from each line and up to each line are enough to see that.
+LINES = f"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS row, doc_id, text, string_split(text, chr(10)) AS l FROM documents
+),
+lines AS (SELECT row, l, unnest(generate_series(1, len(l))) AS p FROM docs),
+sums AS (
+  SELECT row, p, length(l[p]) AS c, sum(length(l[p])) OVER (PARTITION BY row ORDER BY p) AS upto FROM lines
+),
+runs AS (
+  SELECT a.row, a.p AS i, min(b.p) AS j FROM sums a JOIN sums b ON a.row = b.row AND b.p >= a.p
+    AND b.upto - a.upto + a.c >= {LineParams().least_chars} GROUP BY ALL
+  UNION
+  SELECT b.row, max(a.p) AS i, b.p AS j FROM sums a JOIN sums b ON a.row = b.row AND b.p >= a.p
+    AND b.upto - a.upto + a.c >= {LineParams().least_chars} GROUP BY ALL
+),
+named AS (SELECT row, i, j, md5(array_to_string(l[i:j], chr(10))) AS run FROM runs JOIN docs USING (row)),
+firsts AS (SELECT run, min({{'row': row, 'i': i}}) AS first FROM named GROUP BY run),
+gone AS (
+  SELECT DISTINCT row, p FROM (
+    SELECT row, unnest(generate_series(i, j)) AS p FROM named JOIN firsts USING (run)
+    WHERE first <> {{'row': row, 'i': i}})
+),
+left_over AS (
+  SELECT row, count(gone.p) AS n_removed,
+    coalesce(string_agg(l[lines.p], chr(10) ORDER BY lines.p) FILTER (WHERE gone.p IS NULL), '') AS text
+  FROM lines LEFT JOIN gone USING (row, p) GROUP BY row
+)
+SELECT doc_id, left_over.text AS text, coalesce(len(l), 0)::BIGINT AS n_lines,
+  coalesce(n_removed, 0)::BIGINT AS n_removed
+FROM docs LEFT JOIN left_over USING (row)
+"""

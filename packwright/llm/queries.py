@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import chat, decontam, langid, licenses, oracles, pieces, secrets, warc
+from packwright.llm import chat, decontam, langid, licenses, linedup, oracles, pieces, secrets, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
@@ -36,6 +36,12 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_chats(chat.format_chats(turns.unionByName(odd)))
 
 
+@query(oracles.LINES)
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return linedup.dedup_lines(docs)
+
+
 @query(oracles.SECRETS)
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan_secrets(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
