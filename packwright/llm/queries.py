@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import chat, decontam, langid, licenses, linedup, oracles, pieces, secrets, warc
+from packwright.llm import blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
@@ -25,6 +25,11 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(neardup.find_near_duplicates(table(spark, sf_dir, "documents")))
+
+
 @query(oracles.CHATS)
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold control strings."""
@@ -44,8 +49,8 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(oracles.SECRETS)
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets.scan_secrets(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
-    return secrets.report(found)
+    found = blob_ledger.scan_secrets(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
+    return blob_ledger.report(found)
 
 
 def vocabulary() -> bytes:
