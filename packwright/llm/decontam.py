@@ -149,6 +149,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params
     ).drop("copy")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, params: Params = Params()) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no window of the benchmark occurs."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
+    _, occurrences, _ = find_windows(keyed, benchmark, params)
+    hit = occurrences.select(F.col("doc_id.doc_id").alias("hit_id"), F.col("doc_id.digest").alias("hit_digest")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("digest"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest"))
+    return rows.join(hit, same, "left_anti").select("row.*")
+
+
 def report(found: DataFrame) -> DataFrame:
     return found.select(
         "doc_id",

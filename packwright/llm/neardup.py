@@ -277,14 +277,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def find_near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, class, n_shingles, component_id, kept``.
+    """One row per row of ``docs``: ``doc_id, digest, class, n_shingles, root, component_id, kept``.
 
     ``component_id`` is the smallest id of all documents connected with this one. A null
     or empty text has no shingles and is alone. Null ids never name a component unless it
     has no other; then it is null and its rows are kept. Rows of a repeated id are rows
     like others, so all rows that carry the smallest id are kept.
     """
-    sketched = stage(sketches(docs, params), "sketches")
+    # The id travels with a hash of the text, which tells rows of one id apart.
+    rows = docs.select(F.struct("doc_id", F.xxhash64("text").alias("digest")).alias("doc_id"), "text")
+    sketched = stage(sketches(rows, params).select("doc_id.*", "class", "n_shingles", "bands"), "sketches")
     full = sketched.where(F.col("class").isNotNull())
     classes = full.groupBy("class").agg(
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")
@@ -294,12 +296,28 @@ def find_near_duplicates(docs: DataFrame, params: Params = Params()) -> DataFram
     wanted = members.select("class").distinct().join(classes.select("class", "rep"), "class")
     edges = links(members, candidate_texts(docs, wanted, params), params)
     roots = components(edges).select(F.col("node").alias("class"), "root")
-    rooted = full.select("doc_id", "class", "n_shingles").join(roots, "class", "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "class"))
+    rooted = full.drop("bands").join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    grouped = rooted.join(least, "root").select("doc_id", "class", "n_shingles", "component_id")
-    alone = sketched.where(F.col("class").isNull()).select("doc_id", "class", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    alone = sketched.where(F.col("class").isNull()).drop("bands")
+    alone = alone.withColumns({"root": F.lit(None).cast("long"), "component_id": F.col("doc_id")})
+    grouped = rooted.join(least, "root").unionByName(alone)
+    return grouped.select("*", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, params: Params = Params()) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay: one of each component.
+
+    It is the one with the smallest id, of several such rows the one whose text has the
+    least hash, and of equal rows one. Texts without words are alone and stay.
+    """
+    found = find_near_duplicates(docs, params).where("kept")
+    grouped = found.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("one"))
+    alone = found.where(F.col("root").isNull()).select("doc_id", "digest")
+    staying = grouped.select("one.*").union(alone).distinct().toDF("stay_id", "stay_digest")
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.xxhash64("text").alias("digest"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("stay_id")) & (F.col("digest") == F.col("stay_digest"))
+    rows = keyed.join(staying, same).dropDuplicates(["stay_id", "stay_digest"])
+    return rows.select("row.*")
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, warc
+from packwright.llm import ann, blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
@@ -47,6 +47,11 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linedup.dedup_lines(docs)
 
 
+@query()
+def op6_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 @query(oracles.SECRETS)
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = blob_ledger.scan_secrets(table(spark, sf_dir, "documents"), fresh_path(spark, "secret-ledger"))
