@@ -1,7 +1,8 @@
 """Number arrays: norms, scaling, losses over scores. All in double precision."""
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +15,6 @@ IGNORED_LABEL = -100
 MAX_NORM = 1.0
 
 
-# Mask places handled together when positions are counted.
-MASK_RUN = 64
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Work out ``value`` once per row, then ``body`` of it.
 
@@ -97,31 +94,27 @@ def last_token(values: Column, ids: Column, pad_id: Column | int | None) -> Colu
 
 
 def mask_positions(mask: Column) -> Column:
-    """Running sum of a 0/1 mask minus one; places the mask leaves out get one.
+    """Running sum of a 0/1 mask minus one; places the mask leaves out get one. Null stays null.
 
-    The mask is walked in runs: each run takes the count before it once, so the
-    work stays far below one pass per place.
+    One running sum over each Arrow batch, less what it was where a row begins.
     """
-    ones = mask.cast("array<int>")
-
-    def count(values: Column) -> Column:
-        return F.aggregate(values, F.lit(0), lambda a, m: a + m)
-
-    starts = F.sequence(F.lit(0), F.size(ones) - 1, F.lit(MASK_RUN))
-    runs = F.transform(
-        starts,
-        lambda at: F.struct(
-            count(F.slice(ones, F.lit(1), at)).alias("before"),
-            F.slice(ones, at + 1, F.lit(MASK_RUN)).alias("part"),
-        ),
-    )
-    placed = F.transform(
-        runs,
-        lambda run: F.transform(
-            run["part"],
-            lambda m, i: F.when(m == 0, F.lit(1)).otherwise(
-                run["before"] + count(F.slice(run["part"], F.lit(1), i + 1)) - 1
-            ),
-        ),
-    )
-    return F.when(F.size(ones) == 0, F.array().cast("array<int>")).otherwise(F.flatten(placed))
+
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            sizes = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False)
+            ones = pc.fill_null(batch.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            stops = np.cumsum(sizes.astype(np.int64))
+            sums = np.concatenate(([0], np.cumsum(ones)))
+            places = sums[1:] - np.repeat(sums[stops - sizes], sizes) - 1
+            places[ones == 0] = 1
+            offsets = np.concatenate(([0], stops)).astype(np.int32)
+            rows = pa.ListArray.from_arrays(pa.array(offsets), pa.array(places.astype(np.int32)))
+            if batch.null_count:
+                rows = pc.if_else(batch.is_valid(), rows, pa.scalar(None, rows.type))
+            yield rows
+
+    return F.arrow_udf(count, "array<int>")(mask.cast("array<int>"))

@@ -13,7 +13,7 @@ from packwright.functions.vectors import (
     scale,
     sum_of_squares,
 )
-from packwright.operators.joins import GROUP_ROWS, join_groups
+from packwright.operators.joins import join_groups
 
 
 def masked_mean(value: Column, mask: Column, epsilon: float = MASKED_MEAN_EPSILON) -> Column:
@@ -33,12 +33,9 @@ def clip_by_norm(
 ) -> DataFrame:
     """Scale each group's vectors so that their common norm is at most ``max_norm``.
 
-    The norms are added up before they are exchanged, and ``join_groups`` brings them
-    back without gathering a large group.
+    The norms are added up before they are exchanged.
     """
-    norms = rows.groupBy(*groups).agg(
-        global_norm(F.col(vector)).alias("group_norm"), F.count("*").alias(GROUP_ROWS)
-    )
+    norms = rows.groupBy(*groups).agg(global_norm(F.col(vector)).alias("group_norm"))
     factor = F.least(F.lit(1.0), F.lit(float(max_norm)) / (F.col("group_norm") + F.lit(CLIP_EPSILON)))
     joined = join_groups(rows, norms.withColumn("_factor", factor), groups)
     return joined.withColumn(vector, scale(F.col(vector), F.col("_factor"))).drop("_factor")
@@ -76,9 +73,7 @@ def ragged_mean(
             F.collect_list(F.when(F.col("col_idx").isNotNull(), F.struct("col_idx", "x")))
         ).alias("cells")
     )
-    widths = rows.groupBy(*keys).agg(
-        F.max(F.size(values)).alias("width"), F.count("*").alias(GROUP_ROWS)
-    )
+    widths = rows.groupBy(*keys).agg(F.max(F.size(values)).alias("width"))
     # Inputs start at column zero, so the cells of a row are its first ones.
     fill = F.array_repeat(F.lit(float("nan")), F.col("width") - F.size("cells"))
     return join_groups(lines, widths, keys).select(

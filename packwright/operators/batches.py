@@ -20,17 +20,19 @@ def sample_positions(
     rows: DataFrame,
     keys: Sequence[str],
     ordinal: str,
-    n_examples: int,
+    n_examples: int | None,
     shuffle: bool = True,
     seed: Column | int = SEED,
     groups: Sequence[str] = (),
 ) -> DataFrame:
-    """The first ``n_examples`` ordinals with their place, permuted or as they are.
+    """The first ``n_examples`` ordinals (None: all) with their place, permuted or as they are.
 
     ``sample_position`` is dense over the rows that exist; ``n_sampled`` says how many
     there are, so ``n_examples - n_sampled`` is the shortfall.
     """
-    chosen = rows.where(F.col(ordinal) < n_examples).select(*groups, *keys, ordinal)
+    chosen = rows.select(*groups, *keys, ordinal)
+    if n_examples is not None:
+        chosen = chosen.where(F.col(ordinal) < n_examples)
     if shuffle:
         placed = seeded_positions(chosen, keys, seed, (0,), groups, carry=[ordinal])
         placed = placed.withColumnRenamed("position", "sample_position").drop("epoch")
@@ -93,18 +95,19 @@ def batch_plan(
     """One row per chunk, rank and batch: its step and the rate that step runs at.
 
     Steps count micro-batches. The rate is that of the step before it is counted up,
-    and each chunk starts at its index times the batches of a chunk. With collated
+    and each chunk starts at its index times the batches of ``n_examples``, so steps of
+    chunks never meet: a chunk with fewer rows leaves out the steps it lacks. With collated
     arrays in ``assigned`` the row also counts tokens and targets of the batch.
     """
     global_batch = world_size * per_device_batch
-    sizes = [F.count("*").alias("n_examples"), F.first("n_sampled").alias("_sampled")]
+    sizes = [F.count("*").alias("n_examples")]
     if "loss_mask" in assigned.columns:
         sizes += [
             F.sum(n_tokens(F.col("input_ids"))).alias("n_tokens"),
             F.sum(array_total(F.col("loss_mask"))).alias("n_targets"),
         ]
     batches = assigned.groupBy(chunk, "rank", "batch_idx").agg(*sizes)
-    before = F.col(chunk) * div(F.col("_sampled"), global_batch) + F.col("batch_idx")
+    before = F.col(chunk) * F.lit(n_examples // global_batch) + F.col("batch_idx")
     steps = total_steps(n_examples, global_batch, n_chunks)
     step = before + 1
     return batches.select(

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from packwright.functions.integers import div
 from packwright.functions.text import affix, array_total, constant_mask, eos_array, n_tokens
 from packwright.functions.tokenizers import Tokenizer
 
@@ -20,9 +19,6 @@ SPEAKER_IS_TARGET = {
     "assistant": 1,
 }
 
-# A conversation's turns are put into rows of at most this many turns.
-TURNS_PER_ROW = 4096
-
 EXAMPLE_SCHEMA = T.StructType(
     [
         T.StructField("token_ids", T.ArrayType(T.IntegerType())),
@@ -73,23 +69,17 @@ def chat_examples(
     groups: Sequence[str],
     conversation: str = "conv_id",
     turn: str = "turn",
-    turns_per_row: int = TURNS_PER_ROW,
 ) -> DataFrame:
     """Ids and mask of whole conversations, turns in order.
 
-    A conversation longer than ``turns_per_row`` goes on in the next ``part``, so no
-    task gathers more turns than that; packing in the order (conversation, part) is
-    the same as packing the conversation in one row.
+    An example is one row, so it has to fit one. Packing has no need of it: it takes the
+    turns as they are, ordered by (conversation, turn).
     """
     span = F.struct(F.col(turn).alias("turn"), "token_ids", "is_target")
-    part = div(F.col(turn), turns_per_row)
-    gathered = spans.groupBy(*groups, conversation, part.alias("part")).agg(
-        F.array_sort(F.collect_list(span)).alias("spans")
-    )
+    gathered = spans.groupBy(*groups, conversation).agg(F.array_sort(F.collect_list(span)).alias("spans"))
     return gathered.select(
         *groups,
         conversation,
-        "part",
         F.flatten(F.transform("spans", lambda s: s["token_ids"])).alias("token_ids"),
         F.flatten(
             F.transform("spans", lambda s: constant_mask(s["is_target"], s["token_ids"]))
@@ -120,10 +110,14 @@ def example_from_json(text: Column) -> Column:
     return F.from_json(text, EXAMPLE_SCHEMA)
 
 
-def token_stats(examples: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Examples, tokens and target tokens per group."""
-    return examples.groupBy(*groups).agg(
+def token_sums() -> list[Column]:
+    return [
         F.count("*").alias("n_examples"),
         F.sum(n_tokens(F.col("token_ids"))).alias("n_tokens"),
         F.sum(array_total(F.col("tgt_mask"))).alias("n_target_tokens"),
-    )
+    ]
+
+
+def token_stats(examples: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Examples, tokens and target tokens per group."""
+    return examples.groupBy(*groups).agg(*token_sums())

@@ -1,32 +1,18 @@
-"""Bringing per-group values back to rows when some groups are large."""
+"""Bringing per-group values back to rows."""
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A group of more rows than this is joined by broadcast. There are at most
-# (rows / HOT_ROWS) such groups, 100,000 among 10**11 rows, whatever the skew.
-HOT_ROWS = 1_000_000
-GROUP_ROWS = "_group_rows"
 
+def join_groups(rows: DataFrame, values: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``values`` per group; null is a group like any other.
 
-def join_groups(
-    rows: DataFrame, values: DataFrame, keys: Sequence[str], hot_rows: int | None = None
-) -> DataFrame:
-    """Inner join of ``rows`` with one row of ``values`` per group.
-
-    ``values`` carries the group's number of rows as ``_group_rows``. Rows of large
-    groups meet their values in place; only those of the other groups are exchanged,
-    so no task gets a large group. Where no group is large the first branch is empty.
+    One plain join: the engine broadcasts values that are small by its own count, and
+    splits the rows of a large group over tasks where it exchanges them.
     """
-    keys, hot_rows = list(keys), HOT_ROWS if hot_rows is None else hot_rows
-    # Null is a group like any other, so keys are compared null-safe.
     named = values.withColumnsRenamed({k: f"_of_{k}" for k in keys})
     theirs = [f"_of_{k}" for k in keys]
     same = [F.col(k).eqNullSafe(F.col(t)) for k, t in zip(keys, theirs)]
-    hot = named.where(F.col(GROUP_ROWS) > hot_rows).drop(GROUP_ROWS)
-    cold = named.where(F.col(GROUP_ROWS) <= hot_rows).drop(GROUP_ROWS)
-    in_place = rows.join(F.broadcast(hot), same)
-    rest = rows.join(F.broadcast(hot.select(*theirs)), same, "left_anti")
-    return in_place.unionByName(rest.join(cold, same)).drop(*theirs)
+    return rows.join(named, same).drop(*theirs)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright.operators.aggregates import group_extent
-from packwright.operators.joins import GROUP_ROWS, join_groups
+from packwright.operators.joins import join_groups
 from packwright.operators.offsets import dense_positions, running_offsets
 
 
@@ -16,11 +16,11 @@ def stack(
     """Put sources one after the other: each ordinal moves up by the extents before it."""
     groups = list(groups)
     extents = rows.groupBy(*groups, source).agg(
-        group_extent(F.col(ordinal), when_empty=0).alias("extent"), F.count("*").alias(GROUP_ROWS)
+        group_extent(F.col(ordinal), when_empty=0).alias("extent")
     )
     starts = running_offsets(extents, groups, [source], "extent")
     return (
-        join_groups(rows, starts.select(*groups, source, GROUP_ROWS, "start"), groups + [source])
+        join_groups(rows, starts.select(*groups, source, "start"), groups + [source])
         .withColumn(result, F.col("start") + F.col(ordinal))
         .drop("start")
     )
@@ -47,7 +47,7 @@ def interleave(
     )
     if not compact:
         return spread
-    used = spread.groupBy(*groups, result).agg(F.count("*").alias(GROUP_ROWS))
+    used = spread.select(*groups, result).distinct()
     ranks = dense_positions(used, groups, [result], "_rank").drop("total")
     joined = join_groups(spread, ranks, groups + [result])
     return joined.withColumn(result, F.col("_rank")).drop("_rank")

@@ -18,8 +18,8 @@ SUBSET = ("data_type", "subset_name")
 # that writes them writes few, large files per subset. Raise it with the data.
 TOKENS_PER_RUN = 1 << 23
 
-# Starts of parts are broadcast up to this many: some tens of megabytes.
-MOST_PARTS_BROADCAST = 500_000
+# Starts of parts are broadcast up to this many, about 100 MB; 250 TB of 128 MB parts.
+MOST_PARTS_BROADCAST = 2_000_000
 
 
 def token_offsets(
@@ -92,10 +92,15 @@ def join_pieces(
         "pieces",
         lambda p: p["mask"] if kind == "array" else F.array_repeat(p["mask"], F.size(p["ids"])),
     )
+    ids = F.flatten(F.transform("pieces", lambda p: p["ids"]))
+    # Two rows of one key would both be put there.
+    whole = F.when(F.size(ids) == context_length, ids).otherwise(
+        F.raise_error(F.lit("a block has not its length: keys are not unique")).cast("array<int>")
+    )
     return blocks.select(
         *groups,
         "block_idx",
-        F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("token_ids"),
+        whole.alias("token_ids"),
         F.flatten(masks).alias("tgt_mask"),
     )
 
@@ -119,7 +124,12 @@ def pack(
     groups, keys = list(groups), list(keys)
     mask = "tgt_mask" if "tgt_mask" in examples.columns else "is_target"
     length = F.col("n") if "n" in examples.columns else n_tokens(F.col("token_ids")).alias("n")
-    tokens = examples.select(*groups, *keys, "token_ids", mask, length)
+    ids = F.col("token_ids")
+    if mask == "tgt_mask":
+        ids = F.when(F.size(ids) == F.size(mask), ids).otherwise(
+            F.raise_error(F.lit("a mask is not as long as its ids")).cast("array<int>")
+        )
+    tokens = examples.select(*groups, *keys, ids.alias("token_ids"), mask, length)
     if staged:
         tokens = stage(tokens, "tokens")
     # Only now: a filter on the length before the write would be pushed below it and
@@ -145,7 +155,7 @@ def pack_parts(
     examples: DataFrame,
     context_length: int = CONTEXT_LENGTH,
     groups: Sequence[str] = SUBSET,
-    part: str = "part_start",
+    parts: Sequence[str] = ("part_start",),
     tokens_per_run: int = TOKENS_PER_RUN,
 ) -> DataFrame:
     """``pack`` for a written table that knows where each row starts inside its part.
@@ -155,17 +165,51 @@ def pack_parts(
     counted, and joined by exchange should it be larger. The arrays then move once only,
     to their block.
     """
-    groups = list(groups)
+    groups, parts = list(groups), list(parts)
     tokens = examples.where("n > 0")
-    lengths = tokens.groupBy(*groups, part).agg(F.sum("n").alias("_n"))
-    parts = running_offsets(lengths, groups, [part], "_n").withColumnRenamed("start", "_base").drop("_n")
-    parts = stage(parts, "parts")
-    small = parts.count() <= MOST_PARTS_BROADCAST
-    placed = tokens.join(F.broadcast(parts) if small else parts, [*groups, part])
+    lengths = tokens.groupBy(*groups, *parts).agg(F.sum("n").alias("_n"))
+    starts = running_offsets(lengths, groups, parts, "_n").withColumnRenamed("start", "_base").drop("_n")
+    starts = stage(starts, "parts")
+    small = starts.count() <= MOST_PARTS_BROADCAST
+    placed = tokens.join(F.broadcast(starts) if small else starts, [*groups, *parts])
     placed = placed.withColumn("start", F.col("_base") + F.col("start_in_part"))
     return full_blocks(placed, groups, context_length, tokens_per_run)
 
 
+def unpack(
+    blocks: DataFrame,
+    placed: DataFrame,
+    keys: Sequence[str],
+    context_length: int = CONTEXT_LENGTH,
+    groups: Sequence[str] = SUBSET,
+) -> DataFrame:
+    """Ids of each example again: cut out of the blocks it reaches into, and its dropped tail.
+
+    ``placed`` has ``token_ids, n, start, total`` of every example; of its ids only those
+    are used that are in the tail of the subset, which no block has.
+    """
+    groups, keys = list(groups), list(keys)
+    length = F.lit(context_length).cast("bigint")
+    start, n = F.col("start"), F.col("n")
+    full = div(F.col("total"), context_length) * length
+    reach = F.sequence(div(start, length), div(F.least(start + n, full) - 1, length))
+    inside = placed.where((n > 0) & (start < full)).select(*groups, *keys, "start", "n", F.explode(reach).alias("block_idx"))
+    at = F.col("block_idx") * length
+    first = F.greatest(start - at, F.lit(0))
+    last = F.least(start + n - at, length)
+    joined = inside.join(blocks.select(*groups, "block_idx", "token_ids"), [*groups, "block_idx"])
+    cut = joined.select(
+        *groups, *keys, "block_idx", F.slice("token_ids", (first + 1).cast("int"), (last - first).cast("int")).alias("ids")
+    )
+    kept = F.greatest(full - start, F.lit(0))
+    tail = placed.where(start + n > full).select(
+        *groups, *keys, div(full, length).alias("block_idx"),
+        F.slice("token_ids", (kept + 1).cast("int"), (n - kept).cast("int")).alias("ids"),
+    )
+    pieces = cut.unionByName(tail).groupBy(*groups, *keys).agg(F.array_sort(F.collect_list(F.struct("block_idx", "ids"))).alias("pieces"))
+    return pieces.select(*groups, *keys, F.flatten(F.transform("pieces", lambda p: p["ids"])).alias("token_ids"))
+
+
 def packing_report(
     examples: DataFrame, context_length: int = CONTEXT_LENGTH, groups: Sequence[str] = SUBSET
 ) -> DataFrame:

@@ -13,7 +13,11 @@ from packwright.operators.evals import (
 )
 from packwright.operators.pending import pending_results, remaining_chunks, resume_seed
 from packwright.operators.shuffling import SEED
+from packwright.plans.jobs import report_results
 from packwright.plans.registry import query
+from packwright.session import fresh_path
+from packwright.sources.records import list_files
+from packwright.sources.sinks import write_named_texts
 from packwright.sources.suites import SUITES
 from packwright.sources.tables import table
 
@@ -47,7 +51,8 @@ SELECT suite, task, metric_name, n_shots, count(doc_id)::BIGINT AS n_answers
 FROM tasks LEFT JOIN documents ON doc_id % {N_TASKS} = task_no GROUP BY ALL
 """)
 def suite_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    answers = _answers(spark, sf).groupBy("task_no").agg(F.count("*").alias("n_answers"))
+    docs = table(spark, sf, "documents").select(F.pmod("doc_id", F.lit(N_TASKS)).alias("task_no"))
+    answers = docs.groupBy("task_no").agg(F.count("*").alias("n_answers"))
     tasks = _numbered_tasks(spark).join(answers, "task_no", "left")
     return tasks.select(
         "suite", "task", "metric_name", "n_shots", F.coalesce("n_answers", F.lit(0)).alias("n_answers")
@@ -171,3 +176,38 @@ def pending_suites(spark: SparkSession, sf: str) -> DataFrame:
     taken = docs.where(F.col("lang").isin("de", "fr")).withColumn("suite", suite)
     listing = taken.select(path, "lang").distinct().select(F.concat("path", marker).alias("path"))
     return pending_results(planned, listing).select("model", "suite", "path")
+
+
+@query(f"""
+WITH {RESULTS_SQL},
+s AS (
+  SELECT model, suite, metric_name, count(*) FILTER (v IS NULL) AS n_missing, round(avg(v), 4) AS mean
+  FROM looked_up GROUP BY ALL
+)
+SELECT model, suite, n_missing::BIGINT AS n_missing, CASE WHEN n_missing = 0 THEN mean END AS metric_value FROM s
+""")
+def results_per_model(spark: SparkSession, sf: str) -> DataFrame:
+    """Result files of all models in one folder, read back and reported by model."""
+    documents = _result_documents(spark, sf)
+    folder = fresh_path(spark, "results")
+    named = documents.select(F.concat_ws("_", F.lit("eval"), "model", F.concat("suite", F.lit(".json"))).alias("name"), F.col("document").alias("text"))
+    write_named_texts(named, folder)
+    report = report_results(spark, folder, digits=4)
+    return report.select("model", "suite", "n_missing", "metric_value")
+
+
+@query("""
+WITH done AS (SELECT lang AS model, count(*) // 50 AS last, count(*) // 40 AS planned FROM documents GROUP BY lang)
+SELECT model, chunk_idx::BIGINT AS chunk_idx, last::BIGINT AS last_checkpoint
+FROM (SELECT *, unnest(range(0, planned + 1)) AS chunk_idx FROM done) WHERE chunk_idx > last
+""")
+def remaining_work(spark: SparkSession, sf: str) -> DataFrame:
+    """A run per language has its checkpoint folders listed; the chunks it still has to do."""
+    docs = table(spark, sf, "documents").groupBy(F.col("lang").alias("model")).agg(F.count("*").alias("n"))
+    root = fresh_path(spark, "runs")
+    last = F.expr("n div 50")
+    write_named_texts(docs.select(F.concat("model", F.lit("/ckpt_"), last, F.lit("/state")).alias("name"), F.lit("x").alias("text")), root)
+    manifest = list_files(spark, root).select(F.regexp_extract("path", r"/([^/]+)/ckpt_\d+$", 1).alias("model"), "path")
+    planned = docs.select("model", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr("n div 40"))).alias("chunk_idx"))
+    remaining = remaining_chunks(planned, manifest.where("model <> ''"), ["model"])
+    return remaining.select("model", "chunk_idx", "last_checkpoint")

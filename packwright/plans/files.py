@@ -33,10 +33,8 @@ from packwright.sources.sinks import (
 )
 from packwright.sources.tables import table
 
-TURNS_PER_RECORD = 64
 TEXT_SOURCES = ("src0.jsonl", "src1.jsonl")
 CHUNK_SIZE = 100
-SAMPLES_PER_CHUNK = 80
 WORLD, PER_DEVICE, ACCUMULATE = 2, 5, 3
 BLOCK_KEYS = ["data_type", "subset_name", "block_idx"]
 BLOCK_PAYLOAD = (
@@ -44,34 +42,28 @@ BLOCK_PAYLOAD = (
 )
 
 
-@query(f"""
-SELECT conv_id, (turn // {TURNS_PER_RECORD})::BIGINT AS part,
-       row_number() OVER (PARTITION BY conv_id, turn // {TURNS_PER_RECORD} ORDER BY turn) - 1 AS turn,
+@query("""
+SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn,
        role, md5(text) AS text_md5, length(text)::BIGINT AS n_chars
 FROM conversations
 """)
 def chat_nested_turns(spark: SparkSession, sf: str) -> DataFrame:
-    """Turns nested into chat records, written as lines, read back and taken apart.
-
-    A record holds a bounded run of turns; a longer conversation has further records.
-    """
+    """Turns nested into one record per conversation, written as lines, read back and taken apart."""
     turn = F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value"))
     nested = (
         table(spark, sf, "conversations")
-        .groupBy("conv_id", F.expr(f"turn div {TURNS_PER_RECORD}").alias("part"))
+        .groupBy("conv_id")
         .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     )
     records = nested.select(
         "conv_id",
-        "part",
         F.transform("turns", lambda t: F.struct(t["from"], t["value"])).alias("conversations"),
     )
     path = fresh_path(spark, "records")
     records.write.json(path)
-    turns = chat_turns(read_chat_records(spark, path, "conv_id bigint, part bigint"), ["conv_id", "part"])
+    turns = chat_turns(read_chat_records(spark, path, "conv_id bigint"), ["conv_id"])
     return turns.select(
         "conv_id",
-        "part",
         F.col("turn").cast("bigint").alias("turn"),
         "role",
         F.md5("text").alias("text_md5"),
@@ -205,7 +197,7 @@ chosen AS (
            ORDER BY md5(({SEED + 1} + chunk_idx) || ':0:' || data_type || ':' || subset_name || ':' || block_idx)
          ) - 1 AS place,
          count(*) OVER (PARTITION BY chunk_idx) AS n_sampled
-  FROM chunked WHERE chunk_pos < {SAMPLES_PER_CHUNK}
+  FROM chunked
 ),
 ranked AS (
   SELECT *, place % {WORLD} AS rank, place // {WORLD * PER_DEVICE} AS batch_idx
@@ -214,9 +206,9 @@ ranked AS (
 steps AS (
   SELECT chunk_idx, batch_idx, count(*) AS n_examples, sum(len(ids) - 1) AS n_tokens,
          sum(list_sum(mask) - mask[1]) AS n_targets,
-         chunk_idx * (any_value(n_sampled) // {WORLD * PER_DEVICE}) + batch_idx AS before,
-         any_value(n_chunks) * ({SAMPLES_PER_CHUNK} // {WORLD * PER_DEVICE}) AS total_steps
-  FROM ranked WHERE rank = 0 GROUP BY chunk_idx, batch_idx
+         chunk_idx * (any_value(largest) // {WORLD * PER_DEVICE}) + batch_idx AS before,
+         any_value(n_chunks) * (any_value(largest) // {WORLD * PER_DEVICE}) AS total_steps
+  FROM ranked, (SELECT max(n_sampled) AS largest FROM chosen) WHERE rank = 0 GROUP BY chunk_idx, batch_idx
 ),
 warm AS (SELECT *, floor(total_steps * 0.1::DOUBLE) AS w FROM steps)
 SELECT chunk_idx::BIGINT AS chunk_idx, batch_idx::BIGINT AS batch_idx, n_examples::BIGINT AS n_examples,
@@ -231,15 +223,13 @@ def batch_log(spark: SparkSession, sf: str) -> DataFrame:
     """From chunk files to the written log of rank 0."""
     chunks = read_chunks(spark, _write_chunked_blocks(spark, sf), BLOCK_PAYLOAD)
     seed = F.col("chunk_idx") + F.lit(SEED + 1)
-    sampled = sample_positions(
-        chunks, BLOCK_KEYS, "chunk_position", SAMPLES_PER_CHUNK, seed=seed, groups=["chunk_idx"]
-    )
+    sampled = sample_positions(chunks, BLOCK_KEYS, "chunk_position", None, seed=seed, groups=["chunk_idx"])
     assigned = assign_ranks(sampled, WORLD, PER_DEVICE)
     payload = chunks.select("chunk_idx", *BLOCK_KEYS, "token_ids", "tgt_mask")
     loaded = load_examples(payload, assigned, ["chunk_idx", *BLOCK_KEYS])
     loaded = collated(loaded, ["chunk_idx", "rank", "batch_idx", "n_sampled"])
-    n_chunks = chunks.agg(F.max("chunk_idx")).first()[0] + 1
-    plan = batch_plan(loaded, n_chunks, SAMPLES_PER_CHUNK, WORLD, PER_DEVICE, ACCUMULATE)
+    n_chunks, largest = (x + 1 for x in chunks.agg(F.max("chunk_idx"), F.max("chunk_position")).first())
+    plan = batch_plan(loaded, n_chunks, largest, WORLD, PER_DEVICE, ACCUMULATE)
     path = fresh_path(spark, "log")
     write_batch_log(plan, path)
     log = read_batch_log(spark, path)

@@ -1,9 +1,10 @@
 """The stages end to end, each from one folder to the next.
 
-A stage reads what the stage before has written, so it can be run again by itself.
+A stage reads what the stage before has written, so it can be run again by itself: it
+replaces what it wrote before.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.keys import data_type_of
@@ -23,43 +24,67 @@ from packwright.operators.examples import target_flag
 from packwright.operators.packing import CONTEXT_LENGTH, pack_parts
 from packwright.operators.pending import last_checkpoint
 from packwright.operators.shuffling import CHUNK_SIZE, SEED, shuffle_into_chunks
+from packwright.session import staging
 from packwright.sources.records import CHAT_SCHEMA, TEXT_SCHEMA, read_result_files
 from packwright.sources.sinks import read_blocks, read_chunks, write_batch_log, write_blocks, write_chunks, write_rank_batches
 
-# Order of a record in its file: where the split starts, the row in the split, the turn.
-FILE_ORDER = ("part_start", "row_in_part", "turn")
+# Order of a record: its file, where the split starts, the row in the split, the turn. A file
+# is told by its whole path, as names repeat over folders.
+FILE_ORDER = ("file_id", "part_start", "row_in_part", "turn")
+PART = ("file_id", "part_start")
 SPAN_SCHEMA = (
-    "part_start bigint, row_in_part bigint, turn int, is_target int, token_ids array<int>, n bigint, start_in_part bigint, "
-    "data_type string, subset_name string"
+    "file_id bigint, part_start bigint, row_in_part bigint, turn int, is_target int, role string, text string, "
+    "reason string, token_ids array<int>, n bigint, start_in_part bigint, status string, data_type string, "
+    "subset_name string"
 )
 BLOCK_KEYS = ("data_type", "subset_name", "block_idx")
 BLOCK_SCHEMA = "token_ids array<int>, tgt_mask array<int>, data_type string, subset_name string, block_idx bigint"
 
 
 def read_turns(spark: SparkSession, paths: str) -> DataFrame:
-    """Texts of chat and plain records in file order, with the speaker's flag.
+    """Texts of chat and plain records in file order, with the speaker's flag and a ``reason``
+    where a line or turn cannot be used.
 
     One scan serves both kinds: the file name says which a record is. The order does
     not depend on how the files are split, and a plain text counts as one target turn.
     """
-    records = spark.read.schema(f"{CHAT_SCHEMA}, {TEXT_SCHEMA}").json(paths).select(
+    schema = f"{CHAT_SCHEMA}, {TEXT_SCHEMA}, _corrupt string"
+    records = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(paths).select(
         F.col("_metadata.file_name").alias("subset_name"),
+        F.xxhash64("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("part_start"),
         F.monotonically_increasing_id().alias("row_in_part"),
         "conversations",
         "markdown",
+        "_corrupt",
     )
     records = records.withColumn("data_type", data_type_of(F.col("subset_name")))
-    spoken = F.transform(
-        "conversations",
-        lambda t: F.struct(target_flag(t["from"]).alias("is_target"), t["from"].alias("role"), t["value"].alias("text")),
+
+    def turn(is_target: Column, role: Column, text: Column, reason: Column) -> Column:
+        return F.struct(
+            is_target.cast("int").alias("is_target"), role.alias("role"), text.alias("text"), reason.alias("reason")
+        )
+
+    def spoken(t: Column) -> Column:
+        flag = target_flag(t["from"])
+        unknown = F.concat(F.lit("unknown speaker "), F.coalesce(t["from"], F.lit("null")))
+        reason = F.when(t["value"].isNull(), F.lit("no text")).when(flag.isNull(), unknown)
+        return turn(flag, t["from"], t["value"], reason)
+
+    no_text = F.lit(None).cast("string")
+    is_chat = F.col("data_type") == "chat"
+    wrong = (
+        F.when(F.col("_corrupt").isNotNull(), "malformed line")
+        .when(is_chat & F.col("conversations").isNull(), "no conversations")
+        .when(~is_chat & F.col("markdown").isNull(), "no text")
     )
-    plain = F.array(
-        F.struct(F.lit(1).alias("is_target"), F.lit(None).cast("string").alias("role"), F.col("markdown").alias("text"))
+    turns = (
+        F.when(wrong.isNotNull(), F.array(turn(F.lit(None), no_text, F.col("_corrupt"), wrong)))
+        .when(is_chat, F.transform("conversations", spoken))
+        .otherwise(F.array(turn(F.lit(1), no_text, F.col("markdown"), no_text)))
     )
-    turns = F.when(F.col("data_type") == "chat", spoken).otherwise(plain)
     return records.select(
-        "data_type", "subset_name", "part_start", "row_in_part", F.posexplode(turns).alias("turn", "t")
+        "data_type", "subset_name", *FILE_ORDER[:-1], F.posexplode(turns).alias("turn", "t")
     ).select("data_type", "subset_name", *FILE_ORDER, "t.*")
 
 
@@ -71,35 +96,51 @@ def tokenize_files(
     window: int = WORDS_PER_WINDOW,
     mode: str = "quarantine",
 ) -> None:
-    """Raw line files to ``out/spans``; turns of unknown speakers to ``out/rejected``.
+    """Raw line files to ``out/spans``, in one pass; a second run replaces the first.
 
-    In ``fail`` mode an unknown speaker stops the job instead.
+    Its folder ``status=ok`` has the ids, ``status=rejected`` lines and turns that cannot
+    be used: malformed lines, fields that are missing or null, unknown speakers, each with
+    its ``reason``. In ``fail`` mode the first of them stops the job instead.
     """
     tok = tokenizer(spark, tokenizer_name, window)
     turns = read_turns(spark, paths)
     if mode == "fail":
-        problem = F.concat(F.lit("unknown speaker "), F.coalesce("role", F.lit("null")))
-        turns = turns.withColumn("is_target", F.coalesce("is_target", F.raise_error(problem).cast("int")))
-    elif mode == "quarantine":
-        rejected = turns.where(F.col("is_target").isNull())
-        rejected.drop("is_target").write.partitionBy("subset_name").parquet(f"{out}/rejected")
-        turns = turns.where(F.col("is_target").isNotNull())
-    else:
+        stop = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.col("subset_name"), F.lit(": "), F.col("reason"))))
+        turns = turns.withColumn("reason", stop.cast("string"))
+    elif mode != "quarantine":
         raise ValueError(f"unknown mode {mode!r}")
+    fine = F.col("reason").isNull()
     mark = F.when(F.col("is_target") == 1, eos_array(tok.eos_id)).otherwise(F.array().cast("array<int>"))
     ids = affix(tok.encode(F.coalesce("text", F.lit(""))), suffix=mark)
-    spans = turns.select("data_type", "subset_name", *FILE_ORDER, "is_target", ids.alias("token_ids"))
-    spans = spans.withColumn("n", n_tokens(F.col("token_ids")))
-    spans = spans.withColumn("start_in_part", start_in_part()("subset_name", "part_start", "n"))
-    by = ("data_type", "subset_name")
-    spans.hint("rebalance", *by).write.partitionBy(*by).parquet(f"{out}/spans")
+    spans = turns.select(
+        *FILE_ORDER,
+        "is_target",
+        "role",
+        F.when(~fine, F.col("text")).alias("text"),
+        "reason",
+        F.when(fine, ids).alias("token_ids"),
+        F.when(fine, "ok").otherwise("rejected").alias("status"),
+        "data_type",
+        "subset_name",
+    )
+    spans = spans.withColumn("n", F.coalesce(n_tokens(F.col("token_ids")), F.lit(0)).cast("bigint"))
+    spans = spans.withColumn("start_in_part", start_in_part()("file_id", "part_start", "n"))
+    by = ("status", "data_type", "subset_name")
+    spans.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{out}/spans")
+
+
+def tokenized_counts(spark: SparkSession, tokenized: str) -> DataFrame:
+    """Turns that were taken, and those set aside by reason."""
+    spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans")
+    return spans.groupBy("data_type", "subset_name", "status", "reason").agg(F.count("*").alias("n_turns"))
 
 
 def pack_spans(spark: SparkSession, tokenized: str, out: str, context_length: int = CONTEXT_LENGTH) -> None:
     """``tokenize_files`` output to blocks. Lengths and starts are columns of their own there,
     so offsets are worked out without reading an id."""
-    spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans")
-    write_blocks(pack_parts(spans, context_length), out, context_length)
+    spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans").where(F.col("status") == "ok")
+    with staging(spark):
+        write_blocks(pack_parts(spans, context_length, parts=PART), out, context_length, replace=True)
 
 
 def chunk_blocks(
@@ -120,7 +161,7 @@ def chunk_blocks(
         rows, BLOCK_KEYS, chunk_size=chunk_size, n_epochs=n_epochs, keep=keep, mode=mode, seed=seed
     )
     columns = ["token_ids", "tgt_mask", *BLOCK_KEYS, "chunk_position", "epoch", "chunk_idx"]
-    write_chunks(chunked.select(*columns), out, fmt)
+    write_chunks(chunked.select(*columns), out, fmt, "overwrite")
 
 
 def batch_chunks(
@@ -147,7 +188,8 @@ def batch_chunks(
     read = read_chunks(spark, chunks, BLOCK_SCHEMA, fmt)
     rows = read.where((F.col("epoch") == epoch) & (F.col("chunk_idx") > last) & (F.col("chunk_idx") < n_chunks))
     keys = ["chunk_idx", *BLOCK_KEYS]
-    chunk_seed = F.lit(seed + last + 1) + F.col("chunk_idx")
+    # Past the seed the chunks were cut by: that one would leave a chunk as it is.
+    chunk_seed = F.lit(seed + last + 2) + F.col("chunk_idx")
     sampled = sample_positions(
         rows, list(BLOCK_KEYS), "chunk_position", n_examples, seed=chunk_seed, groups=["chunk_idx"]
     )
@@ -161,14 +203,14 @@ def batch_chunks(
         "n_sampled",
         *[c.alias(name) for name, c in collate(F.col("token_ids"), F.col("tgt_mask")).items()],
     )
-    write_rank_batches(batches, f"{out}/batches")
+    write_rank_batches(batches, f"{out}/batches", mode="overwrite")
     written = spark.read.schema(batches.schema).parquet(f"{out}/batches")
     plan = batch_plan(written, n_chunks, n_examples, world_size, per_device_batch, accumulate)
-    write_batch_log(plan, f"{out}/log")
+    write_batch_log(plan, f"{out}/log", mode="overwrite")
 
 
 def report_results(spark: SparkSession, folder: str, digits: int | None = None) -> DataFrame:
-    """Suite scores of the result files in a folder."""
+    """Suite scores of the result files in a folder, by model (null where a name has none)."""
     documents = read_result_files(spark, folder)
-    parsed = documents.select("suite", parse_results(F.col("document")).alias("results"))
-    return suite_scores(look_up_metrics(parsed, []), [], digits)
+    parsed = documents.select("model", "suite", parse_results(F.col("document")).alias("results"))
+    return suite_scores(look_up_metrics(parsed, ["model"]), ["model"], digits)

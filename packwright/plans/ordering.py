@@ -24,7 +24,6 @@ from packwright.sources.tables import table
 KEY = ["o_orderkey"]
 CHUNK_SIZE = 4000
 N_EXAMPLES = 12001
-PER_CHUNK = 3500
 WORLD, PER_DEVICE, ACCUMULATE = 4, 10, 4
 
 ORDER_SQL = "md5('11111:' || epoch || ':' || o_orderkey), o_orderkey"
@@ -96,12 +95,13 @@ def shard_contiguous(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # Orders as the rows of one chunk file: their row number is the ordinal.
-SAMPLED_SQL = f"""
+def sampled_sql(where: str = "") -> str:
+    return f"""
 numbered AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS ordinal FROM orders),
 chosen AS (
   SELECT o_orderkey, ordinal, count(*) OVER () AS n_sampled,
          row_number() OVER (ORDER BY md5('11111:0:' || o_orderkey), o_orderkey) - 1 AS place
-  FROM numbered WHERE ordinal < {N_EXAMPLES}
+  FROM numbered {where}
 ),
 kept AS (
   SELECT *, place % {WORLD} AS rank, place // {WORLD} AS rank_position,
@@ -110,19 +110,23 @@ kept AS (
 )"""
 
 
-def _sampled(spark: SparkSession, sf: str, shuffle: bool = True) -> DataFrame:
+# The two sampling queries show the limit; the others run over all rows.
+FIRST_SQL, SAMPLED_SQL = sampled_sql(f"WHERE ordinal < {N_EXAMPLES}"), sampled_sql()
+
+
+def _sampled(spark: SparkSession, sf: str, n_examples: int | None = None, shuffle: bool = True) -> DataFrame:
     numbered = dense_positions(orders(spark, sf).select(*KEY), [], KEY, "ordinal")
-    return sample_positions(numbered, KEY, "ordinal", N_EXAMPLES, shuffle)
+    return sample_positions(numbered, KEY, "ordinal", n_examples, shuffle)
 
 
-@query(f"WITH {SAMPLED_SQL} SELECT o_orderkey, place AS sample_position, n_sampled FROM chosen")
+@query(f"WITH {FIRST_SQL} SELECT o_orderkey, place AS sample_position, n_sampled FROM chosen")
 def sample_permuted(spark: SparkSession, sf: str) -> DataFrame:
-    return _sampled(spark, sf).select("o_orderkey", "sample_position", "n_sampled")
+    return _sampled(spark, sf, N_EXAMPLES).select("o_orderkey", "sample_position", "n_sampled")
 
 
-@query(f"WITH {SAMPLED_SQL} SELECT o_orderkey, ordinal AS sample_position, n_sampled FROM chosen")
+@query(f"WITH {FIRST_SQL} SELECT o_orderkey, ordinal AS sample_position, n_sampled FROM chosen")
 def sample_in_order(spark: SparkSession, sf: str) -> DataFrame:
-    return _sampled(spark, sf, shuffle=False).select("o_orderkey", "sample_position", "n_sampled")
+    return _sampled(spark, sf, N_EXAMPLES, shuffle=False).select("o_orderkey", "sample_position", "n_sampled")
 
 
 @query(f"WITH {SAMPLED_SQL} SELECT o_orderkey, place AS sample_position FROM kept")
@@ -174,15 +178,15 @@ p AS (SELECT o_orderkey, n, pos % n AS chunk_idx, pos // n AS chunk_pos FROM c),
 chosen AS (
   SELECT *, count(*) OVER (PARTITION BY chunk_idx) AS n_sampled, row_number() OVER (PARTITION BY chunk_idx
            ORDER BY md5(({SEED + 1} + chunk_idx) || ':0:' || o_orderkey), o_orderkey) - 1 AS place
-  FROM p WHERE chunk_pos < {PER_CHUNK}
+  FROM p
 ),
 kept AS (SELECT *, place % {WORLD} AS rank, place // {WORLD * PER_DEVICE} AS batch_idx FROM chosen
          WHERE place < n_sampled // {WORLD * PER_DEVICE} * {WORLD * PER_DEVICE}),
 steps AS (
   SELECT chunk_idx, rank, batch_idx, count(*) AS n_examples,
-         chunk_idx * (any_value(n_sampled) // {WORLD * PER_DEVICE}) + batch_idx AS before,
-         any_value(n) * ({PER_CHUNK} // {WORLD * PER_DEVICE}) AS total
-  FROM kept GROUP BY chunk_idx, rank, batch_idx
+         chunk_idx * (any_value(largest) // {WORLD * PER_DEVICE}) + batch_idx AS before,
+         any_value(n) * (any_value(largest) // {WORLD * PER_DEVICE}) AS total
+  FROM kept, (SELECT max(n_sampled) AS largest FROM chosen) GROUP BY chunk_idx, rank, batch_idx
 ),
 warm AS (SELECT *, floor(total * 0.1::DOUBLE) AS w FROM steps)
 SELECT chunk_idx, rank::INT AS rank, batch_idx, n_examples::BIGINT AS n_examples, (before + 1)::BIGINT AS step,
@@ -194,10 +198,10 @@ def batch_plan(spark: SparkSession, sf: str) -> DataFrame:
     the same seed would repeat the order the chunks were cut in."""
     chunks = stage(assign_chunks(orders(spark, sf), KEY, CHUNK_SIZE), "chunks")
     seed = F.col("chunk_idx") + F.lit(SEED + 1)
-    sampled = sample_positions(chunks, KEY, "chunk_position", PER_CHUNK, seed=seed, groups=["chunk_idx"])
+    sampled = sample_positions(chunks, KEY, "chunk_position", None, seed=seed, groups=["chunk_idx"])
     assigned = rank_samples(sampled, WORLD, PER_DEVICE)
-    n_chunks = chunks.agg(F.max("n_chunks")).first()[0]
-    plan = plan_batches(assigned, n_chunks, PER_CHUNK, WORLD, PER_DEVICE, ACCUMULATE)
+    n_chunks, last = chunks.agg(F.max("n_chunks"), F.max("chunk_position")).first()
+    plan = plan_batches(assigned, n_chunks, last + 1, WORLD, PER_DEVICE, ACCUMULATE)
     return plan.withColumn("learning_rate", F.round("learning_rate", 12))
 
 

@@ -4,10 +4,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.integers import div
-from packwright.functions.text import array_total, ids_digest
+from packwright.functions.text import array_total, ids_digest, n_tokens
 from packwright.functions.tokenizers import tokenizer
 from packwright.operators.examples import text_spans, with_mask
-from packwright.operators.packing import pack, packing_report, token_offsets as place_examples
+from packwright.operators.offsets import running_offsets
+from packwright.operators.packing import SUBSET, pack, packing_report, token_offsets as place_examples, unpack
 from packwright.plans.inputs import (
     BLOCK,
     BLOCK_ROWS_SQL,
@@ -16,15 +17,19 @@ from packwright.plans.inputs import (
     chat_blocks_sql,
     conversation_spans,
     doc_blocks_sql,
+    document_examples,
     document_spans,
     documents,
 )
 from packwright.plans.registry import query
-from packwright.session import fresh_path
+from packwright.session import fresh_path, stage
+from packwright.sources.records import PLACE, read_tokenized_files
 from packwright.sources.tables import spread
 from packwright.streaming.packing import StreamPacker
 
 ARRIVALS = 3
+# Small, so that tables of this size spread over the tasks; jobs on large ones raise it.
+TOKENS_PER_RUN = 1 << 18
 
 
 def block_rows(blocks: DataFrame) -> DataFrame:
@@ -52,7 +57,7 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH {doc_blocks_sql()} SELECT {BLOCK_ROWS_SQL} FROM doc_blocks")
 def pack_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return block_rows(pack(document_spans(spark, sf), BLOCK))
+    return block_rows(pack(document_spans(spark, sf), BLOCK, tokens_per_run=TOKENS_PER_RUN))
 
 
 @query(f"WITH {chat_blocks_sql()} SELECT {BLOCK_ROWS_SQL} FROM chat_blocks")
@@ -61,15 +66,47 @@ def pack_chat(spark: SparkSession, sf: str) -> DataFrame:
     return block_rows(pack(conversation_spans(spark, sf), CHAT_BLOCK, keys=("conv_id", "turn")))
 
 
-@query()
+def _packed_and_back(spans: DataFrame, keys: list[str], length: int, name: str) -> DataFrame:
+    """Pack, cut every example out of the blocks again and decode it."""
+    tok = tokenizer(spans.sparkSession, name)
+    tokens = stage(spans.withColumn("n", n_tokens(F.col("token_ids"))), "tokens")
+    blocks = stage(pack(tokens, length, keys=keys, staged=False, tokens_per_run=TOKENS_PER_RUN), "blocks")
+    offsets = running_offsets(tokens.where("n > 0").select(*SUBSET, *keys, "n"), SUBSET, keys, "n").drop("n")
+    placed = tokens.where("n > 0").join(offsets, [*SUBSET, *keys])
+    found = unpack(blocks, placed, keys, length).join(tokens.select(*keys, "is_target"), keys)
+    ids = F.col("token_ids")
+    marked = F.element_at(ids, -1) == tok.eos_id
+    text = tok.decode(F.when(marked, F.slice(ids, 1, F.size(ids) - 1)).otherwise(ids))
+    return found.select(*keys, marked.alias("has_mark"), text.alias("text")).select(
+        *keys, "has_mark", F.md5("text").alias("text_md5"), F.length("text").cast("bigint").alias("n_chars")
+    )
+
+
+@query("SELECT doc_id, true AS has_mark, md5(text) AS text_md5, length(text)::BIGINT AS n_chars FROM documents")
 def bpe_pack_documents(spark: SparkSession, sf: str) -> DataFrame:
-    return block_rows(pack(document_spans(spark, sf, "piece_bpe_32k"), BLOCK))
+    return _packed_and_back(document_spans(spark, sf, "piece_bpe_32k"), ["doc_id"], BLOCK, "piece_bpe_32k")
 
 
-@query()
+# A turn without text and without an end mark takes no place in the blocks.
+@query("""
+SELECT conv_id, turn, role = 'assistant' AS has_mark, md5(text) AS text_md5, length(text)::BIGINT AS n_chars
+FROM conversations WHERE text <> '' OR role = 'assistant'
+""")
 def bpe_pack_chat(spark: SparkSession, sf: str) -> DataFrame:
     spans = conversation_spans(spark, sf, "piece_bpe_32k")
-    return block_rows(pack(spans, CHAT_BLOCK, keys=("conv_id", "turn")))
+    return _packed_and_back(spans, ["conv_id", "turn"], CHAT_BLOCK, "piece_bpe_32k")
+
+
+@query(f"WITH {doc_blocks_sql()} SELECT {BLOCK_ROWS_SQL} FROM doc_blocks")
+def pack_tokenized_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents' ids as lines in a folder per subset, read with their place and packed."""
+    root = fresh_path(spark, "lines")
+    examples = stage(document_examples(spark, sf), "examples")
+    for (subset,) in examples.select("subset_name").distinct().collect():
+        lines = examples.where(F.col("subset_name") == subset).orderBy("doc_id").select("token_ids", "tgt_mask")
+        lines.write.json(f"{root}/text/{subset}")
+    known, _ = read_tokenized_files(spark, f"{root}/*/*", subset_from_end=2)
+    return block_rows(pack(known, BLOCK, keys=PLACE))
 
 
 @query(f"""

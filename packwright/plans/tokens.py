@@ -3,23 +3,25 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.text import affix, array_total, ids_digest, n_tokens, word_ids, words
+from packwright.functions.text import affix, array_total, constant_mask, ids_digest, n_tokens, word_ids, words
 from packwright.functions.tokenizers import tokenizer
 from packwright.operators.checks import check_rules as count_violations, same_length
 from packwright.operators.examples import (
     chat_examples as gather_examples,
+    chat_spans,
     example_from_json,
     example_to_json,
     flag_turns,
     target_flag,
+    text_spans,
     token_stats as count_tokens,
+    token_sums,
+    with_mask,
 )
 from packwright.plans.inputs import CHAT_TOKENS, DOC_TOKENS, conversation_spans, document_examples
 from packwright.plans.registry import query
 from packwright.sources.tables import spread, table
 
-TURNS_PER_ROW = 4
-
 
 @query("""
 SELECT conv_id, turn, role, CASE WHEN role = 'assistant' THEN 1 ELSE 0 END AS is_target
@@ -51,28 +53,62 @@ def word_tokens(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# Ids below this are in the vocabulary.
+VOCABULARY_SIZES = {"piece_bpe_32k": 32000, "byte_bpe_50k": 50256}
+# Bytes of rare letters can be more ids than a very short text has characters.
+ENOUGH_CHARS = 100
+
+
 def _roundtrip(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Text by way of its ids; all of them in the vocabulary, and fewer than the characters
+    wherever there are enough of those."""
     tok = tokenizer(rows.sparkSession, name)
-    back = tok.decode(tok.encode(F.col("text")))
-    return rows.select(*keys, F.md5(back).alias("text_md5"))
+    encoded = rows.select(*keys, F.length("text").alias("chars"), tok.encode(F.col("text")).alias("ids"))
+    known = F.forall("ids", lambda i: (i >= 0) & (i < VOCABULARY_SIZES[name]))
+    fewer = (F.size("ids") < F.col("chars")) | (F.col("chars") < ENOUGH_CHARS)
+    return encoded.select(
+        *keys, F.md5(tok.decode(F.col("ids"))).alias("text_md5"), known.alias("known_ids"), fewer.alias("fewer_ids")
+    )
+
 
+@query("SELECT doc_id, md5(text) AS text_md5, true AS known_ids, true AS fewer_ids FROM documents")
+def byte_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    return _roundtrip(docs, ["doc_id"], "byte_bpe_50k")
 
-@query("SELECT doc_id, md5(text) AS text_md5 FROM documents")
+
+@query("SELECT doc_id, md5(text) AS text_md5, true AS known_ids, true AS fewer_ids FROM documents")
 def bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
     return _roundtrip(docs, ["doc_id"], "piece_bpe_32k")
 
 
-@query("SELECT conv_id, turn, md5(text) AS text_md5 FROM conversations")
+@query("SELECT conv_id, turn, md5(text) AS text_md5, true AS known_ids, true AS fewer_ids FROM conversations")
 def bpe_roundtrip_turns(spark: SparkSession, sf: str) -> DataFrame:
     turns = spread(table(spark, sf, "conversations").select("conv_id", "turn", "text"), "conv_id", "turn")
     return _roundtrip(turns, ["conv_id", "turn"], "piece_bpe_32k")
 
 
-@query()
+@query("""
+SELECT lang AS subset_name, count(*)::BIGINT AS n_examples, sum(length(text))::BIGINT AS n_chars,
+       true AS all_targets, true AS fewer_ids
+FROM documents GROUP BY lang
+""")
 def bpe_token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    """Subword tokens per language."""
-    return count_tokens(document_examples(spark, sf, "piece_bpe_32k"), ["subset_name"])
+    """Subword tokens per language. SQL has no vocabulary, so it sees the characters that the
+    ids decode to, and that they are fewer and all targets."""
+    examples = document_examples(spark, sf, "piece_bpe_32k")
+    tok = tokenizer(spark, "piece_bpe_32k")
+    text = tok.decode(F.slice("token_ids", 1, F.size("token_ids") - 1))
+    decoded = examples.select("subset_name", "token_ids", "tgt_mask", F.length(text).alias("chars"))
+    chars = decoded.groupBy("subset_name").agg(F.sum("chars").alias("n_chars"), *token_sums())
+    return chars.select(
+        "subset_name",
+        "n_examples",
+        "n_chars",
+        (F.col("n_tokens") == F.col("n_target_tokens")).alias("all_targets"),
+        (F.col("n_tokens") < F.col("n_chars")).alias("fewer_ids"),
+    )
 
 
 @query("""
@@ -111,17 +147,16 @@ def token_affixes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"""
 WITH {CHAT_TOKENS}
-SELECT conv_id, (turn // {TURNS_PER_ROW})::BIGINT AS part, count(*)::BIGINT AS n_tokens,
+SELECT conv_id, count(*)::BIGINT AS n_tokens,
        sum(m)::BIGINT AS n_targets,
        md5(array_to_string(list(id ORDER BY turn, i), ',')) AS ids_md5,
        md5(array_to_string(list(m ORDER BY turn, i), ',')) AS mask_md5
 FROM chat_tokens GROUP BY ALL
 """)
 def chat_examples(spark: SparkSession, sf: str) -> DataFrame:
-    examples = gather_examples(conversation_spans(spark, sf), [], turns_per_row=TURNS_PER_ROW)
+    examples = gather_examples(conversation_spans(spark, sf), [])
     return examples.select(
         "conv_id",
-        "part",
         n_tokens(F.col("token_ids")).alias("n_tokens"),
         array_total(F.col("tgt_mask")).alias("n_targets"),
         ids_digest(F.col("token_ids")).alias("ids_md5"),
@@ -174,12 +209,9 @@ SELECT lang, source, count(*)::BIGINT AS n_examples, sum(n)::BIGINT AS n_tokens,
 FROM t GROUP BY ALL
 """)
 def token_stats(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "documents").select("doc_id", "lang", "source")
-    examples = document_examples(spark, sf).drop("data_type", "subset_name")
-    sized = examples.select(
-        "doc_id", F.col("token_ids"), F.col("tgt_mask")
-    ).join(names, "doc_id")
-    return count_tokens(sized, ["lang", "source"])
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "source", "text"), "doc_id")
+    spans = text_spans(docs, tokenizer(spark, "word_md5"), ["lang", "source"])
+    return count_tokens(with_mask(spans), ["lang", "source"])
 
 
 @query("""
@@ -196,17 +228,16 @@ FROM (
 GROUP BY rule
 """)
 def check_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """The mask is the one the examples get; an unknown speaker has none."""
     turns = flag_turns(table(spark, sf, "conversations"))
-    ids = word_ids(F.col("text"))
-    rows = turns.select(
-        "role", "text", "is_target", ids.alias("ids"), F.transform(ids, lambda _: F.lit(1)).alias("mask")
-    )
+    spans = chat_spans(turns, tokenizer(spark, "word_md5"), ["role", "text"])
+    rows = spans.withColumn("tgt_mask", constant_mask(F.col("is_target"), F.col("token_ids")))
     return count_violations(
         rows,
         {
             "known_speaker": F.col("is_target").isNotNull(),
             "speaker_is_no_system": F.col("role") != "system",
-            "mask_as_long_as_ids": same_length(F.col("ids"), F.col("mask")),
+            "mask_as_long_as_ids": same_length(F.col("token_ids"), F.col("tgt_mask")),
             "text_not_short": F.size(words(F.col("text"))) >= 8,
         },
     )

@@ -2,6 +2,8 @@
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +22,18 @@ SETTINGS = {
 }
 
 _own_dirs: dict[str, str] = {}
+# What has been staged inside the innermost ``staging``.
+_staged: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a folder of our own only where none is set."""
+    """The shared folder of the session; a folder of our own only where none is set and the
+    session is local. On several machines each would write to a disk of its own."""
     configured = spark.conf.get(CHECKPOINT_DIR, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that all machines share")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
         _own_dirs[app] = tempfile.mkdtemp(prefix="packwright-")
@@ -49,6 +56,18 @@ def drop(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Drop the tables staged inside at the end: what needed them has been written by then."""
+    outer, _staged[:] = list(_staged), []
+    try:
+        yield
+    finally:
+        for path in _staged:
+            drop(spark, path.rsplit("/", 1)[0])
+        _staged[:] = outer
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and go on from the written table.
 
@@ -56,5 +75,6 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     prunes columns, and a lost executor does not make the work start over.
     """
     path = fresh_path(df.sparkSession, name)
+    _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

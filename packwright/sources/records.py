@@ -2,10 +2,12 @@
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.keys import DATA_TYPES, TEXT_FILES, data_type_of, path_part
+from packwright.session import stage
 
 CHAT_SCHEMA = "conversations array<struct<`from`: string, `value`: string>>"
 TEXT_SCHEMA = "markdown string"
@@ -38,16 +40,47 @@ def source_path() -> Column:
     return F.col("_metadata.file_path")
 
 
-def read_tokenized_files(spark: SparkSession, paths: str | Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Tokenized line files laid out as ``<data_type>/<subset file>``.
+# Where a row stands: the number of its file in order of paths, its split, its row there.
+PLACE = ("file_no", "part_start", "row_in_part")
 
-    Returns the examples, and a count of rows per folder that is no known data type.
+
+def _path_key(path: Column) -> Column:
+    """Readers write the same path with one or with three slashes after the scheme."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def numbered_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """``path_key, file_no``: files in order of their paths; only names are read."""
+    files = spark.read.format("binaryFile").load(paths).select(_path_key(F.col("path")).alias("path_key"))
+    numbers = files.distinct().orderBy("path_key").select("path_key", F.monotonically_increasing_id().alias("file_no"))
+    return stage(numbers, "file-numbers")
+
+
+def read_tokenized_files(
+    spark: SparkSession, paths: str | Sequence[str], subset_from_end: int = 1
+) -> tuple[DataFrame, DataFrame]:
+    """Tokenized line files laid out as ``<data_type>/<subset file>``, with their place.
+
+    Returns the examples, and a count of rows per folder that is no known data type. A
+    line that is malformed, lacks a field or has a mask of another length is an error. If
+    a subset is a folder of files, it is the second part of the path from the end.
     """
-    read = spark.read.schema(EXAMPLE_SCHEMA).json(paths).select(
-        path_part(source_path(), 2).alias("data_type"),
-        path_part(source_path(), 1).alias("subset_name"),
+    schema = f"{EXAMPLE_SCHEMA}, _corrupt string"
+    read = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(paths).select(
+        path_part(source_path(), subset_from_end + 1).alias("data_type"),
+        path_part(source_path(), subset_from_end).alias("subset_name"),
+        _path_key(source_path()).alias("path_key"),
+        F.col("_metadata.file_block_start").alias("part_start"),
+        F.monotonically_increasing_id().alias("row_in_part"),
         "token_ids",
         "tgt_mask",
+        "_corrupt",
+    )
+    sound = F.col("_corrupt").isNull() & (F.size("token_ids") == F.size("tgt_mask"))
+    problem = F.raise_error(F.concat(F.lit("not an example: a line of "), F.col("path_key"))).cast("array<int>")
+    read = read.withColumn("token_ids", F.when(sound, F.col("token_ids")).otherwise(problem))
+    read = read.join(numbered_files(spark, paths), "path_key").select(
+        "data_type", "subset_name", *PLACE, "token_ids", "tgt_mask"
     )
     known = F.col("data_type").isin(*DATA_TYPES)
     rejected = read.where(~known).groupBy("data_type").agg(F.count("*").alias("n_rejected"))
@@ -59,8 +92,34 @@ def count_records(df: DataFrame, groups: Sequence[str]) -> DataFrame:
 
 
 def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluation results in a folder, one document per row; absent ones are simply not there."""
+    """Evaluation results in a folder, one document per row; absent ones are simply not there.
+
+    A file is named ``eval_<model>_<suite>.json``, or ``eval_<suite>.json`` inside a model's folder.
+    """
     read = spark.read.text(folder, wholetext=True, pathGlobFilter="eval_*.json")
     name = path_part(source_path(), 1)
-    suite = F.regexp_extract(name, r"([^_]+)\.json$", 1)
-    return read.select(name.alias("file_name"), suite.alias("suite"), F.col("value").alias("document"))
+    named = r"^eval_(?:(.+)_)?([^_]+)\.json$"
+    model = F.regexp_extract(name, named, 1)
+    return read.select(
+        name.alias("file_name"),
+        F.when(model != "", model).alias("model"),
+        F.regexp_extract(name, named, 2).alias("suite"),
+        F.col("value").alias("document"),
+    )
+
+
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``path`` of every file below a folder, and of every folder with a file in it.
+
+    Only names are read. An empty or absent folder has no rows.
+    """
+    try:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string")
+    parts = F.split("path", "/")
+    depth = len([p for p in folder.rstrip("/").split("/") if p]) + 1
+    above = F.transform(F.sequence(F.lit(depth), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    return files.select(F.explode(above).alias("path")).distinct()

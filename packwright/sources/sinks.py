@@ -10,6 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from packwright.functions.integers import div
+
 ARRAYS = "token_ids array<int>, tgt_mask array<int>"
 
 
@@ -30,11 +32,20 @@ def read_tokenized(spark: SparkSession, path: str, keys: str, fmt: str = "parque
 
 
 def write_blocks(
-    blocks: DataFrame, path: str, context_length: int, fmt: str = "parquet", mode: str = "append"
+    blocks: DataFrame, path: str, context_length: int, fmt: str = "parquet", replace: bool = False
 ) -> None:
-    """By length, type and subset. ``pack`` has put runs of blocks together already."""
-    by = ("context_length", "data_type", "subset_name")
-    _write(blocks.withColumn("context_length", F.lit(context_length)), path, by, fmt, mode)
+    """By length, type and subset. ``pack`` has put runs of blocks together already.
+
+    Subsets that were written before are replaced, with ``replace`` all blocks of the length,
+    so a second run leaves no block twice.
+    """
+    by = ("data_type", "subset_name")
+    if replace:
+        _write(blocks, f"{path}/context_length={context_length}", by, fmt, "overwrite")
+        return
+    lengths = blocks.withColumn("context_length", F.lit(context_length))
+    writer = lengths.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").format(fmt)
+    writer.partitionBy("context_length", *by).save(path)
 
 
 def read_blocks(spark: SparkSession, path: str, context_length: int, fmt: str = "parquet") -> DataFrame:
@@ -45,11 +56,22 @@ def read_blocks(spark: SparkSession, path: str, context_length: int, fmt: str =
 
 
 CHUNK_BY = ("epoch", "chunk_idx")
+# 4,096 blocks of 8,192 tokens are 268 MB of ids and masks.
+ROWS_PER_FILE = 4096
 
 
-def write_chunks(chunked: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """One folder per chunk, its rows in chunk order. A chunk is of bounded size, so it is one file."""
-    placed = chunked.repartition(*CHUNK_BY).sortWithinPartitions(*CHUNK_BY, "chunk_position")
+def write_chunks(
+    chunked: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    mode: str = "errorifexists",
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
+    """One folder per chunk. A task writes runs of ``rows_per_file`` places, in order; a
+    chunk of long blocks is gigabytes, so it is not one task's."""
+    piece = div(F.col("chunk_position"), rows_per_file)
+    placed = chunked.withColumn("_piece", piece).repartition(*CHUNK_BY, "_piece")
+    placed = placed.sortWithinPartitions(*CHUNK_BY, "chunk_position").drop("_piece")
     _write(placed, path, CHUNK_BY, fmt, mode)
 
 
@@ -71,6 +93,20 @@ def write_rank_batches(batches: DataFrame, path: str, fmt: str = "parquet", mode
     _write(placed, path, by, fmt, mode)
 
 
+def write_named_texts(rows: DataFrame, folder: str) -> None:
+    """A file of its own for each row of ``name, text``: result files and markers, of which
+    there are a few per model. They go through the driver one by one."""
+    spark = rows.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name, text in rows.select("name", "text").toLocalIterator():
+        path = hadoop.Path(f"{folder}/{name}")
+        out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path, True)
+        try:
+            out.write(text.encode())
+        finally:
+            out.close()
+
+
 def write_batch_log(plan: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """The steps of rank 0, one line each, by chunk."""
     steps = plan.where(F.col("rank") == 0).repartition("chunk_idx").sortWithinPartitions("chunk_idx", "step")

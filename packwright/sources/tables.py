@@ -12,19 +12,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# What one task should read at least before a scan counts as spread out: the usual size
-# of a row group, below which a Parquet file is not cut any further.
-BYTES_PER_TASK = 128 * 1024 * 1024
+# Tasks for scans of costly row work; without it a scan is cut as the reader cuts it.
+SCAN_TASKS = "packwright.scan.tasks"
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give a scan of few, small files a task per core before costly row work.
+    """Deal a scan out to as many tasks as the session's ``packwright.scan.tasks`` says.
 
-    A scan of at least one row group per core stays as it is, so at scale no text is
-    shuffled for this.
+    For few, small files on many cores. It is never decided here: large tables have their
+    own splits, and dealing them out would shuffle all texts.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size >= cores * BYTES_PER_TASK:
-        return df
-    return df.repartition(cores, *keys)
+    tasks = df.sparkSession.conf.get(SCAN_TASKS, None)
+    return df.repartition(int(tasks), *keys) if tasks else df

@@ -30,10 +30,10 @@ def turns(spark):
     return spark.createDataFrame(TURNS, "conv_id bigint, turn bigint, role string, text string")
 
 
-def examples(spark, turns, turns_per_row=4096):
+def examples(spark, turns):
     tok = tokenizer(spark, "piece_bpe_32k")
     spans = chat_spans(split_turns(turns)[0], tok, ["conv_id", "turn"])
-    rows = chat_examples(spans, [], turns_per_row=turns_per_row).orderBy("conv_id", "part").collect()
+    rows = chat_examples(spans, []).orderBy("conv_id").collect()
     found = {}
     for r in rows:
         ids, mask = found.setdefault(r.conv_id, ([], []))
@@ -55,8 +55,11 @@ def test_end_mark_and_mask(spark, turns):
     assert 3 not in got
 
 
-def test_long_conversations_in_parts_are_the_same(spark, turns):
-    assert examples(spark, turns, turns_per_row=2) == examples(spark, turns)
+def test_a_long_conversation_is_one_example(spark):
+    turns = spark.range(5000).selectExpr("1L AS conv_id", "id AS turn", "'gpt' AS role", "concat('w', id) AS text")
+    tok = tokenizer(spark, "word_md5")
+    row = chat_examples(chat_spans(split_turns(turns)[0], tok, ["conv_id", "turn"]), []).collect()
+    assert [len(r.token_ids) for r in row] == [10000] and sum(row[0].tgt_mask) == 10000
 
 
 def test_unknown_speaker(spark, turns):

@@ -74,8 +74,10 @@ def test_unknown_speakers(spark, tmp_path):
     turns = [{"from": "robot", "value": "x"}, {"from": "gpt", "value": "y"}]
     (tmp_path / "a.jsonl").write_text(json.dumps({"conversations": turns}) + "\n")
     jobs.tokenize_files(spark, f"{tmp_path}/a.jsonl", f"{tmp_path}/out", "word_md5")
-    assert [r.role for r in spark.read.parquet(f"{tmp_path}/out/rejected").collect()] == ["robot"]
-    assert [r.turn for r in spark.read.parquet(f"{tmp_path}/out/spans").collect()] == [1]
+    spans = spark.read.parquet(f"{tmp_path}/out/spans").collect()
+    assert [(r.status, r.turn, r.role, r.reason) for r in sorted(spans, key=lambda r: r.turn)] == [
+        ("rejected", 0, "robot", "unknown speaker robot"), ("ok", 1, "gpt", None)
+    ]
     with pytest.raises(Exception, match="unknown speaker robot"):
         jobs.tokenize_files(spark, f"{tmp_path}/a.jsonl", f"{tmp_path}/other", "word_md5", mode="fail")
 
@@ -111,8 +113,76 @@ def test_blocks_to_batches(spark, raw, tmp_path):
 def test_report(spark, tmp_path):
     result = {"results": {"gsm8k": {"acc,none": 0.25}}}
     (tmp_path / "eval_gsm8k.json").write_text(json.dumps(result))
+    for model, value in (("m1", 0.2), ("m_2", 0.8)):
+        (tmp_path / f"eval_{model}_gsm8k.json").write_text(json.dumps({"results": {"gsm8k": {"acc,none": value}}}))
     rows = jobs.report_results(spark, str(tmp_path)).collect()
-    assert [r.report_line for r in rows] == ["gsm8k: acc = 0.25"]
+    assert {r.model: r.report_line for r in rows} == {
+        None: "gsm8k: acc = 0.25", "m1": "gsm8k: acc = 0.2", "m_2": "gsm8k: acc = 0.8"
+    }
+
+
+BAD_CHATS = ['{"conversations": [', '{"other": 1}', '{"conversations": [{"from": "gpt", "value": null}]}', '{"conversations": 5}']
+BAD_TEXTS = ['{"markdown": ', '{"text": "x"}', '{"markdown": null}']
+
+
+def test_unusable_lines_are_set_aside_with_a_reason(spark, tmp_path):
+    good = json.dumps({"conversations": [{"from": "gpt", "value": "y"}]})
+    (tmp_path / "a.jsonl").write_text("\n".join([*BAD_CHATS, good]) + "\n")
+    (tmp_path / "textbooks.jsonl").write_text("\n".join([*BAD_TEXTS, '{"markdown": "z"}']) + "\n")
+    jobs.tokenize_files(spark, f"{tmp_path}/*.jsonl", f"{tmp_path}/out", "word_md5")
+    counts = {(r.data_type, r.status, r.reason): r.n_turns for r in jobs.tokenized_counts(spark, f"{tmp_path}/out").collect()}
+    assert counts == {
+        ("chat", "ok", None): 1, ("chat", "rejected", "malformed line"): 2, ("chat", "rejected", "no conversations"): 1,
+        ("chat", "rejected", "no text"): 1, ("text", "ok", None): 1, ("text", "rejected", "malformed line"): 1,
+        ("text", "rejected", "no text"): 2,
+    }
+    for name in ("a.jsonl", "textbooks.jsonl"):
+        with pytest.raises(Exception, match="malformed line|no conversations|no text"):
+            jobs.tokenize_files(spark, f"{tmp_path}/{name}", f"{tmp_path}/other", "word_md5", mode="fail")
+
+
+def test_equal_names_in_two_folders(spark, tmp_path):
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.jsonl").write_text(
+            "".join(json.dumps({"conversations": [{"from": "user", "value": f"{folder}{i} c"}]}) + "\n" for i in range(20))
+        )
+    jobs.tokenize_files(spark, f"{tmp_path}/*/x.jsonl", f"{tmp_path}/out", "word_md5")
+    jobs.pack_spans(spark, f"{tmp_path}/out", f"{tmp_path}/blocks", LENGTH)
+    blocks = sorted(jobs.read_blocks(spark, f"{tmp_path}/blocks", LENGTH).collect(), key=lambda r: r.block_idx)
+    assert [len(r.token_ids) for r in blocks] == [LENGTH] * 5
+    ids = list(itertools.chain.from_iterable(r.token_ids for r in blocks))
+    one = {f: list(itertools.chain.from_iterable(plain_ids(f"{f}{i} c") for i in range(20))) for f in "ab"}
+    assert ids in (one["a"] + one["b"], one["b"] + one["a"])
+
+
+def test_a_second_run_changes_nothing(spark, raw, tmp_path):
+    folder, streams = raw
+
+    def run():
+        jobs.tokenize_files(spark, f"{folder}/*.jsonl", f"{tmp_path}/t", "word_md5")
+        jobs.pack_spans(spark, f"{tmp_path}/t", f"{tmp_path}/b", LENGTH)
+        jobs.chunk_blocks(spark, f"{tmp_path}/b", f"{tmp_path}/c", LENGTH, chunk_size=30)
+        jobs.batch_chunks(spark, f"{tmp_path}/c", f"{tmp_path}/o", 2, 20, 2, 3)
+        return [
+            sorted(map(str, spark.read.parquet(f"{tmp_path}/{p}").collect())) for p in ("t/spans", "b", "c", "o/batches")
+        ] + [sorted(map(str, spark.read.json(f"{tmp_path}/o/log").collect()))]
+
+    assert run() == run()
+
+
+def test_every_chunk_is_permuted(spark, tmp_path):
+    rows = spark.range(2000).selectExpr(
+        "array(int(id)) AS token_ids", "array(1) AS tgt_mask", "'text' AS data_type", "'s' AS subset_name", "id AS block_idx"
+    )
+    jobs.write_blocks(rows, f"{tmp_path}/b", 1, replace=True)
+    jobs.chunk_blocks(spark, f"{tmp_path}/b", f"{tmp_path}/c", 1, chunk_size=500)
+    chunks = jobs.read_chunks(spark, f"{tmp_path}/c", jobs.BLOCK_SCHEMA)
+    place = {r.block_idx: (r.chunk_idx, r.chunk_position) for r in chunks.collect()}
+    seed = jobs.F.lit(jobs.SEED + 1) + jobs.F.col("chunk_idx")
+    sampled = jobs.sample_positions(chunks, list(jobs.BLOCK_KEYS), "chunk_position", None, seed=seed, groups=["chunk_idx"])
+    stayed = [r.sample_position == place[r.block_idx][1] for r in sampled.collect() if r.chunk_idx == 0]
+    assert len(stayed) == 400 and sum(stayed) < 20
 
 
 def test_both_ways_to_pack_agree(spark, raw, tmp_path, monkeypatch):
@@ -121,7 +191,7 @@ def test_both_ways_to_pack_agree(spark, raw, tmp_path, monkeypatch):
 
     folder, streams = raw
     jobs.tokenize_files(spark, f"{folder}/*.jsonl", f"{tmp_path}/tokenized", "word_md5")
-    spans = spark.read.schema(jobs.SPAN_SCHEMA).parquet(f"{tmp_path}/tokenized/spans")
+    spans = spark.read.schema(jobs.SPAN_SCHEMA).parquet(f"{tmp_path}/tokenized/spans").where("status = 'ok'")
     few = {key: () for key in jobs.FILE_ORDER}
 
     def collected(df):
@@ -129,9 +199,9 @@ def test_both_ways_to_pack_agree(spark, raw, tmp_path, monkeypatch):
 
     want = blocks_of(streams)
     by_keys = packing.pack(spans, LENGTH, keys=jobs.FILE_ORDER, staged=False, shifts=few)
-    by_parts = packing.pack_parts(spans, LENGTH)
+    by_parts = packing.pack_parts(spans, LENGTH, parts=jobs.PART)
     plan = by_parts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 1
     assert collected(by_keys) == collected(by_parts) == want
     monkeypatch.setattr(packing, "MOST_PARTS_BROADCAST", 0)
-    assert collected(packing.pack_parts(spans, LENGTH)) == want
+    assert collected(packing.pack_parts(spans, LENGTH, parts=jobs.PART)) == want

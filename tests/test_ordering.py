@@ -107,6 +107,16 @@ def test_plan_of_steps(spark):
     assert [r.learning_rate for r in first] == pytest.approx(rates)
 
 
+def test_steps_of_a_short_chunk_do_not_collide(spark):
+    sizes = [10, 10, 4, 10]
+    rows = spark.createDataFrame([(c, i) for c, n in enumerate(sizes) for i in range(n)], "chunk_idx bigint, k bigint")
+    rows = rows.withColumn("ordinal", F.col("k"))
+    sampled = sample_positions(rows, ["k"], "ordinal", 10, groups=["chunk_idx"])
+    plan = batch_plan(assign_ranks(sampled, 1, 2), 4, 10, 1, 2).collect()
+    steps = {c: sorted(r.step for r in plan if r.chunk_idx == c) for c in range(4)}
+    assert steps == {0: [1, 2, 3, 4, 5], 1: [6, 7, 8, 9, 10], 2: [11, 12], 3: [16, 17, 18, 19, 20]}
+
+
 def test_schedule_ends(spark):
     def rates(total, warm, end=0.0):
         col = cosine_rate(F.col("id"), total, warm, 1.0, end)
