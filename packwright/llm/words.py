@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-BYTES_PER_SLICE = 2 << 20
+BYTES_PER_SLICE = 1 << 20
 
 # Odd multipliers of the hashes (any odd numbers do).
 RADIX = 0x9E3779B97F4A7C15
