@@ -164,6 +164,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.spec = parse_model(model)
+        self.cuttable = self.spec.cuttable
         self.tokenizer = build(self.spec)
         self.bare = Tokenizer(self.tokenizer.model)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=model + NO_DUMMY_PREFIX)
@@ -180,7 +181,7 @@ class Encoder:
 
     def cuts(self, text: str) -> list[str]:
         whole = self.normalize(text)
-        return self.cut.findall(whole) if self.spec.cuttable else [whole] if whole else []
+        return self.cut.findall(whole) if self.cuttable else [whole] if whole else []
 
     def learn(self, texts: set[str]) -> None:
         new = sorted(texts)
@@ -196,7 +197,7 @@ class Encoder:
             self.odd.clear()
         cut = [self.cuts(t) for t in texts]
         known = self.known
-        self.learn(set(chain.from_iterable(cut)) - known.keys())
+        self.learn({c for c in set(chain.from_iterable(cut)) if c not in known})
         ids = [np.fromiter(chain.from_iterable([known[c] for c in row]), dtype=np.int32) for row in cut]
         return ids, [not self.odd or self.odd.isdisjoint(row) for row in cut]
 
