@@ -127,9 +127,9 @@ def labelled_sample(rows: DataFrame, params: Params) -> list[tuple[str, float, n
             buckets, counts = [], []
             for text in batch.column(2):
                 b, c = counts_of(text.as_py(), params)
-                buckets.append(b.astype(np.int32))
-                counts.append(c.astype(np.int32))
-            kind = pa.list_(pa.int32())
+                buckets.append(b.astype(np.int32).tobytes())
+                counts.append(c.astype(np.int32).tobytes())
+            kind = pa.binary()
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(buckets, kind), pa.array(counts, kind)],
                 names=["doc_id", "lang", "buckets", "counts"],
@@ -137,12 +137,12 @@ def labelled_sample(rows: DataFrame, params: Params) -> list[tuple[str, float, n
 
     id_type = dict(rows.dtypes)["doc_id"]
     sparse = chosen.select("doc_id", "lang", "text").mapInArrow(
-        features, f"doc_id {id_type}, lang string, buckets array<int>, counts array<int>"
+        features, f"doc_id {id_type}, lang string, buckets binary, counts binary"
     )
     order = F.xxhash64("doc_id", F.lit(71))
     bounded = sparse.select(order.alias("h"), "doc_id", "lang", "buckets", "counts").orderBy("h", "doc_id", "lang", "counts")
     return [
-        (r.lang, (r.h % 1000003) / 1000003, np.array(r.buckets, dtype=np.int64), np.array(r.counts, dtype=np.int64))
+        (r.lang, (r.h % 1000003) / 1000003, np.frombuffer(r.buckets, dtype=np.int32), np.frombuffer(r.counts, dtype=np.int32))
         for r in bounded.limit(params.most_rows).collect()
     ]
 
@@ -198,7 +198,7 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     fitted = [r[1:] for r in ready if r[0] >= params.calibration_part]
     kept_back = [r[1:] for r in ready if r[0] < params.calibration_part]
     weights = fit(fitted or kept_back, max(1, len(languages)), params)
-    scores = np.array([v @ weights[b] for b, v, _ in kept_back]).reshape(len(kept_back), -1)
+    scores = np.array([v @ weights[b] for b, v, _ in kept_back])
     temperature = calibrate(scores, np.array([y for *_, y in kept_back], dtype=np.int64))
     return Model(languages, idf.astype(np.float32), weights.astype(np.float32), temperature, params)
 

@@ -203,7 +203,7 @@ class Encoder:
 
 
 def tokenized(
-    spark: SparkSession, text: Column, model: bytes, threads: int = 2, most_known: int = 200_000
+    spark: SparkSession, text: Column, model: bytes, threads: int = 2, most_known: int = 120_000
 ) -> Column:
     """Ids of a whole text, whether all of them are those of the original library, and the
     decoded ids. Null stays null; an empty text has no ids and decodes to itself."""
