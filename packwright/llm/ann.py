@@ -55,8 +55,12 @@ def usable(vectors: DataFrame) -> DataFrame:
     return sound.where(F.size("vector") == (common[0] if common else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def forest_codes(params: Params, longest: float):
-    """A function of batches (vec_id, vector) that appends the hash string of every tree."""
+def forest_codes(params: Params, longest: float, lifted: bool):
+    """A function of batches (vec_id, vector) that appends the hash string of every tree.
+
+    Rows are lifted to the length of the longest; queries stay where they are, so their
+    angle to a lifted row depends on the inner product alone.
+    """
 
     def encode(batches):
         planes = None
@@ -67,7 +71,7 @@ def forest_codes(params: Params, longest: float):
             x = batch.column(1).flatten().to_numpy().reshape(n, -1)
             if planes is None:
                 planes = np.random.default_rng(params.seed).standard_normal((x.shape[1] + 1, params.trees * params.bits))
-            lift = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0))
+            lift = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0)) if lifted else np.zeros(n)
             signs = (np.column_stack([x, lift]) @ planes > 0).reshape(n, params.trees, params.bits)
             codes = (signs.astype(np.int64) << np.arange(params.bits)[::-1]).sum(axis=2).astype(np.int32)
             offsets = pa.array(np.arange(n + 1, dtype=np.int32) * params.trees)
@@ -79,12 +83,17 @@ def forest_codes(params: Params, longest: float):
     return encode
 
 
-def build_index(vectors: DataFrame, params: Params) -> DataFrame:
-    """``vec_id, vector, codes`` of every usable row, written."""
+def build_index(vectors: DataFrame, every: int, params: Params) -> tuple[DataFrame, DataFrame]:
+    """``vec_id, vector, codes`` of every usable row, and of the queries; written."""
     rows = stage(usable(vectors), "vectors")
     squared = F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + x * x)
     longest = rows.agg(F.max(squared)).head()[0] or 0.0
-    return stage(rows.mapInArrow(forest_codes(params, longest), "vec_id long, vector array<double>, codes array<int>"), "forest")
+    schema = "vec_id long, vector array<double>, codes array<int>"
+    queries = rows.where(F.col("vec_id") % every == 0)
+    return (
+        stage(rows.mapInArrow(forest_codes(params, longest, True), schema), "forest"),
+        stage(queries.mapInArrow(forest_codes(params, longest, False), schema), "queries"),
+    )
 
 
 def entries_at(sorted_codes: np.ndarray, codes: np.ndarray, depth: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +154,7 @@ def nearest(vectors: DataFrame, every: int = 20, params: Params = Params()) -> D
     Largest inner product first, equal ones by id; the query's own row is left out. All
     rows are returned where there are fewer than ``k``; without usable rows, none.
     """
-    index = build_index(vectors, params)
-    queries = index.where(F.col("vec_id") % every == 0)
+    index, queries = build_index(vectors, every, params)
     n_rows, n_queries = index.count(), queries.count()
     row_blocks = max(1, -(-n_rows // params.block_rows))
     query_blocks = max(1, -(-n_queries // params.block_queries))

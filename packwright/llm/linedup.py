@@ -172,11 +172,12 @@ def dedup_lines(docs: DataFrame, params: Params = Params()) -> DataFrame:
             lambda a, b: F.slice(lines, a + 1, b - a),
         )
     )
-    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     gone = F.aggregate("cuts", F.lit(0).cast("long"), lambda acc, c: acc + (c["stop"] - c["begin"]))
-    return packed.select(
-        *others,
+    made = F.struct(
         F.when(F.col("cuts").isNull(), F.col("row.text")).otherwise(F.array_join(kept, "\n")).alias("text"),
         F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(gone, F.lit(0)).cast("long").alias("n_removed"),
     )
+    # Columns of the documents get their names back last: any of them may be called as one here.
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
+    return packed.select("row", made.alias("made")).select(*others, F.col("made")["text"].alias("text"), F.col("made")["n_lines"].alias("n_lines"), F.col("made")["n_removed"].alias("n_removed"))

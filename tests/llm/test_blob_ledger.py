@@ -1,0 +1,62 @@
+import re
+
+import pytest
+
+from packwright.llm import blob_ledger
+from packwright.session import fresh_path
+
+RULES = [
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, re.I | re.A),
+    ("access", r"AKIA[A-Z0-9]+", 0, 20, 0),
+    ("hex", r"[0-9a-f]+", 0, 24, 0),
+]
+TEXTS = [
+    "token=token: abcdefgh", "PassWord = 'abcdef' API-KEY: x apikey:\"0123456789", "AKIA" + "Z" * 15 + " AKIA" + "Z" * 16,
+    "é" * 5 + "0123456789abcdef01234567" + "G" + "0" * 23, "ſecret: abcdefgh toKen: abcdefgh", "\U0001f600 secret:abcdef", "",
+]
+
+
+def plain(text):
+    found = []
+    for rank, (kind, pattern, group, least, flags) in enumerate(RULES):
+        for m in re.finditer(pattern, text or "", flags):
+            if len(m[group]) >= least:
+                found.append((m.start(), rank, kind, m.end()))
+    return [(kind, a, b) for a, _, kind, b in sorted(found)]
+
+
+def spans(rows):
+    return sorted(((r.doc_id is not None, r.doc_id or 0), [(s.kind, s.start, s.end) for s in r.findings]) for r in rows)
+
+
+@pytest.fixture()
+def ledger(spark):
+    return fresh_path(spark, "ledger")
+
+
+def test_spans_are_those_of_the_patterns(spark, ledger):
+    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.findings] for r in blob_ledger.scan_secrets(docs, ledger).collect()}
+    assert got == {i: plain(t) for i, t in enumerate(TEXTS)}
+
+
+def test_every_row_gets_its_findings(spark, edge_docs, edge_rows, ledger):
+    got = spans(blob_ledger.scan_secrets(edge_docs, ledger).collect())
+    assert got == sorted(((i is not None, i or 0), plain(t)) for i, t in edge_rows)
+
+
+def test_only_unseen_pairs_are_scanned(spark, ledger):
+    one = spark.createDataFrame([(1, "secret: abcdef"), (2, "secret: abcdef"), (3, "x")], "doc_id bigint, text string")
+    blob_ledger.update_ledger(one, ledger)
+    assert spark.read.parquet(ledger).count() == 2
+    two = one.union(spark.createDataFrame([(4, "y"), (5, "x")], one.schema))
+    unscannable = (("assign", r"(?P<never>\A\b\B)", 0, 1),)
+    later = blob_ledger.scan_secrets(two, ledger, unscannable).collect()
+    assert spark.read.parquet(ledger).count() == 3  # the old pairs were taken as they stood
+    assert sum(len(r.findings) for r in later) == 2
+    blob_ledger.update_ledger(two, ledger, version="other-1")
+    assert {r.rule_version: r["count"] for r in spark.read.parquet(ledger).groupBy("rule_version").count().collect()} == {"base-1": 3, "other-1": 3}
+
+
+def test_no_documents(no_docs, ledger):
+    assert blob_ledger.report(blob_ledger.scan_secrets(no_docs, ledger)).collect() == []

@@ -1,0 +1,73 @@
+import struct
+
+import pytest
+import sentencepiece
+from pyspark.sql import functions as F
+
+from packwright.llm import pieces
+from packwright.llm.queries import vocabulary
+
+ODD = ["", " ", "  a  b ", "▁x ▁", "tab\tnew\nline", "<s> </s> <0x41>", "\U0001f600́ ﬁ", "xXxX" * 2000, "a" * 30_000, "日本語 テキスト", "\x00\x01"]
+
+
+def test_ids_are_those_of_the_library(spark, sf_small):
+    model = vocabulary()
+    original = sentencepiece.SentencePieceProcessor(model_proto=model)
+    texts = [r.text for r in spark.read.parquet(f"{sf_small}/documents.parquet").collect()] + ODD
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string").repartition(4)
+    for r in df.select("k", "text", pieces.tokenized(spark, F.col("text"), model).alias("t")).collect():
+        assert list(r.t.ids) == original.encode(r.text) and r.t.parity
+        assert r.t.decoded == original.decode(original.encode(r.text))
+
+
+def test_whole_tokenizer_agrees_with_the_cuts():
+    model = vocabulary()
+    whole = pieces.build(pieces.parse_model(model))
+    encoder = pieces.Encoder(model, 2, 3)  # forgets its cuts all the time
+    for text in [t for t in ODD if t]:
+        assert whole.encode(text, add_special_tokens=False).ids == encoder.encode([text])[0][0].tolist()
+
+
+def test_null_and_clashing_columns(spark, edge_docs, edge_rows):
+    got = edge_docs.select("doc_id", "text", pieces.tokenized(spark, F.col("text"), vocabulary()).alias("t")).collect()
+    assert len(got) == len(edge_rows) and all((r.t is None) == (r.text is None) for r in got)
+    assert all(r.t.decoded == r.text for r in got if r.text is not None)
+    assert edge_docs.limit(0).select(pieces.tokenized(spark, F.col("text"), vocabulary())).collect() == []
+
+
+def varint(n):
+    out = b""
+    while True:
+        out, n = out + bytes([n & 0x7F | (0x80 if n > 0x7F else 0)]), n >> 7
+        if not n:
+            return out
+
+
+def field(number, value):
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def unigram_model():
+    table = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{i:02X}>", 0.0, 6) for i in range(256)]
+    table += [("▁", -3.0, 1), ("▁he", -2.5, 1), ("l", -4.0, 1), ("ll", -3.5, 1), ("o", -4.0, 1), ("h", -5.0, 1), ("e", -5.0, 1), ("llo", -3.0, 1)]
+    body = b"".join(field(1, field(1, t.encode()) + field(2, s) + field(3, k)) for t, s, k in table)
+    return body + field(2, field(3, 1) + field(35, 1)) + field(3, field(1, b"identity") + field(3, 1) + field(4, 1) + field(5, 1))
+
+
+def test_unigram_scores_and_byte_fallback():
+    model = unigram_model()
+    spec = pieces.parse_model(model)
+    assert (spec.kind, spec.byte_fallback, spec.strip_blanks) == (pieces.UNIGRAM, True, True)
+    original, whole = sentencepiece.SentencePieceProcessor(model_proto=model), pieces.build(spec)
+    for text in ("hello", "  hello   hello ", "hé lo", "llllo"):
+        assert whole.encode(text, add_special_tokens=False).ids == original.encode(text)
+        assert pieces.Encoder(model, 1, 100).encode([text])[0][0].tolist() == original.encode(text)
+
+
+def test_other_model_types_are_refused():
+    with pytest.raises(ValueError, match="model type 3"):
+        pieces.build(pieces.parse_model(unigram_model() + field(2, field(3, 3))))

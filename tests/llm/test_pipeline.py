@@ -1,0 +1,55 @@
+import sentencepiece
+
+import corpus_pipeline
+from brute import components, contaminated, deleted_lines
+from packwright.llm import langid, linedup
+from packwright.llm.queries import vocabulary
+
+
+def brute(rows, languages, items):
+    """(doc_id, text) of what stays, the slow way."""
+    rows = sorted(r for r in rows if languages.get(r[0]))
+    lines, gone = deleted_lines([t for _, t in rows], linedup.Params().least_chars)
+    cut = []
+    for (i, text), mine, out in zip(rows, lines, gone):
+        left = "\n".join(line for p, line in enumerate(mine) if p not in out)
+        if not out or left:
+            cut.append((i, left))
+    roots, _ = components([t for _, t in cut])
+    cut = [r for place, r in enumerate(cut) if roots[place] == place]
+    return [(i, t) for i, t in cut if not contaminated(t, items)[1]]
+
+
+def test_against_a_slow_version(spark, sf_small):
+    docs = spark.read.parquet(f"{sf_small}/documents.parquet")
+    found = langid.identify(docs).collect()
+    sure = {r.doc_id: r.lang_pred != "und" and r.score >= corpus_pipeline.LEAST_LIKELY for r in found}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
+    want = dict(brute([(r.doc_id, r.text) for r in docs.collect()], sure, items))
+    original = sentencepiece.SentencePieceProcessor(model_proto=vocabulary())
+    got = corpus_pipeline.run(spark, sf_small).collect()
+    assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
+    assert all(list(r.token_ids) == original.encode(r.text) and r.n_chars == len(r.text) for r in got)
+
+
+def test_every_stage_takes_edges(spark, edge_docs, no_docs, sf_small):
+    for start in (edge_docs, no_docs):
+        docs = start
+        for place, (_, step) in enumerate(corpus_pipeline.STAGES):
+            docs = corpus_pipeline.stage(step(spark, docs, sf_small), "edges")
+            if place < 4:
+                assert docs.columns == start.columns
+    assert docs.collect() == []
+    kept = edge_docs
+    for _, step in corpus_pipeline.STAGES[:3]:
+        kept = corpus_pipeline.stage(step(spark, kept, sf_small), "edges")
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "11", "8", "8", "9"]
+
+
+def test_clean_documents_stay(spark, sf_small):
+    """No stage takes a document that has nothing to do with any other."""
+    texts = [" ".join(f"clean{i}word{j}" for j in range(40)) + "\nA short line." for i in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    for _, step in corpus_pipeline.STAGES[:4]:
+        docs = corpus_pipeline.stage(step(spark, docs, sf_small), "clean")
+    assert sorted((r.doc_id, r.text) for r in docs.collect()) == list(enumerate(texts))
