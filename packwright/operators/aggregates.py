@@ -62,22 +62,25 @@ def ragged_mean(
 
     ``rows`` is the long form, one row of one input's matrix per record. The result
     has the largest height and width among the inputs; a cell that no input has is
-    NaN. Cells are added up before they are exchanged, so a key may be any share of
-    the data; only one matrix row is ever gathered.
+    NaN. Rows are added up as they are: only the same row of all inputs meets, so a key
+    may be any share of the data.
     """
     keys = list(keys)
-    cells = rows.select(*keys, row, F.posexplode_outer(doubles(F.col(values))).alias("col_idx", "x"))
-    means = cells.groupBy(*keys, row, "col_idx").agg(F.avg("x").alias("x"))
-    lines = means.groupBy(*keys, row).agg(
-        F.array_sort(
-            F.collect_list(F.when(F.col("col_idx").isNotNull(), F.struct("col_idx", "x")))
-        ).alias("cells")
-    )
+    same_row = rows.groupBy(*keys, row).agg(F.sort_array(F.collect_list(doubles(F.col(values)))).alias("_rows"))
+    nothing = F.struct(F.array().cast("array<double>").alias("sums"), F.array().cast("array<bigint>").alias("n"))
+
+    def add(acc: Column, one: Column) -> Column:
+        sums = F.zip_with(acc["sums"], one, lambda a, x: F.coalesce(a + x, a, x))
+        counts = F.zip_with(acc["n"], one, lambda n, x: F.coalesce(n, F.lit(0)) + x.isNotNull().cast("bigint"))
+        return F.struct(sums.alias("sums"), counts.alias("n"))
+
+    added = F.aggregate("_rows", nothing, add, lambda acc: F.zip_with(acc["sums"], acc["n"], lambda s, n: F.when(n > 0, s / n)))
+    lines = same_row.select(*keys, row, added.alias("cells"))
     widths = rows.groupBy(*keys).agg(F.max(F.size(values)).alias("width"))
     # Inputs start at column zero, so the cells of a row are its first ones.
     fill = F.array_repeat(F.lit(float("nan")), F.col("width") - F.size("cells"))
     return join_groups(lines, widths, keys).select(
-        *keys, row, F.concat(F.transform("cells", lambda c: c["x"]), fill).alias(values)
+        *keys, row, F.concat("cells", fill).alias(values)
     )
 
 

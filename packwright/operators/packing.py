@@ -76,9 +76,13 @@ def join_pieces(
     groups: Sequence[str],
     context_length: int,
     tokens_per_run: int = TOKENS_PER_RUN,
+    whole: bool = True,
 ) -> DataFrame:
     """Blocks from their pieces. A block's pieces hold at most one block of tokens.
 
+    With ``whole`` a block of another length is an error: two rows of one key would both
+    be put there.
+
     Pieces are exchanged by run of blocks, which also puts all pieces of a block
     together: a write by subset needs no further exchange.
     """
@@ -93,14 +97,13 @@ def join_pieces(
         lambda p: p["mask"] if kind == "array" else F.array_repeat(p["mask"], F.size(p["ids"])),
     )
     ids = F.flatten(F.transform("pieces", lambda p: p["ids"]))
-    # Two rows of one key would both be put there.
-    whole = F.when(F.size(ids) == context_length, ids).otherwise(
-        F.raise_error(F.lit("a block has not its length: keys are not unique")).cast("array<int>")
-    )
+    if whole:
+        problem = F.raise_error(F.lit("a block has not its length: keys are not unique")).cast("array<int>")
+        ids = F.when(F.size(ids) == context_length, ids).otherwise(problem)
     return blocks.select(
         *groups,
         "block_idx",
-        whole.alias("token_ids"),
+        ids.alias("token_ids"),
         F.flatten(masks).alias("tgt_mask"),
     )
 

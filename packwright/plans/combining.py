@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.keys import has_prefix, key_ordinal, with_ordinal
-from packwright.functions.vectors import doubles, total
+from packwright.functions.vectors import total
 from packwright.operators.aggregates import (
     clip_by_norm as clip_group,
     global_norm,
@@ -17,8 +17,9 @@ from packwright.operators.aggregates import (
 from packwright.operators.offsets import dense_positions
 from packwright.operators.ordinals import combine, compare_keys, last_writer as keep_last
 from packwright.operators.parameters import combine_models
+from packwright.plans.jobs import combine_tables
 from packwright.plans.registry import query
-from packwright.session import stage
+from packwright.session import fresh_path, stage
 from packwright.sources.tables import table
 
 MODELS = 5
@@ -201,7 +202,7 @@ PARAMETER_ROW_SQL = """row_idx, len(vals)::BIGINT AS width, round(vals[1], 6) AS
        round(list_sum(vals), 5) AS value_sum"""
 
 
-def _combined(spark: SparkSession, sf: str, method: str) -> DataFrame:
+def _parameters(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "embeddings").select(
         "vec_id", "label", F.pmod("vec_id", F.lit(3)).alias("model_idx"), "embedding"
     )
@@ -209,11 +210,14 @@ def _combined(spark: SparkSession, sf: str, method: str) -> DataFrame:
     key = F.when(F.col("label") < 8, F.concat(F.lit("model.layers."), "label", F.lit(".w"))).otherwise(
         F.concat(F.lit("head."), "label")
     )
-    matrices = rows.join(places.select("vec_id", "row_idx"), "vec_id").select(
+    return rows.join(places.select("vec_id", "row_idx"), "vec_id").select(
         "model_idx", key.alias("key"), "row_idx", F.col("embedding").alias("vals")
     )
+
+
+def _combined(spark: SparkSession, sf: str, method: str) -> DataFrame:
     v = F.col("vals")
-    return combine_models(stage(matrices, "parameters"), method, 3).select(
+    return combine_models(stage(_parameters(spark, sf), "parameters"), method, 3).select(
         "key",
         "row_idx",
         F.size(v).cast("bigint").alias("width"),
@@ -245,6 +249,35 @@ def interleaved_models(spark: SparkSession, sf: str) -> DataFrame:
     return _combined(spark, sf, "interleave")
 
 
+@query(f"""
+WITH {PARAMETERS_SQL},
+kept AS (SELECT * FROM p WHERE NOT (key = 'head.9' AND model_idx = 2)),
+heights AS (SELECT max(row_idx) + 1 AS n FROM kept WHERE key = 'head.8')
+SELECT 'layers' AS what, '' AS key, sum(n)::BIGINT AS n FROM (SELECT max(label) + 1 AS n FROM p WHERE label < 8 GROUP BY model_idx)
+UNION ALL SELECT 'vocabulary', 'head.8', n::BIGINT FROM heights
+UNION ALL SELECT 'missing', key, count(DISTINCT model_idx) FROM kept WHERE key LIKE 'head.%' GROUP BY key HAVING count(DISTINCT model_idx) < 3
+UNION ALL SELECT 'rows', key, count(DISTINCT row_idx) FROM kept WHERE key LIKE 'head.%' GROUP BY key
+""")
+def combine_job(spark: SparkSession, sf: str) -> DataFrame:
+    """A table per model, the third without one of its keys, through the stacking job."""
+    rows = stage(_parameters(spark, sf).where("NOT (key = 'head.9' AND model_idx = 2)"), "parameters")
+    root = fresh_path(spark, "combine")
+    models = [f"{root}/{i}" for i in range(3)]
+    for i, path in enumerate(models):
+        rows.where(F.col("model_idx") == i).drop("model_idx").write.parquet(path)
+    combine_tables(spark, models, f"{root}/out", vocabulary_key="head.8")
+    shape = spark.read.parquet(f"{root}/out/shape")
+    missing = spark.read.parquet(f"{root}/out/missing")
+    combined = spark.read.parquet(f"{root}/out/rows").where(~has_prefix(F.col("key")))
+    line = lambda what, key, n: [F.lit(what).alias("what"), key.alias("key"), n.cast("bigint").alias("n")]
+    return (
+        shape.select(*line("layers", F.lit(""), F.col("num_layers")))
+        .unionByName(shape.select(*line("vocabulary", F.lit("head.8"), F.col("vocabulary_rows"))))
+        .unionByName(missing.select(*line("missing", F.col("key"), F.col("n_models"))))
+        .unionByName(combined.groupBy("key").agg(F.count("*").alias("n_rows")).select(*line("rows", F.col("key"), F.col("n_rows"))))
+    )
+
+
 # Conversations are the sources and turns the ordinals, in sets of ten conversations.
 TURNS_SQL = f"""
 t AS (SELECT conv_id // {SOURCES} AS set_idx, conv_id % {SOURCES} AS source_idx, turn AS ordinal FROM conversations)"""

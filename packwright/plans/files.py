@@ -17,6 +17,7 @@ from packwright.plans.inputs import (
     document_examples,
     document_spans,
 )
+from packwright.plans import jobs
 from packwright.plans.registry import query
 from packwright.session import fresh_path, stage
 from packwright.sources.records import chat_turns, count_records, read_chat_records, route
@@ -237,3 +238,38 @@ def batch_log(spark: SparkSession, sf: str) -> DataFrame:
         "chunk_idx", "batch_idx", "n_examples", "n_tokens", "n_targets", "step", "is_accumulating",
         F.round("learning_rate", 12).alias("learning_rate"),
     )
+
+
+JOB_CHUNK = 150
+
+
+@query(f"""
+WITH n AS (
+  SELECT (SELECT sum(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END + 1) FROM documents) // {CHAT_BLOCK} AS texts,
+    (SELECT sum(CASE WHEN text = '' THEN 0 ELSE len(string_split(text, ' ')) END
+                + CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) FROM conversations) // {CHAT_BLOCK} AS chats
+),
+t AS (SELECT texts + chats AS total, (texts + chats) // {JOB_CHUNK} + 1 AS n_chunks FROM n),
+c AS (
+  SELECT chunk_idx, total // n_chunks + (chunk_idx < total % n_chunks)::INT AS size,
+    (total + n_chunks - 1) // n_chunks // {WORLD * PER_DEVICE} AS per_chunk
+  FROM (SELECT *, unnest(range(0, n_chunks::BIGINT)) AS chunk_idx FROM t)
+)
+SELECT chunk_idx::BIGINT AS chunk_idx, b::BIGINT AS batch_idx, {PER_DEVICE}::BIGINT AS n_examples,
+  {PER_DEVICE * (CHAT_BLOCK - 1)}::BIGINT AS n_tokens, (chunk_idx * per_chunk + b + 1)::BIGINT AS step
+FROM (SELECT *, unnest(range(0, (size // {WORLD * PER_DEVICE})::BIGINT)) AS b FROM c)
+""")
+def jobs_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
+    """Both tables as line files through all stages: tokenize, pack, chunk, batch; the log of rank 0."""
+    root = fresh_path(spark, "jobs")
+    said = F.struct("turn", F.col("role").alias("from"), F.col("text").alias("value"))
+    chats = table(spark, sf, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("turns"))
+    chats.select(F.transform("turns", lambda t: F.struct(t["from"], t["value"])).alias("conversations")).write.json(f"{root}/raw/chats.jsonl")
+    table(spark, sf, "documents").select(F.col("text").alias("markdown")).write.json(f"{root}/raw/textbooks.jsonl")
+    jobs.tokenize_files(spark, f"{root}/raw/*", f"{root}/tokens", "word_md5", subset_from_end=2)
+    jobs.pack_spans(spark, f"{root}/tokens", f"{root}/blocks", CHAT_BLOCK)
+    jobs.chunk_blocks(spark, f"{root}/blocks", f"{root}/chunks", CHAT_BLOCK, chunk_size=JOB_CHUNK)
+    places = read_chunks(spark, f"{root}/chunks", BLOCK_PAYLOAD).agg(F.max("chunk_idx"), F.max("chunk_position"))
+    n_chunks, largest = (x + 1 for x in places.first())
+    jobs.batch_chunks(spark, f"{root}/chunks", f"{root}/out", n_chunks, largest, WORLD, PER_DEVICE)
+    return read_batch_log(spark, f"{root}/out/log").select("chunk_idx", "batch_idx", "n_examples", "n_tokens", "step")

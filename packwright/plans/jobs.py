@@ -4,10 +4,13 @@ A stage reads what the stage before has written, so it can be run again by itsel
 replaces what it wrote before.
 """
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.keys import data_type_of
+from packwright.functions.keys import LAYER_PREFIX, data_type_of, has_prefix, key_ordinal, path_part
 from packwright.functions.text import affix, eos_array, n_tokens
 from packwright.functions.tokenizers import WORDS_PER_WINDOW, start_in_part, tokenizer
 from packwright.operators.batches import (
@@ -21,7 +24,9 @@ from packwright.operators.batches import (
 )
 from packwright.operators.evals import look_up_metrics, parse_results, suite_scores
 from packwright.operators.examples import target_flag
+from packwright.operators.aggregates import group_extent
 from packwright.operators.packing import CONTEXT_LENGTH, pack_parts
+from packwright.operators.parameters import combine_models, missing_keys
 from packwright.operators.pending import last_checkpoint
 from packwright.operators.shuffling import CHUNK_SIZE, SEED, shuffle_into_chunks
 from packwright.session import staging
@@ -41,16 +46,17 @@ BLOCK_KEYS = ("data_type", "subset_name", "block_idx")
 BLOCK_SCHEMA = "token_ids array<int>, tgt_mask array<int>, data_type string, subset_name string, block_idx bigint"
 
 
-def read_turns(spark: SparkSession, paths: str) -> DataFrame:
+def read_turns(spark: SparkSession, paths: str, subset_from_end: int = 1) -> DataFrame:
     """Texts of chat and plain records in file order, with the speaker's flag and a ``reason``
     where a line or turn cannot be used.
 
     One scan serves both kinds: the file name says which a record is. The order does
     not depend on how the files are split, and a plain text counts as one target turn.
+    ``subset_from_end`` is 2 where a subset is a folder of files.
     """
     schema = f"{CHAT_SCHEMA}, {TEXT_SCHEMA}, _corrupt string"
     records = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(paths).select(
-        F.col("_metadata.file_name").alias("subset_name"),
+        path_part(F.col("_metadata.file_path"), subset_from_end).alias("subset_name"),
         F.xxhash64("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("part_start"),
         F.monotonically_increasing_id().alias("row_in_part"),
@@ -95,6 +101,7 @@ def tokenize_files(
     tokenizer_name: str = "piece_bpe_32k",
     window: int = WORDS_PER_WINDOW,
     mode: str = "quarantine",
+    subset_from_end: int = 1,
 ) -> None:
     """Raw line files to ``out/spans``, in one pass; a second run replaces the first.
 
@@ -103,7 +110,7 @@ def tokenize_files(
     its ``reason``. In ``fail`` mode the first of them stops the job instead.
     """
     tok = tokenizer(spark, tokenizer_name, window)
-    turns = read_turns(spark, paths)
+    turns = read_turns(spark, paths, subset_from_end)
     if mode == "fail":
         stop = F.when(F.col("reason").isNotNull(), F.raise_error(F.concat(F.col("subset_name"), F.lit(": "), F.col("reason"))))
         turns = turns.withColumn("reason", stop.cast("string"))
@@ -214,3 +221,30 @@ def report_results(spark: SparkSession, folder: str, digits: int | None = None)
     documents = read_result_files(spark, folder)
     parsed = documents.select("model", "suite", parse_results(F.col("document")).alias("results"))
     return suite_scores(look_up_metrics(parsed, ["model"]), ["model"], digits)
+
+
+def combine_tables(
+    spark: SparkSession,
+    models: Sequence[str],
+    out: str,
+    method: str = "stack",
+    compact: bool = False,
+    vocabulary_key: str = "model.embed_tokens.weight",
+) -> None:
+    """Parameter tables (``key, row_idx, vals``), one folder per model, to one.
+
+    ``out/rows`` has the combined rows, ``out/missing`` the plain keys that some model lacks
+    and how many have them, ``out/shape`` the number of layers and of rows of the vocabulary.
+    """
+    tables = [spark.read.parquet(path).withColumn("model_idx", F.lit(i)) for i, path in enumerate(models)]
+    rows = reduce(DataFrame.unionByName, [t.select("model_idx", "key", "row_idx", "vals") for t in tables])
+    combined = combine_models(rows, method, len(models), compact)
+    combined.write.mode("overwrite").parquet(f"{out}/rows")
+    missing_keys(rows, len(models)).write.mode("overwrite").parquet(f"{out}/missing")
+    written = spark.read.parquet(f"{out}/rows")
+    ordinal = F.when(has_prefix(F.col("key"), LAYER_PREFIX), key_ordinal(F.col("key")))
+    vocabulary = F.when(F.col("key") == vocabulary_key, F.col("row_idx"))
+    shape = written.agg(
+        group_extent(ordinal, when_empty=0).alias("num_layers"), group_extent(vocabulary, when_empty=0).alias("vocabulary_rows")
+    )
+    shape.write.mode("overwrite").parquet(f"{out}/shape")

@@ -119,7 +119,11 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], "path string")
-    parts = F.split("path", "/")
-    depth = len([p for p in folder.rstrip("/").split("/") if p]) + 1
-    above = F.transform(F.sequence(F.lit(depth), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+    parts = F.split(F.substring("path", len(root) + 2, 1 << 30), "/")
+    above = F.transform(
+        F.sequence(F.lit(1), F.size(parts)),
+        lambda n: F.concat(F.lit(root + "/"), F.array_join(F.slice(parts, F.lit(1), n), "/")),
+    )
     return files.select(F.explode(above).alias("path")).distinct()

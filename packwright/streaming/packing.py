@@ -74,7 +74,7 @@ class StreamPacker:
 
         last = div(F.col("start") + F.col("n") - 1, self.context_length)
         pieces = cut_pieces(placed, groups, self.context_length, last)
-        blocks = join_pieces(pieces, groups, self.context_length)
+        blocks = join_pieces(pieces, groups, self.context_length, whole=False)
         full = F.size("token_ids") == self.context_length
         (
             blocks.withColumn("is_full", full)
@@ -83,6 +83,9 @@ class StreamPacker:
             .parquet(self._blocks(batch_id))
         )
         drop(spark, self._tokens(batch_id))  # a run of this batch again writes it anew
+        # Only the batch before is read again; what was carried over to it is done with.
+        drop(spark, self._seen(batch_id - 2))
+        drop(spark, f"{self._blocks(batch_id - 2)}/is_full=false")
 
     def _read_seen(self, spark: SparkSession, batch_id: int, tokens: DataFrame) -> DataFrame | None:
         if batch_id < 0:

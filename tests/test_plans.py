@@ -5,14 +5,12 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-import __spark_entry__ as entry
 from packwright.operators.packing import pack
+from packwright.plans.catalog import QUERIES
 from packwright.plans.inputs import document_spans
 from packwright.session import stage
 from packwright.sources.tables import table
 
-QUERIES = entry.queries()
-
 
 def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
@@ -44,3 +42,31 @@ def test_filters_reach_the_scan(spark, sf_small):
     plan = plan_of(table(spark, sf_small, "orders").where("o_custkey < 3").select("o_orderkey"))
     assert "PushedFilters: [IsNotNull(o_custkey), LessThan(o_custkey,3)]" in plan
     assert "ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint>" in plan
+
+
+def test_no_join_where_columns_can_come_along(spark, sf_small):
+    plan = plan_of(QUERIES["token_stats"](spark, sf_small))
+    assert "Join" not in plan and plan.count("Exchange") == 1
+
+
+def test_chunks_are_written_by_several_tasks(spark, tmp_path):
+    from packwright.sources.sinks import read_chunk, write_chunks
+
+    rows = spark.range(1000).selectExpr("id AS k", "id AS chunk_position", "0 AS epoch", "0L AS chunk_idx")
+    write_chunks(rows, str(tmp_path / "c"), rows_per_file=100)
+    files = [p for p in (tmp_path / "c").rglob("*.parquet")]
+    assert len(files) > 1
+    for path in files:
+        places = [r.chunk_position for r in spark.read.parquet(str(path)).collect()]
+        assert places == sorted(places) and len(places) < 1000
+    assert read_chunk(spark, str(tmp_path / "c"), 0, "k bigint").count() == 1000
+
+
+def test_a_wrong_mask_or_key_stops_packing(spark):
+    schema = "doc_id bigint, token_ids array<int>, tgt_mask array<int>, data_type string, subset_name string"
+    short = spark.createDataFrame([(1, [1, 2, 3, 4], [1, 1, 1], "text", "a")], schema)
+    with pytest.raises(Exception, match="not as long as its ids"):
+        pack(short, 2).collect()
+    twice = spark.createDataFrame([(1, [1, 2, 3, 4], [1] * 4, "text", "a")] * 2, schema)
+    with pytest.raises(Exception, match="keys are not unique"):
+        pack(twice, 4).collect()

@@ -1,0 +1,29 @@
+"""Where staged tables go, and that jobs leave none behind."""
+
+from types import SimpleNamespace
+
+import pytest
+
+from packwright import session
+
+
+def other_session(master, folder=None):
+    context = SimpleNamespace(master=master, applicationId="app-x", getCheckpointDir=lambda: None)
+    return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: folder), sparkContext=context)
+
+
+def test_several_machines_need_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.work_dir(other_session("spark://host:7077"))
+    with pytest.raises(ValueError):
+        session.work_dir(other_session("local-cluster[2,1,1024]"))
+    assert session.work_dir(other_session("yarn", "hdfs://shared/x/")) == "hdfs://shared/x"
+    assert session.work_dir(other_session("local[2]"))
+
+
+def test_staged_tables_go_at_the_end(spark):
+    with session.staging(spark):
+        path = session.stage(spark.range(3), "numbers").inputFiles()[0].rsplit("/", 1)[0]
+        assert spark.read.parquet(path).count() == 3
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(path)

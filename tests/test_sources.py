@@ -1,13 +1,16 @@
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from packwright.operators.batches import assign_ranks, sample_positions
+from packwright.operators.pending import last_checkpoint
 from packwright.operators.shuffling import shuffle_into_chunks
 from packwright.session import fresh_path, stage, work_dir
 from packwright.sources.records import (
     chat_turns,
     count_records,
+    list_files,
     read_chat_records,
     read_text_records,
     read_tokenized_files,
@@ -49,6 +52,35 @@ def test_tokenized_files_by_folder(spark, tmp_path):
     assert {r.subset_name: r.n_records for r in count_records(good, ["subset_name"]).collect()} == {"x.jsonl": 2, "y.jsonl": 1}
 
 
+def test_tokenized_lines_keep_their_place(spark, tmp_path):
+    for name, first in (("b.jsonl", 100), ("a.jsonl", 0)):
+        lines(tmp_path / "chat" / name, [{"token_ids": [first + i], "tgt_mask": [1]} for i in range(30)])
+    good, _ = read_tokenized_files(spark, str(tmp_path / "*" / "*.jsonl"))
+    rows = sorted(good.collect(), key=lambda r: (r.file_no, r.part_start, r.row_in_part))
+    assert [r.token_ids[0] for r in rows] == [*range(30), *range(100, 130)]
+
+
+@pytest.mark.parametrize("line", ['{"token_ids": [1, 2], "tgt_mask": [1]}', '{"token_ids": [1', '{"tgt_mask": [1]}'])
+def test_tokenized_lines_that_are_no_examples(spark, tmp_path, line):
+    (tmp_path / "chat").mkdir()
+    (tmp_path / "chat" / "x.jsonl").write_text(line + "\n")
+    good, _ = read_tokenized_files(spark, str(tmp_path / "chat" / "x.jsonl"))
+    with pytest.raises(Exception, match="not an example"):
+        good.collect()
+
+
+def test_listing(spark, tmp_path):
+    assert list_files(spark, str(tmp_path / "none")).collect() == []
+    for name in ("run/ckpt_3/a/w", "run/ckpt_10/w", "run/eval_x.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x")
+    paths = list_files(spark, str(tmp_path / "run"))
+    assert {r.path.rsplit("run/", 1)[1] for r in paths.collect()} == {
+        "ckpt_3", "ckpt_3/a", "ckpt_3/a/w", "ckpt_10", "ckpt_10/w", "eval_x.json"
+    }
+    assert paths.agg(last_checkpoint(paths.path)).first()[0] == 10
+
+
 def test_tokenized_both_formats(spark, tmp_path):
     df = spark.createDataFrame([(1, [1], [1], "chat", "a"), (2, [2, 3], [0, 1], "text", "b")],
                                "doc_id bigint, token_ids array<int>, tgt_mask array<int>, data_type string, subset_name string")
