@@ -25,7 +25,7 @@ def query(sql: str | None = None):
     return register
 
 
-@query()
+@query(oracles.NEAR_DUPLICATES)
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.report(neardup.find_near_duplicates(table(spark, sf_dir, "documents")))
 
