@@ -32,7 +32,7 @@ class Params:
     """Pairs link at 100 * intersection >= percent * union.
 
     32 bands of 4 values miss a pair of similarity 0.75 with probability 5e-6, and one of
-    0.8 with 5e-8. ``block_shingles`` bounds what a task compares at once.
+    0.8 with 5e-8. ``block_shingles`` and ``block_docs`` bound what a task compares at once.
     """
 
     words: int = 5
@@ -40,6 +40,7 @@ class Params:
     bands: int = 32
     rows: int = 4
     block_shingles: int = 400_000
+    block_docs: int = 1_500
     seed: int = 20240229
 
 
@@ -238,9 +239,8 @@ def compare_blocks(params: Params):
 
 def links(members: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
     """``a, b``: links that connect what is connected. Blocks are dealt by a hash of the class."""
-    totals = members.groupBy("hub").agg(
-        F.ceil(F.sum("n_shingles") / params.block_shingles).cast("int").alias("blocks")
-    )
+    most = F.greatest(F.sum("n_shingles") / params.block_shingles, F.count("*") / params.block_docs)
+    totals = members.groupBy("hub").agg(F.ceil(most).cast("int").alias("blocks"))
     block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
     dealt = members.join(totals, "hub").select("hub", "class", "blocks", block.alias("block"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))

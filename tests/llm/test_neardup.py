@@ -22,12 +22,12 @@ def near_copies(seed=1, groups=12, size=9):
     return [*texts, "", None, "UP " + texts[0], texts[0].upper().replace(" ", "\t")]
 
 
-@pytest.mark.parametrize("block_shingles", [400_000, 60])
-def test_against_all_pairs(spark, block_shingles):
+@pytest.mark.parametrize("block_shingles, block_docs", [(400_000, 1_500), (60, 1_500), (400_000, 3)])
+def test_against_all_pairs(spark, block_shingles, block_docs):
     texts = near_copies()
     roots, sizes = components(texts)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(6)
-    got = {r.doc_id: r for r in neardup.find_near_duplicates(docs, neardup.Params(block_shingles=block_shingles)).collect()}
+    got = {r.doc_id: r for r in neardup.find_near_duplicates(docs, neardup.Params(block_shingles=block_shingles, block_docs=block_docs)).collect()}
     assert len(got) == len(texts)
     for i in range(len(texts)):
         assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (sizes[i], roots[i], roots[i] == i)
