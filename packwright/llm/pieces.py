@@ -170,8 +170,11 @@ class Encoder:
         self.original = sentencepiece.SentencePieceProcessor(model_proto=model + NO_DUMMY_PREFIX)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.threads, self.most_known = threads, most_known
+        # Two generations of cuts: what is used goes on into the younger one.
         self.known: dict[str, list[int]] = {}
+        self.older: dict[str, list[int]] = {}
         self.odd: set[str] = set()
+        self.spelled = [spell(text, kind) for text, _, kind in self.spec.pieces]
 
     def normalize(self, text: str) -> str:
         spec = self.spec
@@ -192,16 +195,35 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
         """Ids of each text, and whether both libraries agree on all of them."""
-        if len(self.known) > self.most_known:
-            self.known.clear()
-            self.odd.clear()
+        if 2 * len(self.known) > self.most_known:
+            self.older, self.known = self.known, {}
+            self.odd &= self.older.keys()
         cut = [self.cuts(t) for t in texts]
-        known = self.known
-        self.learn({c for c in set(chain.from_iterable(cut)) if c not in known})
+        known, older = self.known, self.older
+        used = [c for c in set(chain.from_iterable(cut)) if c not in known]
+        known.update((c, older[c]) for c in used if c in older)
+        self.learn({c for c in used if c not in known})
         ids = [np.fromiter(chain.from_iterable([known[c] for c in row]), dtype=np.int32) for row in cut]
         return ids, [not self.odd or self.odd.isdisjoint(row) for row in cut]
 
 
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of ids: bytes of the pieces, one after the other, less the dummy prefix.
+
+        Bytes that are no text on their own go through the rebuilt decoder.
+        """
+        try:
+            text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode()
+        except UnicodeDecodeError:
+            return self.tokenizer.decode(ids.tolist())
+        return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
+
+
+def spell(text: str, kind: int) -> bytes:
+    """The bytes a piece stands for."""
+    return bytes([int(text[3:-1], 16)]) if kind == BYTE else text.replace(MARK, " ").encode()
+
+
 def tokenized(
     spark: SparkSession, text: Column, model: bytes, threads: int = 2, most_known: int = 120_000
 ) -> Column:
@@ -218,7 +240,7 @@ def tokenized(
             for begin, stop in slices(texts):
                 there = [t for t in texts[begin:stop] if t is not None]
                 encoded, same = encoder.encode(there)
-                read = iter(zip(encoded, same, encoder.tokenizer.decode_batch([e.tolist() for e in encoded])))
+                read = iter(zip(encoded, same, map(encoder.decode, encoded)))
                 for t in texts[begin:stop]:
                     row = (None, None, None) if t is None else next(read)
                     ids.append(row[0])

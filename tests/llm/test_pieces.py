@@ -28,6 +28,16 @@ def test_whole_tokenizer_agrees_with_the_cuts():
         assert whole.encode(text, add_special_tokens=False).ids == encoder.encode([text])[0][0].tolist()
 
 
+def test_both_decoders_agree():
+    encoder = pieces.Encoder(vocabulary(), 1, 100)
+    library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary())
+    for text in ODD:
+        ids = encoder.encode([text])[0][0]
+        assert encoder.decode(ids) == encoder.tokenizer.decode(ids.tolist()) == library.decode(ids.tolist())
+    broken = encoder.original.piece_to_id("<0xE9>")
+    assert "\ufffd" in encoder.decode(pieces.np.array([broken, 300]))
+
+
 def test_null_and_clashing_columns(spark, edge_docs, edge_rows):
     got = edge_docs.select("doc_id", "text", pieces.tokenized(spark, F.col("text"), vocabulary()).alias("t")).collect()
     assert len(got) == len(edge_rows) and all((r.t is None) == (r.text is None) for r in got)
