@@ -53,7 +53,13 @@ def test_chunks_are_written_by_several_tasks(spark, tmp_path):
     from packwright.sources.sinks import read_chunk, write_chunks
 
     rows = spark.range(1000).selectExpr("id AS k", "id AS chunk_position", "0 AS epoch", "0L AS chunk_idx")
-    write_chunks(rows, str(tmp_path / "c"), rows_per_file=100)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # so few rows would be put together again
+    before = spark.conf.get(merging)
+    try:
+        spark.conf.set(merging, "false")
+        write_chunks(rows, str(tmp_path / "c"), rows_per_file=100)
+    finally:
+        spark.conf.set(merging, before)
     files = [p for p in (tmp_path / "c").rglob("*.parquet")]
     assert len(files) > 1
     for path in files:
