@@ -5,7 +5,8 @@ random hyperplanes, taken after the vectors are lifted by one coordinate to equa
 so that largest inner products become smallest angles. The sorted strings of a tree, in one
 array, are its prefix tree: all strings with a common prefix stand together. A query
 descends to its longest matching prefix in every tree, then all trees ascend together,
-one bit at a time, until they hold enough entries; what they hold is scored exactly.
+one bit at a time, until they hold enough different rows besides the query's own, or all
+there are; what they hold is scored exactly.
 
 Rows are dealt into blocks by a hash of their id, each with a forest of its own; queries,
 in blocks too, visit all of them, and the nearest of all blocks are merged.
@@ -23,9 +24,10 @@ from packwright.session import stage
 
 @dataclass(frozen=True)
 class Params:
-    """A query stops ascending in a block at ``share`` of its rows in entries of all trees,
-    or ``least`` entries if that is more. For vectors without any clusters, as random ones,
-    a recall of 0.9 takes a large share; clustered ones need much less.
+    """A query stops ascending in a block at ``share`` of its rows, or at ``least`` or ``k``
+    rows if that is more. A row counts once, in however many trees it is met, and the
+    query's own not at all. For vectors without any clusters, as random ones, a recall of
+    0.9 takes a large share; clustered ones need much less.
     """
 
     k: int = 20
@@ -117,31 +119,39 @@ def search_block(params: Params):
         if len(row_ids) and len(query_ids):
             order = np.argsort(row_codes, axis=0, kind="stable")
             arrays = np.take_along_axis(row_codes, order, axis=0)
-            enough = max(params.least, int(params.share * len(row_ids)))
+            trees = np.ascontiguousarray(order.T)
+            enough = max(params.k, params.least, int(params.share * len(row_ids)))
             begin = np.zeros((params.trees, len(query_ids)), dtype=np.int64)
             stop = np.zeros_like(begin)
             rising = np.arange(len(query_ids))
+            held = np.zeros(len(row_ids), dtype=bool)
             for depth in range(params.bits, -1, -1):
                 for t in range(params.trees):
                     begin[t, rising], stop[t, rising] = entries_at(arrays[:, t], query_codes[rising, t], depth, params.bits)
-                rising = rising[(stop - begin)[:, rising].sum(axis=0) < enough]
+                # Entries repeat rows, so there are at most as many rows.
+                ready = (stop - begin)[:, rising].sum(axis=0) >= enough if depth else np.ones(len(rising), dtype=bool)
+                waiting = list(rising[~ready])
+                for i in rising[ready]:
+                    held[:] = depth == 0
+                    for t in range(params.trees if depth else 0):
+                        held[trees[t, begin[t, i] : stop[t, i]]] = True
+                    held[row_ids == query_ids[i]] = False
+                    found = np.flatnonzero(held)
+                    if depth and len(found) < enough:
+                        waiting.append(i)
+                        continue
+                    query = queries[i]
+                    rough = rows[found] @ query
+                    if len(found) > params.k:
+                        # Products of a matrix may differ in the last bits between equal rows.
+                        edge = np.partition(rough, -params.k)[-params.k]
+                        found = found[rough >= edge - 1e-9 * max(1.0, abs(edge))]
+                    scores = (rows[found] * query).sum(axis=1)
+                    best = np.lexsort((row_ids[found], -scores))[: params.k]
+                    out.append((np.full(len(best), query_ids[i]), row_ids[found][best], scores[best]))
+                rising = np.array(waiting, dtype=np.int64)
                 if not len(rising):
                     break
-            held = np.zeros(len(row_ids), dtype=bool)
-            for i, query in enumerate(queries):
-                held[:] = False
-                for t in range(params.trees):
-                    held[order[begin[t, i] : stop[t, i], t]] = True
-                held[row_ids == query_ids[i]] = False
-                found = np.flatnonzero(held)
-                rough = rows[found] @ query
-                if len(found) > params.k:
-                    # Products of a matrix may differ in the last bits between equal rows.
-                    edge = np.partition(rough, -params.k)[-params.k]
-                    found = found[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-                scores = (rows[found] * query).sum(axis=1)
-                best = np.lexsort((row_ids[found], -scores))[: params.k]
-                out.append((np.full(len(best), query_ids[i]), row_ids[found][best], scores[best]))
         columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
         return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2].astype(np.float64)})
 

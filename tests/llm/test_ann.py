@@ -46,6 +46,18 @@ def test_ties_go_by_id_over_a_common_vector(spark):
     assert [i for i, _ in got[0]] == list(range(1, 21))
 
 
+def test_copies_of_a_query_do_not_count_once_per_tree(spark):
+    """A few equal vectors are many entries in 64 trees, but too few rows."""
+    for copies, n in ((13, 500), (16, 1000), (20, 1800)):
+        x = np.random.default_rng(copies).standard_normal((n, 64))
+        x[:copies] = x[0]
+        x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+        want, got = exact(np.arange(n), x), searched(vectors(spark, zip(range(n), x)))
+        assert all(len(rows) == 20 for rows in got.values()) and set(got) == set(want)
+        assert [i for i, _ in got[0]][: copies - 1] == list(range(1, copies))
+        assert np.mean([i in dict(got[q]) for q in want for i, _ in want[q]]) >= 0.9
+
+
 def test_rows_that_take_no_part(spark):
     rows = [(0, [1, 2]), (20, [0, 0]), (40, None), (60, [1, None]), (80, [float("nan"), 1]), (100, [float("inf"), 1]), (None, [1, 1]),
             (1, [3, 1]), (1, [3, 1]), (2, [1, 2, 3]), (3, [])]
