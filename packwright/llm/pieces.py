@@ -2,8 +2,9 @@
 
 The model protobuf is parsed here; normaliser, metaspace marker, scores or merges, and
 byte fallback are rebuilt. Texts are cut where no piece can reach across, and each
-distinct cut is encoded once per task, many at a time on several threads, and compared
-with the original library (``parity``); then ids are decoded again.
+distinct cut is encoded once per task, many at a time on several threads. The ids of whole
+texts are compared with those of the original library on the given model (``parity``), and
+decoded again by the rebuilt decoder.
 """
 
 import re
@@ -24,7 +25,6 @@ MARK = "▁"
 # Numbers of the model format.
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-NO_DUMMY_PREFIX = b"\x1a\x02\x18\x00"
 
 ENCODED = "struct<ids:array<int>,parity:boolean,decoded:string>"
 
@@ -167,14 +167,12 @@ class Encoder:
         self.cuttable = self.spec.cuttable
         self.tokenizer = build(self.spec)
         self.bare = Tokenizer(self.tokenizer.model)
-        self.original = sentencepiece.SentencePieceProcessor(model_proto=model + NO_DUMMY_PREFIX)
+        self.original = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
         self.threads, self.most_known = threads, most_known
         # Two generations of cuts: what is used goes on into the younger one.
         self.known: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
-        self.odd: set[str] = set()
-        self.spelled = [spell(text, kind) for text, _, kind in self.spec.pieces]
 
     def normalize(self, text: str) -> str:
         spec = self.spec
@@ -188,47 +186,32 @@ class Encoder:
 
     def learn(self, texts: set[str]) -> None:
         new = sorted(texts)
-        ours = [e.ids for e in self.bare.encode_batch_fast(new, add_special_tokens=False)]
-        theirs = self.original.encode(new, num_threads=self.threads) if new else []
-        self.known.update(zip(new, theirs))
-        self.odd.update(text for text, a, b in zip(new, ours, theirs) if a != b)
+        ours = self.bare.encode_batch_fast(new, add_special_tokens=False)
+        self.known.update((text, e.ids) for text, e in zip(new, ours))
 
     def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
-        """Ids of each text, and whether both libraries agree on all of them."""
+        """Ids of each text, and whether the original library gives the same for the whole text."""
         if 2 * len(self.known) > self.most_known:
             self.older, self.known = self.known, {}
-            self.odd &= self.older.keys()
         cut = [self.cuts(t) for t in texts]
         known, older = self.known, self.older
         used = [c for c in set(chain.from_iterable(cut)) if c not in known]
         known.update((c, older[c]) for c in used if c in older)
         self.learn({c for c in used if c not in known})
         ids = [np.fromiter(chain.from_iterable([known[c] for c in row]), dtype=np.int32) for row in cut]
-        return ids, [not self.odd or self.odd.isdisjoint(row) for row in cut]
-
+        theirs = self.original.encode(texts, num_threads=self.threads) if texts else []
+        return ids, [np.array_equal(a, b) for a, b in zip(ids, theirs)]
 
     def decode(self, ids: np.ndarray) -> str:
-        """The text of ids: bytes of the pieces, one after the other, less the dummy prefix.
-
-        Bytes that are no text on their own go through the rebuilt decoder.
-        """
-        try:
-            text = b"".join(map(self.spelled.__getitem__, ids.tolist())).decode()
-        except UnicodeDecodeError:
-            return self.tokenizer.decode(ids.tolist())
-        return text[1:] if self.spec.dummy_prefix and text.startswith(" ") else text
-
-
-def spell(text: str, kind: int) -> bytes:
-    """The bytes a piece stands for."""
-    return bytes([int(text[3:-1], 16)]) if kind == BYTE else text.replace(MARK, " ").encode()
+        """The text of ids, by the rebuilt decoder."""
+        return self.tokenizer.decode(ids.tolist())
 
 
 def tokenized(
     spark: SparkSession, text: Column, model: bytes, threads: int = 2, most_known: int = 120_000
 ) -> Column:
-    """Ids of a whole text, whether all of them are those of the original library, and the
-    decoded ids. Null stays null; an empty text has no ids and decodes to itself."""
+    """Ids of a whole text by the rebuilt tokenizer, whether the original library gives the
+    same, and the decoded ids. Null stays null; an empty text has no ids and decodes to itself."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

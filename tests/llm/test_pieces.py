@@ -3,6 +3,7 @@ import struct
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer, decoders, models
 
 from packwright.llm import pieces
 from packwright.llm.queries import vocabulary
@@ -38,6 +39,24 @@ def test_both_decoders_agree():
     assert "\ufffd" in encoder.decode(pieces.np.array([broken, 300]))
 
 
+def test_a_wrong_rebuild_shows_in_ids_parity_and_text():
+    model, text = vocabulary(), "the quick brown fox"
+    theirs = sentencepiece.SentencePieceProcessor(model_proto=model).encode(text)
+    encoder = pieces.Encoder(model, 1, 100)
+    (ids,), parity = encoder.encode([text])
+    assert ids.tolist() == theirs and parity == [True]
+    encoder.tokenizer.decoder = decoders.Fuse()
+    assert encoder.decode(pieces.np.array(theirs)) == "▁the▁quick▁brown▁fox"
+    # A model of single letters, and a normaliser that forgets the first mark.
+    encoder = pieces.Encoder(model, 1, 100)
+    encoder.bare = Tokenizer(models.BPE(encoder.tokenizer.get_vocab(), [], unk_token="<unk>"))
+    (ids,), parity = encoder.encode([text])
+    assert len(ids) == len(text) + 1 and parity == [False]
+    encoder = pieces.Encoder(model, 1, 100)
+    encoder.normalize = lambda t: t.replace(" ", "▁")
+    assert encoder.encode([text])[1] == [False]
+
+
 def test_null_and_clashing_columns(spark, edge_docs, edge_rows):
     got = edge_docs.select("doc_id", "text", pieces.tokenized(spark, F.col("text"), vocabulary()).alias("t")).collect()
     assert len(got) == len(edge_rows) and all((r.t is None) == (r.text is None) for r in got)
