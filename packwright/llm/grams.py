@@ -20,10 +20,8 @@ FILTER_BITS = 1 << 22
 class Sieve:
     """Bitmap over hashes of n-grams of the given numbers of words."""
 
-    def __init__(self, places: np.ndarray, sizes: list[int]):
-        self.sizes = sizes
-        self.flags = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-        np.bitwise_or.at(self.flags, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+    def __init__(self, flags: np.ndarray, sizes: list[int]):
+        self.flags, self.sizes = flags, sizes
 
     def passing(self, words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and first words of the n-grams that may be in the list."""
@@ -33,12 +31,24 @@ class Sieve:
         return hashes[there], starts[there]
 
 
+def bitmap(places: DataFrame, bits: int) -> np.ndarray:
+    """Flags, eight to a byte, of ``place`` from 0 to ``bits`` - 1.
+
+    Packed in Spark: the driver gets at most ``bits`` / 64 pairs of numbers, as Arrow.
+    """
+    bit = F.expr("shiftleft(1L, cast(place % 64 as int))")
+    words = places.groupBy(F.expr("cast(place div 64 as int)").alias("at")).agg(F.bit_or(bit).alias("word"))
+    packed = words.toArrow()
+    flags = np.zeros(bits // 64, dtype="<i8")
+    flags[packed.column("at").to_numpy()] = packed.column("word").to_numpy()
+    return flags.view(np.uint8)
+
+
 def sieve_of(listed: DataFrame) -> Sieve:
-    """From ``hash, k``: at most one driver row per bit of the bitmap, and per size."""
+    """From ``hash, k``."""
     place = F.col("hash").bitwiseAND(F.lit(FILTER_BITS - 1))
-    places = [r[0] for r in listed.select(place.alias("place")).distinct().collect()]
     sizes = sorted(r[0] for r in listed.select("k").distinct().collect())
-    return Sieve(np.array(places, dtype=np.int64), sizes)
+    return Sieve(bitmap(listed.select(place.alias("place")), FILTER_BITS), sizes)
 
 
 def digest(text: bytes | None) -> int:

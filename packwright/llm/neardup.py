@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from packwright.llm.grams import map_texts
+from packwright.llm.grams import bitmap, map_texts
 from packwright.llm.words import BLANK_SEPARATED, FOLD, mix, runs, signed, slices, split_words
 from packwright.session import stage
 
@@ -145,9 +145,7 @@ def candidate_texts(docs: DataFrame, wanted: DataFrame, params: Params) -> DataF
     are; the join decides.
     """
     place = F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)).cast("int")
-    flags = np.zeros(FILTER_BITS // 8, dtype=np.uint8)
-    places = np.array([r[0] for r in wanted.select(place.alias("place")).distinct().collect()], dtype=np.int64)
-    np.bitwise_or.at(flags, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+    flags = bitmap(wanted.select(place.alias("place")), FILTER_BITS)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
     id_type = dict(docs.dtypes)["doc_id"]
 

@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql.classic.dataframe import DataFrame
 
 from brute import components
 from packwright.llm import neardup
+from packwright.llm.grams import bitmap
 
 
 def near_copies(seed=1, groups=12, size=9):
@@ -73,6 +75,26 @@ def test_small_sets_are_missed_no_more_than_stated():
     assert missed == 0
 
 
+def test_the_driver_gets_no_row_per_candidate(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "FILTER_BITS", 1 << 12)
+    got = []
+    for name in ("collect", "toArrow"):
+        plain = getattr(DataFrame, name)
+        monkeypatch.setattr(DataFrame, name, lambda self, *a, f=plain: (rows := f(self, *a), got.append(len(rows)))[0])
+    docs = spark.range(3000).selectExpr("id AS doc_id", "concat('word', id) AS text")
+    sets = neardup.shingle_sets([f"word{i}".encode() for i in range(3000)], 5)
+    rows = [(int(c), i) for i, c in enumerate(neardup.signed(np.array([neardup.class_of(s) for s in sets], dtype=np.uint64)))]
+    wanted = spark.createDataFrame(rows, "class bigint, rep bigint")
+    texts = neardup.candidate_texts(docs, wanted, neardup.Params())
+    assert max(got) <= (1 << 12) // 64
+    assert texts.count() == 3000
+
+
+def test_bitmap_has_the_places_and_no_others(spark):
+    places = spark.createDataFrame([(p,) for p in (0, 5, 63, 64, 4095, 4095)], "place bigint")
+    assert np.flatnonzero(np.unpackbits(bitmap(places, 4096), bitorder="little")).tolist() == [0, 5, 63, 64, 4095]
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100 + i, 900) for i in range(60)]
