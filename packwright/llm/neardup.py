@@ -5,9 +5,10 @@ so a signature needs half as many hash evaluations as values. Bands of the signa
 documents into buckets. Equal shingle sets are one class and meet before anything else.
 
 Pairs are confirmed on full sets and without emitting pairs: a bucket sends its members to
-the most central of them (the hub), and the members of a hub are compared all with all
-inside tasks, as products of incidence matrices over blocks of a bounded number of
-shingles. A task returns a spanning star per group it finds, not its pairs.
+the most central of them (the hub), and the members of a hub are compared with it. Those
+that link with it are connected; only the others then meet all members, inside tasks, as
+products of incidence matrices over blocks of a bounded number of shingles. A task returns
+a spanning star per group it finds, not its pairs.
 """
 
 from collections.abc import Iterator
@@ -238,21 +239,71 @@ def compare_blocks(params: Params):
     return compare
 
 
-def links(members: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
-    """``a, b``: links that connect what is connected. Blocks are dealt by a hash of the class."""
+def compare_hub(params: Params):
+    """A function of a hub (not ``second``) and some of its members to those that link with it."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        classes = table.column("class").to_numpy()
+        second = table.column("second").to_numpy(zero_copy_only=False).astype(bool)
+        texts = table.column("text").to_pylist()
+        sets = []
+        for begin, stop in slices(texts):
+            sets += shingle_sets(texts[begin:stop], params.words)
+        hub, others = np.flatnonzero(~second), np.flatnonzero(second)
+        near = others[linked(sets, hub, others, params.percent).any(axis=0)]
+        return pa.table({"hub": np.repeat(classes[hub], len(near)), "class": classes[near]})
+
+    return compare
+
+
+def blocks_of(rows: DataFrame, name: str, params: Params) -> DataFrame:
+    """``hub`` and in how many blocks its rows go."""
     most = F.greatest(F.sum("n_shingles") / params.block_shingles, F.count("*") / params.block_docs)
-    totals = members.groupBy("hub").agg(F.ceil(most).cast("int").alias("blocks"))
-    block = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-    dealt = members.join(totals, "hub").select("hub", "class", "blocks", block.alias("block"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = dealt.select("hub", "class", "block", other.alias("other"))
-    keyed = paired.select(
-        "class",
+    return rows.groupBy("hub").agg(F.ceil(most).cast("int").alias(name))
+
+
+def with_hub(members: DataFrame, params: Params) -> DataFrame:
+    """``pair, class, second``: blocks of members other than the hub, each with the hub."""
+    others = members.where(F.col("class") != F.col("hub"))
+    totals = blocks_of(others, "blocks", params)
+    dealt = others.join(totals, "hub").select("hub", "class", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int").alias("block"))
+    hubs = totals.select("hub", F.col("hub").alias("class"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    rows = dealt.withColumn("second", F.lit(True)).unionByName(hubs.withColumn("second", F.lit(False)))
+    return rows.select(F.xxhash64("hub", "block").alias("pair"), "class", "second")
+
+
+def without_hub(members: DataFrame, near: DataFrame, params: Params) -> DataFrame:
+    """``pair, class, second``: pairs of blocks of what is left to compare after the hubs.
+
+    Members that link with their hub (``near``) are connected already. Only the rest meets
+    all members, so blocks of near members come first and pair with those of the rest.
+    """
+    flagged = near.select("hub", "class", F.lit(True).alias("linked"))
+    others = members.where(F.col("class") != F.col("hub")).join(flagged, ["hub", "class"], "left")
+    close, rest = others.where(F.col("linked")), others.where(F.col("linked").isNull())
+    totals = blocks_of(rest, "rest_blocks", params).join(blocks_of(close, "near_blocks", params), "hub", "left")
+    totals = totals.select("hub", "rest_blocks", F.coalesce("near_blocks", F.lit(0)).alias("near_blocks"))
+    place = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
+    first, last = F.col("near_blocks"), F.col("near_blocks") + F.col("rest_blocks") - 1
+    of_near = close.join(totals, "hub").select("hub", "class", place("near_blocks").alias("block"), F.explode(F.sequence(first, last)).alias("other"))
+    of_rest = rest.join(totals, "hub").select(
+        "hub", "class", (first + place("rest_blocks")).alias("block"), F.explode(F.sequence(F.lit(0), last)).alias("other")
+    )
+    return of_near.unionByName(of_rest).select(
         F.xxhash64("hub", F.least("block", "other"), F.greatest("block", "other")).alias("pair"),
+        "class",
         (F.col("block") > F.col("other")).alias("second"),
     )
-    rows = keyed.join(texts, "class").select("pair", "class", "second", "text")
-    return rows.groupBy("pair").applyInArrow(compare_blocks(params), "a long, b long")
+
+
+def links(members: DataFrame, texts: DataFrame, params: Params) -> DataFrame:
+    """``a, b``: links that connect what is connected. Blocks are dealt by a hash of the class."""
+    texts = stage(texts, "texts")
+    rows = with_hub(members, params).join(texts, "class").select("pair", "class", "second", "text")
+    near = stage(rows.groupBy("pair").applyInArrow(compare_hub(params), "hub long, class long"), "near")
+    rows = without_hub(members, near, params).join(texts, "class").select("pair", "class", "second", "text")
+    left = rows.groupBy("pair").applyInArrow(compare_blocks(params), "a long, b long")
+    return near.select(F.col("class").alias("a"), F.col("hub").alias("b")).union(left)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -95,6 +95,27 @@ def test_bitmap_has_the_places_and_no_others(spark):
     assert np.flatnonzero(np.unpackbits(bitmap(places, 4096), bitorder="little")).tolist() == [0, 5, 63, 64, 4095]
 
 
+def test_members_near_their_hub_are_not_compared_among_themselves(spark):
+    """Each of 60 copies differs from the hub in one word of its own; three more only link with a copy."""
+    base = [f"b{i}" for i in range(60)]
+    texts = [" ".join(base)] + [" ".join([*base[:-1], f"x{i}"]) for i in range(60)]
+    texts += [" ".join([*base[16 + i :], f"y{i}", "z"]) for i in range(3)]
+    classes = [int(neardup.signed(np.array([neardup.class_of(s)], dtype=np.uint64))[0]) for s in neardup.shingle_sets([t.encode() for t in texts], 5)]
+    members = spark.createDataFrame([(classes[0], c, 56) for c in classes], "hub bigint, class bigint, n_shingles bigint")
+    params = neardup.Params(block_docs=5)
+    assert neardup.with_hub(members, params).count() == 63 + 13
+    near = spark.createDataFrame([(classes[0], c) for c in classes[1:61]], "hub bigint, class bigint")
+    # One block of the rest: it meets itself and 12 blocks, and each near member meets it once.
+    assert neardup.without_hub(members, near, params).count() == 60 + 3 * 13
+    everyone = spark.createDataFrame([(classes[0], c) for c in classes[1:]], "hub bigint, class bigint")
+    assert neardup.without_hub(members, everyone, params).count() == 0
+    found = neardup.links(members, spark.createDataFrame(list(zip(classes, [t.encode() for t in texts])), "class bigint, text binary"), params)
+    roots = {r.node: r.root for r in neardup.components(found).collect()}
+    want, _ = components(texts)
+    group = lambda of: [[j for j in range(len(texts)) if of(j) == of(i)] for i in range(len(texts))]
+    assert group(lambda i: roots.get(classes[i], classes[i])) == group(lambda i: want[i])
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(40)]
     star = [(100 + i, 900) for i in range(60)]
