@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNDETERMINED = "und"
@@ -20,7 +20,9 @@ UNDETERMINED = "und"
 class Params:
     """``rows_per_language`` bounds the labelled rows that the weights are fitted on.
 
-    Document frequencies always come from all learnable rows.
+    With many languages the bound is lower, the same for all, so that together they have
+    at most ``most_rows``, but one row at least each. A language with fewer rows than the
+    bound keeps all. Document frequencies always come from all learnable rows.
     """
 
     bits: int = 15
@@ -103,6 +105,16 @@ def document_frequencies(rows: DataFrame, params: Params) -> tuple[int, np.ndarr
     return int(found[size]), found[:size]
 
 
+def bound_of(per_language: dict[str, int], params: Params) -> int:
+    """The most rows per language, 1 or more, with which all languages fit into ``most_rows``."""
+    low, high = 1, max(1, params.rows_per_language)
+    while low < high:
+        middle = (low + high + 1) // 2
+        fits = sum(min(n, middle) for n in per_language.values()) <= params.most_rows
+        low, high = (middle, high) if fits else (low, middle - 1)
+    return low
+
+
 def labelled_sample(rows: DataFrame, params: Params) -> list[tuple[str, float, np.ndarray, np.ndarray]]:
     """(language, place in 0..1, buckets, counts) of a bounded number of rows per language.
 
@@ -112,11 +124,14 @@ def labelled_sample(rows: DataFrame, params: Params) -> list[tuple[str, float, n
     if not per_language:
         return []
     scale = 1 << 24
+    bound = bound_of(per_language, params)
+    # Far more rows than needed pass the hash, so ranks in a language decide.
+    passing = bound + 10 * bound**0.5 + 30
     limits = F.create_map(
         *(
             F.lit(x)
             for lang, n in sorted(per_language.items())
-            for x in (lang, int(scale * min(1.0, params.rows_per_language / n)))
+            for x in (lang, int(scale * min(1.0, passing / n)))
         )
     )
     place = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(scale))
@@ -131,19 +146,19 @@ def labelled_sample(rows: DataFrame, params: Params) -> list[tuple[str, float, n
                 counts.append(c.astype(np.int32).tobytes())
             kind = pa.binary()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(buckets, kind), pa.array(counts, kind)],
-                names=["doc_id", "lang", "buckets", "counts"],
+                [batch.column(0), batch.column(1), pa.array(buckets, kind), pa.array(counts, kind), batch.column(3)],
+                names=["doc_id", "lang", "buckets", "counts", "place"],
             )
 
     id_type = dict(rows.dtypes)["doc_id"]
-    sparse = chosen.select("doc_id", "lang", "text").mapInArrow(
-        features, f"doc_id {id_type}, lang string, buckets binary, counts binary"
-    )
+    sparse = chosen.mapInArrow(features, f"doc_id {id_type}, lang string, buckets binary, counts binary, place long")
+    by_place = Window.partitionBy("lang").orderBy("place", "doc_id", "buckets", "counts")
+    sparse = sparse.select("*", F.row_number().over(by_place).alias("nth")).where(F.col("nth") <= bound)
     order = F.xxhash64("doc_id", F.lit(71))
     bounded = sparse.select(order.alias("h"), "doc_id", "lang", "buckets", "counts").orderBy("h", "doc_id", "lang", "counts")
     return [
         (r.lang, (r.h % 1000003) / 1000003, np.frombuffer(r.buckets, dtype=np.int32), np.frombuffer(r.counts, dtype=np.int32))
-        for r in bounded.limit(params.most_rows).collect()
+        for r in bounded.collect()
     ]
 
 
@@ -195,9 +210,12 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
     languages = sorted({lang for lang, *_ in sample})
     index = {lang: i for i, lang in enumerate(languages)}
     ready = [(p, b, weigh(b, c, idf), index[lang]) for lang, p, b, c in sample]
-    fitted = [r[1:] for r in ready if r[0] >= params.calibration_part]
-    kept_back = [r[1:] for r in ready if r[0] < params.calibration_part]
-    weights = fit(fitted or kept_back, max(1, len(languages)), params)
+    # Of each language the row furthest from the calibration part is fitted, whatever its place.
+    furthest = {r[3]: i for i, r in sorted(enumerate(ready), key=lambda e: e[1][0])}
+    to_fit = [r[0] >= params.calibration_part or furthest[r[3]] == i for i, r in enumerate(ready)]
+    fitted = [r[1:] for r, fits in zip(ready, to_fit) if fits]
+    kept_back = [r[1:] for r, fits in zip(ready, to_fit) if not fits]
+    weights = fit(fitted, max(1, len(languages)), params)
     scores = np.array([v @ weights[b] for b, v, _ in kept_back])
     temperature = calibrate(scores, np.array([y for *_, y in kept_back], dtype=np.int64))
     return Model(languages, idf.astype(np.float32), weights.astype(np.float32), temperature, params)

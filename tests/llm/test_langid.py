@@ -38,6 +38,20 @@ def test_without_labels_nothing_is_known(edge_docs, no_docs):
     assert langid.identify(no_docs).collect() == []
 
 
+def test_rare_languages_stay_beside_many_full_ones(spark):
+    """40 full languages and ten of one row each; all rows of those are learned from."""
+    learned = [i for i in range(12_000) if zlib.crc32(str(i).encode()) % 5]
+    rows = [(i, f"text of k{i % 40:02d} k{i % 40:02d}", f"k{i % 40:02d}") for i in learned[:4000]]
+    rows += [(i, chr(0x3B1 + n) * 8, f"rare{n}") for n, i in enumerate(learned[4000:4010])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    params = langid.Params(rows_per_language=50, most_rows=400)
+    sample = langid.labelled_sample(langid.learnable(docs), params)
+    model = langid.train(docs, params)
+    assert len(sample) == 40 * 9 + 10 and len(model.languages) == 50
+    for n in range(10):
+        assert (model.weights[:, model.languages.index(f"rare{n}")] > 0).any()
+
+
 def test_elastic_net_leaves_few_weights_and_temperature_calibrates():
     draw = np.random.default_rng(0)
     params = langid.Params(bits=8, l1=1.0)
