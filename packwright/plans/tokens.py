@@ -145,6 +145,12 @@ def token_affixes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query()
+def bpe_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Subword tokens and target tokens per language; SQL has no vocabulary to count them with."""
+    return count_tokens(document_examples(spark, sf, "piece_bpe_32k"), ["subset_name"])
+
+
 @query(f"""
 WITH {CHAT_TOKENS}
 SELECT conv_id, count(*)::BIGINT AS n_tokens,

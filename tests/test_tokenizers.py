@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.text import affix, word_ids
 from packwright.functions.tokenizers import tokenizer
+from packwright.plans.tokens import bpe_token_counts
 
 
 def plain_encoder(name, window=8192):
@@ -82,3 +83,13 @@ def test_affixes(spark):
 def test_unknown_tokenizer(spark):
     with pytest.raises(ValueError):
         tokenizer(spark, "no such vocabulary")
+
+
+def test_token_counts_per_language(spark, sf_small):
+    encode = plain_encoder("piece_bpe_32k")
+    want = {}
+    for r in spark.read.parquet(f"{sf_small}/documents.parquet").select("lang", "text").collect():
+        n_examples, n_tokens = want.get(r.lang, (0, 0))
+        want[r.lang] = n_examples + 1, n_tokens + len(encode(r.text)) + 1  # and the end mark
+    got = bpe_token_counts(spark, sf_small).collect()
+    assert {r.subset_name: (r.n_examples, r.n_tokens, r.n_target_tokens) for r in got} == {k: (a, b, b) for k, (a, b) in want.items()}
