@@ -12,6 +12,10 @@ that size from it, and the shortest up to it, decide: every line of a longer rep
 lies in one of these within the run. So suffixes are sorted as deep as such runs are long,
 and sorting deeper would delete nothing else. Later copies of repeated runs are deleted;
 the first, in order of (doc_id, place), stays.
+
+Except that copies may overlap in one document: then lines of the first copy that are also
+in a later one go, and repeats in a row are cut down to one period (equal lines to one
+line). SQL defines it so.
 """
 
 from dataclasses import dataclass

@@ -32,6 +32,12 @@ def test_maximal_stretches(spark):
     assert [(r.doc_id, r.begin, r.stop) for r in linedup.later_copies(docs, PARAMS).collect()] == [(2, 1, 3)]
 
 
+def test_overlapping_copies_are_cut_down_to_one_period(spark):
+    check(spark, ["\n".join(["e" * 6] * 3), "\n".join(["abcdef", "ghijkl"] * 4)])
+    docs = spark.createDataFrame([(1, "\n".join(["e" * 6] * 3)), (2, "\n".join(["abcdef", "ghijkl"] * 4))], "doc_id bigint, text string")
+    assert {r.doc_id: r.text for r in linedup.dedup_lines(docs, PARAMS).collect()} == {1: "e" * 6, 2: "abcdef\nghijkl"}
+
+
 def test_edges(spark, edge_docs, edge_rows):
     got = linedup.dedup_lines(edge_docs, linedup.Params(least_chars=60)).collect()
     assert len(got) == len(edge_rows) and set(got[0].asDict()) == set(edge_docs.columns)
