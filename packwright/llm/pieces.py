@@ -1,13 +1,11 @@
 """SentencePiece models on the tokenizers library.
 
 The model protobuf is parsed here; normaliser, metaspace marker, scores or merges, and
-byte fallback are rebuilt. Texts are cut where no piece can reach across, and each
-distinct cut is encoded once per task, many at a time on several threads. The ids of whole
-texts are compared with those of the original library on the given model (``parity``), and
+byte fallback are rebuilt. Whole texts are encoded many at a time on several threads, their
+ids are compared with those of the original library on the given model (``parity``), and
 decoded again by the rebuilt decoder.
 """
 
-import re
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,13 +40,6 @@ class Spec:
     strip_blanks: bool
     escape_blanks: bool
 
-    @property
-    def cuttable(self) -> bool:
-        """No piece goes on with the marker after something else."""
-        return self.escape_blanks and not any(
-            MARK in text.lstrip(MARK) for text, _, kind in self.pieces if kind in (NORMAL, USER_DEFINED)
-        )
-
 
 def fields_of(message: bytes) -> Iterator[tuple[int, int | bytes]]:
     """(number, value) of each field of a protobuf message."""
@@ -152,84 +143,82 @@ def build(spec: Spec):
     return tokenizer
 
 
+def build_decoder(spec: Spec):
+    """The decoder alone, over pieces that are spelled with blanks instead of markers.
+
+    It spares a replacement per id. Where two pieces would be spelled alike, it is the
+    decoder of the whole tokenizer.
+    """
+    from tokenizers import Tokenizer, decoders, models
+
+    spelled = {text.replace(MARK, " "): i for i, (text, _, _) in enumerate(spec.pieces)}
+    if len(spelled) < len(spec.pieces):
+        return build(spec)
+    tokenizer = Tokenizer(models.WordLevel(spelled, spec.pieces[spec.unk_id][0]))
+    undo = [decoders.ByteFallback(), decoders.Fuse()]
+    if spec.dummy_prefix:
+        undo.append(decoders.Strip(" ", 1, 0))
+    tokenizer.decoder = decoders.Sequence(undo)
+    return tokenizer
+
+
 class Encoder:
-    """One task's encoder: the rebuilt tokenizer, the original library, and known cuts."""
+    """One task's encoder: the rebuilt tokenizer, its decoder, and the original library."""
 
-    def __init__(self, model: bytes, threads: int, most_known: int):
+    def __init__(self, model: bytes, threads: int):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
-        from tokenizers import Tokenizer
 
         self.spec = parse_model(model)
-        self.cuttable = self.spec.cuttable
-        self.tokenizer = build(self.spec)
-        self.bare = Tokenizer(self.tokenizer.model)
+        self.tokenizer, self.decoder = build(self.spec), build_decoder(self.spec)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.cut = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.threads, self.most_known = threads, most_known
-        # Two generations of cuts: what is used goes on into the younger one.
-        self.known: dict[str, list[int]] = {}
-        self.older: dict[str, list[int]] = {}
-
-    def normalize(self, text: str) -> str:
-        spec = self.spec
-        if spec.charsmap or spec.strip_blanks or not spec.escape_blanks:
-            return self.tokenizer.normalizer.normalize_str(text)
-        return ((MARK if spec.dummy_prefix else "") + text.replace(" ", MARK)) if text else ""
-
-    def cuts(self, text: str) -> list[str]:
-        whole = self.normalize(text)
-        return self.cut.findall(whole) if self.cuttable else [whole] if whole else []
-
-    def learn(self, texts: set[str]) -> None:
-        new = sorted(texts)
-        ours = self.bare.encode_batch_fast(new, add_special_tokens=False)
-        self.known.update((text, e.ids) for text, e in zip(new, ours))
-
-    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[bool]]:
+        self.threads = threads
+
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the original library gives the same for the whole text."""
-        if 2 * len(self.known) > self.most_known:
-            self.older, self.known = self.known, {}
-        cut = [self.cuts(t) for t in texts]
-        known, older = self.known, self.older
-        used = [c for c in set(chain.from_iterable(cut)) if c not in known]
-        known.update((c, older[c]) for c in used if c in older)
-        self.learn({c for c in used if c not in known})
-        ids = [np.fromiter(chain.from_iterable([known[c] for c in row]), dtype=np.int32) for row in cut]
-        theirs = self.original.encode(texts, num_threads=self.threads) if texts else []
-        return ids, [np.array_equal(a, b) for a, b in zip(ids, theirs)]
-
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of ids, by the rebuilt decoder."""
-        return self.tokenizer.decode(ids.tolist())
-
-
-def tokenized(
-    spark: SparkSession, text: Column, model: bytes, threads: int = 2, most_known: int = 120_000
-) -> Column:
+        if not texts:
+            return [], []
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        theirs = self.original.encode(texts, num_threads=self.threads)
+        return ids, [a == b for a, b in zip(ids, theirs)]
+
+    def decode(self, rows: list[list[int]]) -> list[str]:
+        """The texts of ids, by the rebuilt decoder."""
+        return self.decoder.decode_batch(rows, skip_special_tokens=False) if rows else []
+
+
+def int_lists(rows: list[list[int] | None]) -> pa.Array:
+    """Lists as one array of numbers and their offsets."""
+    sizes = np.fromiter((len(r or ()) for r in rows), dtype=np.int32, count=len(rows))
+    offsets = np.zeros(len(rows) + 1, dtype=np.int32)
+    np.cumsum(sizes, out=offsets[1:])
+    values = np.fromiter(chain.from_iterable(r or () for r in rows), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(offsets, values, mask=pa.array([r is None for r in rows], pa.bool_()))
+
+
+def tokenized(spark: SparkSession, text: Column, model: bytes, threads: int = 2) -> Column:
     """Ids of a whole text by the rebuilt tokenizer, whether the original library gives the
     same, and the decoded ids. Null stays null; an empty text has no ids and decodes to itself."""
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = Encoder(shared.value, threads, most_known)
-        kinds = [pa.list_(pa.int32()), pa.bool_(), pa.string()]
+        encoder = Encoder(shared.value, threads)
         for batch in batches:
             texts = batch.to_pylist()
             ids, parity, decoded = [], [], []
             for begin, stop in slices(texts):
                 there = [t for t in texts[begin:stop] if t is not None]
                 encoded, same = encoder.encode(there)
-                read = iter(zip(encoded, same, map(encoder.decode, encoded)))
+                read = iter(zip(encoded, same, encoder.decode(encoded)))
                 for t in texts[begin:stop]:
                     row = (None, None, None) if t is None else next(read)
                     ids.append(row[0])
                     parity.append(row[1])
                     decoded.append(row[2])
-            columns = [pa.array(values, kind) for values, kind in zip((ids, parity, decoded), kinds)]
+            columns = [int_lists(ids), pa.array(parity, pa.bool_()), pa.array(decoded, pa.string())]
             null = pa.array([t is None for t in texts], pa.bool_())
             yield pa.StructArray.from_arrays(columns, ["ids", "parity", "decoded"], mask=null)
 
