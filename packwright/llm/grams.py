@@ -23,6 +23,12 @@ class Sieve:
     def __init__(self, flags: np.ndarray, sizes: list[int]):
         self.flags, self.sizes = flags, sizes
 
+    def shared(self, docs: DataFrame):
+        """A function that gives the sieve inside a task. Only arrays are broadcast: a class
+        would have to be importable where the executors run."""
+        flags, sizes = docs.sparkSession.sparkContext.broadcast(self.flags), self.sizes
+        return lambda: Sieve(flags.value, sizes)
+
     def passing(self, words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and first words of the n-grams that may be in the list."""
         hashes, starts = runs(words, k)
@@ -73,11 +79,11 @@ def map_texts(docs: DataFrame, fn: Callable[[pa.Array, list[bytes | None]], Iter
 
 def gram_counts(docs: DataFrame, sieve: Sieve) -> DataFrame:
     """``hash, n``: how often listed n-grams occur in all documents, added up per task first."""
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    shared = sieve.shared(docs)
 
     def count(ids: pa.Array, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
-        words = split_words(texts, ALPHANUMERIC)
-        found = np.concatenate([shared.value.passing(words, k)[0] for k in shared.value.sizes] or [np.zeros(0, np.uint64)])
+        words, sieve = split_words(texts, ALPHANUMERIC), shared()
+        found = np.concatenate([sieve.passing(words, k)[0] for k in sieve.sizes] or [np.zeros(0, np.uint64)])
         hashes, n = np.unique(found, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(signed(hashes)), pa.array(n.astype(np.int64))], names=["hash", "n"])
 
@@ -91,14 +97,14 @@ def gram_rows(docs: DataFrame, sieve: Sieve, before: int, after: int) -> DataFra
     ``hash`` stand for a document; the others have the first word ``pos`` and the words
     ``from_word`` on: up to ``before`` words before the n-gram and ``after`` from its start.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(sieve)
+    shared = sieve.shared(docs)
     id_type = dict(docs.dtypes)["doc_id"]
 
     def find(ids: pa.Array, texts: list[bytes | None]) -> Iterator[pa.RecordBatch]:
-        words = split_words(texts, ALPHANUMERIC)
+        words, sieve = split_words(texts, ALPHANUMERIC), shared()
         n_words = np.diff(words.first)
         digests = signed(np.fromiter(map(digest, texts), dtype=np.uint64, count=len(texts)))
-        found = [(h, s, np.full(len(h), k)) for k in shared.value.sizes for h, s in [shared.value.passing(words, k)]]
+        found = [(h, s, np.full(len(h), k)) for k in sieve.sizes for h, s in [sieve.passing(words, k)]]
         hashes, starts, sizes = (
             [np.concatenate(x) for x in zip(*found)] if found else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 2
         )

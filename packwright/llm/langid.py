@@ -223,10 +223,12 @@ def train(docs: DataFrame, params: Params = Params()) -> Model:
 
 def language(spark: SparkSession, text: Column, model: Model) -> Column:
     """``struct<lang_pred, score>`` of a whole text."""
-    shared = spark.sparkContext.broadcast(model)
+    # Arrays and names only: a class would have to be importable where the executors run.
+    shared = spark.sparkContext.broadcast((model.languages, model.idf, model.weights, model.temperature))
+    params = model.params
 
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = Model(*shared.value, params)
         for batch in batches:
             names, best = [], np.zeros(len(batch))
             for i, text in enumerate(batch):
