@@ -32,7 +32,7 @@ def windows_of(benchmark: DataFrame, params: Params) -> DataFrame:
 
     ``window`` has the n words with blanks between them. An item of fewer words than a
     window is one window, with shingles of all its words if those are fewer than a
-    shingle; an item without words has none.
+    shingle; an item without words has none, and neither has one without an id.
     """
     id_type = dict(benchmark.dtypes)["item_id"]
 
@@ -60,8 +60,9 @@ def windows_of(benchmark: DataFrame, params: Params) -> DataFrame:
             names=["item_id", "window", "n", "k", "shingles"],
         )
 
+    named = benchmark.where(F.col("item_id").isNotNull())
     return map_texts(
-        benchmark.select("item_id", "text"), cut, f"item_id {id_type}, window string, n long, k long, shingles array<long>"
+        named.select("item_id", "text"), cut, f"item_id {id_type}, window string, n long, k long, shingles array<long>"
     )
 
 
@@ -130,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, params: Params = Params
     items = (
         occurrences.select(*key, "window")
         .distinct()
-        .join(item_windows.where(F.col("item_id").isNotNull()), "window")
+        .join(item_windows, "window")
         .groupBy(*key)
         .agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     )

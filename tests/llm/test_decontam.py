@@ -34,6 +34,16 @@ def test_long_items_short_items_and_borders(spark):
     check(spark, docs, [(*i, "c", "d") for i in items])
 
 
+def test_an_item_without_id_hits_nothing(spark):
+    words_of_it = " ".join(f"only{i}" for i in range(12))
+    items = [(None, words_of_it), (1, " ".join(f"w{i}" for i in range(12)))]
+    check(spark, [words_of_it, "w0 w1"], items)
+    docs = spark.createDataFrame([(1, words_of_it)], SCHEMA)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    assert not decontam.report(decontam.decontaminate(docs, bench)).first().contaminated
+    assert decontam.clean(docs, bench).count() == 1
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     bench = spark.createDataFrame([(1, "the quick brown fox jumped over the very lazy dog"), (1, "word")], "item_id bigint, text string")
     got = decontam.decontaminate(edge_docs, bench).collect()
