@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import ann, blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, warc
+from packwright.llm import ann, blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, simhash, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
@@ -98,3 +98,8 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return decontam.report(found)
+
+
+@query()
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.report(simhash.find_near_duplicates(table(spark, sf_dir, "documents")))
