@@ -34,13 +34,14 @@ class Params:
 
     ``most // 2 + 1`` segments are the fewest of which one always differs by at most a bit;
     ``most`` is 2 at least, so that a segment and its number fit in one bigint.
-    ``variant_rows`` bounds the classes of a variant that one task compares with each other.
+    ``variant_rows`` bounds the classes of a variant that one task compares with each other:
+    a quarter of a megabyte, and about a second for all pairs of them.
     """
 
     words: int = 4
     most: int = 4
     hash_seed: int = 42
-    variant_rows: int = 1024
+    variant_rows: int = 16_384
 
     def __post_init__(self):
         if self.most < 2:
@@ -132,6 +133,24 @@ def star_edges(n: int, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
     return joined, label[joined]
 
 
+def close_between(fp: np.ndarray, first: np.ndarray, second: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
+    """Places that link, of one list and another: enough of them to connect what is connected.
+
+    Goes over strips of ``first``. A strip keeps a star of what it connects, not its pairs.
+    """
+    found = [], []
+    strip = max(1, (1 << 21) // max(1, len(second)))
+    for begin in range(0, len(first), strip):
+        rows = first[begin : begin + strip]
+        a, b = np.nonzero(np.bitwise_count(fp[rows][:, None] ^ fp[second][None, :]) <= params.most)
+        joined, least = star_edges(len(rows) + len(second), a, len(rows) + b)
+        members = np.concatenate((rows, second))
+        found[0].append(members[joined])
+        found[1].append(members[least])
+    empty = [np.zeros(0, dtype=np.int64)]
+    return np.concatenate(found[0] or empty), np.concatenate(found[1] or empty)
+
+
 def close_pairs(variant: np.ndarray, fp: np.ndarray, params: Params) -> tuple[np.ndarray, np.ndarray]:
     """Places of rows that meet in a variant and link; rows are in order of their variant."""
     begins = np.flatnonzero(np.concatenate(([True], variant[1:] != variant[:-1])))
@@ -155,9 +174,9 @@ def close_pairs(variant: np.ndarray, fp: np.ndarray, params: Params) -> tuple[np
     for begin, size in zip(begins[sizes > few].tolist(), sizes[sizes > few].tolist()):
         rows = np.arange(begin, begin + size)
         first, second = (rows[~side[rows]], rows[side[rows]]) if wild[begin] else (rows, rows)
-        a, b = np.nonzero(np.bitwise_count(fp[first][:, None] ^ fp[second][None, :]) <= params.most)
-        found_a.append(first[a])
-        found_b.append(second[b])
+        a, b = close_between(fp, first, second, params)
+        found_a.append(a)
+        found_b.append(b)
     empty = [np.zeros(0, dtype=np.int64)]
     return np.concatenate(found_a or empty), np.concatenate(found_b or empty)
 
@@ -197,8 +216,7 @@ def compare_blocks(params: Params):
         left = np.flatnonzero(~second)
         right = np.flatnonzero(second) if second.any() else left
         bits = fp.view(np.uint64)
-        a, b = np.nonzero(np.bitwise_count(bits[left][:, None] ^ bits[right][None, :]) <= params.most)
-        joined, least = star_edges(len(fp), left[a], right[b])
+        joined, least = star_edges(len(fp), *close_between(bits, left, right, params))
         return pa.table({"a": fp[joined], "b": fp[least]})
 
     return compare
@@ -232,13 +250,11 @@ def in_large_variants(rows: DataFrame, large: DataFrame, params: Params) -> Data
 
 def links(classes: DataFrame, params: Params) -> DataFrame:
     """``a, b``: links of ``fp, n_docs`` that connect what is connected."""
-    rows = stage(variants(classes, params), "variants")
-    sizes = stage(rows.groupBy("variant").agg(F.count("*").alias("size")).where("size > 1"), "variant-sizes")
-    large = sizes.where(F.col("size") > params.variant_rows).select("variant")
-    small = rows.join(sizes.where(F.col("size") <= params.variant_rows).select("variant"), "variant")
-    # The partitions the join leaves are those of the variant already.
-    ordered = small.select("variant", "fp").repartition("variant").sortWithinPartitions("variant")
-    in_small = ordered.mapInArrow(compare_sorted(params), "a long, b long")
+    rows = variants(classes, params)
+    sizes = rows.groupBy("variant").agg(F.count("*").alias("size"))
+    large = stage(sizes.where(F.col("size") > params.variant_rows).select("variant"), "large")
+    small = rows.join(large, "variant", "left_anti").select("variant", "fp")
+    in_small = small.repartition("variant").sortWithinPartitions("variant").mapInArrow(compare_sorted(params), "a long, b long")
     return stage(in_small.union(in_large_variants(rows, large, params)).distinct(), "links")
 
 
