@@ -5,11 +5,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import ann, blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, simhash, warc
+from packwright.llm import alignment, ann, blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, simhash, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
 VOCABULARY = "piece_bpe_32k.model"
+BYTE_VOCABULARY = "byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,10 +59,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blob_ledger.report(found)
 
 
-def vocabulary() -> bytes:
+def vocabulary(name: str = VOCABULARY) -> bytes:
     import public_tokenizers
 
-    return pieces.model_bytes(public_tokenizers.path(VOCABULARY))
+    return pieces.model_bytes(public_tokenizers.path(name))
 
 
 @query()
@@ -100,6 +101,11 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+@query()
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), vocabulary())
+
+
 @query()
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.report(simhash.find_near_duplicates(table(spark, sf_dir, "documents")))
