@@ -12,9 +12,11 @@ the slice's list of pairs, so that neither links nor texts are exchanged one by
 """
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from hashlib import sha256
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +32,7 @@ from packwright.session import stage
 class Params:
     """``slice_bytes`` of text, or one text if it is longer, are aligned at once."""
 
-    slice_bytes: int = 4 << 20
+    slice_bytes: int = 2 << 20
     threads: int = 2
 
 
@@ -64,6 +66,57 @@ def piece_spellings(spec: Spec) -> list[bytes]:
     ]
 
 
+class ByteLevel:
+    """A byte-level vocabulary file's encoder.
+
+    The library that reads the file spends most of its time on the pattern that cuts words.
+    Where the file says just what the other library does (that pattern, merges in order of
+    their ids), texts of letters that both patterns are tested to cut alike go there.
+    """
+
+    # The pattern of byte-level vocabularies.
+    WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    RARE = re.compile("[^\x00-\u024f]")
+
+    def __init__(self, vocabulary: bytes):
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_str(vocabulary.decode())
+        self.tokenizer.encode_special_tokens = True
+        self.spellings = byte_level_spellings(vocabulary)
+        self.fast = self._fast(json.loads(vocabulary))
+
+    def _fast(self, content: dict):
+        import tiktoken
+
+        model, cut = content["model"], content.get("pre_tokenizer") or {}
+        ids = model.get("vocab") or {}
+        pairs = [m.split(" ") if isinstance(m, str) else m for m in model.get("merges") or ()]
+        merged = [ids[a + b] for a, b in pairs]
+        odd = [model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "ignore_merges")]
+        usual = cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut.get("add_prefix_space")
+        letters = byte_letters()
+        if content.get("normalizer") or any(odd) or not usual or sorted(set(merged)) != merged or not letters.keys() <= ids.keys():
+            return None
+        ranks = {self.spellings[i]: i for i in [*(ids[c] for c in letters), *merged]}
+        return tiktoken.Encoding("byte-level", pat_str=self.WORDS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        quick = [self.fast is not None and not self.RARE.search(t) for t in texts]
+        slow = iter(self.tokenizer.encode_batch_fast([t for t, q in zip(texts, quick) if not q], add_special_tokens=False))
+        return [
+            np.asarray(self.fast.encode_to_numpy(t, disallowed_special=()) if q else next(slow).ids, dtype=np.int64)
+            for t, q in zip(texts, quick)
+        ]
+
+
+def tokens_until(ends: np.ndarray, n_bytes: int) -> np.ndarray:
+    """For each number of bytes, how many tokens have ended before: the token that holds the last."""
+    flags = np.zeros(n_bytes + 1, dtype=np.int64)
+    flags[ends] = 1
+    return np.cumsum(flags) - flags
+
+
 def farthest(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     """Where each token points: first those of A, then those of B, by where they end.
 
@@ -71,9 +124,9 @@ def farthest(end_a: np.ndarray, end_b: np.ndarray) -> np.ndarray:
     the other side that holds its last byte. Where both end there, it is B's, the last of
     its group, which points to itself.
     """
-    n = len(end_a)
-    to_b = np.searchsorted(end_b, end_a)
-    to_a = np.searchsorted(end_a, end_b)
+    n, n_bytes = len(end_a), int(end_a[-1])
+    to_b = tokens_until(end_b, n_bytes)[end_a]
+    to_a = tokens_until(end_a, n_bytes)[end_b]
     last = end_a[to_a] == end_b
     return np.concatenate((n + to_b, np.where(last, n + np.arange(len(end_b)), to_a)))
 
@@ -89,8 +142,11 @@ def terminals(pointers: np.ndarray) -> np.ndarray:
 
 def linked_tokens(end_a: np.ndarray, end_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places of A's and B's tokens of every link: one for each piece between neighbouring ends."""
-    ends = np.union1d(end_a, end_b)
-    return np.searchsorted(end_a, ends), np.searchsorted(end_b, ends)
+    n_bytes = int(end_a[-1])
+    is_end = np.zeros(n_bytes + 1, dtype=bool)
+    is_end[end_a] = is_end[end_b] = True
+    ends = np.flatnonzero(is_end)
+    return tokens_until(end_a, n_bytes)[ends], tokens_until(end_b, n_bytes)[ends]
 
 
 class Spelled:
@@ -137,29 +193,27 @@ class Aligner:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
-        from tokenizers import Tokenizer
 
-        self.byte_level = Tokenizer.from_str(vocabulary.decode())
-        self.byte_level.encode_special_tokens = True
+        self.byte_level = ByteLevel(vocabulary)
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.a, self.b = Spelled(byte_level_spellings(vocabulary)), Spelled(piece_spellings(parse_model(model)))
+        self.a, self.b = Spelled(self.byte_level.spellings), Spelled(piece_spellings(parse_model(model)))
         self.decimals = self.a.decimals() + self.b.decimals()
         self.threads = threads
 
-    def tokens(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
+    def tokens(self, texts: list[str | None]) -> tuple[list[np.ndarray], list[list[int]]]:
         """Ids of both; none where the bytes of either are not those of a blank and the text."""
         there = [i for i, t in enumerate(texts) if t]
         lines = [" " + texts[i] for i in there]
-        rows_a: list[list[int]] = [[] for _ in texts]
+        rows_a: list[np.ndarray] = [np.zeros(0, dtype=np.int64) for _ in texts]
         rows_b: list[list[int]] = [[] for _ in texts]
         if not there:
             return rows_a, rows_b
-        found_a = [e.ids for e in self.byte_level.encode_batch_fast(lines, add_special_tokens=False)]
+        found_a = self.byte_level.encode(lines)
         found_b = self.pieces.encode([texts[i] for i in there], num_threads=self.threads)
         spelled_a, spelled_b = self.a.spellings, self.b.spellings
         for i, line, a, b in zip(there, lines, found_a, found_b):
             data = line.encode()
-            if b"".join([spelled_a[x] for x in a]) == data and b"".join([spelled_b[x] for x in b]) == data:
+            if b"".join([spelled_a[x] for x in a.tolist()]) == data and b"".join([spelled_b[x] for x in b]) == data:
                 rows_a[i], rows_b[i] = a, b
         return rows_a, rows_b
 
@@ -168,7 +222,8 @@ class Aligner:
         rows_a, rows_b = self.tokens(texts)
         sizes_a, sizes_b = [np.fromiter(map(len, rows), dtype=np.int64, count=len(rows)) for rows in (rows_a, rows_b)]
         doc_a, doc_b = [np.concatenate(([0], np.cumsum(s))) for s in (sizes_a, sizes_b)]
-        a, b = [np.fromiter((x for row in rows for x in row), dtype=np.int64, count=int(s.sum())) for rows, s in ((rows_a, sizes_a), (rows_b, sizes_b))]
+        a = np.concatenate(rows_a)
+        b = np.fromiter(chain.from_iterable(rows_b), dtype=np.int64, count=int(sizes_b.sum()))
         none = np.zeros(len(texts), dtype=np.int64)
         if not len(a):
             empty = np.zeros(0, dtype=np.int64)

@@ -99,6 +99,24 @@ def test_spellings_are_those_of_the_files():
     assert len(pieces) == 32000 and {bytes([i]) for i in range(256)} <= set(pieces)
 
 
+def test_both_byte_level_libraries_agree():
+    """On every letter that goes to the faster one, in all surroundings that the pattern tells apart."""
+    encoder = alignment.ByteLevel(vocabulary(BYTE_VOCABULARY))
+    texts = [f" a{c}b {c}{c}  {c} 1{c}2 !{c}? '{c}s  \n{c}\t\t{c} {c}" for c in map(chr, range(0x250))]
+    texts += [" " + t for t in ODD] + ["".join(random.Random(1).choices("ab 1'!é\u00a0\u0085\n", k=5000)), "z" * 100_000]
+    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [x.tolist() for x in encoder.encode(texts)] == want
+    assert encoder.fast is not None and not encoder.RARE.search(texts[0x24F]) and encoder.RARE.search("\u0250")
+
+
+def test_another_vocabulary_is_left_to_its_library():
+    content = alignment.json.loads(vocabulary(BYTE_VOCABULARY))
+    content["model"]["merges"][:2] = content["model"]["merges"][1::-1]
+    other = alignment.ByteLevel(alignment.json.dumps(content).encode())
+    assert other.fast is None
+    assert [x.tolist() for x in other.encode([" the cat"])] == [other.tokenizer.encode(" the cat").ids]
+
+
 def test_edges(spark, edge_docs, edge_rows, no_docs):
     files = vocabulary(BYTE_VOCABULARY), vocabulary()
     short = [(i, t) for i, t in edge_rows if len(t or "") < 5000]
