@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import alignment, ann, blob_ledger, chat, decontam, langid, licenses, linedup, neardup, oracles, pieces, simhash, warc
+from packwright.llm import alignment, ann, blob_ledger, chat, decontam, hardneg, langid, licenses, linedup, neardup, oracles, pieces, simhash, warc
 from packwright.session import fresh_path
 from packwright.sources.tables import table
 
@@ -101,6 +101,14 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.report(found)
 
 
+@query(oracles.HARD_NEGATIVES)
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Some labels are moved by one first."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").cast("long").alias("label"))
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows.withColumn("label", moved))
+
+
 @query()
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), vocabulary(BYTE_VOCABULARY), vocabulary())
