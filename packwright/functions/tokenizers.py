@@ -3,6 +3,10 @@
 ``word_md5`` is built from Spark functions alone. The subword vocabularies run in
 one Arrow UDF per direction; the vocabulary file (at most a few MB) is broadcast
 as bytes, so executors need no copy of it, and each Python worker opens it once.
+
+Beside the three built-in names, ``register_tokenizer`` takes any vocabulary file of
+a known format (``functions/vocabularies.py``) and makes it known to ``tokenizer``, to
+the jobs, and to SQL.
 """
 
 from collections.abc import Callable, Iterator
@@ -12,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from packwright.functions import vocabularies
 from packwright.functions.text import word_ids
+from packwright.functions.vocabularies import RANKS, SENTENCEPIECE, WORD_PATTERN, Vocabulary, open_vocabulary
 
 # Words tokenized at a time.
 WORDS_PER_WINDOW = 8192
@@ -20,8 +26,8 @@ WORDS_PER_WINDOW = 8192
 # Vocabulary files and end-of-sequence ids. The word ids end below
 # 2**28, so 2**28 is free there.
 VOCABULARY_FILES = {
-    "piece_bpe_32k": "piece_bpe_32k.model",
-    "byte_bpe_50k": "byte_bpe_50k.tiktoken",
+    "piece_bpe_32k": ("piece_bpe_32k.model", SENTENCEPIECE),
+    "byte_bpe_50k": ("byte_bpe_50k.tiktoken", RANKS),
 }
 EOS_IDS = {
     "piece_bpe_32k": 2,
@@ -42,25 +48,90 @@ class Tokenizer:
 
 
 def tokenizer(
-    spark: SparkSession, name: str = "piece_bpe_32k", window: int = WORDS_PER_WINDOW
+    spark: SparkSession, name: str = "piece_bpe_32k", window: int | None = None
 ) -> Tokenizer:
-    if name not in EOS_IDS:
-        raise ValueError(f"unknown tokenizer {name!r}; known: {sorted(EOS_IDS)}")
-    if window < 1:
+    """By name: one registered in this session, or a built-in one.
+
+    A text of more words than ``window`` is tokenized in windows. Without it the window is
+    the one of the registration, or 8,192 words.
+    """
+    if window is not None and window < 1:
         raise ValueError("window must be at least one word")
+    own = vocabularies.registered(spark, name)
+    if own is not None:
+        return _of_vocabulary(spark, own, window or own.window or WORDS_PER_WINDOW)
+    if name not in EOS_IDS:
+        known = sorted([*EOS_IDS, *vocabularies.registered_names(spark)])
+        raise ValueError(f"unknown tokenizer {name!r}; known: {known}")
     if name == "word_md5":
         return Tokenizer(name, EOS_IDS[name], word_ids)
-    encode, decode = _subword_udfs(spark, name, window)
-    return Tokenizer(name, EOS_IDS[name], encode, decode)
+    file, kind = VOCABULARY_FILES[name]
+    built_in = Vocabulary(name, kind, EOS_IDS[name], _vocabulary_bytes(file))
+    return _of_vocabulary(spark, built_in, window or WORDS_PER_WINDOW)
 
 
-def _vocabulary_bytes(name: str) -> bytes:
+def _of_vocabulary(spark: SparkSession, vocabulary: Vocabulary, window: int) -> Tokenizer:
+    encode, decode = _subword_udfs(spark, vocabulary, window)
+    return Tokenizer(vocabulary.name, vocabulary.eos_id, encode, decode)
+
+
+def _vocabulary_bytes(file: str) -> bytes:
     import public_tokenizers
 
-    with open(public_tokenizers.path(VOCABULARY_FILES[name]), "rb") as handle:
+    with open(public_tokenizers.path(file), "rb") as handle:
         return handle.read()
 
 
+def register_tokenizer(
+    spark: SparkSession,
+    name: str,
+    path: str,
+    eos_id: int,
+    kind: str | None = None,
+    pattern: str = WORD_PATTERN,
+    window: int = WORDS_PER_WINDOW,
+) -> Tokenizer:
+    """Make the vocabulary file at ``path`` a tokenizer of this session.
+
+    Afterwards ``tokenizer(spark, name)`` finds it, so the jobs take its name, and SQL has
+    ``<name>_encode(text)``, ``<name>_decode(ids)`` and ``<name>_count(text)``. ``path`` may be
+    on any file system of Spark's. ``kind`` is found from the file if it is not given: a
+    piece model, lines of base64 tokens and ranks (cut into words by ``pattern``), or a JSON
+    file of the tokenizers library. ``eos_id`` closes target spans; it may be an id that
+    the vocabulary has or a free one. The file is opened here, so that a broken one fails
+    now and not in a task. A name that is registered again is replaced; built-in names
+    cannot be. Null texts have null ids, and an empty text has none.
+    """
+    vocabularies.check_name(name)
+    if name in EOS_IDS:
+        raise ValueError(f"{name!r} is a built-in tokenizer")
+    if not 0 <= eos_id <= vocabularies.MOST_ID:
+        raise ValueError("an end id is a number from 0 to 2**31 - 1")
+    if window < 1:
+        raise ValueError("window must be at least one word")
+    content = vocabularies.read_file(spark, path)
+    kind = kind or vocabularies.format_of(path, content)
+    _, _, n_ids = open_vocabulary(kind, content, pattern)
+    if n_ids > vocabularies.MOST_ID:
+        raise ValueError(f"{path!r} has ids beyond 2**31 - 1")
+    vocabulary = Vocabulary(name, kind, eos_id, content, pattern, window)
+    tok = _of_vocabulary(spark, vocabulary, window)
+    spark.udf.register(f"{name}_encode", tok.encode)
+    spark.udf.register(f"{name}_decode", tok.decode)
+    spark.udf.register(f"{name}_count", _count_udf(spark, vocabulary, window))
+    vocabularies.keep(spark, vocabulary)
+    return tok
+
+
+def forget_tokenizer(spark: SparkSession, name: str) -> None:
+    """The name is free again, and its SQL functions are gone. Nothing happens if it is not known."""
+    if vocabularies.registered(spark, name) is None:
+        return
+    vocabularies.forget(spark, name)
+    for part in ("encode", "decode", "count"):
+        spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}_{part}")
+
+
 def start_in_part():
     """UDF of (subset, part, n): tokens before the row in its part.
 
@@ -95,47 +166,25 @@ def start_in_part():
     return F.arrow_udf(count, "bigint").asNondeterministic()
 
 
-def _subword_udfs(spark: SparkSession, name: str, window: int):
-    vocabulary = spark.sparkContext.broadcast(_vocabulary_bytes(name))
-    per_call = TEXTS_PER_CALL
-
-    # Everything below is closed over by value: executors need no copy of this package.
-    def open_vocabulary():
-        if name == "piece_bpe_32k":
-            import sentencepiece
-
-            model = sentencepiece.SentencePieceProcessor(model_proto=vocabulary.value)
-            return (
-                lambda texts: model.encode(texts, num_threads=1),
-                lambda rows: model.decode(rows, num_threads=1),
-            )
-        import base64
-
-        import public_tokenizers
-        import tiktoken
-
-        ranks = {}
-        for line in vocabulary.value.splitlines():
-            token, rank = line.split()
-            ranks[base64.b64decode(token)] = int(rank)
-        model = tiktoken.Encoding(
-            name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-        )
-        return (
-            lambda texts: [model.encode_ordinary(t) for t in texts],
-            lambda rows: [model.decode(r) for r in rows],
-        )
+def _flat_encoder(shared, kind: str, pattern: str, window: int, per_call: int):
+    """A function of an array of texts to the number of ids of each and all ids, end to end.
 
-    def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    Everything it needs is closed over by value: executors need no copy of this package.
+    """
+    import pyarrow as pa
+
+    opener = open_vocabulary
+
+    def encoder():
         from itertools import chain
 
         import numpy as np
-        import pyarrow as pa
 
-        encode, _ = open_vocabulary()
-        for batch in batches:
+        encode, _, _ = opener(kind, shared.value, pattern)
+
+        def flat(batch: pa.Array):
             lengths = np.zeros(len(batch), dtype=np.int64)
-            flat = []
+            ids = []
             for first in range(0, len(batch), per_call):
                 pieces, owners = [], []
                 texts = batch.slice(first, per_call).to_pylist()
@@ -153,12 +202,57 @@ def _subword_udfs(spark: SparkSession, name: str, window: int):
                 encoded = encode(pieces) if pieces else []
                 sizes = np.fromiter(map(len, encoded), dtype=np.int64, count=len(encoded))
                 np.add.at(lengths, np.asarray(owners, dtype=np.int64), sizes)
-                flat.append(
-                    np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(sizes.sum()))
-                )
+                ids.append(np.fromiter(chain.from_iterable(encoded), dtype=np.int32, count=int(sizes.sum())))
+            return lengths, np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+
+        return flat
+
+    return encoder
+
+
+def _by_value() -> None:
+    """Functions of this package that tasks call travel inside the tasks."""
+    import sys
+
+    from pyspark.cloudpickle import register_pickle_by_value
+
+    register_pickle_by_value(sys.modules[vocabularies.__name__])
+    register_pickle_by_value(sys.modules[__name__])
+
+
+def _count_udf(spark: SparkSession, vocabulary: Vocabulary, window: int):
+    """How many ids a text has, without handing the ids back."""
+    _by_value()
+    shared = spark.sparkContext.broadcast(vocabulary.content)
+    encoder = _flat_encoder(shared, vocabulary.kind, vocabulary.pattern, window, TEXTS_PER_CALL)
+
+    def count_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import pyarrow as pa
+
+        flat = encoder()
+        for batch in batches:
+            lengths, _ = flat(batch)
+            yield pa.array(lengths, pa.int64(), mask=batch.is_null().to_numpy(zero_copy_only=False))
+
+    return F.arrow_udf(count_batches, "bigint")
+
+
+def _subword_udfs(spark: SparkSession, vocabulary: Vocabulary, window: int):
+    _by_value()
+    shared = spark.sparkContext.broadcast(vocabulary.content)
+    kind, pattern, per_call = vocabulary.kind, vocabulary.pattern, TEXTS_PER_CALL
+    encoder = _flat_encoder(shared, kind, pattern, window, per_call)
+    opener = open_vocabulary
+
+    def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import numpy as np
+        import pyarrow as pa
+
+        flat = encoder()
+        for batch in batches:
+            lengths, values = flat(batch)
             offsets = np.zeros(len(batch) + 1, dtype=np.int32)
             np.cumsum(lengths, out=offsets[1:])
-            values = np.concatenate(flat) if flat else np.zeros(0, dtype=np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
             if batch.null_count:
                 ids = pa.compute.if_else(batch.is_valid(), ids, pa.scalar(None, ids.type))
@@ -167,7 +261,7 @@ def _subword_udfs(spark: SparkSession, name: str, window: int):
     def decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import pyarrow as pa
 
-        _, decode = open_vocabulary()
+        _, decode, _ = opener(kind, shared.value, pattern)
         for batch in batches:
             texts = []
             for first in range(0, len(batch), per_call):

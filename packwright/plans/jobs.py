@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.keys import LAYER_PREFIX, data_type_of, has_prefix, key_ordinal, path_part
 from packwright.functions.text import affix, eos_array, n_tokens
-from packwright.functions.tokenizers import WORDS_PER_WINDOW, start_in_part, tokenizer
+from packwright.functions.tokenizers import start_in_part, tokenizer
 from packwright.operators.batches import (
     DEVICES_PER_NODE,
     PER_DEVICE_BATCH,
@@ -99,7 +99,7 @@ def tokenize_files(
     paths: str,
     out: str,
     tokenizer_name: str = "piece_bpe_32k",
-    window: int = WORDS_PER_WINDOW,
+    window: int | None = None,
     mode: str = "quarantine",
     subset_from_end: int = 1,
 ) -> None:

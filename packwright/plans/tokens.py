@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.text import affix, array_total, constant_mask, ids_digest, n_tokens, word_ids, words
-from packwright.functions.tokenizers import tokenizer
+from packwright.functions.tokenizers import register_tokenizer, tokenizer
 from packwright.operators.checks import check_rules as count_violations, same_length
 from packwright.operators.examples import (
     chat_examples as gather_examples,
@@ -20,6 +20,7 @@ from packwright.operators.examples import (
 )
 from packwright.plans.inputs import CHAT_TOKENS, DOC_TOKENS, conversation_spans, document_examples
 from packwright.plans.registry import query
+from packwright.session import fresh_path
 from packwright.sources.tables import spread, table
 
 
@@ -71,6 +72,44 @@ def _roundtrip(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     )
 
 
+OWN_WINDOW = 200
+
+
+@query(f"""
+WITH w AS (
+  SELECT doc_id, lang, string_split(text, ' ') AS p FROM documents
+),
+said AS (
+  SELECT doc_id, lang, encode(array_to_string(list_transform(range(0, len(p), {OWN_WINDOW}),
+         lambda i: array_to_string(p[i + 1 : i + {OWN_WINDOW}], ' ')), '')) AS bytes
+  FROM w
+)
+SELECT doc_id, lang, octet_length(bytes)::BIGINT AS n_tokens, md5(hex(bytes)) AS ids_md5, true AS same_by_name
+FROM said
+""")
+def registered_vocabulary(spark: SparkSession, sf: str) -> DataFrame:
+    """A vocabulary file of single bytes, written here, registered, and used from SQL.
+
+    Its ids are the bytes of the text, without the blanks between windows.
+    """
+    path, name = fresh_path(spark, "vocabulary"), "single_bytes"
+    line = F.concat(F.base64(F.unhex(F.lpad(F.hex("id"), 2, "0"))), F.lit(" "), F.col("id"))
+    spark.range(256).select(line).coalesce(1).write.text(path)
+    tok = register_tokenizer(spark, name, path, eos_id=256, window=OWN_WINDOW)
+    docs = spread(table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id")
+    coded = spark.sql(
+        f"SELECT doc_id, lang, text, {name}_encode(text) AS ids, {name}_count(text) AS n FROM {{docs}}", docs=docs
+    )
+    spelled = F.array_join(F.transform("ids", lambda i: F.lpad(F.hex(i), 2, "0")), "")
+    return coded.select(
+        "doc_id",
+        "lang",
+        F.col("n").alias("n_tokens"),
+        F.md5(spelled).alias("ids_md5"),
+        tok.encode(F.col("text")).eqNullSafe(F.col("ids")).alias("same_by_name"),
+    )
+
+
 @query("SELECT doc_id, md5(text) AS text_md5, true AS known_ids, true AS fewer_ids FROM documents")
 def byte_bpe_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
