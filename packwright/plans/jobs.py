@@ -29,18 +29,19 @@ from packwright.operators.packing import CONTEXT_LENGTH, pack_parts
 from packwright.operators.parameters import combine_models, missing_keys
 from packwright.operators.pending import last_checkpoint
 from packwright.operators.shuffling import CHUNK_SIZE, SEED, shuffle_into_chunks
-from packwright.session import staging
-from packwright.sources.records import CHAT_SCHEMA, TEXT_SCHEMA, read_result_files
+from packwright.session import stage, staging
+from packwright.sources.records import CHAT_SCHEMA, TEXT_SCHEMA, path_below, read_result_files
 from packwright.sources.sinks import read_blocks, read_chunks, write_batch_log, write_blocks, write_chunks, write_rank_batches
 
-# Order of a record: its file, where the split starts, the row in the split, the turn. A file
-# is told by its whole path, as names repeat over folders.
+# Where a record stands: its file, where the split starts, the row in the split, the turn. A
+# file is told by its path below the folder that was read, so the same files elsewhere are the
+# same; their order is that of these paths.
 FILE_ORDER = ("file_id", "part_start", "row_in_part", "turn")
 PART = ("file_id", "part_start")
 SPAN_SCHEMA = (
     "file_id bigint, part_start bigint, row_in_part bigint, turn int, is_target int, role string, text string, "
     "reason string, token_ids array<int>, n bigint, start_in_part bigint, status string, data_type string, "
-    "subset_name string"
+    "subset_name string, file string"
 )
 BLOCK_KEYS = ("data_type", "subset_name", "block_idx")
 BLOCK_SCHEMA = "token_ids array<int>, tgt_mask array<int>, data_type string, subset_name string, block_idx bigint"
@@ -57,14 +58,14 @@ def read_turns(spark: SparkSession, paths: str, subset_from_end: int = 1) -> Dat
     schema = f"{CHAT_SCHEMA}, {TEXT_SCHEMA}, _corrupt string"
     records = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").json(paths).select(
         path_part(F.col("_metadata.file_path"), subset_from_end).alias("subset_name"),
-        F.xxhash64("_metadata.file_path").alias("file_id"),
+        path_below(spark, paths).alias("file"),
         F.col("_metadata.file_block_start").alias("part_start"),
         F.monotonically_increasing_id().alias("row_in_part"),
         "conversations",
         "markdown",
         "_corrupt",
     )
-    records = records.withColumn("data_type", data_type_of(F.col("subset_name")))
+    records = records.withColumns({"data_type": data_type_of(F.col("subset_name")), "file_id": F.xxhash64("file")})
 
     def turn(is_target: Column, role: Column, text: Column, reason: Column) -> Column:
         return F.struct(
@@ -90,8 +91,8 @@ def read_turns(spark: SparkSession, paths: str, subset_from_end: int = 1) -> Dat
         .otherwise(F.array(turn(F.lit(1), no_text, F.col("markdown"), no_text)))
     )
     return records.select(
-        "data_type", "subset_name", *FILE_ORDER[:-1], F.posexplode(turns).alias("turn", "t")
-    ).select("data_type", "subset_name", *FILE_ORDER, "t.*")
+        "data_type", "subset_name", "file", *FILE_ORDER[:-1], F.posexplode(turns).alias("turn", "t")
+    ).select("data_type", "subset_name", "file", *FILE_ORDER, "t.*")
 
 
 def tokenize_files(
@@ -121,6 +122,7 @@ def tokenize_files(
     ids = affix(tok.encode(F.coalesce("text", F.lit(""))), suffix=mark)
     spans = turns.select(
         *FILE_ORDER,
+        "file",
         "is_target",
         "role",
         F.when(~fine, F.col("text")).alias("text"),
@@ -142,12 +144,23 @@ def tokenized_counts(spark: SparkSession, tokenized: str) -> DataFrame:
     return spans.groupBy("data_type", "subset_name", "status", "reason").agg(F.count("*").alias("n_turns"))
 
 
-def pack_spans(spark: SparkSession, tokenized: str, out: str, context_length: int = CONTEXT_LENGTH) -> None:
+# An example is a line: a text, or all turns of a chat.
+EXAMPLE = ("file_id", "part_start", "row_in_part")
+EXAMPLE_KEYS = "file_id bigint, part_start bigint, row_in_part bigint"
+
+
+def pack_spans(
+    spark: SparkSession, tokenized: str, out: str, context_length: int = CONTEXT_LENGTH, bounded: bool = False
+) -> None:
     """``tokenize_files`` output to blocks. Lengths and starts are columns of their own there,
-    so offsets are worked out without reading an id."""
+    so offsets are worked out without reading an id. ``bounded`` blocks tell which line each
+    of their tokens comes from (``EXAMPLE_KEYS``)."""
     spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans").where(F.col("status") == "ok")
     with staging(spark):
-        write_blocks(pack_parts(spans, context_length, parts=PART), out, context_length, replace=True)
+        files = spans.select("file_id", "file").distinct().orderBy("file")
+        numbers = stage(files.select("file_id", F.monotonically_increasing_id().alias("file_no")), "file-numbers")
+        example = EXAMPLE if bounded else ()
+        write_blocks(pack_parts(spans, context_length, parts=PART, example=example, numbers=numbers), out, context_length, replace=True)
 
 
 def chunk_blocks(

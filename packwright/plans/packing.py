@@ -8,11 +8,20 @@ from packwright.functions.text import array_total, ids_digest, n_tokens
 from packwright.functions.tokenizers import tokenizer
 from packwright.operators.examples import text_spans, with_mask
 from packwright.operators.offsets import running_offsets
-from packwright.operators.packing import SUBSET, pack, packing_report, token_offsets as place_examples, unpack
+from packwright.operators.packing import (
+    SUBSET,
+    example_positions,
+    examples_in_blocks,
+    pack,
+    packing_report,
+    token_offsets as place_examples,
+    unpack,
+)
 from packwright.plans.inputs import (
     BLOCK,
     BLOCK_ROWS_SQL,
     CHAT_BLOCK,
+    CHAT_TOKENS,
     DOC_TOKENS,
     chat_blocks_sql,
     conversation_spans,
@@ -24,6 +33,7 @@ from packwright.plans.inputs import (
 from packwright.plans.registry import query
 from packwright.session import fresh_path, stage
 from packwright.sources.records import PLACE, read_tokenized_files
+from packwright.sources.sinks import read_blocks, write_blocks
 from packwright.sources.tables import spread
 from packwright.streaming.packing import StreamPacker
 
@@ -70,10 +80,9 @@ def _packed_and_back(spans: DataFrame, keys: list[str], length: int, name: str)
     """Pack, cut every example out of the blocks again and decode it."""
     tok = tokenizer(spans.sparkSession, name)
     tokens = stage(spans.withColumn("n", n_tokens(F.col("token_ids"))), "tokens")
-    blocks = stage(pack(tokens, length, keys=keys, staged=False, tokens_per_run=TOKENS_PER_RUN), "blocks")
-    offsets = running_offsets(tokens.where("n > 0").select(*SUBSET, *keys, "n"), SUBSET, keys, "n").drop("n")
-    placed = tokens.where("n > 0").join(offsets, [*SUBSET, *keys])
-    found = unpack(blocks, placed, keys, length).join(tokens.select(*keys, "is_target"), keys)
+    offsets = stage(running_offsets(tokens.where("n > 0").select(*SUBSET, *keys, "n"), SUBSET, keys, "n"), "offsets")
+    blocks = stage(pack(tokens, length, keys=keys, staged=False, tokens_per_run=TOKENS_PER_RUN, offsets=offsets), "blocks")
+    found = unpack(blocks, tokens, offsets, keys, length)
     ids = F.col("token_ids")
     marked = F.element_at(ids, -1) == tok.eos_id
     text = tok.decode(F.when(marked, F.slice(ids, 1, F.size(ids) - 1)).otherwise(ids))
@@ -97,15 +106,66 @@ def bpe_pack_chat(spark: SparkSession, sf: str) -> DataFrame:
     return _packed_and_back(spans, ["conv_id", "turn"], CHAT_BLOCK, "piece_bpe_32k")
 
 
+DOC_PLACES = f"""{DOC_TOKENS},
+places AS (
+  SELECT subset_name, doc_id, row_number() OVER (PARTITION BY subset_name ORDER BY doc_id, i) - 1 AS p,
+         count(*) OVER (PARTITION BY subset_name) // {BLOCK} * {BLOCK} AS kept
+  FROM doc_tokens
+),
+held AS (SELECT subset_name, doc_id, p // {BLOCK} AS block_idx, p % {BLOCK} AS spot FROM places WHERE p < kept)"""
+
+
+@query(f"""
+WITH {DOC_PLACES}
+SELECT subset_name, block_idx::BIGINT AS block_idx, doc_id, min(spot)::INT AS start, count(*)::INT AS length
+FROM held GROUP BY subset_name, block_idx, doc_id
+""")
+def block_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    """Whose tokens stand where in a block."""
+    blocks = pack(document_spans(spark, sf), BLOCK, tokens_per_run=TOKENS_PER_RUN, example=["doc_id"])
+    return examples_in_blocks(blocks, ["subset_name", "block_idx"]).select(
+        "subset_name", "block_idx", "doc_id", "start", "length"
+    )
+
+
+# A conversation is one example, though its turns are packed as rows of their own.
+@query(f"""
+WITH {CHAT_TOKENS},
+places AS (
+  SELECT conv_id, m, row_number() OVER (ORDER BY conv_id, turn, i) - 1 AS p, count(*) OVER () // {CHAT_BLOCK} * {CHAT_BLOCK} AS kept
+  FROM chat_tokens
+),
+held AS (SELECT conv_id, m, p // {CHAT_BLOCK} AS block_idx, p % {CHAT_BLOCK} AS spot FROM places WHERE p < kept),
+numbered AS (SELECT *, spot - min(spot) OVER (PARTITION BY block_idx, conv_id) AS place FROM held)
+SELECT block_idx::BIGINT AS block_idx, count(DISTINCT conv_id)::BIGINT AS n_examples,
+       md5(array_to_string(list(place ORDER BY spot), ',')) AS positions_md5,
+       md5(array_to_string(list(conv_id ORDER BY spot), ',')) AS owners_md5
+FROM numbered GROUP BY block_idx
+""")
+def block_positions(spark: SparkSession, sf: str) -> DataFrame:
+    """Positions that begin again at each conversation, written with the blocks and read back."""
+    path = fresh_path(spark, "bounded-blocks")
+    blocks = pack(conversation_spans(spark, sf), CHAT_BLOCK, keys=("conv_id", "turn"), example=["conv_id"])
+    write_blocks(blocks, path, CHAT_BLOCK)
+    back = read_blocks(spark, path, CHAT_BLOCK, example="conv_id bigint")
+    owners = F.flatten(F.transform("boundaries", lambda b: F.array_repeat(b["conv_id"], b["length"])))
+    return back.select(
+        "block_idx",
+        F.size("boundaries").cast("bigint").alias("n_examples"),
+        ids_digest(example_positions(F.col("boundaries"))).alias("positions_md5"),
+        ids_digest(owners).alias("owners_md5"),
+    )
+
+
 @query(f"WITH {doc_blocks_sql()} SELECT {BLOCK_ROWS_SQL} FROM doc_blocks")
 def pack_tokenized_files(spark: SparkSession, sf: str) -> DataFrame:
     """The documents' ids as lines in a folder per subset, read with their place and packed."""
     root = fresh_path(spark, "lines")
     examples = stage(document_examples(spark, sf), "examples")
-    for (subset,) in examples.select("subset_name").distinct().collect():
-        lines = examples.where(F.col("subset_name") == subset).orderBy("doc_id").select("token_ids", "tgt_mask")
-        lines.write.json(f"{root}/text/{subset}")
+    lines = examples.repartitionByRange("subset_name", "doc_id").sortWithinPartitions("subset_name", "doc_id")
+    lines.select("token_ids", "tgt_mask", "subset_name").write.partitionBy("subset_name").json(f"{root}/text")
     known, _ = read_tokenized_files(spark, f"{root}/*/*", subset_from_end=2)
+    known = known.withColumn("subset_name", F.regexp_replace("subset_name", "^subset_name=", ""))
     return block_rows(pack(known, BLOCK, keys=PLACE))
 
 

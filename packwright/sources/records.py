@@ -1,5 +1,6 @@
 """Reading record files, with schemas that are stated and never inferred."""
 
+import re
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
@@ -49,6 +50,23 @@ def _path_key(path: Column) -> Column:
     return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
 
 
+def path_below(spark: SparkSession, paths: str) -> Column:
+    """The file a row comes from, from the folder down that ``paths`` names before any pattern.
+
+    The same files in another place have the same names.
+    """
+    fixed = re.split(r"[*?\[{]", paths, maxsplit=1)[0]
+    folder = fixed if fixed == paths else fixed.rsplit("/", 1)[0] if "/" in fixed else "."
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    qualified = files.makeQualified(path)
+    if folder == paths and files.exists(path) and files.getFileStatus(path).isFile():
+        qualified = qualified.getParent()
+    depth = len(re.sub("^([a-z0-9]+):/+", r"\1:/", qualified.toString()).rstrip("/").split("/"))
+    parts = F.split(_path_key(source_path()), "/")
+    return F.array_join(F.slice(parts, F.lit(depth + 1), F.size(parts)), "/")
+
+
 def numbered_files(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """``path_key, file_no``: files in order of their paths; only names are read."""
     files = spark.read.format("binaryFile").load(paths).select(_path_key(F.col("path")).alias("path_key"))

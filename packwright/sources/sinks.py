@@ -48,13 +48,22 @@ def write_blocks(
     writer.partitionBy("context_length", *by).save(path)
 
 
-def read_blocks(spark: SparkSession, path: str, context_length: int, fmt: str = "parquet") -> DataFrame:
-    """All subsets of one context length."""
-    schema = f"block_idx bigint, {ARRAYS}, context_length int, data_type string, subset_name string"
+def read_blocks(
+    spark: SparkSession, path: str, context_length: int, fmt: str = "parquet", example: str | None = None
+) -> DataFrame:
+    """All subsets of one context length. ``example`` is the DDL of the keys in their boundaries;
+    without it, boundaries are left unread."""
+    bounds = f", boundaries array<struct<start: int, length: int, {_fields(example)}>>" if example else ""
+    schema = f"block_idx bigint, {ARRAYS}{bounds}, context_length int, data_type string, subset_name string"
     read = spark.read.schema(schema).format(fmt).load(path)
     return read.where(F.col("context_length") == context_length).drop("context_length")
 
 
+def _fields(ddl: str) -> str:
+    """Columns of a DDL as fields of a struct."""
+    return ", ".join(f"{name}: {kind}" for name, kind in (c.strip().split(None, 1) for c in ddl.split(",")))
+
+
 CHUNK_BY = ("epoch", "chunk_idx")
 # 4,096 blocks of 8,192 tokens are 268 MB of ids and masks.
 ROWS_PER_FILE = 4096

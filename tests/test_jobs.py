@@ -185,7 +185,7 @@ def test_every_chunk_is_permuted(spark, tmp_path):
     assert len(stayed) == 400 and sum(stayed) < 20
 
 
-def test_both_ways_to_pack_agree(spark, raw, tmp_path, monkeypatch):
+def test_both_ways_to_pack_agree(spark, raw, tmp_path):
     """Starts counted along the scan, starts worked out from the keys, and parts too many to broadcast."""
     from packwright.operators import packing
 
@@ -203,5 +203,33 @@ def test_both_ways_to_pack_agree(spark, raw, tmp_path, monkeypatch):
     plan = by_parts._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == plan.count("REPARTITION_BY_COL") == 1
     assert collected(by_keys) == collected(by_parts) == want
-    monkeypatch.setattr(packing, "MOST_PARTS_BROADCAST", 0)
-    assert collected(packing.pack_parts(spans, LENGTH, parts=jobs.PART)) == want
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert collected(packing.pack_parts(spans, LENGTH, parts=jobs.PART)) == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_the_same_files_elsewhere_give_the_same_blocks_in_path_order(spark, tmp_path):
+    """A subset that is a folder of files: they follow each other by path, wherever the folder lies."""
+    draw = random.Random(2)
+    texts = {f"part-{i:02d}": [" ".join(f"w{draw.randrange(50)}" for _ in range(draw.randrange(9))) for _ in range(7)] for i in range(12)}
+    found = []
+    for place in ("here", "some where/else"):
+        folder = tmp_path / place / "raw" / "textbooks.jsonl"
+        folder.mkdir(parents=True)
+        for name, lines in texts.items():
+            (folder / name).write_text("".join(json.dumps({"markdown": t}) + "\n" for t in lines))
+        raw, out = tmp_path / place / "raw", tmp_path / place / "out"
+        jobs.tokenize_files(spark, f"{raw}/*", str(out), "word_md5", subset_from_end=2)
+        jobs.pack_spans(spark, str(out), f"{out}/blocks", LENGTH, bounded=True)
+        blocks = jobs.read_blocks(spark, f"{out}/blocks", LENGTH, example=jobs.EXAMPLE_KEYS)
+        found.append([(r.token_ids, r.boundaries) for r in blocks.orderBy("block_idx").collect()])
+    stream = [x for name in sorted(texts) for t in texts[name] for x in [*plain_ids(t), EOS]]
+    assert [ids for ids, _ in found[0]] == [stream[i : i + LENGTH] for i in range(0, len(stream) - LENGTH + 1, LENGTH)]
+    assert found[0] == found[1]
+    begins = [b * LENGTH + e.start for b, (_, bounds) in enumerate(found[0]) for e in bounds]
+    ends = [0, *itertools.accumulate(len(plain_ids(t)) + 1 for name in sorted(texts) for t in texts[name])]
+    kept = len(stream) // LENGTH * LENGTH
+    assert begins == sorted({*[x for x in ends if x < kept], *range(0, kept, LENGTH)})

@@ -3,8 +3,10 @@ import random
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
-from packwright.operators.packing import pack, packing_report
+from packwright.operators.offsets import running_offsets
+from packwright.operators.packing import example_positions, examples_in_blocks, pack, packing_report, unpack
 
 SCHEMA = "data_type string, subset_name string, doc_id bigint, token_ids array<int>, tgt_mask array<int>"
 QUIET = settings(
@@ -109,3 +111,54 @@ def test_subword_blocks_of_whole_documents(spark, sf_small, name):
         ids = encode(d["text"]) + [EOS_IDS[name]]
         examples.append((d["lang"], d["doc_id"], ids, [1] * len(ids)))
     assert collected(pack(document_spans(spark, sf_small, name), 512)) == blocks_of(examples, 512)
+
+
+def test_boundaries_tell_whose_tokens_a_block_holds(spark):
+    """Turns of one conversation are one interval, also where it goes on in the next block."""
+    draw = random.Random(4)
+    rows, stream = [], {"a": [], "b": []}
+    for conv in range(40):
+        for turn in range(draw.randrange(1, 4)):
+            subset, n = "ab"[conv % 2], draw.choice([0, 1, 3, 7, 25])
+            ids = [draw.randrange(99) for _ in range(n)]
+            rows.append(("chat", subset, conv, turn, ids, turn % 2))
+            stream[subset] += [(conv, turn, x) for x in ids]
+    df = spark.createDataFrame(rows, "data_type string, subset_name string, conv bigint, turn int, token_ids array<int>, is_target int")
+    for keys in (["conv"], ["conv", "turn"]):
+        blocks = pack(df, 10, keys=("conv", "turn"), example=keys)
+        got = {(r.subset_name, r.block_idx): r for r in blocks.withColumn("positions", example_positions(F.col("boundaries"))).collect()}
+        assert set(got) == {(s, i) for s in stream for i in range(len(stream[s]) // 10)}
+        for (subset, i), r in got.items():
+            part = stream[subset][10 * i : 10 * i + 10]
+            want, positions = [], []
+            for at, token in enumerate(part):
+                key = token[: len(keys)]
+                if not want or want[-1][2:] != key:
+                    want.append((at, 0, *key))
+                want[-1] = (want[-1][0], want[-1][1] + 1, *key)
+                positions.append(want[-1][1] - 1)
+            assert [tuple(b) for b in r.boundaries] == want and r.positions == positions
+        cut = examples_in_blocks(blocks).collect()
+        assert sum(len(r.token_ids) for r in cut) == 10 * len(got)
+        for r in cut:
+            whole = got[r.subset_name, r.block_idx]
+            assert r.token_ids == whole.token_ids[r.start : r.start + r.length] and len(r.tgt_mask) == r.length
+
+
+def test_blocks_without_examples_have_no_boundaries(spark):
+    draw = random.Random(6)
+    df = frame(spark, [example(draw, "a", d, 9) for d in range(10)])
+    assert "boundaries" not in pack(df, 8).columns
+
+
+def test_unpacking_moves_each_block_once(spark):
+    """The join that meets blocks has one row per block, not one per example in it."""
+    draw = random.Random(7)
+    examples = [example(draw, draw.choice("ab"), d, draw.randrange(6)) for d in range(200)]
+    tokens = frame(spark, examples).withColumn("n", F.size("token_ids").cast("bigint"))
+    offsets = running_offsets(tokens.where("n > 0").select("data_type", "subset_name", "doc_id", "n"), ["data_type", "subset_name"], ["doc_id"], "n")
+    blocks = pack(tokens, 16, staged=False, offsets=offsets)
+    back = unpack(blocks, tokens, offsets, ["doc_id"], 16)
+    assert {r.doc_id: list(r.token_ids) for r in back.collect()} == {d: list(ids) for _, d, ids, _ in examples if len(ids)}
+    plan = back._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(cuts") == 1
