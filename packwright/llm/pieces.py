@@ -13,6 +13,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
@@ -171,17 +172,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
         import sentencepiece
+        from tokenizers import Tokenizer
 
         self.spec = parse_model(model)
         self.tokenizer, self.decoder = build(self.spec), build_decoder(self.spec)
+        self.bare = Tokenizer(self.tokenizer.model)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.threads = threads
 
+    def normalize(self, text: str) -> str:
+        """Without character maps and without stripping, blanks only change their letter."""
+        spec = self.spec
+        if spec.charsmap or spec.strip_blanks or not spec.escape_blanks:
+            return self.tokenizer.normalizer.normalize_str(text)
+        return ((MARK if spec.dummy_prefix else "") + text.replace(" ", MARK)) if text else ""
+
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """Ids of each text, and whether the original library gives the same for the whole text."""
         if not texts:
             return [], []
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        normal = [self.normalize(t) for t in texts]
+        ids = [e.ids for e in self.bare.encode_batch_fast(normal, add_special_tokens=False)]
         theirs = self.original.encode(texts, num_threads=self.threads)
         return ids, [a == b for a, b in zip(ids, theirs)]
 
@@ -199,6 +210,23 @@ def int_lists(rows: list[list[int] | None]) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, values, mask=pa.array([r is None for r in rows], pa.bool_()))
 
 
+def ranges(batch: pa.Array) -> tuple[list[int], list[int]]:
+    """Begins and lengths of slices of a bounded number of bytes."""
+    sizes = pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
+    found = [(begin, stop - begin) for begin, stop in slices([range(n) for n in sizes])]
+    return [b for b, _ in found], [n for _, n in found]
+
+
+def encoded(encoder: Encoder, batch: pa.Array) -> pa.Array:
+    """Texts to structs of ids, parity and decoded text."""
+    texts = batch.to_pylist()
+    ids, same = encoder.encode([t for t in texts if t is not None])
+    read = iter(zip(ids, same, encoder.decode(ids)))
+    rows = [(None, None, None) if t is None else next(read) for t in texts]
+    columns = [int_lists([r[0] for r in rows]), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.string())]
+    return pa.StructArray.from_arrays(columns, ["ids", "parity", "decoded"], mask=pa.array([t is None for t in texts], pa.bool_()))
+
+
 def tokenized(spark: SparkSession, text: Column, model: bytes, threads: int = 2) -> Column:
     """Ids of a whole text by the rebuilt tokenizer, whether the original library gives the
     same, and the decoded ids. Null stays null; an empty text has no ids and decodes to itself."""
@@ -207,20 +235,9 @@ def tokenized(spark: SparkSession, text: Column, model: bytes, threads: int = 2)
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value, threads)
         for batch in batches:
-            texts = batch.to_pylist()
-            ids, parity, decoded = [], [], []
-            for begin, stop in slices(texts):
-                there = [t for t in texts[begin:stop] if t is not None]
-                encoded, same = encoder.encode(there)
-                read = iter(zip(encoded, same, encoder.decode(encoded)))
-                for t in texts[begin:stop]:
-                    row = (None, None, None) if t is None else next(read)
-                    ids.append(row[0])
-                    parity.append(row[1])
-                    decoded.append(row[2])
-            columns = [int_lists(ids), pa.array(parity, pa.bool_()), pa.array(decoded, pa.string())]
-            null = pa.array([t is None for t in texts], pa.bool_())
-            yield pa.StructArray.from_arrays(columns, ["ids", "parity", "decoded"], mask=null)
+            # A slice is numbers in arrays before the next is read.
+            done = [encoded(encoder, part) for part in map(batch.slice, *ranges(batch))]
+            yield pa.concat_arrays(done or [encoded(encoder, batch)])
 
     return F.arrow_udf(run, ENCODED)(text)
 

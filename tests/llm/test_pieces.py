@@ -3,7 +3,7 @@ import struct
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
-from tokenizers import decoders, models, normalizers
+from tokenizers import decoders, models
 
 from packwright.llm import pieces
 from packwright.llm.queries import vocabulary
@@ -21,6 +21,22 @@ def test_ids_are_those_of_the_library(spark, sf_small):
         assert r.t.decoded == original.decode(original.encode(r.text))
 
 
+def test_whole_tokenizer_agrees_with_the_encoder():
+    encoder = pieces.Encoder(vocabulary(), 2)
+    whole = encoder.tokenizer.encode_batch(ODD, add_special_tokens=False)
+    assert [e.ids for e in whole] == encoder.encode(ODD)[0]
+
+
+def test_slices_of_a_batch_are_put_together_in_order():
+    texts = ["a " * 400_000, None, "", "b " * 700_000, "c", None]
+    batch = pieces.pa.array(texts)
+    begins, sizes = pieces.ranges(batch)
+    assert len(begins) > 1 and sum(sizes) == len(texts) and begins == [sum(sizes[:i]) for i in range(len(sizes))]
+    encoder = pieces.Encoder(vocabulary(), 2)
+    got = pieces.pa.concat_arrays([pieces.encoded(encoder, batch.slice(b, n)) for b, n in zip(begins, sizes)])
+    assert [r and r["decoded"] for r in got.to_pylist()] == texts
+
+
 def test_both_decoders_agree():
     encoder = pieces.Encoder(vocabulary(), 1)
     library = sentencepiece.SentencePieceProcessor(model_proto=vocabulary())
@@ -50,11 +66,11 @@ def test_a_wrong_rebuild_shows_in_ids_parity_and_text():
     assert encoder.decode([theirs]) == ["▁the▁quick▁brown▁fox"]
     # A model of single letters, and a normaliser that forgets the first mark.
     encoder = pieces.Encoder(model, 1)
-    encoder.tokenizer.model = models.BPE(encoder.tokenizer.get_vocab(), [], unk_token="<unk>")
+    encoder.bare.model = models.BPE(encoder.tokenizer.get_vocab(), [], unk_token="<unk>")
     (ids,), parity = encoder.encode([text])
     assert len(ids) == len(text) + 1 and parity == [False]
     encoder = pieces.Encoder(model, 1)
-    encoder.tokenizer.normalizer = normalizers.Replace(" ", "▁")
+    encoder.normalize = lambda t: t.replace(" ", "▁")
     assert encoder.encode([text])[1] == [False]
 
 
