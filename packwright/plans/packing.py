@@ -36,6 +36,7 @@ from packwright.sources.records import PLACE, read_tokenized_files
 from packwright.sources.sinks import read_blocks, write_blocks
 from packwright.sources.tables import spread
 from packwright.streaming.packing import StreamPacker
+from packwright.streaming.stateful import Packing, start as start_stream
 
 ARRIVALS = 3
 # Small, so that tables of this size spread over the tasks; jobs on large ones raise it.
@@ -196,3 +197,29 @@ def pack_stream(spark: SparkSession, sf: str) -> DataFrame:
         examples = with_mask(text_spans(arriving, tok, ["data_type", "subset_name", "doc_id"]))
         packer.start(examples, f"{root}/checkpoint").awaitTermination()
     return block_rows(packer.read(spark, docs))
+
+
+@query(f"WITH {doc_blocks_sql()} SELECT {BLOCK_ROWS_SQL} FROM doc_blocks")
+def pack_stream_late(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents arrive in three goes that are mixed up throughout; each waits in the state
+    for those before it. Their ids stand for seconds of event time."""
+    root = fresh_path(spark, "late-stream")
+    docs = documents(spark, sf)
+    moment = F.timestamp_seconds(F.col("doc_id") + 1_000_000_000)  # well after the first watermark, 1970
+    end = docs.agg(F.max("doc_id").alias("doc_id")).select(
+        "doc_id", F.lit("").alias("text"), F.lit("end").alias("data_type"), F.lit("end").alias("subset_name"),
+        F.timestamp_seconds(F.col("doc_id") * 2 + 1_000_100_000).alias("ts"),
+    )
+    docs = docs.select("*", moment.alias("ts"))
+    tok = tokenizer(spark, "word_md5")
+    span = docs.agg(F.max("doc_id") - F.min("doc_id")).first()[0]
+    packing = Packing(BLOCK, delay=f"{span + 1} seconds")
+    for number in range(ARRIVALS):
+        arrived = docs.where(F.pmod("doc_id", F.lit(ARRIVALS)) == ARRIVALS - 1 - number)
+        last = number == ARRIVALS - 1
+        (arrived.unionByName(end) if last else arrived).write.mode("append").parquet(f"{root}/arrived")
+        arriving = spark.readStream.schema(docs.schema).parquet(f"{root}/arrived")
+        spans = text_spans(arriving, tok, ["data_type", "subset_name", "doc_id", "ts"])
+        start_stream(with_mask(spans), f"{root}/blocks", f"{root}/checkpoint", packing).awaitTermination()
+    blocks = spark.read.parquet(f"{root}/blocks")
+    return block_rows(blocks.where(F.col("block_idx").isNotNull() & (F.col("data_type") == "text")))
