@@ -1,5 +1,7 @@
 """Queries: evaluation suites, results, resume points and pending work."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,12 +13,13 @@ from packwright.operators.evals import (
     suite_table,
     suite_tasks as explode_tasks,
 )
-from packwright.operators.pending import pending_results, remaining_chunks, resume_seed
+from packwright.operators.pending import RUNNING_SUFFIX, pending_results, remaining_chunks, resume_seed
 from packwright.operators.shuffling import SEED
 from packwright.plans.jobs import report_results
 from packwright.plans.registry import query
 from packwright.session import fresh_path
-from packwright.sources.records import list_files
+from packwright.sources.claims import run_pending
+from packwright.sources.records import list_files, read_result_files
 from packwright.sources.sinks import write_named_texts
 from packwright.sources.suites import SUITES
 from packwright.sources.tables import table
@@ -178,6 +181,40 @@ def pending_suites(spark: SparkSession, sf: str) -> DataFrame:
     return pending_results(planned, listing).select("model", "suite", "path")
 
 
+@query(f"""
+SELECT lang AS model, suite, count(*)::BIGINT AS n_docs, lang = 'de' AS was_there, 0::BIGINT AS n_failed_now, 0::BIGINT AS n_markers
+FROM documents CROSS JOIN (VALUES {SUITE_NAMES_SQL}) s(suite) GROUP BY ALL
+""")
+def claimed_suites(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages as models, German results there already. Two workers share the rest at once;
+    one suite fails at first, is free again, and is made by a second round."""
+    folder = fresh_path(spark, "claimed")
+    names = F.array(*[F.lit(name) for name in SUITES])
+    models = table(spark, sf, "documents").groupBy(F.col("lang").alias("model")).agg(F.count("*").alias("n_docs"))
+    planned = models.select("model", "n_docs", F.explode(names).alias("suite"))
+    planned = planned.select("*", F.concat(F.lit("eval_"), "model", F.lit("_"), "suite", F.lit(".json")).alias("path"))
+    text = F.to_json(F.struct("n_docs", (F.col("model") == "de").alias("was_there")))
+    write_named_texts(planned.where("model = 'de'").select(F.col("path").alias("name"), text.alias("text")), folder)
+    broken = {"eval_en_mmlu.json"}
+
+    def make(row) -> str:
+        if row.path in broken:
+            broken.discard(row.path)
+            raise RuntimeError("out of memory")
+        return f'{{"n_docs":{row.n_docs},"was_there":false}}'
+
+    with ThreadPoolExecutor(2) as pool:
+        both = [pool.submit(run_pending, spark, planned, folder, make) for _ in range(2)]
+        made = [path for worker in both for path in worker.result().made]
+    if len(made) != len(set(made)):
+        raise RuntimeError("two workers made the same result")
+    again = run_pending(spark, planned, folder, make)
+    n_markers = list_files(spark, folder).where(F.col("path").endswith(RUNNING_SUFFIX)).count()
+    found = read_result_files(spark, folder).select("model", "suite", F.from_json("document", "n_docs bigint, was_there boolean").alias("d"))
+    left = {"n_failed_now": len(again.failed), "n_markers": n_markers}
+    return found.select("model", "suite", "d.*", *[F.lit(n).cast("bigint").alias(c) for c, n in left.items()])
+
+
 @query(f"""
 WITH {RESULTS_SQL},
 s AS (
