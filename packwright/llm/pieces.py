@@ -25,6 +25,9 @@ MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
+# Text that is encoded at once: tokens take a hundred times the room of their letters for a while.
+BYTES_AT_ONCE = 1 << 18
+
 ENCODED = "struct<ids:array<int>,parity:boolean,decoded:string>"
 
 
@@ -178,7 +181,6 @@ class Encoder:
         self.tokenizer, self.decoder = build(self.spec), build_decoder(self.spec)
         self.bare = Tokenizer(self.tokenizer.model)
         self.original = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.threads = threads
 
     def normalize(self, text: str) -> str:
         """Without character maps and without stripping, blanks only change their letter."""
@@ -193,7 +195,8 @@ class Encoder:
             return [], []
         normal = [self.normalize(t) for t in texts]
         ids = [e.ids for e in self.bare.encode_batch_fast(normal, add_special_tokens=False)]
-        theirs = self.original.encode(texts, num_threads=self.threads)
+        # Threads of one call each would leave memory behind; the tokenizers' own stay.
+        theirs = self.original.encode(texts, num_threads=1)
         return ids, [a == b for a, b in zip(ids, theirs)]
 
     def decode(self, rows: list[list[int]]) -> list[str]:
@@ -213,7 +216,7 @@ def int_lists(rows: list[list[int] | None]) -> pa.Array:
 def ranges(batch: pa.Array) -> tuple[list[int], list[int]]:
     """Begins and lengths of slices of a bounded number of bytes."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch), 0).to_pylist()
-    found = [(begin, stop - begin) for begin, stop in slices([range(n) for n in sizes])]
+    found = [(begin, stop - begin) for begin, stop in slices([range(n) for n in sizes], BYTES_AT_ONCE)]
     return [b for b, _ in found], [n for _, n in found]
 
 
