@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.keys import has_prefix, key_ordinal, with_ordinal
 from packwright.functions.vectors import total
+from packwright.operators.exact import exact_mean, exact_sums
 from packwright.operators.aggregates import (
     clip_by_norm as clip_group,
     global_norm,
@@ -348,3 +349,35 @@ FROM part GROUP BY p_brand, p_type
 def last_writer(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "part").select("p_brand", "p_type", "p_partkey", "p_name", "p_size")
     return keep_last(parts, ["p_brand", "p_type"], ["p_partkey"])
+
+
+# Whole numbers of 2**-60, added without rounding; the fraction comes back beside the whole part.
+UNIT = 1 << 60
+
+
+@query(f"""
+WITH s AS (
+  SELECT l_returnflag, l_linestatus, count(*) AS n, sum((l_extendedprice * {float(UNIT)!r}::DOUBLE)::HUGEINT) AS h FROM lineitem GROUP BY ALL
+)
+SELECT l_returnflag, l_linestatus, n::BIGINT AS n_rows,
+       (h // {UNIT}::HUGEINT)::DOUBLE + (h % {UNIT}::HUGEINT)::DOUBLE / {float(UNIT)!r}::DOUBLE AS price
+FROM s
+""")
+def exact_price_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums of doubles to the last bit, however the rows are dealt out."""
+    rows = table(spark, sf, "lineitem")
+    return exact_sums(rows, ["l_returnflag", "l_linestatus"], {"price": F.col("l_extendedprice")}, {"n_rows": F.count("*")})
+
+
+@query(f"""
+WITH s AS (
+  SELECT event_type, count(*) AS n, sum((value * {float(UNIT)!r}::DOUBLE)::HUGEINT) AS h
+  FROM events WHERE event_id % 3 <> 0 AND value >= 0.01 GROUP BY ALL
+)
+SELECT event_type, ((h // {UNIT}::HUGEINT)::DOUBLE + (h % {UNIT}::HUGEINT)::DOUBLE / {float(UNIT)!r}::DOUBLE) / n AS mean FROM s
+""")
+def exact_masked_mean(spark: SparkSession, sf: str) -> DataFrame:
+    """The masked mean without rounding its sum by the order of the rows."""
+    rows = table(spark, sf, "events")
+    mask = ((F.col("event_id") % 3 != 0) & (F.col("value") >= 0.01)).cast("int")
+    return exact_mean(rows.withColumn("m", mask).where("m = 1"), ["event_type"], F.col("value"), F.col("m"))
