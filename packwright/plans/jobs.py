@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.keys import LAYER_PREFIX, data_type_of, has_prefix, key_ordinal, path_part
-from packwright.functions.text import affix, eos_array, n_tokens
+from packwright.functions.text import affix, array_total, eos_array, n_tokens
 from packwright.functions.tokenizers import start_in_part, tokenizer
 from packwright.operators.batches import (
     DEVICES_PER_NODE,
@@ -30,6 +30,7 @@ from packwright.operators.parameters import combine_models, missing_keys
 from packwright.operators.pending import last_checkpoint
 from packwright.operators.shuffling import CHUNK_SIZE, SEED, shuffle_into_chunks
 from packwright.session import stage, staging
+from packwright.sources.counters import block_counts, counted, span_counts
 from packwright.sources.records import CHAT_SCHEMA, TEXT_SCHEMA, path_below, read_result_files
 from packwright.sources.sinks import read_blocks, read_chunks, write_batch_log, write_blocks, write_chunks, write_rank_batches
 
@@ -103,12 +104,13 @@ def tokenize_files(
     window: int | None = None,
     mode: str = "quarantine",
     subset_from_end: int = 1,
-) -> None:
+) -> dict[str, int]:
     """Raw line files to ``out/spans``, in one pass; a second run replaces the first.
 
     Its folder ``status=ok`` has the ids, ``status=rejected`` lines and turns that cannot
     be used: malformed lines, fields that are missing or null, unknown speakers, each with
-    its ``reason``. In ``fail`` mode the first of them stops the job instead.
+    its ``reason``. In ``fail`` mode the first of them stops the job instead. Returns what the
+    write counted: turns, tokens, target tokens, and what was set aside, by kind of reason.
     """
     tok = tokenizer(spark, tokenizer_name, window)
     turns = read_turns(spark, paths, subset_from_end)
@@ -135,7 +137,9 @@ def tokenize_files(
     spans = spans.withColumn("n", F.coalesce(n_tokens(F.col("token_ids")), F.lit(0)).cast("bigint"))
     spans = spans.withColumn("start_in_part", start_in_part()("file_id", "part_start", "n"))
     by = ("status", "data_type", "subset_name")
-    spans.hint("rebalance", *by).write.mode("overwrite").partitionBy(*by).parquet(f"{out}/spans")
+    with counted(spans.hint("rebalance", *by), span_counts()) as c:
+        c.rows.write.mode("overwrite").partitionBy(*by).parquet(f"{out}/spans")
+    return c.counts
 
 
 def tokenized_counts(spark: SparkSession, tokenized: str) -> DataFrame:
@@ -151,16 +155,20 @@ EXAMPLE_KEYS = "file_id bigint, part_start bigint, row_in_part bigint"
 
 def pack_spans(
     spark: SparkSession, tokenized: str, out: str, context_length: int = CONTEXT_LENGTH, bounded: bool = False
-) -> None:
+) -> dict[str, int]:
     """``tokenize_files`` output to blocks. Lengths and starts are columns of their own there,
     so offsets are worked out without reading an id. ``bounded`` blocks tell which line each
-    of their tokens comes from (``EXAMPLE_KEYS``)."""
+    of their tokens comes from (``EXAMPLE_KEYS``). Returns the blocks, tokens and target tokens
+    that the write counted."""
     spans = spark.read.schema(SPAN_SCHEMA).parquet(f"{tokenized}/spans").where(F.col("status") == "ok")
     with staging(spark):
         files = spans.select("file_id", "file").distinct().orderBy("file")
         numbers = stage(files.select("file_id", F.monotonically_increasing_id().alias("file_no")), "file-numbers")
         example = EXAMPLE if bounded else ()
-        write_blocks(pack_parts(spans, context_length, parts=PART, example=example, numbers=numbers), out, context_length, replace=True)
+        blocks = pack_parts(spans, context_length, parts=PART, example=example, numbers=numbers)
+        with counted(blocks, block_counts(array_total)) as c:
+            write_blocks(c.rows, out, context_length, replace=True)
+    return c.counts
 
 
 def chunk_blocks(

@@ -65,6 +65,8 @@ def _fields(ddl: str) -> str:
 
 
 CHUNK_BY = ("epoch", "chunk_idx")
+# Which run of places of its chunk a file holds.
+PIECE = "piece"
 # 4,096 blocks of 8,192 tokens are 268 MB of ids and masks.
 ROWS_PER_FILE = 4096
 
@@ -79,16 +81,50 @@ def write_chunks(
     """One folder per chunk. A task writes runs of ``rows_per_file`` places, in order; a
     chunk of long blocks is gigabytes, so it is not one task's."""
     piece = div(F.col("chunk_position"), rows_per_file)
-    placed = chunked.withColumn("_piece", piece).repartition(*CHUNK_BY, "_piece")
-    placed = placed.sortWithinPartitions(*CHUNK_BY, "chunk_position").drop("_piece")
-    _write(placed, path, CHUNK_BY, fmt, mode)
+    placed = chunked.withColumn(PIECE, piece).repartition(*CHUNK_BY, PIECE)
+    placed = placed.sortWithinPartitions(*CHUNK_BY, "chunk_position")
+    _write(placed, path, (*CHUNK_BY, PIECE), fmt, mode)
 
 
-def read_chunks(spark: SparkSession, path: str, payload: str, fmt: str = "parquet") -> DataFrame:
-    schema = f"{payload}, chunk_position bigint, epoch int, chunk_idx bigint"
+def _chunk_pieces(spark: SparkSession, path: str, payload: str, fmt: str) -> DataFrame:
+    schema = f"{payload}, chunk_position bigint, epoch int, chunk_idx bigint, {PIECE} bigint"
     return spark.read.schema(schema).format(fmt).load(path)
 
 
+def read_chunks(spark: SparkSession, path: str, payload: str, fmt: str = "parquet") -> DataFrame:
+    return _chunk_pieces(spark, path, payload, fmt).drop(PIECE)
+
+
+def read_first(
+    spark: SparkSession,
+    path: str,
+    n_examples: int,
+    payload: str,
+    chunk_idx: int | None = None,
+    epoch: int = 0,
+    fmt: str = "parquet",
+    rows_per_file: int = ROWS_PER_FILE,
+) -> DataFrame:
+    """Examples at the first ``n_examples`` places of one chunk, or of each; other files are not
+    opened. ``rows_per_file`` is that of the write."""
+    pieces = _chunk_pieces(spark, path, payload, fmt).where(F.col("epoch") == epoch)
+    if chunk_idx is not None:
+        pieces = pieces.where(F.col("chunk_idx") == chunk_idx)
+    last = (n_examples - 1) // rows_per_file
+    return pieces.where((F.col(PIECE) <= last) & (F.col("chunk_position") < n_examples)).drop(PIECE)
+
+
+def read_places(
+    spark: SparkSession, path: str, chosen: DataFrame, payload: str, fmt: str = "parquet", rows_per_file: int = ROWS_PER_FILE
+) -> DataFrame:
+    """Examples at the chosen places (``epoch, chunk_idx, chunk_position``, and what else is to
+    come along). The join prunes files by piece at run time, if the engine finds the chosen
+    places small enough to broadcast; otherwise it reads the chunks and joins."""
+    at = chosen.withColumn(PIECE, div(F.col("chunk_position"), rows_per_file))
+    keys = [*CHUNK_BY, PIECE, "chunk_position"]
+    return _chunk_pieces(spark, path, payload, fmt).join(at, keys).drop(PIECE)
+
+
 def read_chunk(
     spark: SparkSession, path: str, chunk_idx: int, payload: str, epoch: int = 0, fmt: str = "parquet"
 ) -> DataFrame:
@@ -96,9 +132,19 @@ def read_chunk(
     return read.where((F.col("chunk_idx") == chunk_idx) & (F.col("epoch") == epoch))
 
 
-def write_rank_batches(batches: DataFrame, path: str, fmt: str = "parquet", mode: str = "errorifexists") -> None:
+def write_rank_batches(
+    batches: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    mode: str = "errorifexists",
+    rows_per_file: int = ROWS_PER_FILE,
+) -> None:
+    """One folder per chunk and rank. As with chunks, a task writes a run of places: a rank's
+    share of a chunk can be gigabytes."""
     by = ("chunk_idx", "rank")
-    placed = batches.repartition(*by).sortWithinPartitions(*by, "rank_position")
+    piece = div(F.col("rank_position"), rows_per_file)
+    placed = batches.withColumn("_piece", piece).repartition(*by, "_piece")
+    placed = placed.sortWithinPartitions(*by, "rank_position").drop("_piece")
     _write(placed, path, by, fmt, mode)
 
 
