@@ -4,6 +4,13 @@
 header line of their version and the declared lengths, ``write_warc`` writes equivalent
 WARC records with made-up identifiers, timestamps, types and digests, ``read_warc`` reads
 those. Files are written and read by Spark, one per task, so any store it reaches will do.
+
+Archives may be gzip files of any number of members, or plain. Contents are bytes, of any
+encoding. A record whose content begins with an HTTP status line is a response: its payload
+begins behind the first empty line, CRLF or LF, and is empty where there is none. Any other
+record (``dns:`` look-ups, ``ftp:`` files) is a resource, and all of its content is payload.
+Record ids are made from file name and place, so converting the same archives again gives
+the same ids. An archive is one row while it is read, so it has to stay below 2 GB.
 """
 
 import base64
@@ -25,8 +32,17 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 PAGE_ID = b"X-Page-Id"
 BATCH_BYTES = 8 << 20
+EMPTY_LINE = re.compile(rb"\r?\n\r?\n")
+# The fixed fields stand behind the URL and around the content type; both may hold blanks.
+ARC_LINE = {
+    1: re.compile(r"(.+) (\S+) (\d{12}(?:\d\d)?) (.*) (\d+)"),
+    2: re.compile(r"(.+) (\S+) (\d{12}(?:\d\d)?) (.*) (\S+) (\S+) (\S+) (\d+) (\S+) (\d+)"),
+}
 
-RECORD = "file string, place long, page_id long, url string, archive_date string, http binary, payload_bytes long, digest string"
+RECORD = (
+    "file string, place long, page_id long, url string, archive_date string, content_type string, "
+    "http binary, payload_bytes long, digest string"
+)
 READ_BACK = "record_id string, refers_to_id string, page_id long, record_type string, payload_bytes long, digest string"
 
 
@@ -35,14 +51,19 @@ def payload_digest(payload: bytes) -> str:
 
 
 class Archive:
-    """A gzip stream of any number of members, read by lines and by lengths."""
+    """A plain file or a gzip stream of any number of members, read by lines and by lengths."""
 
     def __init__(self, content: memoryview | bytes):
         self.rest, self.at = memoryview(content), 0
+        self.plain = bytes(self.rest[:2]) != b"\x1f\x8b"
         self.inflater, self.held, self.done = None, bytearray(), 0
 
     def _fill(self) -> bool:
         while self.at < len(self.rest) or self.inflater is not None:
+            if self.plain:
+                self.held += self.rest[self.at : self.at + (1 << 18)]
+                self.at += 1 << 18
+                return True
             if self.inflater is None:
                 self.inflater = zlib.decompressobj(31)
             chunk = self.rest[self.at : self.at + (1 << 18)]
@@ -84,33 +105,51 @@ def http_block(page_id: int | None, size: int) -> bytes:
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
+def split_http(content: bytes) -> tuple[bytes, bytes]:
+    """The HTTP header with its empty line, and the payload; no header if it is not HTTP."""
+    if not content.startswith(b"HTTP/"):
+        return b"", content
+    border = EMPTY_LINE.search(content)
+    return (content[: border.end()], content[border.end() :]) if border else (content, b"")
+
+
 def page_id_of(http: bytes) -> int | None:
-    for line in http.split(b"\r\n")[1:]:
+    """The page id in a header that ``write_arc`` made; null for other headers."""
+    for line in http.split(b"\n")[1:]:
         name, _, value = line.partition(b":")
-        if name == PAGE_ID:
+        if name == PAGE_ID and re.fullmatch(rb"-?[0-9]{1,18}", value.strip()):
             return int(value)
     return None
 
 
+def header_text(line: bytes) -> str:
+    """A header line in UTF-8 or, as older archives have it, in Latin-1."""
+    try:
+        return line.decode()
+    except UnicodeDecodeError:
+        return line.decode("latin-1")
+
+
 def header_url(url: str | None) -> str:
     """A header line is cut at blanks, so blanks and control characters are percent-encoded."""
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "unknown:-"
 
 
-def _texts(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
+def _batches(rows: Iterator[bytes]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
     for row in rows:
         held.append(row)
         size += len(row)
         if size >= BATCH_BYTES:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()).cast(pa.string())], names=["value"])
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
             held, size = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary()).cast(pa.string())], names=["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], names=["value"])
 
 
 def _write(rows: DataFrame, folder: str, ending: str) -> None:
-    rows.write.option("lineSep", ending).option("compression", "gzip").option(
+    """The bytes of each row and an ending. Spark's cast to text and its writer leave bytes as they are."""
+    rows.select(F.col("value").cast("string")).write.option("lineSep", ending).option("compression", "gzip").option(
         "zlib.compress.level", "BEST_SPEED"
     ).text(folder)
 
@@ -135,14 +174,14 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20240101000000", versi
                 yield " ".join(line).encode() + b"\n" + content
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _texts(records(batches))
+        return _batches(records(batches))
 
     source = pages.select("page_id", "url", F.col("html").cast("binary").alias("html"))
-    _write(source.mapInArrow(write, "value string"), folder, "\n")
+    _write(source.mapInArrow(write, "value binary"), folder, "\n")
 
 
 def _archives(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(folder).select("path", "content")
+    return spark.read.format("binaryFile").load(folder).select("path", "content")
 
 
 def arc_records(content) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -152,21 +191,25 @@ def arc_records(content) -> Iterator[tuple[int, dict[str, str], bytes]]:
         place, line = archive.done, archive.line()
         if not line:
             return
-        if line == b"\n":
+        if line in (b"\n", b"\r\n"):
             continue
-        values = line.decode().rstrip("\r\n").split(" ")
-        body = archive.take(int(values[-1]))
+        text = header_text(line).rstrip("\r\n")
+        length = text.rpartition(" ")[2]
+        if not length.isdecimal():
+            raise ValueError(f"a header line without a length: {text[:200]!r}")
+        body = archive.take(int(length))
         if names is None:
-            if not values[0].startswith("filedesc://"):
+            if not text.startswith("filedesc://"):
                 raise ValueError("an ARC file begins with a version block")
             version = int(body.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"unknown ARC version {version}")
             names = ARC_FIELDS[version].split(" ")
             continue
-        if len(values) != len(names):
-            raise ValueError(f"a header line of {len(values)} fields where the version has {len(names)}")
-        yield place, dict(zip(names, values)), body
+        values = ARC_LINE[version].fullmatch(text)
+        if not values:
+            raise ValueError(f"a header line without the fields of version {version}: {text[:200]!r}")
+        yield place, dict(zip(names, values.groups())), body
 
 
 def read_arc(spark: SparkSession, folder: str, with_payload: bool) -> DataFrame:
@@ -176,7 +219,8 @@ def read_arc(spark: SparkSession, folder: str, with_payload: bool) -> DataFrame:
         schema = pa.schema(
             [
                 ("file", pa.string()), ("place", pa.int64()), ("page_id", pa.int64()), ("url", pa.string()),
-                ("archive_date", pa.string()), ("http", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()),
+                ("archive_date", pa.string()), ("content_type", pa.string()),
+                ("http", pa.binary()), ("payload_bytes", pa.int64()), ("digest", pa.string()),
                 *([("payload", pa.binary())] if with_payload else []),
             ]
         )
@@ -184,11 +228,11 @@ def read_arc(spark: SparkSession, folder: str, with_payload: bool) -> DataFrame:
             for path, content in zip(batch.column(0), batch.column(1)):
                 rows, size = [], 0
                 for place, fields, body in arc_records(content.as_buffer()):
-                    cut = body.find(b"\r\n\r\n") + 4
-                    http, payload = body[:cut], body[cut:]
+                    http, payload = split_http(body)
                     row = {
                         "file": path.as_py().rsplit("/", 1)[1], "place": place, "page_id": page_id_of(http),
-                        "url": fields["URL"], "archive_date": fields["Archive-date"], "http": http,
+                        "url": fields["URL"], "archive_date": fields["Archive-date"],
+                        "content_type": fields["Content-type"], "http": http,
                         "payload_bytes": len(payload), "digest": payload_digest(payload),
                     }
                     if with_payload:
@@ -238,7 +282,7 @@ def write_warc(records: DataFrame, decisions: DataFrame, folder: str) -> None:
         for batch in batches:
             for row in (dict(zip(batch.schema.names, values)) for values in zip(*batch.columns)):
                 value = {k: v.as_py() for k, v in row.items() if k != "payload"}
-                d = value["archive_date"]
+                d = value["archive_date"].ljust(14, "0")
                 date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
                 if not begun:
                     info = b"software: packwright\r\nformat: WARC File Format 1.0\r\n"
@@ -252,25 +296,26 @@ def write_warc(records: DataFrame, decisions: DataFrame, folder: str) -> None:
                     begun = True
                 refers = value["refers_to_id"]
                 fields = [
-                    ("WARC-Type", "revisit" if refers else "response"),
+                    ("WARC-Type", "revisit" if refers else "response" if value["http"] else "resource"),
                     ("WARC-Record-ID", f"<{value['record_id']}>"),
                     ("WARC-Date", date),
-                    ("WARC-Target-URI", value["url"]),
+                    ("WARC-Target-URI", header_url(value["url"])),
                     ("WARC-Payload-Digest", f"sha1:{value['digest']}"),
                 ]
                 if refers:
                     fields += [("WARC-Refers-To", f"<{refers}>"), ("WARC-Profile", REVISIT_PROFILE)]
-                fields.append(("Content-Type", "application/http; msgtype=response"))
+                plain = value["content_type"].strip() or "application/octet-stream"
+                fields.append(("Content-Type", "application/http; msgtype=response" if value["http"] else plain))
                 yield spell(fields, value["http"] + (b"" if refers else row["payload"].as_py()))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _texts(warc(batches))
+        return _batches(warc(batches))
 
     joined = records.join(decisions, ["file", "place"]).select(
-        "record_id", "refers_to_id", "archive_date", "url", "digest", "http",
+        "record_id", "refers_to_id", "archive_date", "url", "content_type", "digest", "http",
         F.when(F.col("refers_to_id").isNull(), F.col("payload")).alias("payload"),
     )
-    _write(joined.mapInArrow(write, "value string"), folder, "\r\n\r\n")
+    _write(joined.mapInArrow(write, "value binary"), folder, "\r\n\r\n")
 
 
 def warc_records(content) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -280,7 +325,7 @@ def warc_records(content) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError(f"no WARC record begins with {line[:40]!r}")
         fields = {}
         while (line := archive.line()) not in (b"\r\n", b""):
-            name, _, value = line.decode().rstrip("\r\n").partition(": ")
+            name, _, value = header_text(line).rstrip("\r\n").partition(": ")
             fields[name] = value
         yield fields, archive.take(int(fields["Content-Length"]))
         if archive.take(4) != b"\r\n\r\n":
@@ -288,8 +333,8 @@ def warc_records(content) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """``record_id, refers_to_id, page_id, record_type, payload_bytes, digest`` of all responses
-    and revisits. A response whose payload has not the digest in its header is an error."""
+    """``record_id, refers_to_id, page_id, record_type, payload_bytes, digest`` of all responses,
+    resources and revisits. A payload that has not the digest in its header is an error."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -303,11 +348,11 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 rows = []
                 for fields, block in warc_records(content.as_buffer()):
                     kind = fields["WARC-Type"]
-                    if kind not in ("response", "revisit"):
+                    if kind not in ("response", "resource", "revisit"):
                         continue
-                    http, _, payload = block.partition(b"\r\n\r\n")
+                    http, payload = (b"", block) if kind == "resource" else split_http(block)
                     digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
-                    if kind == "response" and payload_digest(payload) != digest:
+                    if kind != "revisit" and payload_digest(payload) != digest:
                         raise ValueError(f"payload and digest of {fields['WARC-Record-ID']} differ")
                     rows.append(
                         {
@@ -315,7 +360,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                             "refers_to_id": fields["WARC-Refers-To"].strip("<>") if kind == "revisit" else None,
                             "page_id": page_id_of(http),
                             "record_type": kind,
-                            "payload_bytes": len(payload) if kind == "response" else None,
+                            "payload_bytes": len(payload) if kind != "revisit" else None,
                             "digest": digest,
                         }
                     )
@@ -327,8 +372,12 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 def convert(pages: DataFrame, arc: str, warc: str, version: int = 1, revisit_from_bytes: int = 0) -> DataFrame:
     """Pages to ARC files, those to WARC files, and those read back as rows."""
-    spark = pages.sparkSession
     write_arc(pages, arc, version=version)
+    return convert_archives(pages.sparkSession, arc, warc, revisit_from_bytes)
+
+
+def convert_archives(spark: SparkSession, arc: str, warc: str, revisit_from_bytes: int = 0) -> DataFrame:
+    """A folder of ARC files to WARC files, and those read back as rows."""
     decisions = decide(read_arc(spark, arc, with_payload=False), revisit_from_bytes)
     write_warc(read_arc(spark, arc, with_payload=True), decisions, warc)
     return read_warc(spark, warc)
@@ -336,7 +385,7 @@ def convert(pages: DataFrame, arc: str, warc: str, version: int = 1, revisit_fro
 
 def report(read: DataFrame) -> DataFrame:
     """One row per page record; revisits take the length from the response they refer to."""
-    target = read.where(F.col("record_type") == "response").select(
+    target = read.where(F.col("record_type") != "revisit").select(
         F.col("record_id").alias("refers_to_id"),
         F.col("page_id").alias("refers_to"),
         F.col("payload_bytes").alias("target_bytes"),

@@ -90,3 +90,66 @@ def test_arc_by_declared_lengths_over_gzip_members():
 def test_broken_archives_are_errors(data, message):
     with pytest.raises(ValueError, match=message):
         list(warc.arc_records(data))
+
+
+REAL = [
+    ("dns:example.org", "text/dns", b"20200101000000\nexample.org. 10800 IN A 1.2.3.4\n"),
+    ("http://a/lf", "text/html", b"HTTP/1.0 200 OK\nServer: x\n\n<p>line feeds</p>\r\n\r\nrest"),
+    ("http://a/png", "image/png", b"HTTP/1.1 200 OK\r\nContent-Type: image/png\r\n\r\n\x89PNG\r\n\x1a\n\x00\xff\xfe\r\n\r\n\x80"),
+    ("http://a/latin", "text/html; charset=latin-1", b"HTTP/1.1 200 OK\r\nX: caf\xe9\r\n\r\n" + "caf\u00e9".encode("latin-1")),
+    ("http://a/no border", "text/html", b"HTTP/1.1 204 No Content\r\nX-Page-Id: none\r\n"),
+    ("ftp://a/file", "", bytes(range(256))),
+    ("http://a/again", "image/png", b"HTTP/1.1 200 OK\r\nAge: 1\r\n\r\n\x89PNG\r\n\x1a\n\x00\xff\xfe\r\n\r\n\x80"),
+    ("http://a/caf\xe9", "no-type", b""),
+]
+PAYLOADS = [
+    REAL[0][2], b"<p>line feeds</p>\r\n\r\nrest", b"\x89PNG\r\n\x1a\n\x00\xff\xfe\r\n\r\n\x80", b"caf\xe9",
+    b"", bytes(range(256)), b"\x89PNG\r\n\x1a\n\x00\xff\xfe\r\n\r\n\x80", b"",
+]
+HTTP = {1, 2, 3, 4, 6}
+
+
+def real_archive(version=1):
+    block = f"{version} 0 x\n{warc.ARC_FIELDS[version]}\n".encode()
+    tail = " 200 - - 0 f" if version == 2 else ""
+    out = f"filedesc://x 0.0.0.0 20200101000000 text/plain{tail} {len(block)}\n".encode() + block + b"\n"
+    for url, kind, content in REAL:
+        out += f"{url} 1.2.3.4 20200102030405 {kind}{tail} {len(content)}\n".encode("latin-1") + content + b"\n"
+    return out
+
+
+@pytest.mark.parametrize("version, packed", [(1, True), (2, True), (1, False)])
+def test_archives_of_others(spark, tmp_path, version, packed):
+    """Look-ups, bare line feeds, pictures, Latin-1, no border, blanks in fields: payload bytes as they are."""
+    import gzip
+
+    data = real_archive(version)
+    name = "IA-0001.arc" + ".gz" * packed
+    (tmp_path / name).write_bytes(gzip.compress(data) if packed else data)
+    folder, out = str(tmp_path), fresh_path(spark, "warc")
+    parsed = warc.read_arc(spark, folder, with_payload=True).orderBy("place").collect()
+    assert [bytes(r.payload) for r in parsed] == PAYLOADS
+    assert [bytes(r.http) + bytes(r.payload) for r in parsed] == [c for _, _, c in REAL]
+    assert [(r.url, r.content_type) for r in parsed] == [(u, k) for u, k, _ in REAL]
+    assert all(r.page_id is None for r in parsed)
+
+    read = warc.convert_archives(spark, folder, out).collect()
+    found = [x for r in warc._archives(spark, out).collect() for x in warc.warc_records(bytes(r.content)) if x[0]["WARC-Type"] != "warcinfo"]
+    by_url = {f["WARC-Target-URI"]: (f, block) for f, block in found}
+    assert len(read) == len(found) == len(by_url) == len(REAL)
+    kinds = {}
+    for i, (url, kind, content) in enumerate(REAL):
+        fields, block = by_url[warc.header_url(url)]
+        digest = base64.b32encode(hashlib.sha1(PAYLOADS[i]).digest()).decode()
+        assert fields["WARC-Payload-Digest"] == f"sha1:{digest}" and fields["WARC-Date"] == "2020-01-02T03:04:05Z"
+        kinds.setdefault(PAYLOADS[i], []).append(fields["WARC-Type"])
+        if fields["WARC-Type"] == "revisit":
+            assert block == (content[: len(content) - len(PAYLOADS[i])] if i in HTTP else b"")
+        else:
+            assert fields["WARC-Type"] == ("response" if i in HTTP else "resource") and block == content
+            if i not in HTTP:
+                assert fields["Content-Type"] == (kind or "application/octet-stream")
+    assert all(len([k for k in ks if k != "revisit"]) == 1 for ks in kinds.values())
+    assert {r.record_id for r in read} == {f["WARC-Record-ID"].strip("<>") for f, _ in found}
+    again = warc.convert_archives(spark, folder, fresh_path(spark, "warc")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, read))
