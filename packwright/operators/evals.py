@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from packwright.sources.suites import SUITES
 
-RESULTS_SCHEMA = "struct<results: map<string, map<string, string>>>"
+RESULTS_SCHEMA = "struct<results: map<string, string>>"
+METRICS_SCHEMA = "map<string, string>"
 
 
 def suite_table(spark: SparkSession, suites: dict = SUITES) -> DataFrame:
@@ -21,13 +22,20 @@ def suite_tasks(suites: DataFrame) -> DataFrame:
 
 
 def parse_results(document: Column) -> Column:
-    """Map of task to map of metric to value (text, as values need not be numbers)."""
-    return F.from_json(document, RESULTS_SCHEMA)["results"]
+    """Map of task, or group of tasks, to map of metric, or task, to value (text, as values
+    need not be numbers). An entry that is no object is null and leaves the others alone."""
+    entries = F.from_json(document, RESULTS_SCHEMA)["results"]
+    return F.transform_values(entries, lambda _, entry: F.from_json(entry, METRICS_SCHEMA))
 
 
 def metric_of(results: Column, task: Column, metric: Column) -> Column:
-    """Value of ``metric`` for ``task``; null where either is absent."""
-    metrics = F.try_element_at(results, task)
+    """Value of ``metric`` for ``task``; null where either is absent.
+
+    A task that is no entry itself is looked for inside the groups; the first that has it counts.
+    """
+    inside = F.transform(F.map_values(results), lambda group: F.try_element_at(group, task))
+    of_group = F.from_json(F.try_element_at(F.filter(inside, lambda m: m.isNotNull()), F.lit(1)), METRICS_SCHEMA)
+    metrics = F.coalesce(F.try_element_at(results, task), of_group)
     return F.try_element_at(metrics, F.concat(metric, F.lit(",none"))).try_cast("double")
 
 

@@ -233,6 +233,28 @@ def results_per_model(spark: SparkSession, sf: str) -> DataFrame:
     return report.select("model", "suite", "n_missing", "metric_value")
 
 
+@query(f"""
+WITH {RESULTS_SQL},
+s AS (
+  SELECT model, suite, metric_name, count(*) FILTER (v IS NULL) AS n_missing, round(avg(v), 4) AS mean
+  FROM looked_up GROUP BY ALL
+)
+SELECT model, suite, n_missing::BIGINT AS n_missing, CASE WHEN n_missing = 0 THEN mean END AS metric_value FROM s
+""")
+def results_in_folders(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder per model, a file per suite, its tasks inside groups; read back as one source."""
+    results = F.from_json("document", "results map<string, map<string, string>>")["results"]
+    grouped = F.transform(
+        F.sequence(F.lit(0), F.lit(2)),
+        lambda g: F.struct(F.concat(F.lit("group_"), g), F.map_filter(results, lambda task, _: F.length(task) % 3 == g)),
+    )
+    nested = F.to_json(F.struct(F.map_from_entries(grouped).alias("results")))
+    folder = fresh_path(spark, "results")
+    name = F.concat("model", F.lit("/eval_"), "suite", F.lit(".json"))
+    write_named_texts(_result_documents(spark, sf).select(name.alias("name"), nested.alias("text")), folder)
+    return report_results(spark, folder, digits=4).select("model", "suite", "n_missing", "metric_value")
+
+
 @query("""
 WITH done AS (SELECT lang AS model, count(*) // 50 AS last, count(*) // 40 AS planned FROM documents GROUP BY lang)
 SELECT model, chunk_idx::BIGINT AS chunk_idx, last::BIGINT AS last_checkpoint

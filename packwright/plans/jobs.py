@@ -237,8 +237,9 @@ def batch_chunks(
     write_batch_log(plan, f"{out}/log", mode="overwrite")
 
 
-def report_results(spark: SparkSession, folder: str, digits: int | None = None) -> DataFrame:
-    """Suite scores of the result files in a folder, by model (null where a name has none)."""
+def report_results(spark: SparkSession, folder: str | Sequence[str], digits: int | None = None) -> DataFrame:
+    """Suite scores of the result files in a folder and below, or in several models' folders,
+    by model (null where neither name nor folder has one)."""
     documents = read_result_files(spark, folder)
     parsed = documents.select("model", "suite", parse_results(F.col("document")).alias("results"))
     return suite_scores(look_up_metrics(parsed, ["model"]), ["model"], digits)

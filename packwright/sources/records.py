@@ -109,15 +109,27 @@ def count_records(df: DataFrame, groups: Sequence[str]) -> DataFrame:
     return df.groupBy(*groups).agg(F.count("*").alias("n_records"))
 
 
-def read_result_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Evaluation results in a folder, one document per row; absent ones are simply not there.
+def read_result_files(spark: SparkSession, folder: str | Sequence[str]) -> DataFrame:
+    """Evaluation results, one document per row; absent ones are simply not there.
 
-    A file is named ``eval_<model>_<suite>.json``, or ``eval_<suite>.json`` inside a model's folder.
+    A file is named ``eval_<model>_<suite>.json``, or ``eval_<suite>.json`` inside a model's
+    folder. One folder is read with all folders below it, and a model's folder has its path
+    below that one as its name (null for files of no model right in it). Of several folders
+    each is a model's own, named by the last part of its path; two equal names are an error.
     """
-    read = spark.read.text(folder, wholetext=True, pathGlobFilter="eval_*.json")
+    if isinstance(folder, str):
+        below = F.regexp_extract(path_below(spark, folder), "^(?:(.*)/)?[^/]+$", 1)
+        read = spark.read.text(folder, wholetext=True, pathGlobFilter="eval_*.json", recursiveFileLookup=True)
+    else:
+        names = [path.rstrip("/").rsplit("/", 1)[-1] for path in folder]
+        if len(set(names)) < len(names):
+            raise ValueError(f"two model folders of one name: {sorted(names)}")
+        below = path_part(source_path(), 2)
+        read = spark.read.text(list(folder), wholetext=True, pathGlobFilter="eval_*.json")
     name = path_part(source_path(), 1)
     named = r"^eval_(?:(.+)_)?([^_]+)\.json$"
-    model = F.regexp_extract(name, named, 1)
+    in_name = F.regexp_extract(name, named, 1)
+    model = F.when(in_name != "", in_name).otherwise(below)
     return read.select(
         name.alias("file_name"),
         F.when(model != "", model).alias("model"),

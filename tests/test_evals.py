@@ -1,11 +1,13 @@
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
 
 from packwright.functions.keys import checkpoint_ordinal, data_type_of, result_name
-from packwright.operators.evals import look_up_metrics, parse_results, suite_scores, suite_table, suite_tasks
+from packwright.operators.evals import look_up_metrics, metric_of, parse_results, suite_scores, suite_table, suite_tasks
 from packwright.operators.pending import last_checkpoint, pending_results, remaining_chunks
+from packwright.plans.jobs import report_results
 from packwright.sources.records import read_result_files
 from packwright.sources.suites import SUITES
 
@@ -64,3 +66,46 @@ def test_pending(spark):
 def test_routing(spark):
     df = spark.createDataFrame([("textbooks.jsonl",), ("program_books.jsonl",), ("chats.jsonl",)], "f string")
     assert [r.v for r in df.select(data_type_of(F.col("f")).alias("v")).collect()] == ["text", "text", "chat"]
+
+
+def scores_of(spark, folder):
+    return {(r.model, r.suite): r.metric_value for r in report_results(spark, folder).collect()}
+
+
+def test_one_bad_entry_does_not_lose_the_file(spark):
+    document = {"results": {"gsm8k": {"acc,none": 0.5, "alias": "x"}, "version": 3, "list": [1], "none": None}}
+    texts = [json.dumps(document), '{"results": {"gsm8k": {"acc,none": NaN}}}', '{"results": {"gsm8k"', '{"results": 5}', None]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d string")
+    value = metric_of(parse_results(F.col("d")), F.lit("gsm8k"), F.lit("acc"))
+    got = [r.v for r in df.orderBy("i").select(value.alias("v")).collect()]
+    assert got[0] == 0.5 and math.isnan(got[1]) and got[2:] == [None] * 3
+
+
+def test_tasks_inside_groups(spark):
+    inside = {"results": {"first": {"gsm8k": {"acc,none": 0.25}, "acc,none": 0.9}, "second": {"gsm8k": {"acc,none": 0.75}, "t": 1}}}
+    direct = {"results": {**inside["results"], "gsm8k": {"acc,none": 1.0}}}
+    df = spark.createDataFrame([(0, json.dumps(inside)), (1, json.dumps(direct))], "i int, d string")
+    look = lambda task: metric_of(parse_results(F.col("d")), F.lit(task), F.lit("acc"))
+    got = df.orderBy("i").select(look("gsm8k"), look("t"), look("first"), look("absent")).collect()
+    assert [tuple(r) for r in got] == [(0.25, None, 0.9, None), (1.0, None, 0.9, None)]
+
+
+def test_folders_of_models(spark, tmp_path):
+    """The same scores from flat names, from one folder of folders, and from a list of folders."""
+    for model, value in (("m1", 0.25), ("m_2", 0.75)):
+        flat = {"results": {"gsm8k": {"acc,none": value}}}
+        for place, document in ((f"flat/eval_{model}_gsm8k.json", flat), (f"tree/{model}/eval_gsm8k.json", {"results": {"g": flat["results"]}})):
+            path = tmp_path / place
+            path.parent.mkdir(parents=True, exist_ok=True)
+            path.write_text(json.dumps(document))
+    want = {("m1", "gsm8k"): 0.25, ("m_2", "gsm8k"): 0.75}
+    assert scores_of(spark, str(tmp_path / "flat")) == want
+    assert scores_of(spark, str(tmp_path / "tree")) == want
+    assert scores_of(spark, str(tmp_path / "tree/m*")) == want
+    assert scores_of(spark, [str(tmp_path / "tree/m1"), str(tmp_path / "tree/m_2/")]) == want
+    deep = tmp_path / "tree/org/m1"
+    deep.mkdir(parents=True)
+    (deep / "eval_gsm8k.json").write_text(json.dumps({"results": {"gsm8k": {"acc,none": 0.5}}}))
+    assert scores_of(spark, str(tmp_path / "tree")) == {**want, ("org/m1", "gsm8k"): 0.5}
+    with pytest.raises(ValueError, match="two model folders of one name"):
+        scores_of(spark, [str(tmp_path / "tree/m1"), str(deep)])
