@@ -4,9 +4,11 @@ Each tree gives a vector a long hash string: the signs of its products with the
 random hyperplanes, taken after the vectors are lifted by one coordinate to equal length,
 so that largest inner products become smallest angles. The sorted strings of a tree, in one
 array, are its prefix tree: all strings with a common prefix stand together. A query
-descends to its longest matching prefix in every tree, then all trees ascend together,
-one bit at a time, until they hold enough different rows besides the query's own, or all
-there are; what they hold is scored exactly.
+descends to its longest matching prefix in every tree, then all trees ascend together, one
+bit at a time. Whenever they hold half as many entries again as at the last look, the rows
+that are new are scored exactly; the ascent ends with looks that change nothing among the
+nearest, or with all rows. So the work follows the data: tight groups end after a few per
+cent of the rows, vectors without any neighbourhoods go on to most of them.
 
 Rows are dealt into blocks by a hash of their id, each with a forest of its own; queries,
 in blocks too, visit all of them, and the nearest of all blocks are merged.
@@ -24,17 +26,15 @@ from packwright.session import stage
 
 @dataclass(frozen=True)
 class Params:
-    """A query stops ascending in a block at ``share`` of its rows, or at ``least`` or ``k``
-    rows if that is more. A row counts once, in however many trees it is met, and the
-    query's own not at all. For vectors without any clusters, as random ones, a recall of
-    0.9 takes a large share; clustered ones need much less.
+    """A query stops ascending in a block when ``calm`` looks in a row, each at ``growth``
+    times the entries of the one before, leave the scores of its ``k`` nearest as they were.
     """
 
     k: int = 20
     trees: int = 64
     bits: int = 24
-    share: float = 0.7
-    least: int = 800
+    growth: float = 1.5
+    calm: int = 1
     block_rows: int = 20_000
     block_queries: int = 2_000
     seed: int = 97
@@ -105,7 +105,47 @@ def entries_at(sorted_codes: np.ndarray, codes: np.ndarray, depth: int, bits: in
 
 
 def search_block(params: Params):
-    """A function of one block of rows and one of queries to each query's nearest in it."""
+    """A function of one block of rows and one of queries to each query's nearest in it.
+
+    ``scored`` is the number of rows whose product with the query was taken.
+    """
+
+    def ascend(own: int, query, rows, row_ids, trees, begin, stop) -> tuple[np.ndarray, np.ndarray, int]:
+        """The nearest rows of one query, their scores, and how many were scored; ``begin`` and
+        ``stop`` are its ranges by tree and number of bits that it has ascended."""
+        held = np.zeros(len(rows), dtype=bool)
+        rough = np.full(len(rows), -np.inf)
+        other = row_ids != own
+        last, calm, before = 0, 0, None
+        entries = (stop - begin).sum(axis=0)
+        for risen in range(params.bits + 1):
+            top = risen == params.bits
+            if not top and (entries[risen] <= len(trees) or entries[risen] < params.growth * last):
+                continue
+            last = entries[risen]
+            now = np.full(len(rows), top)
+            if not top:
+                for t in range(len(trees)):
+                    now[trees[t, begin[t, risen] : stop[t, risen]]] = True
+            new = np.flatnonzero(now & other & ~held)
+            held[new] = True
+            rough[new] = rows[new] @ query
+            if held.sum() < params.k:
+                continue
+            nearest = np.sort(np.partition(rough, -params.k)[-params.k :])
+            calm = calm + 1 if before is not None and np.array_equal(before, nearest) else 0
+            before = nearest
+            if calm >= params.calm:
+                break
+        found = np.flatnonzero(held)
+        n_scored = len(found)
+        if n_scored > params.k:
+            # Products of a matrix may differ in the last bits between equal rows.
+            edge = np.partition(rough[found], -params.k)[-params.k]
+            found = found[rough[found] >= edge - 1e-9 * max(1.0, abs(edge))]
+        scores = (rows[found] * query).sum(axis=1)
+        best = np.lexsort((row_ids[found], -scores))[: params.k]
+        return row_ids[found][best], scores[best], n_scored
 
     def search(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False).astype(bool)
@@ -115,45 +155,23 @@ def search_block(params: Params):
         codes = table.column("codes").combine_chunks().flatten().to_numpy().astype(np.int64).reshape(n_rows, -1)
         row_ids, rows, row_codes = ids[~asks], np.ascontiguousarray(x[~asks]), codes[~asks]
         query_ids, queries, query_codes = ids[asks], x[asks], codes[asks]
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
         if len(row_ids) and len(query_ids):
             order = np.argsort(row_codes, axis=0, kind="stable")
             arrays = np.take_along_axis(row_codes, order, axis=0)
             trees = np.ascontiguousarray(order.T)
-            enough = max(params.k, params.least, int(params.share * len(row_ids)))
-            begin = np.zeros((params.trees, len(query_ids)), dtype=np.int64)
-            stop = np.zeros_like(begin)
-            rising = np.arange(len(query_ids))
-            held = np.zeros(len(row_ids), dtype=bool)
-            for depth in range(params.bits, -1, -1):
-                for t in range(params.trees):
-                    begin[t, rising], stop[t, rising] = entries_at(arrays[:, t], query_codes[rising, t], depth, params.bits)
-                # Entries repeat rows, so there are at most as many rows.
-                ready = (stop - begin)[:, rising].sum(axis=0) >= enough if depth else np.ones(len(rising), dtype=bool)
-                waiting = list(rising[~ready])
-                for i in rising[ready]:
-                    held[:] = depth == 0
-                    for t in range(params.trees if depth else 0):
-                        held[trees[t, begin[t, i] : stop[t, i]]] = True
-                    held[row_ids == query_ids[i]] = False
-                    found = np.flatnonzero(held)
-                    if depth and len(found) < enough:
-                        waiting.append(i)
-                        continue
-                    query = queries[i]
-                    rough = rows[found] @ query
-                    if len(found) > params.k:
-                        # Products of a matrix may differ in the last bits between equal rows.
-                        edge = np.partition(rough, -params.k)[-params.k]
-                        found = found[rough >= edge - 1e-9 * max(1.0, abs(edge))]
-                    scores = (rows[found] * query).sum(axis=1)
-                    best = np.lexsort((row_ids[found], -scores))[: params.k]
-                    out.append((np.full(len(best), query_ids[i]), row_ids[found][best], scores[best]))
-                rising = np.array(waiting, dtype=np.int64)
-                if not len(rising):
-                    break
-        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)]
-        return pa.table({"query_id": columns[0], "vec_id": columns[1], "score": columns[2].astype(np.float64)})
+            shape = (params.trees, len(query_ids), params.bits + 1)
+            begin, stop = np.empty(shape, dtype=np.int32), np.empty(shape, dtype=np.int32)
+            for t in range(params.trees):
+                for risen in range(params.bits + 1):
+                    ranges = entries_at(arrays[:, t], query_codes[:, t], params.bits - risen, params.bits)
+                    begin[t, :, risen], stop[t, :, risen] = ranges
+            for i, own in enumerate(query_ids):
+                near, scores, n_scored = ascend(own, queries[i], rows, row_ids, trees, begin[:, i], stop[:, i])
+                out.append((np.full(len(near), own), near, scores, np.full(len(near), n_scored)))
+        columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4
+        names = {"query_id": np.int64, "vec_id": np.int64, "score": np.float64, "scored": np.int64}
+        return pa.table({name: column.astype(kind) for (name, kind), column in zip(names.items(), columns)})
 
     return search
 
@@ -176,7 +194,7 @@ def nearest(vectors: DataFrame, every: int = 20, params: Params = Params()) -> D
     found = (
         visited.unionByName(visiting)
         .groupBy("row_block", "query_block")
-        .applyInArrow(search_block(params), "query_id long, vec_id long, score double")
+        .applyInArrow(search_block(params), "query_id long, vec_id long, score double, scored long")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (

@@ -1,4 +1,6 @@
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from packwright.llm import ann
 
@@ -71,3 +73,39 @@ def test_prefix_ranges_in_a_sorted_array():
     for depth, want in ((0, 6), (1, 3), (2, 2), (3, 2), (4, 1)):
         begin, stop = ann.entries_at(codes, np.array([0b1000]), depth, 4)
         assert int(stop[0] - begin[0]) == want
+
+
+def block_of(x, params):
+    """Recall of one block's search, and the share of its rows that were scored."""
+    x = np.ascontiguousarray(x, dtype=np.float32).astype(np.float64)
+    ids = np.arange(len(x))
+    longest = (x * x).sum(axis=1).max()
+
+    def coded(some, asks):
+        rows = pa.array(list(x[some]), pa.list_(pa.float64()))
+        batch = pa.RecordBatch.from_arrays([pa.array(ids[some]), rows], names=["vec_id", "vector"])
+        table = pa.Table.from_batches(ann.forest_codes(params, longest, not asks)([batch]))
+        return table.append_column("asks", pa.array([asks] * len(some)))
+
+    found = ann.search_block(params)(pa.concat_tables([coded(ids, False), coded(ids[::20], True)])).to_pydict()
+    got, scored = {}, {}
+    for q, i, n in zip(found["query_id"], found["vec_id"], found["scored"]):
+        got.setdefault(q, set()).add(i)
+        scored[q] = n
+    want = exact(ids, x)
+    recall = np.mean([len(got[q] & {i for i, _ in rows}) / len(rows) for q, rows in want.items()])
+    return recall, np.mean(list(scored.values())) / (len(x) - 1)
+
+
+def test_tight_groups_end_after_a_few_per_cent():
+    draw = np.random.default_rng(5)
+    x = np.repeat(draw.standard_normal((60, 64)), 100, axis=0) + 0.25 * draw.standard_normal((6000, 64))
+    recall, share = block_of(x / np.linalg.norm(x, axis=1, keepdims=True), ann.Params())
+    assert recall >= 0.97 and share < 0.05
+
+
+@pytest.mark.parametrize("n", [500, 2000])
+def test_vectors_without_neighbourhoods_take_most_rows_but_not_all(n):
+    x = np.random.default_rng(n).standard_normal((n, 64))
+    recall, share = block_of(x / np.linalg.norm(x, axis=1, keepdims=True), ann.Params())
+    assert 0.9 <= recall and share < 0.97
