@@ -113,36 +113,40 @@ def search_block(params: Params):
     def ascend(own: int, query, rows, row_ids, trees, begin, stop) -> tuple[np.ndarray, np.ndarray, int]:
         """The nearest rows of one query, their scores, and how many were scored; ``begin`` and
         ``stop`` are its ranges by tree and number of bits that it has ascended."""
-        held = np.zeros(len(rows), dtype=bool)
-        rough = np.full(len(rows), -np.inf)
-        other = row_ids != own
-        last, calm, before = 0, 0, None
+        held = row_ids == own
+        met, products = [], []
+        last, calm, n_scored, nearest = 0, 0, 0, np.zeros(0)
+        low = high = np.zeros(len(trees), dtype=np.int32)
         entries = (stop - begin).sum(axis=0)
         for risen in range(params.bits + 1):
             top = risen == params.bits
             if not top and (entries[risen] <= len(trees) or entries[risen] < params.growth * last):
                 continue
-            last = entries[risen]
-            now = np.full(len(rows), top)
-            if not top:
-                for t in range(len(trees)):
-                    now[trees[t, begin[t, risen] : stop[t, risen]]] = True
-            new = np.flatnonzero(now & other & ~held)
-            held[new] = True
-            rough[new] = rows[new] @ query
-            if held.sum() < params.k:
-                continue
-            nearest = np.sort(np.partition(rough, -params.k)[-params.k :])
-            calm = calm + 1 if before is not None and np.array_equal(before, nearest) else 0
-            before = nearest
+            before = held.copy()
+            if top:
+                held[:] = True
+            else:
+                # Only what the ranges have grown by, on both sides.
+                grown = [tree[i:j] for tree, i, j in zip(trees, begin[:, risen], low if last else stop[:, risen])]
+                if last:
+                    grown += [tree[i:j] for tree, i, j in zip(trees, high, stop[:, risen])]
+                held[np.concatenate(grown)] = True
+            last, low, high = entries[risen], begin[:, risen], stop[:, risen]
+            new = np.flatnonzero(held & ~before)
+            met.append(new)
+            products.append(rows[new] @ query)
+            n_scored += len(new)
+            known, nearest = nearest, np.concatenate([nearest, products[-1]])
+            if len(nearest) > params.k:
+                nearest = np.partition(nearest, -params.k)[-params.k :]
+            nearest = np.sort(nearest)
+            calm = calm + 1 if len(known) == params.k and np.array_equal(known, nearest) else 0
             if calm >= params.calm:
                 break
-        found = np.flatnonzero(held)
-        n_scored = len(found)
+        found, rough = np.concatenate(met), np.concatenate(products)
         if n_scored > params.k:
             # Products of a matrix may differ in the last bits between equal rows.
-            edge = np.partition(rough[found], -params.k)[-params.k]
-            found = found[rough[found] >= edge - 1e-9 * max(1.0, abs(edge))]
+            found = found[rough >= nearest[0] - 1e-9 * max(1.0, abs(nearest[0]))]
         scores = (rows[found] * query).sum(axis=1)
         best = np.lexsort((row_ids[found], -scores))[: params.k]
         return row_ids[found][best], scores[best], n_scored
@@ -158,13 +162,13 @@ def search_block(params: Params):
         out: list[tuple[np.ndarray, ...]] = []
         if len(row_ids) and len(query_ids):
             order = np.argsort(row_codes, axis=0, kind="stable")
-            arrays = np.take_along_axis(row_codes, order, axis=0)
-            trees = np.ascontiguousarray(order.T)
+            arrays = np.ascontiguousarray(np.take_along_axis(row_codes, order, axis=0).T)
+            trees = np.ascontiguousarray(order.T.astype(np.int32))
             shape = (params.trees, len(query_ids), params.bits + 1)
             begin, stop = np.empty(shape, dtype=np.int32), np.empty(shape, dtype=np.int32)
             for t in range(params.trees):
                 for risen in range(params.bits + 1):
-                    ranges = entries_at(arrays[:, t], query_codes[:, t], params.bits - risen, params.bits)
+                    ranges = entries_at(arrays[t], query_codes[:, t], params.bits - risen, params.bits)
                     begin[t, :, risen], stop[t, :, risen] = ranges
             for i, own in enumerate(query_ids):
                 near, scores, n_scored = ascend(own, queries[i], rows, row_ids, trees, begin[:, i], stop[:, i])
