@@ -7,12 +7,14 @@ diagonal), and a span counts if enough of the template's k-grams voted for it. V
 for equal words: the words behind equal hashes are compared.
 """
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from packwright.llm.grams import gram_rows, sieve_of
+from packwright.llm.notices import FULL_NOTICES
 from packwright.llm.words import fold_hash, phrase_hash
 from packwright.session import stage
 
@@ -39,24 +41,34 @@ NOTICES = {
 
 @dataclass(frozen=True)
 class Params:
-    """A notice of at most ``notice_k`` words more than needed votes by k-grams of that size.
+    """Beginnings of notices vote by ``notice_k`` words (all, if they have fewer), whole
+    notices by ``full_k``.
 
     ``reach`` is how far apart diagonals may be to be merged, ``least`` the part of a
     notice's k-grams that has to vote for a span.
     """
 
     notice_k: int = 3
+    full_k: int = 5
     reach: int = 3
     least: float = 0.6
 
 
+def templates(params: Params = Params()) -> list[tuple[str, str, bool, int]]:
+    """Words with single blanks between them, label, whether of the base, and k."""
+    plain = lambda text: " ".join(re.findall("[0-9a-z]+", text.lower()))
+    return (
+        [(phrase, label, True, len(phrase.split())) for phrase, label in BASE_PHRASES.items()]
+        + [(phrase, label, False, min(params.notice_k, len(phrase.split()))) for phrase, label in NOTICES.items()]
+        + [(plain(text), label, False, params.full_k) for label, text in FULL_NOTICES.items()]
+    )
+
+
 def template_grams(spark: SparkSession, params: Params) -> DataFrame:
-    """``template, label, base, total, k, offset, hash, gram``: the fixed set above."""
+    """``template, label, base, total, k, offset, hash, gram``: of the fixed texts."""
     rows = []
-    listed = [(p, label, True) for p, label in BASE_PHRASES.items()] + [(p, label, False) for p, label in NOTICES.items()]
-    for template, (phrase, label, base) in enumerate(listed):
+    for template, (phrase, label, base, k) in enumerate(templates(params)):
         words, hashes = phrase_hash(phrase)
-        k = len(words) if base else min(params.notice_k, len(words))
         total = len(words) - k + 1
         for offset in range(total):
             value = fold_hash(hashes, offset, k)
@@ -71,9 +83,9 @@ def template_grams(spark: SparkSession, params: Params) -> DataFrame:
 def vote(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFrame]:
     """Documents ``(doc_id, digest, n_words, copies)`` and spans
     ``(doc_id, digest, template, label, base, first, last, score)``."""
-    templates = template_grams(docs.sparkSession, params)
-    longest = max(params.notice_k, *(len(p.split()) for p in BASE_PHRASES))
-    rows = stage(gram_rows(docs, sieve_of(templates), before=0, after=longest), "license-grams")
+    listed = template_grams(docs.sparkSession, params)
+    longest = max(k for *_, k in templates(params))
+    rows = stage(gram_rows(docs, sieve_of(listed), before=0, after=longest), "license-grams")
     documents = (
         rows.where(F.col("hash").isNull())
         .groupBy("doc_id", "digest")
@@ -83,7 +95,7 @@ def vote(docs: DataFrame, params: Params = Params()) -> tuple[DataFrame, DataFra
     diagonals = (
         rows.where(F.col("hash").isNotNull())
         .drop("n_words")
-        .join(templates.withColumnRenamed("k", "words"), "hash")
+        .join(listed.withColumnRenamed("k", "words"), "hash")
         .where((F.col("k") == F.col("words")) & (F.slice("around", 1, F.col("k").cast("int")) == F.col("gram")))
         .groupBy(*key, (F.col("pos") - F.col("offset")).alias("diagonal"), "k")
         .agg(

@@ -1,7 +1,7 @@
 """SQL of the queries, for the same tables."""
 
-from packwright.llm.licenses import BASE_PHRASES, NOTICES
 from packwright.llm.licenses import Params as LicenseParams
+from packwright.llm.licenses import templates
 from packwright.llm.linedup import Params as LineParams
 
 CHATS = r"""
@@ -122,12 +122,10 @@ _LICENSE = LicenseParams()
 
 
 def _templates() -> str:
-    listed = [(p, label, True) for p, label in BASE_PHRASES.items()] + [(p, label, False) for p, label in NOTICES.items()]
-    rows = []
-    for template, (phrase, label, base) in enumerate(listed):
-        k = len(phrase.split()) if base else min(_LICENSE.notice_k, len(phrase.split()))
-        rows.append(f"({template}, '{label}', {base}, {k}, string_split('{phrase}', ' '))")
-    return ", ".join(rows)
+    return ", ".join(
+        f"({template}, '{label}', {base}, {k}, string_split('{phrase}', ' '))"
+        for template, (phrase, label, base, k) in enumerate(templates(_LICENSE))
+    )
 
 
 LICENSES = f"""

@@ -1,5 +1,6 @@
 from brute import words
 from packwright.llm import licenses
+from packwright.llm.notices import FULL_NOTICES
 
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"
 TEXTS = [
@@ -41,3 +42,49 @@ def test_edges(spark, edge_docs, edge_rows, no_docs):
     key = lambda i, n: (i is not None, i or 0, n)
     assert sorted(key(r.doc_id, r.n_words) for r in got) == sorted(key(i, len(words(t))) for i, t in edge_rows)
     assert licenses.report(licenses.scan_licenses(no_docs)).collect() == []
+
+
+def slow_votes(text):
+    """(label, first, last, score) of own spans by comparing all words at all places."""
+    found, params, w = [], licenses.Params(), words(text)
+    for phrase, label, base, k in licenses.templates(params):
+        t = phrase.split()
+        places = {}
+        for o in range(len(t) - k + 1):
+            for i in range(len(w) - k + 1):
+                if w[i : i + k] == t[o : o + k]:
+                    places.setdefault(i - o, []).append((i, o))
+        clusters = []
+        for d in sorted(places):
+            if clusters and d - last <= params.reach:
+                clusters[-1] += places[d]
+            else:
+                clusters.append(list(places[d]))
+            last = d
+        for c in clusters:
+            score = len({o for _, o in c}) / (len(t) - k + 1)
+            if not base and score >= params.least:
+                found.append((label, min(i for i, _ in c), max(i for i, _ in c) + k - 1, round(score, 9)))
+    return sorted(found)
+
+
+def changed(text, every):
+    """Each so-many-th word replaced; a word put in front of some, others left out."""
+    w = text.split()
+    return " ".join(f"x{i}" if i % every == 0 else f"new {a}" if i % 41 == 1 else "" if i % 53 == 2 else a for i, a in enumerate(w))
+
+
+def test_whole_notices_against_all_places(spark):
+    texts = {}
+    for label, text in FULL_NOTICES.items():
+        half = " ".join(text.split()[: len(text.split()) // 2])
+        for kind in (text, text.upper(), "Copyright (c) 2020 Some One. " + changed(text, 37), changed(text, 4), half, "/* " + text.replace("\n", "\n * ") + " */ code()"):
+            texts[len(texts)] = (label, kind)
+    texts[len(texts)] = ("mit", FULL_NOTICES["isc"] + " between " + FULL_NOTICES["mit"] + FULL_NOTICES["mit"])
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in texts.items()], "doc_id bigint, text string")
+    got = {r.doc_id: sorted((s["label"], s["first"], s["last"], round(s["score"], 9)) for s in r.spans if not s["base"]) for r in licenses.scan_licenses(docs).collect()}
+    for i, (label, text) in texts.items():
+        assert got[i] == slow_votes(text)
+        full = [s for s in got[i] if s[0] == label]
+        assert i % 6 in (3, 4) or full
+    assert [s[0] for s in got[len(texts) - 1]].count("isc") == 1 and [s[0] for s in got[len(texts) - 1]].count("mit") >= 2
