@@ -51,15 +51,21 @@ WITH docs AS (
 spans AS ({_spans("assign", 0, _ASSIGN, 2, 6)}
   UNION ALL {_spans("access", 1, "AKIA[A-Z0-9]+", 0, 20)}
   UNION ALL {_spans("hex", 2, "[0-9a-f]+", 0, 24)}
+  UNION ALL {_spans("github", 3, "gh[pousr]_[A-Za-z0-9]+", 0, 40)}
+  UNION ALL {_spans("slack", 4, "xox[abprs]-[A-Za-z0-9-]+", 0, 15)}
+  UNION ALL {_spans("google", 5, "AIza[A-Za-z0-9_-]+", 0, 39)}
+  UNION ALL {_spans("jwt", 6, "eyJ[A-Za-z0-9_-]+[.]eyJ[A-Za-z0-9_-]+[.][A-Za-z0-9_-]+", 0, 30)}
+  UNION ALL {_spans("pem", 7, "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 27)}
 ),
 per_row AS (
   SELECT row, count(*) FILTER (WHERE kind = 'assign') AS n_assign,
     count(*) FILTER (WHERE kind = 'access') AS n_access, count(*) FILTER (WHERE kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) FILTER (WHERE rank <= 2) AS base,
     string_agg(kind || ':' || s || ':' || (s + n), ',' ORDER BY s, rank) AS spans
   FROM spans GROUP BY row
 )
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
-  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+  coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM docs LEFT JOIN per_row USING (row)
 """
 
