@@ -41,9 +41,10 @@ class Params:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """``vec_id, vector``: finite vectors, not null or zero, of the most common length.
+    """``vec_id, vector``: finite vectors, not null or zero.
 
     A null id takes no part; rows that repeat an id count once, with the least vector.
+    Vectors of different lengths have no inner product, so each length is searched by itself.
     """
     vector = F.col("embedding").cast("array<double>")
     sound = vectors.select("vec_id", vector.alias("vector")).where(
@@ -52,9 +53,7 @@ def usable(vectors: DataFrame) -> DataFrame:
         & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
         & F.exists("vector", lambda x: x != 0)
     )
-    lengths = sound.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1)
-    common = [r[0] for r in lengths.collect()]
-    return sound.where(F.size("vector") == (common[0] if common else 0)).groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    return sound.groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
 def forest_codes(params: Params, longest: float, lifted: bool):
@@ -64,23 +63,27 @@ def forest_codes(params: Params, longest: float, lifted: bool):
     angle to a lifted row depends on the inner product alone.
     """
 
+    def encode_alike(batch, planes):
+        n = len(batch)
+        x = batch.column(1).flatten().to_numpy().reshape(n, -1)
+        lift = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0)) if lifted else np.zeros(n)
+        signs = (np.column_stack([x, lift]) @ planes > 0).reshape(n, params.trees, params.bits)
+        codes = (signs.astype(np.int64) << np.arange(params.bits)[::-1]).sum(axis=2).astype(np.int32)
+        offsets = pa.array(np.arange(n + 1, dtype=np.int32) * params.trees)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))],
+            names=["vec_id", "vector", "codes"],
+        )
+
     def encode(batches):
-        planes = None
+        planes = {}
         for batch in batches:
-            n = len(batch)
-            if not n:
-                continue
-            x = batch.column(1).flatten().to_numpy().reshape(n, -1)
-            if planes is None:
-                planes = np.random.default_rng(params.seed).standard_normal((x.shape[1] + 1, params.trees * params.bits))
-            lift = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0)) if lifted else np.zeros(n)
-            signs = (np.column_stack([x, lift]) @ planes > 0).reshape(n, params.trees, params.bits)
-            codes = (signs.astype(np.int64) << np.arange(params.bits)[::-1]).sum(axis=2).astype(np.int32)
-            offsets = pa.array(np.arange(n + 1, dtype=np.int32) * params.trees)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(offsets, pa.array(codes.ravel()))],
-                names=["vec_id", "vector", "codes"],
-            )
+            lengths = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            for length in np.unique(lengths).tolist():
+                if length not in planes:
+                    draw = np.random.default_rng(params.seed)
+                    planes[length] = draw.standard_normal((length + 1, params.trees * params.bits))
+                yield encode_alike(batch.filter(pa.array(lengths == length)), planes[length])
 
     return encode
 
@@ -105,7 +108,8 @@ def entries_at(sorted_codes: np.ndarray, codes: np.ndarray, depth: int, bits: in
 
 
 def search_block(params: Params):
-    """A function of one block of rows and one of queries to each query's nearest in it.
+    """A function of one block of rows and one of queries, all vectors of one length, to each
+    query's nearest in it.
 
     ``scored`` is the number of rows whose product with the query was taken.
     """
@@ -184,7 +188,8 @@ def nearest(vectors: DataFrame, every: int = 20, params: Params = Params()) -> D
     """``query_id, rank, vec_id, score``: for each id divisible by ``every``, its nearest.
 
     Largest inner product first, equal ones by id; the query's own row is left out. All
-    rows are returned where there are fewer than ``k``; without usable rows, none.
+    rows as long as the query are returned where there are fewer than ``k``; without usable
+    rows, none.
     """
     index, queries = build_index(vectors, every, params)
     n_rows, n_queries = index.count(), queries.count()
@@ -197,7 +202,7 @@ def nearest(vectors: DataFrame, every: int = 20, params: Params = Params()) -> D
     visiting = queries.select(*columns, F.lit(True).alias("asks"), numbers(row_blocks).alias("row_block"), dealt(query_blocks).alias("query_block"))
     found = (
         visited.unionByName(visiting)
-        .groupBy("row_block", "query_block")
+        .groupBy("row_block", "query_block", F.size("vector"))
         .applyInArrow(search_block(params), "query_id long, vec_id long, score double, scored long")
     )
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

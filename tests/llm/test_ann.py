@@ -64,10 +64,22 @@ def test_rows_that_take_no_part(spark):
     rows = [(0, [1, 2]), (20, [0, 0]), (40, None), (60, [1, None]), (80, [float("nan"), 1]), (100, [float("inf"), 1]), (None, [1, 1]),
             (1, [3, 1]), (1, [3, 1]), (2, [1, 2, 3]), (3, [])]
     assert searched(vectors(spark, rows)) == {0: [(1, 5.0)]}
+    longer = [(120, [2, 0, 1]), (3, [1, 0, -1]), (140, [1, 1, 1, 1])]
+    assert searched(vectors(spark, rows + longer)) == {0: [(1, 5.0)], 120: [(2, 5.0), (3, 1.0)]}
     assert searched(vectors(spark, [])) == {}
     assert searched(vectors(spark, [(20, [1, 1])])) == {}
 
 
+def test_lengths_are_searched_apart(spark):
+    draw = np.random.default_rng(3)
+    x = [draw.standard_normal(8 if i % 3 else 5).astype(np.float32) for i in range(600)]
+    got = searched(vectors(spark, enumerate(x)), block_rows=150)
+    assert set(got) == set(range(0, 600, 20))
+    for alike in (range(0, 600, 3), [i for i in range(600) if i % 3]):
+        want = exact(np.array(alike), np.array([x[i] for i in alike]))
+        assert np.mean([i in dict(got[q]) for q in want for i, _ in want[q]]) >= 0.9
+
+
 def test_prefix_ranges_in_a_sorted_array():
     codes = np.sort(np.array([0b0000, 0b0011, 0b0100, 0b1000, 0b1001, 0b1111]))
     for depth, want in ((0, 6), (1, 3), (2, 2), (3, 2), (4, 1)):
