@@ -249,7 +249,8 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id, held_out, lang_pred, score`` for each row, by the whole text alone.
 
     A text that is null or has no letter is ``und`` with score 0, and so is everything
-    if the model knows no language. Repeated rows and null ids are rows like others.
+    if the model knows no language. Of equally likely languages the first by name is taken.
+    Repeated rows and null ids are rows like others.
     """
     found = docs.select(
         "doc_id",

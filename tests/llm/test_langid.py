@@ -1,4 +1,6 @@
+import math
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 
@@ -65,3 +67,90 @@ def test_elastic_net_leaves_few_weights_and_temperature_calibrates():
     scores = draw.normal(size=(4000, 3))
     labels = np.array([draw.choice(3, p=p) for p in langid.softmax(scores / 2.5)])
     assert abs(langid.calibrate(scores, labels) - 2.5) < 0.3
+
+
+def plain_counts(text, params):
+    points, found = [ord(c) for c in text.lower()], Counter()
+    for n in range(1, params.longest + 1):
+        for i in range(len(points) - n + 1):
+            h = 0
+            for j, point in enumerate(points[i : i + n], 1):
+                h = (h * 0x01000193 + point + j) % 2**32
+            found[(h * 0x9E3779B1 % 2**32) >> (32 - params.bits)] += 1
+    return found
+
+
+def plain_values(counts, idf):
+    values = {b: math.log(1 + n) * idf(b) for b, n in counts.items()}
+    norm = math.sqrt(sum(v * v for v in values.values()))
+    return {b: v / norm for b, v in values.items()}
+
+
+def plain_softmax(scores):
+    e = [math.exp(s - max(scores)) for s in scores]
+    return [x / sum(e) for x in e]
+
+
+def plain_fit(rows, n_languages, params):
+    """One coordinate after the other, in dictionaries."""
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(key):
+        if abs(z[key]) <= params.l1:
+            return 0.0
+        sign = 1.0 if z[key] > 0 else -1.0
+        return -(z[key] - sign * params.l1) / ((params.beta + math.sqrt(n[key])) / params.alpha + params.l2)
+
+    for _ in range(params.passes):
+        for values, y in rows:
+            w = {(b, k): weight((b, k)) for b in values for k in range(n_languages)}
+            p = plain_softmax([sum(v * w[b, k] for b, v in values.items()) for k in range(n_languages)])
+            for b, v in values.items():
+                for k in range(n_languages):
+                    g = v * (p[k] - (k == y))
+                    sigma = (math.sqrt(n[b, k] + g * g) - math.sqrt(n[b, k])) / params.alpha
+                    z[b, k] += g - sigma * w[b, k]
+                    n[b, k] += g * g
+    return {key: weight(key) for key in z}
+
+
+def test_against_a_plain_version(spark):
+    """N-grams, document frequencies, weights, temperature and predictions."""
+    said = {"en": "the cat sat on the mat", "de": "die Katze saß auf der Matte", "el": "η γάτα κάθισε στο χαλί"}
+    texts = [(i, " ".join(said[lang].split()[i % 4 :]) + f" {i} \U0001f600" * (i % 3), lang) for i in range(60) for lang in [list(said)[i % 3]]]
+    rows = texts + [(60, None, "en"), (61, "123", "en"), (62, "unlabelled text", None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(4)
+    params = langid.Params(bits=11)
+    learned = [(i, t, lang) for i, t, lang in texts if zlib.crc32(str(i).encode()) % 5]
+    in_documents = Counter(b for _, t, _ in learned for b in plain_counts(t, params))
+    n_docs, df = langid.document_frequencies(langid.learnable(docs), params)
+    assert n_docs == len(learned) and {b: int(n) for b, n in enumerate(df) if n} == in_documents
+
+    idf = lambda b: math.log((1 + n_docs) / (1 + in_documents[b])) + 1
+    sample = langid.labelled_sample(langid.learnable(docs), params)
+    spelled = lambda lang, counts: (lang, tuple(sorted(counts.items())))
+    got = [(lang, p, dict(zip(b.tolist(), c.tolist()))) for lang, p, b, c in sample]
+    assert Counter(spelled(lang, c) for lang, _, c in got) == Counter(spelled(lang, plain_counts(t, params)) for _, t, lang in learned)
+
+    model = langid.train(docs, params)
+    assert model.languages == sorted(said)
+    furthest = {lang: max(p for name, p, _ in got if name == lang) for lang in said}
+    ready = [(p >= params.calibration_part or p == furthest[lang], plain_values(c, idf), model.languages.index(lang)) for lang, p, c in got]
+    weights = plain_fit([r[1:] for r in ready if r[0]], 3, params)
+    plain = np.zeros_like(model.weights, dtype=float)
+    for at, w in weights.items():
+        plain[at] = w
+    assert np.allclose(model.weights, plain, rtol=1e-4, atol=1e-6) and (plain == 0).any()
+
+    scored = lambda values: [sum(v * weights.get((b, k), 0.0) for b, v in values.items()) for k in range(3)]
+    kept_back = [(scored(values), y) for fits, values, y in ready if not fits]
+    loss = lambda t: -np.mean([math.log(plain_softmax([s / t for s in scores])[y]) for scores, y in kept_back])
+    assert kept_back and loss(model.temperature) <= min(loss(t) for t in np.geomspace(0.05, 20, 200)) + 1e-6
+
+    for r in langid.predict(docs, model).collect():
+        text = dict((i, t) for i, t, _ in rows)[r.doc_id]
+        if r.doc_id in (60, 61):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+        else:
+            p = plain_softmax([s / model.temperature for s in scored(plain_values(plain_counts(text, params), idf))])
+            assert r.lang_pred == model.languages[int(np.argmax(p))] and abs(r.score - max(p)) < 1e-3
