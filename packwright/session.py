@@ -2,7 +2,7 @@
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
@@ -78,3 +78,21 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     _staged.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_alone(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """Stage what ``make`` gives, and drop all that was staged on the way to it.
+
+    Also gives the folder, to ``drop`` it once the next step is written.
+    """
+    path = fresh_path(spark, name)
+    folder = path.rsplit("/", 1)[0]
+    try:
+        with staging(spark):
+            df = make()
+            df.write.parquet(path)
+    except BaseException:
+        drop(spark, folder)
+        raise
+    _staged.append(path)
+    return spark.read.schema(df.schema).parquet(path), folder

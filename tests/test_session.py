@@ -27,3 +27,21 @@ def test_staged_tables_go_at_the_end(spark):
         assert spark.read.parquet(path).count() == 3
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         spark.read.parquet(path)
+
+
+def test_one_table_stays_of_a_step(spark):
+    made = []
+
+    def step():
+        made.append(session.stage(spark.range(3), "numbers").inputFiles()[0].rsplit("/", 1)[0])
+        return spark.read.parquet(made[0]).selectExpr("id + 1 AS id")
+
+    df, folder = session.stage_alone(spark, step, "step")
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(made[0])
+    assert sorted(r.id for r in df.collect()) == [1, 2, 3] and f"{folder}/data" in df.inputFiles()[0]
+    session.drop(spark, folder)
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(f"{folder}/data")
+    with pytest.raises(RuntimeError):
+        session.stage_alone(spark, lambda: (_ for _ in ()).throw(RuntimeError()), "step")
