@@ -8,6 +8,17 @@ def same_length(left: Column, right: Column) -> Column:
     return F.size(left) == F.size(right)
 
 
+def targets_end_at(ids: Column, mask: Column, eos_id: int) -> Column:
+    """Wherever a target stops inside the arrays, its last id is ``eos_id``.
+
+    A mask that is shifted against its ids, or cut out at other places than they are,
+    breaks this, though it is as long as they are.
+    """
+    inner = F.filter(F.sequence(F.lit(1), F.size(mask)), lambda i: i < F.size(mask))
+    stops = lambda i: (F.element_at(mask, i) == 1) & (F.element_at(mask, i + 1) == 0)
+    return F.forall(inner, lambda i: ~stops(i) | (F.element_at(ids, i) == eos_id))
+
+
 def check_rules(df: DataFrame, rules: dict[str, Column], fail: bool = False) -> DataFrame:
     """One row per rule: rows checked and rows that break it (a null verdict breaks it).
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from packwright.functions.integers import div
 from packwright.functions.text import array_total, ids_digest, n_tokens
 from packwright.functions.tokenizers import tokenizer
+from packwright.operators.checks import check_rules, same_length, targets_end_at
 from packwright.operators.examples import text_spans, with_mask
 from packwright.operators.offsets import running_offsets
 from packwright.operators.packing import (
@@ -77,6 +78,41 @@ def pack_chat(spark: SparkSession, sf: str) -> DataFrame:
     return block_rows(pack(conversation_spans(spark, sf), CHAT_BLOCK, keys=("conv_id", "turn")))
 
 
+@query(f"""
+WITH {chat_blocks_sql()},
+checked AS (
+  SELECT len(ids) = {CHAT_BLOCK} AS block_is_full, len(mask) = len(ids) AS mask_as_long_as_ids,
+    len(list_filter(mask, lambda x: x <> 0 AND x <> 1)) = 0 AS mask_is_zero_or_one,
+    list_sum(mask) > 0 AS has_target, 2 * list_sum(mask) >= len(mask) AS half_is_target,
+    mask[1] = 0 AS starts_outside_target,
+    len(list_filter(range(1, len(mask)), lambda i: mask[i] = 1 AND mask[i + 1] = 0 AND ids[i] <> 268435456)) = 0
+      AS targets_end_marked
+  FROM chat_blocks
+)
+SELECT rule, count(*)::BIGINT AS n_checked, sum((NOT ok)::INT)::BIGINT AS n_violations
+FROM (UNPIVOT checked ON block_is_full, mask_as_long_as_ids, mask_is_zero_or_one, has_target, half_is_target,
+      starts_outside_target, targets_end_marked INTO NAME rule VALUE ok)
+GROUP BY rule
+""")
+def block_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Rules on the masks of blocks, as they are read back from the files."""
+    path = fresh_path(spark, "ruled-blocks")
+    write_blocks(pack(conversation_spans(spark, sf), CHAT_BLOCK, keys=("conv_id", "turn")), path, CHAT_BLOCK)
+    ids, mask = F.col("token_ids"), F.col("tgt_mask")
+    return check_rules(
+        read_blocks(spark, path, CHAT_BLOCK),
+        {
+            "block_is_full": F.size(ids) == CHAT_BLOCK,
+            "mask_as_long_as_ids": same_length(ids, mask),
+            "mask_is_zero_or_one": F.forall(mask, lambda x: x.isin(0, 1)),
+            "has_target": array_total(mask) > 0,
+            "half_is_target": 2 * array_total(mask) >= F.size(mask),
+            "starts_outside_target": F.element_at(mask, 1) == 0,
+            "targets_end_marked": targets_end_at(ids, mask, tokenizer(spark, "word_md5").eos_id),
+        },
+    )
+
+
 def _packed_and_back(spans: DataFrame, keys: list[str], length: int, name: str) -> DataFrame:
     """Pack, cut every example out of the blocks again and decode it."""
     tok = tokenizer(spans.sparkSession, name)

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packwright.functions.tokenizers import tokenizer
-from packwright.operators.checks import check_rules, same_length
+from packwright.operators.checks import check_rules, same_length, targets_end_at
 from packwright.operators.examples import (
     chat_examples,
     chat_spans,
@@ -94,3 +94,12 @@ def test_rules(spark):
     assert all(r.n_violations == 0 for r in check_rules(df.limit(1), rules, fail=True).collect())
     with pytest.raises(Exception, match="rule broken"):
         check_rules(df, rules, fail=True).collect()
+
+
+def test_a_mask_beside_its_ids_is_found(spark):
+    ids, mask = [5, 6, 9, 7, 8, 9, 4], [0, 1, 1, 0, 1, 1, 0]
+    rows = [(1, ids, mask), (2, ids, mask[1:] + [0]), (3, ids, [0] + mask[:-1]), (4, [5], [1]), (5, [], []), (6, [5, 6], [0, 1]), (7, None, None)]
+    df = spark.createDataFrame(rows, "id int, token_ids array<int>, tgt_mask array<int>")
+    ok = targets_end_at(df["token_ids"], df["tgt_mask"], 9)
+    assert {r.id: r.ok for r in df.select("id", ok.alias("ok")).collect()} == {1: True, 2: False, 3: False, 4: True, 5: True, 6: True, 7: None}
+    assert check_rules(df, {"marked": ok}).collect()[0].n_violations == 3
