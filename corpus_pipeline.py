@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from packwright.llm import decontam, langid, linedup, neardup, pieces
 from packwright.llm.queries import vocabulary
-from packwright.session import stage
+from packwright.session import drop, stage_alone
 from packwright.sources.tables import table
 
 # A document is rejected if no language is at least this likely.
@@ -88,8 +88,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each but the last is written and read again.
+
+    What a stage staged for itself goes when it is written, and its input when the next is.
+    """
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, step in STAGES[:-1]:
-        docs = stage(step(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, written = stage_alone(spark, lambda: step(spark, docs, sf_dir), f"pipeline-{name}")
+        if read is not None:
+            drop(spark, read)
+        read = written
     return STAGES[-1][1](spark, docs, sf_dir)
