@@ -1,9 +1,12 @@
+import os
+
 import sentencepiece
 
 import corpus_pipeline
 from brute import components, contaminated, deleted_lines
 from packwright.llm import langid, linedup
 from packwright.llm.queries import vocabulary
+from packwright.session import stage, work_dir
 
 
 def brute(rows, languages, items):
@@ -27,7 +30,11 @@ def test_against_a_slow_version(spark, sf_small):
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_small}/benchmark.parquet").collect()]
     want = dict(brute([(r.doc_id, r.text) for r in docs.collect()], sure, items))
     original = sentencepiece.SentencePieceProcessor(model_proto=vocabulary())
+    folder = work_dir(spark).removeprefix("file:")
+    before = set(os.listdir(folder))
     got = corpus_pipeline.run(spark, sf_small).collect()
+    # Only the input of the last stage is still there.
+    assert [name.rsplit("-", 1)[0] for name in set(os.listdir(folder)) - before if not name.endswith(".crc")] == ["pipeline-contamination"]
     assert {r.doc_id: r.text for r in got} == want and len(got) == len(want)
     assert all(list(r.token_ids) == original.encode(r.text) and r.n_chars == len(r.text) for r in got)
 
@@ -36,13 +43,13 @@ def test_every_stage_takes_edges(spark, edge_docs, no_docs, sf_small):
     for start in (edge_docs, no_docs):
         docs = start
         for place, (_, step) in enumerate(corpus_pipeline.STAGES):
-            docs = corpus_pipeline.stage(step(spark, docs, sf_small), "edges")
+            docs = stage(step(spark, docs, sf_small), "edges")
             if place < 4:
                 assert docs.columns == start.columns
     assert docs.collect() == []
     kept = edge_docs
     for _, step in corpus_pipeline.STAGES[:3]:
-        kept = corpus_pipeline.stage(step(spark, kept, sf_small), "edges")
+        kept = stage(step(spark, kept, sf_small), "edges")
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "11", "8", "8", "9"]
 
 
@@ -51,5 +58,5 @@ def test_clean_documents_stay(spark, sf_small):
     texts = [" ".join(f"clean{i}word{j}" for j in range(40)) + "\nA short line." for i in range(30)]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for _, step in corpus_pipeline.STAGES[:4]:
-        docs = corpus_pipeline.stage(step(spark, docs, sf_small), "clean")
+        docs = stage(step(spark, docs, sf_small), "clean")
     assert sorted((r.doc_id, r.text) for r in docs.collect()) == list(enumerate(texts))
