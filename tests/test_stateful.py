@@ -1,9 +1,12 @@
 import datetime
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 
-from packwright.streaming.stateful import PROVIDER, Packing, packed_stream, start
+from packwright.streaming import stateful
+from packwright.streaming.stateful import PROVIDER, BlockBuilder, Packing, packed_stream, start
 from test_packing import blocks_of
 
 LENGTH = 8
@@ -96,3 +99,109 @@ def test_one_exchange_and_one_state(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
     assert packed_stream(stream, Packing(LENGTH)).isStreaming
     assert packed_stream(stream, Packing(LENGTH)).columns == ["data_type", "subset_name", "lane", "block_idx", "token_ids", "tgt_mask", "late"]
+
+
+class Kept(dict):
+    """A state in memory that counts the calls."""
+
+    calls = 0
+
+    def exists(self):
+        return bool(self)
+
+    def get(self):
+        return dict.get(self, "value")
+
+    def update(self, value):
+        self["value"] = value
+
+    def getValue(self, key):
+        self.calls += 1
+        return self[key]
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):
+        self.calls += 1
+        del self[key]
+
+
+class Handle:
+    def __init__(self):
+        self.states, self.timers = {}, []
+
+    def state(self, name, *_):
+        return self.states.setdefault(name, Kept())
+
+    getMapState = getValueState = state
+
+    def listTimers(self):
+        return iter(self.timers)
+
+    def deleteTimer(self, at):
+        self.timers.remove(at)
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+
+class Clock:
+    def __init__(self, seconds):
+        self.seconds = seconds
+
+    def getCurrentWatermarkInMs(self):
+        return self.seconds * 1000
+
+
+def builder():
+    made = BlockBuilder(LENGTH, ["data_type", "subset_name"], "doc_id", "ts")
+    made.init(Handle())
+    return made
+
+
+def frame(rows):
+    ids, masks = ([np.array(r[i], dtype=np.int32) for r in rows] for i in (2, 3))
+    return pd.DataFrame({"ts": pd.to_datetime([r[1] for r in rows], unit="s"), "doc_id": [r[1] for r in rows], "token_ids": ids, "tgt_mask": masks})
+
+
+def test_the_state_is_touched_by_parts_and_not_by_examples():
+    rows = [("a", k, i, m) for _, k, i, m in made(4000, 7)]
+    draw, states = random.Random(8), builder()
+    shuffled = draw.sample(rows, len(rows))
+    got = []
+    for part in (shuffled[:1500], shuffled[1500:]):
+        got += states.handleInputRows(("text", "a", 0), iter([frame(part)]), Clock(-1))
+    assert not got and states.handle.timers == [0]
+    got += states.handleExpiredTimer(("text", "a", 0), Clock(5000), None)
+    found = pd.concat(got)
+    want = blocks_of(rows, LENGTH)
+    assert {("a", b): (list(i), list(m)) for b, i, m in zip(found.block_idx, found.token_ids, found.tgt_mask)} == want
+    assert not states.handle.states["runs"] and states.handle.states["runs"].calls < 20
+
+
+def test_runs_of_many_parts_are_laid_down_bit_by_bit(monkeypatch):
+    """Parts of a few examples, blocks handed on a few at a time, a watermark that cuts through parts."""
+    monkeypatch.setattr(stateful, "PART_TOKENS", 40)
+    monkeypatch.setattr(stateful, "OUT_TOKENS", 24)
+    rows = [("a", k, i, m) for _, k, i, m in made(300, 9)]
+    draw, states = random.Random(10), builder()
+    shuffled = draw.sample(rows, len(rows))
+    got = list(states.handleInputRows(("text", "a", 0), iter([frame(shuffled[:100]), frame(shuffled[100:])]), Clock(-1)))
+    for until in (37, 38, 150, 299):
+        got += states.handleExpiredTimer(("text", "a", 0), Clock(until), None)
+        waiting = [r[1] for r in rows if r[1] > until]
+        assert states.handle.timers == ([min(waiting) * 1000] if waiting else [])
+    assert max(len(f) for f in got) <= 5
+    found = pd.concat(got)
+    assert list(found.block_idx) == list(range(len(found)))
+    want = blocks_of(rows, LENGTH)
+    assert {("a", b): (list(i), list(m)) for b, i, m in zip(found.block_idx, found.token_ids, found.tgt_mask)} == want
+    assert not states.handle.states["runs"]
+
+
+def test_a_null_id_or_a_mask_of_another_length_is_an_error():
+    for ids, mask in ((np.array([1, np.nan]), [1, 1]), ([1, 2], [1])):
+        with pytest.raises(ValueError):
+            list(builder().handleInputRows(("text", "a", 0), iter([frame([])._append({"ts": pd.Timestamp(9, unit="s"), "doc_id": 1, "token_ids": ids, "tgt_mask": np.array(mask)}, ignore_index=True)]), Clock(0)))
