@@ -3,8 +3,8 @@ from pyspark.sql import functions as F
 
 from packwright.functions import vocabularies
 from packwright.functions.text import affix, word_ids
-from packwright.functions.tokenizers import forget_tokenizer, register_tokenizer, tokenizer
-from packwright.plans import jobs
+from packwright.functions.tokenizers import TEXTS_PER_CALL, forget_tokenizer, register_tokenizer, tokenizer
+from packwright.plans import jobs, tokens
 from packwright.plans.tokens import bpe_token_counts
 
 
@@ -230,3 +230,27 @@ def test_registrations_belong_to_their_session(spark, own, tmp_path):
     register_tokenizer(other, "own_words", write_vocabulary(tmp_path / "bytes", ranks), 300)
     assert list(other.sql("SELECT own_words_encode('ab')").first()[0]) == [255 - 97, 255 - 98]
     assert list(spark.sql("SELECT own_words_encode('low')").first()[0]) == [own[b"low"]]
+
+
+@pytest.mark.parametrize("name", ["piece_bpe_32k", "byte_bpe_50k"])
+def test_results_go_back_part_by_part(spark, name):
+    """A worker holds the ids of a few texts, not those of a batch of the engine."""
+    import pyarrow as pa
+
+    tok = tokenizer(spark, name, window=50)
+    texts = [None, "", *(f"{i} words, " * (i % 40) for i in range(1000)), "a long one " * 3000]
+    parts = list(tok.encode.func(iter([pa.array(texts)])))
+    assert max(map(len, parts)) <= TEXTS_PER_CALL
+    ids = pa.concat_arrays(parts)
+    assert ids.to_pylist() == [r.ids for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", tok.encode("t").alias("ids")).orderBy("k").collect()]
+    back = list(tok.decode.func(iter([ids])))
+    assert max(map(len, back)) <= TEXTS_PER_CALL
+    short = [i for i, t in enumerate(texts) if t is not None and t.count(" ") < 50]
+    assert [pa.concat_arrays(back)[i].as_py() for i in short] == [texts[i] for i in short]
+    assert [len(p) for p in tok.encode.func(iter([pa.array([], pa.string())]))] == [0]
+
+
+def test_a_round_trip_encodes_once(spark, sf_small):
+    plan = tokens.bpe_roundtrip(spark, sf_small)._jdf.queryExecution().executedPlan().toString()
+    steps = [line for line in plan.splitlines() if "ArrowEvalPython" in line]
+    assert sum(line.count("encode_batches(") for line in steps) == 1
