@@ -139,7 +139,8 @@ def _write_chunked_blocks(spark: SparkSession, sf: str, n_epochs: int = 1, fmt:
     chunked = shuffle_into_chunks(blocks, BLOCK_KEYS, chunk_size=CHUNK_SIZE, n_epochs=n_epochs)
     path = fresh_path(spark, "chunks")
     columns = [c.split()[0] for c in BLOCK_PAYLOAD.split(", ")]
-    write_chunks(chunked.select(*columns, "chunk_position", "epoch", "chunk_idx"), path, fmt)
+    compression = "gzip" if fmt == "json" else None
+    write_chunks(chunked.select(*columns, "chunk_position", "epoch", "chunk_idx"), path, fmt, compression=compression)
     return path
 
 
