@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packwright.functions import vocabularies
-from packwright.functions.text import affix, word_ids
+from packwright.functions.text import _word_ids_udf, affix, word_ids
 from packwright.functions.tokenizers import TEXTS_PER_CALL, _lists, forget_tokenizer, register_tokenizer, tokenizer
 from packwright.plans import jobs, tokens
 from packwright.plans.tokens import bpe_token_counts
@@ -75,6 +75,24 @@ def test_word_ids(spark):
         assert r.ids == want
 
 
+def test_words_are_cut_as_columns_however_many_at_a_time(spark):
+    from hashlib import md5
+
+    import pyarrow as pa
+
+    texts = [None, "", "a", " ", "  ", "", "a  b", "é ß\n\tx", None, *("x yy  z " * (i % 9) for i in range(200)), ""]
+    want = [None if t is None else [int(md5(w.encode()).hexdigest()[:7], 16) for w in t.split(" ")] if t else [] for t in texts]
+    for held in (1, 40, 1 << 20):
+        parts = list(_word_ids_udf(held).func(iter([pa.array(texts), pa.array([], pa.string()), pa.array([None], pa.string())])))
+        assert pa.concat_arrays(parts).to_pylist() == [*want, None]
+        assert held < 1 << 20 or len(parts) == 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, t string").select("k", word_ids(F.col("t")).alias("ids"))
+    assert [r.ids for r in rows.orderBy("k").collect()] == want
+    # No UTF-8: as the engine reads it.
+    odd = spark.sql("SELECT cast(X'6120FFFE61' AS string) AS t")
+    assert odd.select(word_ids(F.col("t"))).first()[0] == [int(md5(w.encode()).hexdigest()[:7], 16) for w in ("a", "\ufffd\ufffda")]
+
+
 def test_affixes(spark):
     one = spark.createDataFrame([([5, 6],)], "ids array<int>")
     ids, pre, suf = F.col("ids"), F.array(F.lit(1)), F.array(F.lit(2))
