@@ -183,13 +183,13 @@ def chunk_blocks(
     seed: int = SEED,
     fmt: str = "parquet",
 ) -> None:
-    """Blocks of one length to shuffled chunk files."""
+    """Blocks of one length to shuffled chunk files. Small chunks share files."""
     rows = read_blocks(spark, blocks, context_length)
     chunked = shuffle_into_chunks(
         rows, BLOCK_KEYS, chunk_size=chunk_size, n_epochs=n_epochs, keep=keep, mode=mode, seed=seed
     )
     columns = ["token_ids", "tgt_mask", *BLOCK_KEYS, "chunk_position", "epoch", "chunk_idx"]
-    write_chunks(chunked.select(*columns), out, fmt, "overwrite")
+    write_chunks(chunked.select(*columns), out, fmt, "overwrite", chunk_rows=chunk_size)
 
 
 def batch_chunks(
@@ -231,7 +231,7 @@ def batch_chunks(
         "n_sampled",
         *[c.alias(name) for name, c in collate(F.col("token_ids"), F.col("tgt_mask")).items()],
     )
-    write_rank_batches(batches, f"{out}/batches", mode="overwrite")
+    write_rank_batches(batches, f"{out}/batches", mode="overwrite", rank_rows=-(-n_examples // world_size))
     written = spark.read.schema(batches.schema).parquet(f"{out}/batches")
     plan = batch_plan(written, n_chunks, n_examples, world_size, per_device_batch, accumulate)
     write_batch_log(plan, f"{out}/log", mode="overwrite")
