@@ -140,7 +140,8 @@ def _write_chunked_blocks(spark: SparkSession, sf: str, n_epochs: int = 1, fmt:
     path = fresh_path(spark, "chunks")
     columns = [c.split()[0] for c in BLOCK_PAYLOAD.split(", ")]
     compression = "gzip" if fmt == "json" else None
-    write_chunks(chunked.select(*columns, "chunk_position", "epoch", "chunk_idx"), path, fmt, compression=compression)
+    rows = chunked.select(*columns, "chunk_position", "epoch", "chunk_idx")
+    write_chunks(rows, path, fmt, compression=compression, chunk_rows=CHUNK_SIZE)
     return path
 
 
